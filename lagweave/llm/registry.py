@@ -1,8 +1,10 @@
 """The numbered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.op1,
+    "op2_bpe": bpe.op2,
     "op5_exact_dedup": exact_dedup.op5,
     "op10_source_mixing": mixing.op10,
 }

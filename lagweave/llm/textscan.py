@@ -143,10 +143,8 @@ def repeated(key: np.ndarray) -> np.ndarray:
 
 def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of n items some window of k items starting in `at` covers."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, at, 1) if len(at) < 1000 else step.__iadd__(np.bincount(at, minlength=n + 1).astype(np.int32))
-    end = np.bincount(at + k, minlength=n + 1).astype(np.int32)
-    return np.cumsum(step - end[: n + 1])[:n] > 0
+    step = np.bincount(at, minlength=n + 1) - np.bincount(at + k, minlength=n + 1)
+    return np.cumsum(step)[:n] > 0
 
 
 def sums(value: np.ndarray, at: np.ndarray) -> np.ndarray:
