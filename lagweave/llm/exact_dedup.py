@@ -29,9 +29,9 @@ def _position(digest: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
 
-def repeated_bits(digests: DataFrame, digest: str = "text_sha256", bits: int = BITS) -> DataFrame:
-    """Pass one: (word, bits) of the filter's 64-bit words with a bit that was hit twice or more."""
-    hit = digests.groupBy(_position(digest, bits).alias("p")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def repeated_bits(digests: DataFrame, digest: str = "text_sha256", bits: int = BITS, least: int = 2) -> DataFrame:
+    """Pass one: (word, bits) of the filter's 64-bit words with a bit hit at least `least` times."""
+    hit = digests.groupBy(_position(digest, bits).alias("p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return hit.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
 
 
@@ -51,6 +51,7 @@ def exact_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     single = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     left = tested.where("maybe").select("doc_id", "row", "text_sha256")
     groups = left.groupBy("text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = staged(groups, "groups")  # with a shuffle of its own, the join can split a hot group
     many = left.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
     return single.unionByName(many)
 

@@ -1,11 +1,12 @@
 """The numbered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, quality
+from . import bpe, exact_dedup, mixing, quality, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_bpe": bpe.op2,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_substring_dedup": substring_dedup.op6,
     "op10_source_mixing": mixing.op10,
 }
 
