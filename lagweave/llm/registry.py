@@ -1,12 +1,13 @@
 """The numbered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, quality, substring_dedup
+from . import bpe, exact_dedup, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_bpe": bpe.op2,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op7_ngram_join": ngram_join.op7,
     "op10_source_mixing": mixing.op10,
 }
 
