@@ -1,10 +1,11 @@
 """The numbered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality, substring_dedup
+from . import bpe, exact_dedup, mixing, ngram_join, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_bpe": bpe.op2,
+    "op3_warc": warc.op3,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_ngram_join": ngram_join.op7,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
 }
