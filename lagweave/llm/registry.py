@@ -1,6 +1,6 @@
 """The numbered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality, substring_dedup, warc
+from . import bpe, exact_dedup, language, mixing, ngram_join, quality, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_ngram_join": ngram_join.op7,
+    "op8_language_id": language.op8,
+    "op9_url_filters": url_filter.op9,
     "op10_source_mixing": mixing.op10,
 }
 
