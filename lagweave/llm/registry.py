@@ -1,11 +1,12 @@
 """The numbered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, language, mixing, ngram_join, quality, substring_dedup, url_filter, warc
+from . import bpe, exact_dedup, language, mixing, ngram_join, quality, substring_dedup, token_shards, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_bpe": bpe.op2,
     "op3_warc": warc.op3,
+    "op4_token_shards": token_shards.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_ngram_join": ngram_join.op7,
