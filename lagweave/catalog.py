@@ -1,4 +1,12 @@
 """Every query of the library outside llm, by name, with its SQL."""
 
+import importlib
+
+BOOKS = ["scans", "stats"]
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _name in BOOKS:
+    _book = importlib.import_module(f"lagweave.plans.{_name}").book
+    QUERIES |= _book.queries
+    SQL |= _book.sql

@@ -1,0 +1,19 @@
+"""Parameters of the analysis, passed to operators explicitly."""
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Params:
+    min_years: float = 1.0
+    min_coverage: float = 0.95
+    min_dollar_volume: float = 1e6
+    min_market_cap: float = 1e5
+    lags: tuple = (1, 2, 3)
+    zscore_rows: int = 60
+    cost_bps: float = 10.0
+    periods_per_year: int = 252
+    alpha: float = 0.05
+
+
+DEFAULT = Params()
