@@ -2,7 +2,7 @@
 
 import importlib
 
-BOOKS = ["scans", "stats"]
+BOOKS = ["scans", "stats", "windows", "network"]
 
 QUERIES: dict = {}
 SQL: dict = {}
