@@ -2,7 +2,7 @@
 
 import importlib
 
-BOOKS = ["scans", "stats", "windows", "network"]
+BOOKS = ["scans", "stats", "windows", "network", "risk", "streams"]
 
 QUERIES: dict = {}
 SQL: dict = {}

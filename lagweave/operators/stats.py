@@ -111,7 +111,7 @@ def half_life(rows: DataFrame, step_days: int = 63, cap: float = 252.0, steps: i
     spark = rows.sparkSession
     coarse = spark.range(steps).select(F.pow(F.lit(10.0), F.lit(-6.0) + F.col("id") * (7.0 / (steps - 1))).alias("rate"))
     first = best(coarse, t)
-    near = first.select(*keys, F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("k"), F.col("rate").alias("r")).select(*keys, F.least(F.lit(10.0), F.greatest(F.lit(1e-6), F.col("r") * F.pow(F.lit(10.0), F.col("k") * (7.0 / (steps - 1) / 20)))).alias("rate"))
+    near = first.select(*keys, F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("k"), F.col("rate").alias("r")).select(*keys, F.least(F.lit(10.0), F.greatest(F.lit(1e-6), F.col("r") * F.pow(F.lit(10.0), F.col("k") * (7.0 / (steps - 1) / 20)))).alias("rate")).distinct()
     out = best(near, t)
     total = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     r2 = F.when(total > 1e-12, 1 - F.col("sse") / total).otherwise(0.0)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .stats import average_rank_pct
 
-BY_DATE = W.partitionBy("ticker").orderBy("date")
+def by_date():
+    return W.partitionBy("ticker").orderBy("date")
+
 
 
 def day_over_day(prices: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def last_n_rows(rows: DataFrame, n: int, least: int) -> DataFrame:
 
 
 def cumulative_return(rows: DataFrame, value: str) -> DataFrame:
-    return rows.withColumn("cumulative", F.exp(F.sum(F.log1p(value)).over(BY_DATE.rowsBetween(W.unboundedPreceding, 0))) - 1)
+    return rows.withColumn("cumulative", F.exp(F.sum(F.log1p(value)).over(by_date().rowsBetween(W.unboundedPreceding, 0))) - 1)
 
 
 def drawdown(rows: DataFrame, value: str, keys: list, order: str) -> DataFrame:
@@ -48,15 +50,15 @@ def time_to_recovery(rows: DataFrame, value: str, keys: list, order: str) -> Dat
 
 
 def ffill(rows: DataFrame, value: str) -> DataFrame:
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(BY_DATE.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(by_date().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def index_to_100(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("indexed", F.col("close") / F.first("close").over(BY_DATE) * 100)
+    return rows.withColumn("indexed", F.col("close") / F.first("close").over(by_date()) * 100)
 
 
 def daily_pct(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("pct", F.coalesce((F.col("close") / F.lag("close").over(BY_DATE) - 1) * 100, F.lit(0.0)))
+    return rows.withColumn("pct", F.coalesce((F.col("close") / F.lag("close").over(by_date()) - 1) * 100, F.lit(0.0)))
 
 
 def yoy_overlay(rows: DataFrame, years: list) -> DataFrame:

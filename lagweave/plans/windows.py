@@ -23,7 +23,7 @@ add("max_drawdown", "ticker max_drawdown:d", lambda t: wn.max_drawdown(t("market
 TEXTS["troughs"] = "SELECT ticker, arg_min(pos, (close, pos)) AS tr FROM {returns} GROUP BY ticker"
 add("time_to_recovery", "ticker recovery", lambda t: wn.time_to_recovery(t("returns"), "close", ["ticker"], "pos"),
     "SELECT r.ticker, (SELECT min(b.pos) FROM {returns} AS b WHERE b.ticker = r.ticker AND b.pos > tr AND b.close >= (SELECT max(p.close) FROM {returns} AS p WHERE p.ticker = r.ticker AND p.pos < tr)) - tr AS recovery FROM {troughs} AS r")
-add("rolling_mean_20", "ticker date mean_volume:d", lambda t: t("market_data").withColumn("mean_volume", F.avg("volume").over(wn.BY_DATE.rowsBetween(-19, 0))), f"SELECT ticker, date, avg(volume) OVER ({W_} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean_volume FROM {{market_data}}")
+add("rolling_mean_20", "ticker date mean_volume:d", lambda t: t("market_data").withColumn("mean_volume", F.avg("volume").over(wn.by_date().rowsBetween(-19, 0))), f"SELECT ticker, date, avg(volume) OVER ({W_} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean_volume FROM {{market_data}}")
 add("ffill", "ticker date close:d", lambda t: wn.ffill(t("market_data").withColumn("close", F.when(F.col("volume") % 3 != 0, F.col("close"))), "close"), f"SELECT ticker, date, last_value(CASE WHEN volume % 3 <> 0 THEN close END IGNORE NULLS) OVER ({W_}) AS close FROM {{market_data}}")
 add("index_to_100", "ticker date indexed:d", lambda t: wn.index_to_100(t("market_data")), f"SELECT ticker, date, close / first_value(close) OVER ({W_}) * 100 AS indexed FROM {{market_data}}")
 add("daily_pct", "ticker date pct:d", lambda t: wn.daily_pct(t("market_data")), f"SELECT ticker, date, coalesce((close / lag(close) OVER ({W_}) - 1) * 100, 0) AS pct FROM {{market_data}}")
@@ -60,7 +60,7 @@ add("pair_accuracy", "accuracy:d pairs", lambda t: wn.ordered_pair_accuracy(pred
 add("tail_accuracy", "accuracy:d pairs", lambda t: wn.ordered_pair_accuracy(pred(t), "pred", "target", 3), f"SELECT avg(CASE WHEN a.target > b.target THEN 1.0 ELSE 0 END) AS accuracy, count(*) AS pairs FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS k FROM {_pp} AS x) AS a JOIN (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred, ticker DESC) AS k FROM {_pp} AS x) AS b ON a.date = b.date AND a.pred > b.pred AND a.k <= 3 AND b.k <= 3")
 add("lag_entropy", "entropy:d lags", lambda t: wn.lag_entropy(t("net"), "best_lag"), "SELECT sum(-n / total * ln(n / total)) AS entropy, count(*) AS lags FROM (SELECT best_lag, count(*) AS n, sum(count(*)) OVER () AS total FROM {net} GROUP BY best_lag) AS x")
 add("feature_panel", "ticker date f1:d f4:d f5:d f6:d target:d",
-    lambda t: t("market_data").select("ticker", "date", (F.col("open") / F.col("close")).alias("f1"), (F.col("close") / F.lag("close").over(wn.BY_DATE) - 1).alias("f4"), F.log1p("volume").alias("f5"), F.when(F.count("volume").over(wn.BY_DATE.rowsBetween(-19, 0)) == 20, F.col("volume") / F.greatest(F.avg("volume").over(wn.BY_DATE.rowsBetween(-19, 0)), F.lit(1.0))).alias("f6"), (F.lead("close").over(wn.BY_DATE) / F.col("close") - 1).alias("target")).where("f4 is not null and f6 is not null and target is not null"),
+    lambda t: t("market_data").select("ticker", "date", (F.col("open") / F.col("close")).alias("f1"), (F.col("close") / F.lag("close").over(wn.by_date()) - 1).alias("f4"), F.log1p("volume").alias("f5"), F.when(F.count("volume").over(wn.by_date().rowsBetween(-19, 0)) == 20, F.col("volume") / F.greatest(F.avg("volume").over(wn.by_date().rowsBetween(-19, 0)), F.lit(1.0))).alias("f6"), (F.lead("close").over(wn.by_date()) / F.col("close") - 1).alias("target")).where("f4 is not null and f6 is not null and target is not null"),
     f"SELECT * FROM (SELECT ticker, date, open / close AS f1, close / lag(close) OVER ({W_}) - 1 AS f4, ln(1 + volume) AS f5, CASE WHEN count(volume) OVER ({W_} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN volume / greatest(avg(volume) OVER ({W_} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 1.0) END AS f6, lead(close) OVER ({W_}) / close - 1 AS target FROM {{market_data}}) AS x WHERE f4 IS NOT NULL AND f6 IS NOT NULL AND target IS NOT NULL")
 add("lag_windows", "ticker lag step close:d", lambda t: t("market_data").withColumn("k", F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date")))).withColumn("lag", F.explode(F.array(*map(F.lit, (1, 2, 5))))).withColumn("step", F.col("k") - F.col("lag")).where("step between 1 and 20"),
     "SELECT ticker, lag, k - lag AS step, close FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM {market_data}) AS x, (SELECT unnest([1, 2, 5]) AS lag) AS l WHERE k - lag BETWEEN 1 AND 20")
