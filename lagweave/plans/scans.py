@@ -1,10 +1,13 @@
 """Queries on scans, maintenance, scalar functions and calendars."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import scalar as fn
 from ..sources import scans as sc
+from ..streaming import jobs
 from .book import Book
 
 book = Book()
@@ -115,3 +118,37 @@ add("window_label", "window_start label", lambda t: windows(t).withColumn("label
 add("window_for_date", "date cell", lambda t: t("market_data").select("date").distinct().withColumn("cell", fn.grid_start("date", "1996-01-01")), "SELECT DISTINCT date, CASE WHEN date >= DATE '1996-01-01' THEN DATE '1996-01-01' + CAST(floor((date - DATE '1996-01-01') / 63.0) AS INT) * 63 END AS cell FROM {market_data}")
 add("windows_of_year", "window_start window_end", lambda t: windows(t).where(F.year("window_start") == 1999), f"SELECT * FROM ({_windows}) AS v WHERE year(window_start) = 1999")
 add("refit_due", "date due", lambda t: t("market_data").select("date").distinct().withColumn("due", F.month("date").isin(1, 4, 7, 10)), "SELECT DISTINCT date, month(date) IN (1, 4, 7, 10) AS due FROM {market_data}")
+
+
+def written(t, name: str, do):
+    """What a table in a new folder holds after do(rows, path)."""
+    folder = jobs.scratch(t.spark, name)
+    do(t("edges").select("as_of_date", "ticker_i", "ticker_j", "signal_strength"), folder)
+    return t.spark.read.parquet(folder)
+
+
+def _write_table(rows, path):
+    sc.write_table(rows.where("as_of_date < date '2001-06-01'"), path, "errorifexists", partition=["as_of_date"], cluster=["ticker_i", "ticker_j"])
+    sc.write_table(rows.where("as_of_date > date '2001-06-01'"), path, "append", partition=["as_of_date"])
+    sc.write_table(rows.where("false"), path, "overwrite")
+
+
+def _replace(rows, path):
+    sc.write_table(rows, path, "overwrite", partition=["as_of_date"])
+    sc.replace_partitions(rows.where("as_of_date > date '2001-06-01' and signal_strength > 50").withColumn("signal_strength", F.col("signal_strength") + 1), path, "as_of_date")
+
+
+def create_tables(t):
+    name = f"prices_{uuid.uuid4().hex[:12]}"
+    for _ in range(2):  # the second time changes nothing
+        sc.create_tables(t.spark, {name: ("ticker STRING, close DOUBLE, date DATE", "date")})
+    t("market_data").where("ticker = 'Brand#1'").select("ticker", "close", "date").sortWithinPartitions("date").write.mode("append").insertInto(name)
+    return t.spark.table(name)
+
+
+_E = "as_of_date ticker_i ticker_j signal_strength:d"
+_replaced = "SELECT as_of_date, ticker_i, ticker_j, signal_strength FROM {edges} WHERE as_of_date < DATE '2001-06-01' UNION ALL SELECT as_of_date, ticker_i, ticker_j, signal_strength + 1 FROM {edges} WHERE as_of_date > DATE '2001-06-01' AND signal_strength > 50"
+add("write_table", _E, lambda t: written(t, "write", _write_table), "SELECT * FROM {edges}")
+add("replace_window", _E, lambda t: written(t, "replace", _replace), _replaced)
+add("upsert_snapshot", _E, lambda t: written(t, "upsert", _replace), _replaced)
+add("create_tables", "ticker date close:d", create_tables)
