@@ -162,8 +162,9 @@ def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_
     nodes = staged(texts.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("key").alias("node"), F.first("bins").alias("bins")), "nodes")
     profiles = staged(texts.select("doc", "n", "c1", "c2").join(nodes.drop("bins"), ["n", "c1", "c2"], "left").select("doc", "n", "node"), "documents")
 
-    own = prefixes(docs, rare_first(rows), k, similarity).join(nodes.select(F.col("node").alias("key"), "n"), ["key", "n"], "left_semi")
-    grams = staged(own.dropDuplicates(["key", "n"]).select(F.col("key").alias("node"), "n", F.posexplode("grams").alias("pos", "gram")), "prefixes")
+    # copies of a text collapse before the shuffle, so a hot text is a row a task
+    own = prefixes(docs, rare_first(rows), k, similarity).groupBy("key", "n").agg(F.first("grams").alias("grams"))
+    grams = staged(own.join(nodes.select(F.col("node").alias("key"), "n"), ["key", "n"], "left_semi").select(F.col("key").alias("node"), "n", F.posexplode("grams").alias("pos", "gram")), "prefixes")
     bits = staged(repeated_bits(grams, "gram", BITS), "bits")
     grams = maybe_repeated(grams, bits, "gram", BITS).where("maybe").drop("maybe")
     hubs = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node", "n")).alias("h")).where("k > 1")
