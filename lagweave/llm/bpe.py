@@ -33,6 +33,8 @@ SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
+#: Longer runs than elsewhere: a distinct pretoken is encoded once a run.
+RUN_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -370,7 +372,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            for first, n, data, offs in ts.runs(batch):
+            for first, n, data, offs in ts.runs(batch, limit=RUN_BYTES):
                 ids, at = v.encode(data, offs)
                 back, to = v.decode(ids, at)
                 plain = len(back) == len(data) and bool((back == data).all())
@@ -390,7 +392,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            for first, n, data, offs in ts.runs(batch):
+            for first, n, data, offs in ts.runs(batch, limit=RUN_BYTES):
                 ids, at = v.encode(data, offs)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n).cast(pa.int64()), lists], ["doc_id", "ids"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .bpe import default_vocabulary, vocabulary
+from .bpe import RUN_BYTES, default_vocabulary, vocabulary
 from .shared import prepared, shared_dir, staged, table
 
 LENGTH = 2048
@@ -84,7 +84,7 @@ def _streams(batches, path: str):
     """The ids of each run of texts, end tokens included."""
     v, end = vocabulary(path), end_token(path)
     for batch in batches:
-        for _, n, data, offs in ts.runs(batch):
+        for _, n, data, offs in ts.runs(batch, limit=RUN_BYTES):
             ids, at = v.encode(data, offs)
             out = np.empty(len(ids) + n, np.uint16 if width(path) == 2 else np.uint32)
             last = at[1:] + np.arange(n)
