@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
 from ..operators import stats as st
+from ..params import DEFAULT
 from ..sources import scans as sc
 from .book import Book
 from .surrogates import TEXTS
@@ -63,15 +64,25 @@ add("dcor", "ticker_i ticker_j dcor:d", lambda t: profile(t, (1,)), f"SELECT tic
 add("dcor_lag_profile", "ticker_i ticker_j lag dcor:d", profile, _dc)
 add("sharpness", "ticker_i ticker_j sharpness:d", lambda t: pr.sharpness(profile(t), ["ticker_i", "ticker_j"]), f"SELECT ticker_i, ticker_j, CASE WHEN count(*) = 1 THEN 1 ELSE 1 - (ln(sum(dcor)) - sum(dcor * ln(dcor)) / sum(dcor)) / ln(count(*)) END AS sharpness FROM ({_dc}) AS d WHERE dcor > 0 GROUP BY ticker_i, ticker_j")
 add("sharpness_ratio", "ticker_i ticker_j sharpness:d", lambda t: pr.sharpness(profile(t), ["ticker_i", "ticker_j"], "ratio"), f"SELECT ticker_i, ticker_j, max(dcor) / sum(dcor) AS sharpness FROM ({_dc}) AS d WHERE dcor > 0 GROUP BY ticker_i, ticker_j")
-add("permutation_p", "ticker_i ticker_j lag dcor:d p_value:d permutations", lambda t: pr.permutation_p(pr.pair_arrays(few_aligned(t), (1,)), tiers=((20, 0.5), (40, 0.3), (60, None))))
-add("tier_budget", "tier3_fraction:d alert", lambda t: pr.tier_budget(pr.permutation_p(pr.pair_arrays(few_aligned(t), (1,)), tiers=((20, 0.5), (40, None))), 40))
+
+
+def whole_aligned(t):
+    s = t("returns")
+    return pr.aligned(s, pr.all_pairs(s.select("ticker").distinct()))
+
+
+def whole_arrays(t):
+    return pr.pair_arrays(whole_aligned(t), DEFAULT.lags)
+
+
+add("permutation_p", "ticker_i ticker_j lag dcor:d p_value:d permutations", lambda t: pr.permutation_p(whole_arrays(t)))
+add("tier_budget", "tier3_fraction:d alert", lambda t: pr.tier_budget(pr.permutation_p(whole_arrays(t))))
 
 
 def panel_full(t):
-    arrays = pr.pair_arrays(few_aligned(t), (1, 2))
+    arrays = whole_arrays(t)
     keys = ["ticker_i", "ticker_j", "lag"]
-    p = pr.permutation_p(arrays, tiers=((20, 0.5), (40, None)))
-    return p.join(pr.pearson_lag(few_aligned(t), (1, 2)), keys).join(pr.sharpness(profile(t, (1, 2)), keys[:2]), keys[:2])
+    return pr.permutation_p(arrays).join(pr.pearson_lag(whole_aligned(t), DEFAULT.lags), keys).join(pr.sharpness(pr.dcor(arrays), keys[:2]), keys[:2])
 
 
 add("pair_panel", "ticker_i ticker_j lag dcor:d p_value:d permutations sharpness:d pearson:d", panel_full)

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lagweave import catalog
 from lagweave.operators import pairs as pr
 from lagweave.operators import risk as rk
 from lagweave.operators import stats as st
 from lagweave.operators import windows as wn
+from lagweave.plans import surrogates
 from lagweave.sources import scans as sc
 
 
@@ -50,6 +52,18 @@ def test_planted_pair_is_found(spark):
     assert all(0 < x.p_value <= 1 for x in got.values())
 
 
+def test_permutation_queries_take_all_pairs_and_tiers(spark, monkeypatch):
+    s = series(spark, n=60).withColumn("date", F.add_months("date", -360)).persist()
+    monkeypatch.setattr(surrogates, "get", lambda spark, sf_dir, name: s)
+    got = {(r.ticker_i, r.ticker_j, r.lag): r for r in catalog.QUERIES["permutation_p"](spark, "").collect()}
+    assert set(got) == {(i, j, k) for i, j in (("a", "b"), ("a", "c"), ("b", "c")) for k in (1, 2, 3)}
+    assert got["a", "b", 2].permutations == 1000 and got["a", "b", 2].p_value == pytest.approx(1 / 1001, abs=1e-6)
+    assert {r.permutations for r in got.values()} <= {0, 100, 500, 1000}
+    last = [r.permutations == 1000 for r in got.values()]
+    assert catalog.QUERIES["tier_budget"](spark, "").first().tier3_fraction == pytest.approx(sum(last) / 9, abs=1e-6)
+    assert {(r.ticker_i, r.ticker_j, r.lag): r.p_value for r in catalog.QUERIES["pair_panel"](spark, "").collect()} == {k: r.p_value for k, r in got.items()}
+
+
 def test_block_shuffle_keeps_values(spark):
     df = spark.createDataFrame([("a", "b", 1, [float(i) for i in range(23)], [0.0] * 23)], "ticker_i string, ticker_j string, lag int, x array<double>, y array<double>")
     got = [r.x for r in pr.block_shuffled(df, 5, 1).collect()]
