@@ -43,14 +43,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     return leveled.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"), "budget")
 
 
-def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 0, slices: int = SLICES, steps: int = STEPS):
+def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 0, slices: int = SLICES, steps: int = STEPS, also=()):
     """(queue, served): queue has a row per document (row, doc_id, source, size, source_size,
-    target); served has a row per document and pass that the mix takes (row, pass, words,
+    target, and the columns named in also); served has a row per document and pass that the mix takes (row, pass, words,
     virtual_finish, start), start being the words before it in the mix's global order."""
-    sized = staged(docs.select("doc_id", "source", word_count().alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = staged(docs.select("doc_id", "source", *also, word_count().alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     goal = staged(targets(sized, weights, share, passes), "targets")
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    queue = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select("row", "doc_id", sized["source"], "size", "source_size", "target", "budget", key.alias("key"))
+    queue = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select("row", "doc_id", sized["source"], *also, "size", "source_size", "target", "budget", key.alias("key"))
     queue = queue.withColumn("slice", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(1 << 32)) * slices / F.lit(float(1 << 32))).withColumn("slice", F.col("slice").cast("long"))
     queue = staged(queue, "queue")
 
@@ -74,12 +74,24 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix serves it (a part counts as a whole); all columns
-    kept. Rows that share a doc_id share a decision, the largest."""
-    queue, served = fair_mix(docs, **options)
-    times = served.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(queue.select("row", "doc_id"), "row")
-    times = times.groupBy(F.col("doc_id").alias("__id")).agg(F.max("n").alias("__n"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    kept. Rows are told apart by doc_id, source and text; rows that repeat all three are numbered
+    and take their counts in turn, the largest first."""
+    cols = docs.columns
+    text = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")
+    queue, served = fair_mix(docs.withColumn("__text", text), also=("__text",), **options)
+    times = queue.select("row", "doc_id", "source", "__text").join(served.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n")), "row", "left")
+    by = (F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__text").alias("__hash"))
+    times = times.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"), F.sort_array(F.collect_list("n"), False).alias("__counts")).where(F.size("__counts") > 0)
+    times = staged(times, "times")
+    once, again = staged(times.where("__rows = 1"), "once"), staged(times.where("__rows > 1"), "repeated")
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), F.col("doc_id").alias("id"), F.col("source").alias("of"), text)
+    same = F.col("id").eqNullSafe(F.col("__id")) & F.col("of").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__hash"))
+    single = whole.join(once, same).withColumn("n", F.col("__counts")[0])
+    turn = F.row_number().over(W.partitionBy("id", "of", "__text").orderBy(F.xxhash64("r")))
+    many = whole.join(again, same).withColumn("turn", turn).where(F.col("turn") <= F.size("__counts")).withColumn("n", F.element_at("__counts", F.col("turn")))
+    out = single.select("r", "n").unionByName(many.select("r", "n"))
+    return out.withColumn("k", F.explode(F.sequence(F.lit(1), "n"))).select("r.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

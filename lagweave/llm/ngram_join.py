@@ -154,13 +154,13 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simila
 
 
 def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_link: bool = True):
-    """(profiles, links): profiles has doc, n and node of every row; links are pairs (u, v) of
+    """(profiles, links): profiles has doc, key, n and node of every row; links are pairs (u, v) of
     nodes u < v, all of them with every_link, else enough of them for the components."""
     prepared(docs.sparkSession)
     rows = staged(set_profiles(docs, k), "profiles")
     texts = rows.where("not bucket")
     nodes = staged(texts.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("key").alias("node"), F.first("bins").alias("bins")), "nodes")
-    profiles = staged(texts.select("doc", "n", "c1", "c2").join(nodes.drop("bins"), ["n", "c1", "c2"], "left").select("doc", "n", "node"), "documents")
+    profiles = staged(texts.select("doc", "key", "n", "c1", "c2").join(nodes.drop("bins"), ["n", "c1", "c2"], "left").select("doc", "key", "n", "node"), "documents")
 
     # copies of a text collapse before the shuffle, so a hot text is a row a task
     own = prefixes(docs, rare_first(rows), k, similarity).groupBy("key", "n").agg(F.first("grams").alias("grams"))
@@ -188,20 +188,37 @@ def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_
     return profiles, staged(first.unionByName(verified(rest, docs, nodes, k, similarity)), "all_links")
 
 
-def near_duplicates(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+def _placed(docs: DataFrame, k: int, similarity) -> DataFrame:
+    """(doc, key, n, component) of each row; component is a node, null without words."""
     profiles, links = jaccard_links(docs, k, similarity, every_link=False)
     placed = profiles.join(staged(components(links), "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = staged(placed.select("doc", "n", "component"), "placed")
+    return staged(placed.select("doc", "key", "n", "component"), "placed")
+
+
+def near_duplicates(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
+    placed = _placed(docs, k, similarity)
     names = staged(placed.where("component is not null").groupBy("component").agg(F.min("doc").alias("name")), "names")
     return placed.join(names, "component", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY) -> DataFrame:
-    """docs with one document of each group (the smallest doc_id), all columns kept; rows without
-    doc_id stay."""
-    gone = near_duplicates(docs, k, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs with one row of each group (the smallest doc_id, null ones last, then the least hash of
+    the text), all columns kept. Rows are told apart by doc_id and text; of rows that repeat both,
+    one stays. Rows without words are in no group and stay."""
+    placed = _placed(docs, k, similarity).where("component is not null")
+    order = F.struct(F.col("doc").isNull().alias("last"), "doc", "key")
+    groups = staged(placed.groupBy("component").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("rows")), "names").where("rows > 1")
+    judged = placed.join(groups, "component").withColumn("stays", order == F.col("one"))
+    marks = staged(judged.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.max("stays").alias("__stays"), F.count(F.lit(1)).alias("__n")).where("not __stays or __n > 1").drop("__n"), "marks")
+    again = staged(marks.where("__stays"), "repeated")  # mostly empty: then nothing shuffles for it
+
+    cols = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))
+    clear = whole.join(marks, same, "left_anti")
+    repeated = whole.join(again, same, "left_semi").groupBy("doc", "key").agg(F.min_by("r", F.xxhash64("r")).alias("r"))
+    return clear.select("r.*").unionByName(repeated.select("r.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

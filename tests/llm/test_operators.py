@@ -244,6 +244,16 @@ def test_near_duplicates_odd(odd, empty):
     assert ngram_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    base, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    near = base.replace("a59", "x")
+    rows = [(3, base, 1), (5, near, 2), (5, other, 3), (None, base.replace("a0 ", "y "), 4), (None, third, 5), (None, third + " z", 6), (7, "", 7), (9, third.replace("c0 ", "y "), 8), (3, near, 9), (8, "same words here", 10), (8, "same words here", 11)]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string, n long"), "keep")
+    got = {r.n for r in ngram_join.keep_one(docs).collect()}
+    assert len(got & {1, 9}) == 1 and len(got & {10, 11}) == 1
+    assert got - {1, 9, 10, 11} == {3, 7, 8}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -314,3 +324,14 @@ def test_mixing(docs, odd, empty):
     assert out.columns == docs.columns and out.count() == len(rows)
     assert mixing.mix_documents(empty).count() == 0 and mixing.fair_mix(empty)[1].count() == 0
     assert mixing.fair_mix(odd)[0].count() == 6 and mixing.mix_documents(odd).count() > 0
+
+
+def test_mixing_serves_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    rows = [(None if i % 3 else i % 6, " ".join(f"w{i}" for _ in range(r.randint(3, 40))), f"s{i % 2}", i) for i in range(60)]
+    rows += [(70, "one two three four five", "s0", 100 + i) for i in range(9)]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(2), "shared_ids")
+    queue, served = mixing.fair_mix(docs.withColumn("n", F.least("n", F.lit(100))), also=("n",))
+    want = {x.n: x.c for x in served.join(queue, "row").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    got = {x.n: x.c for x in mixing.mix_documents(docs).groupBy(F.least("n", F.lit(100)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    assert got == want
