@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-The filter is a bit-sliced Bloom filter: each slot of a table holds a word with a bit for every
-language, an n-gram has HASHES slots, and the bits common to them are all the languages that
+The filter is a bit-sliced Bloom filter: each slot of a table holds a bit for every language, in
+tables of one 64-bit word a slot, as many as 64 languages each need; an n-gram has HASHES slots, and the bits common to them are all the languages that
 contain it, found in one look. A language contains a byte n-gram (a word's letters and digits
 with a mark on either side, 1 to 4 bytes) if its rate there is at least RATIO of its highest rate
 in any language and it was seen LEAST times. A text's n-grams give each language a count; the
@@ -10,10 +10,10 @@ corrected share wins, ties going to the language first in code-point order.
 
 Training reads text and lang of about SAMPLE rows at most, those with a small hash of doc_id; their
 whole texts are counted by Spark, and at most MOST n-grams a language enter, the most frequent first, so the
-filter's size is fixed. Predictions read the text alone, whole. A null text or one without a
+filter's size is fixed: 4 MB for each 64 languages of the sample. Predictions read the text alone, whole. A null text or one without a
 letter is `und` with score 0; a text with letters none of whose n-grams is known gets the first
 language, score 0. Without any training row everything is `und`. Repeated rows are judged
-each on its own; extra columns are ignored. At most 64 languages are learned, the most frequent.
+each on its own; extra columns are ignored. Every language of the sample is learned.
 """
 
 import re
@@ -30,6 +30,7 @@ from .shared import prepared, staged, table
 
 SAMPLE = 20_000
 MOST, LEAST, RATIO = 20_000, 5, 0.5
+WORD_BITS = 64
 SLOT_BITS, HASHES = 19, 2
 SIZES = (1, 2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
@@ -80,17 +81,29 @@ class LanguageFilter:
             out = self.slots[p] if out is None else out & self.slots[p]
         return out
 
+
+class LanguageModel:
+    """Filters of WORD_BITS languages each, in order of the languages."""
+
+    def __init__(self, languages: list):
+        self.languages = languages
+        self.filters = [LanguageFilter(languages[i : i + WORD_BITS], np.zeros(1 << SLOT_BITS, ts.U)) for i in range(0, len(languages), WORD_BITS)]
+
+    def add(self, h: np.ndarray, language: int) -> None:
+        self.filters[language // WORD_BITS].add(h, language % WORD_BITS)
+
     def shares(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """A row per text: each language's share of its n-grams, less what chance gives."""
         rows, k = len(offs) - 1, len(self.languages)
         hits, seen = np.zeros((rows, k)), np.zeros(rows)
         for size in SIZES:
             h, row = gram_hashes(data, offs, size)
-            mask = self.masks(h)
             seen += np.bincount(row, minlength=rows)
-            for i in range(k):
-                hits[:, i] += np.bincount(row, weights=((mask >> ts.U(i)) & ts.U(1)).astype(float), minlength=rows)
-        chance = self.fill()
+            for w, part in enumerate(self.filters):
+                mask = part.masks(h)
+                for i in range(len(part.languages)):
+                    hits[:, w * WORD_BITS + i] += np.bincount(row, weights=((mask >> ts.U(i)) & ts.U(1)).astype(float), minlength=rows)
+        chance = np.concatenate([part.fill() for part in self.filters])
         return np.clip((hits / np.maximum(seen, 1)[:, None] - chance) / np.maximum(1 - chance, 1e-9), 0, 1) * (seen > 0)[:, None]
 
 
@@ -107,22 +120,21 @@ def _count(batches):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array([size] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(count)], ["lang", "size", "gram", "n"])
 
 
-def trained(labeled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
-    """A filter from about `sample` rows at most of labeled(doc_id, text, lang). What reaches the driver
-    is at most MOST n-grams of each of at most 64 languages."""
+def trained(labeled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """A model from about `sample` rows at most of labeled(doc_id, text, lang). What reaches the driver
+    is at most MOST n-grams of each language of the sample."""
     prepared(labeled.sparkSession)
     rows = labeled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     parts = max(1, -(-rows.count() // sample))
     rows = staged(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0), "sample")
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     counts = staged(counts, "counts")
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     total = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(total), ["lang", "size"]).withColumn("rate", F.col("n") / F.col("total"))
     best = rate.withColumn("top", F.max("rate").over(W.partitionBy("size", "gram"))).where((F.col("rate") >= RATIO * F.col("top")) & (F.col("n") >= LEAST))
     model = best.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "size", "gram"))).where(F.col("place") <= MOST).select("lang", "gram").toArrow()
-    languages = sorted(set(top))
-    out = LanguageFilter(languages, np.zeros(1 << SLOT_BITS, ts.U))
+    out = LanguageModel(languages)
     lang = np.array(model["lang"].to_pylist(), object)
     gram = model["gram"].to_numpy().view(ts.U)
     for i, name in enumerate(languages):
@@ -130,10 +142,10 @@ def trained(labeled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     return out
 
 
-def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) of each row of docs(doc_id, text)."""
     spark = prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # 2**SLOT_BITS words: 4 MB
+    shared = spark.sparkContext.broadcast(model)  # 2**SLOT_BITS words for each 64 languages: 4 MB
 
     def run(batches):
         m = shared.value

@@ -277,6 +277,17 @@ def test_language(spark, empty):
     assert language.identified(empty, model).count() == 0
 
 
+def test_more_than_64_languages(spark):
+    r = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    pools = {f"l{i:02d}": ["".join(r.choice(alphabet) for _ in range(7)) for _ in range(4)] for i in range(70)}
+    rows = [(i, " ".join(r.choice(pools[l]) for _ in range(20)), l) for i, l in enumerate(list(pools) * 6)]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "many_langs")
+    model = language.trained(docs)
+    assert model.languages == sorted(pools) and len(model.filters) == 2
+    assert {(x.doc_id, x.lang_pred) for x in language.identified(docs, model).collect()} == {(i, l) for i, _, l in rows}
+
+
 def test_language_filter_has_no_false_negatives():
     m = language.LanguageFilter(["x", "y"], np.zeros(1 << language.SLOT_BITS, np.uint64))
     h = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
