@@ -6,7 +6,14 @@ the longest token that starts at every byte. The encoder takes the longest, and
 next shorter prefix token when the pair with the token before it is one that merging would not
 have left side by side, or when the byte behind it is known to lead nowhere; without a prefix left
 it gives up the token before. Each byte is given up at most once, so time is linear. All distinct
-pretokens go through this in step, as numpy vectors.
+pretokens go through this in step, as numpy vectors; equal pretokens are found by hash and compared
+byte by byte.
+
+A long pretoken is cut into pieces that are encoded side by side. Tokens whose neighbours are all
+compatible are the only encoding of their text, so two pieces whose border tokens are compatible
+need nothing more; at other borders some tokens on either side are encoded anew, and only if that
+leaves an incompatible pair too, the whole pretoken is encoded from its start. A word of many
+megabytes so takes time in proportion to its length.
 
 A null text is an empty one and has no tokens. Repeated rows are encoded each on its own, extra
 columns are ignored, an empty table gives an empty result. Memory follows the longest text. The
@@ -18,6 +25,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +41,13 @@ SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
-#: Longer runs than elsewhere: a distinct pretoken is encoded once a run.
-RUN_BYTES = 4 << 20
+RUN_BYTES = ts.RUN_BYTES
+#: Bytes of a long pretoken that are encoded at once, and how many pretokens go on in step.
+PIECE, FEW = 256, 32
+#: Tokens on either side of a border that are tried anew.
+BORDER = (2, 8)
+#: Pairs of tokens that a worker remembers as a dictionary.
+KNOWN_PAIRS = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -140,6 +153,7 @@ class Vocabulary:
         self.size, self.special = size, {t.encode(): i for t, i in special.items()}
         self.special_pattern = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if special else None
         self.length = np.array([len(t) for t in text], np.int64)
+        self.most = max(len(text[i]) for i in vocab.values())
         # decoding: all tokens' bytes in a row, and where each begins
         self.flat = np.frombuffer(b"".join(text), np.uint8)
         self.offset = np.cumsum(self.length) - self.length
@@ -160,6 +174,10 @@ class Vocabulary:
         for t, i in ids.items():
             self.shorter[i] = next((ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ids), -1)
         self._automaton(ids)
+        self.rank_list, self.left_list, self.right_list = self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        self.merge_of = {p: rank for rank, p in enumerate(pairs)}
+        self.length_list, self.shorter_list = self.length.tolist(), self.shorter.tolist()
+        self.known: dict[tuple[int, int], bool] = {}
         self.pair_key, self.pair_ok = np.full(1 << self.PAIR_BITS, -1, np.int64), np.zeros(1 << self.PAIR_BITS, bool)
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
@@ -192,10 +210,10 @@ class Vocabulary:
 
     def longest(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The longest token from each byte on, within each pretoken; longest pretokens first."""
-        out = np.empty(len(data), np.int64)
-        node, n = np.zeros(len(start), np.int64), end - start
-        for back in range(1, int(n[0]) + 1 if len(n) else 0):
-            live = int(np.searchsorted(-n, -back, "right"))
+        out = np.empty(len(data), np.int32)
+        node, n = np.zeros(len(start), np.int64), start - end
+        for back in range(1, 1 - int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(n, -back, "right"))
             at = end[:live] - back
             byte, now = data[at].astype(np.int64), node[:live]
             to = self.goto.get(now * 256 + byte).astype(np.int64)
@@ -249,25 +267,138 @@ class Vocabulary:
             gone_b[r], b[r] = self.rank[b[r]], self.left[b[r]]
         return ok
 
+    def _apart(self, a: int, b: int) -> bool:
+        """_left_apart for one pair."""
+        rank, left, right, merges, size = self.rank_list, self.left_list, self.right_list, self.merge_of, self.size
+        x, y, never = a, b, len(rank) + 1
+        gone_x = gone_y = never
+        ok = True
+        while True:
+            across = merges.get(x * size + y, never)
+            if across < gone_x and across <= gone_y and across < never:
+                ok = False
+                break
+            rx, ry = rank[x], rank[y]
+            if rx < 0 and ry < 0:
+                break
+            if rx > ry:
+                gone_x, x = rx, right[x]
+            else:
+                gone_y, y = ry, left[y]
+        if len(self.known) > KNOWN_PAIRS:
+            self.known.clear()
+        self.known[a, b] = ok
+        return ok
+
+    def _finished(self, longest: memoryview, usable: bytearray, stack: array, token: int, at: int, size: int) -> array:
+        """The encoder's steps from byte `at` of one pretoken of `size` bytes to its end."""
+        length, shorter, known, apart = self.length_list, self.shorter_list, self.known, self._apart
+        while at < size:
+            behind = at + length[token]
+            if usable[behind] and (not stack or (known.get((stack[-1], token)) if (stack[-1], token) in known else apart(stack[-1], token))):
+                stack.append(token)
+                at = behind
+                if at < size:
+                    token = longest[at]
+                continue
+            token = shorter[token]
+            if token < 0:
+                usable[at] = 0
+                token = stack.pop()
+                at -= length[token]
+        return stack
+
+    def _whole(self, data: np.ndarray) -> np.ndarray:
+        """One pretoken, encoded from its start."""
+        n, step = len(data), 1 << 16
+        # pieces overlap by the longest token's bytes, after which the automaton is where it would be
+        cut = np.arange(0, n, step)
+        size = np.minimum(cut + step + self.most, n) - cut
+        order = np.argsort(-size, kind="stable")
+        at = np.cumsum(size[order]) - size[order]
+        flat = data[np.repeat(cut[order] - at, size[order]) + np.arange(int(size.sum()))]
+        got = self.longest(flat, at, at + size[order])
+        longest = np.empty(n, np.int32)
+        for i, j in enumerate(order):
+            own = min(step, n - cut[j])
+            longest[cut[j] : cut[j] + own] = got[at[i] : at[i] + own]
+        ids = self._finished(memoryview(longest), bytearray(b"\x01") * (n + 1), array("i"), int(longest[0]), 0, n)
+        return np.frombuffer(ids, np.int32)
+
     def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """(ids, first id of each pretoken and of the end), longest pretokens first."""
+        """(ids, first id of each pretoken and of the end)."""
+        count = -(-(end - start) // PIECE)
+        if count.max() == 1:
+            return self._in_order(data, start, end)
+        first = np.repeat(start, count) + PIECE * ts.counted(count)
+        ids, at = self._in_order(data, first, np.minimum(first + PIECE, np.repeat(end, count)))
+        word_at = np.append(at[np.cumsum(count) - count], at[-1])  # first token of each pretoken
+        begin = np.repeat(start, np.diff(word_at)) - np.repeat((np.cumsum(self.length[ids]) - self.length[ids])[word_at[:-1]], np.diff(word_at)) + np.cumsum(self.length[ids]) - self.length[ids]
+        border = at[:-1][first > np.repeat(start, count)]  # first tokens of pieces that aren't a pretoken's first
+        border = border[~self._compatible_at(ids[border - 1], ids[border])]
+        new: dict[int, tuple] = {}  # first token: token behind the last, ids in their place
+        for k in BORDER:
+            if not len(border):
+                break
+            # half a piece at most, so that borders don't meet, and a token beside
+            piece = np.searchsorted(at, border)
+            lo, hi = border - np.minimum(k, (border - at[piece - 1]) // 2), border + np.minimum(k, (at[piece + 1] - border) // 2)
+            some = np.flatnonzero((lo > at[piece - 1]) & (hi < at[piece + 1]) & (lo < border) & (border < hi))
+            if not len(some):
+                continue
+            a, b = lo[some], hi[some]
+            got, got_at = self._in_order(data, begin[a], begin[b - 1] + self.length[ids[b - 1]])
+            good = self._compatible_at(ids[a - 1], got[got_at[:-1]]) & self._compatible_at(got[got_at[1:] - 1], ids[b])
+            for i in np.flatnonzero(good):
+                new[int(a[i])] = int(b[i]), got[got_at[i] : got_at[i + 1]]
+            border = np.delete(border, some[good])
+        for w in np.unique(np.searchsorted(word_at, border, "right") - 1):
+            for x in [x for x in new if word_at[w] <= x < word_at[w + 1]]:
+                del new[x]
+            new[int(word_at[w])] = int(word_at[w + 1]), self._whole(data[start[w] : end[w]])
+        parts, n, done = [], np.diff(word_at), 0
+        for lo in sorted(new):
+            hi, own = new[lo]
+            parts += [ids[done:lo], own]
+            done = hi
+            n[np.searchsorted(word_at, lo, "right") - 1] += len(own) - (hi - lo)
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(n)])
+
+    def _compatible_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.compatible(a.astype(np.int64), b.astype(np.int64))
+
+    def _in_order(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """_in_step for pretokens in any order and place."""
+        rank = np.argsort(start - end, kind="stable")
+        s, n = start[rank], (end - start)[rank]
+        at = np.cumsum(n) - n
+        ids, where = self._in_step(data[np.repeat(s - at, n) + np.arange(int(n.sum()))], at, at + n)
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
+        count = np.diff(where)[back]
+        out_at = np.zeros(len(back) + 1, np.int64)
+        np.cumsum(count, out=out_at[1:])
+        return ids[np.repeat(where[back] - out_at[:-1], count) + np.arange(out_at[-1])], out_at
+
+    def _in_step(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(ids, first id of each pretoken and of the end); longest pretokens first, one behind another."""
         longest = self.longest(data, start, end)
         words = len(start)
         base = start + np.arange(words)  # a place for each byte and one behind each pretoken
         shift = np.arange(words)
         usable = np.ones(len(data) + words, bool)
-        stack = np.zeros(len(data) + words, np.int64)
+        stack = np.zeros(len(data) + words, np.int32)
         depth, pos = np.zeros(words, np.int64), start.copy()
-        token = longest[start]
+        token = longest[start].astype(np.int64)
         live = np.arange(words)
-        while len(live):
+        while len(live) > FEW:
             t, p, d = token[live], pos[live], depth[live]
             behind = p + self.length[t]
             take = usable[behind + shift[live]]
             ask = np.flatnonzero(take & (d > 0))
             if len(ask):
                 w = live[ask]
-                take[ask] = self.compatible(stack[base[w] + depth[w] - 1], t[ask])
+                take[ask] = self.compatible(stack[base[w] + depth[w] - 1].astype(np.int64), t[ask])
             w = live[take]
             stack[base[w] + depth[w]] = t[take]
             depth[w] += 1
@@ -287,6 +418,11 @@ class Vocabulary:
             ended = np.zeros(words, bool)
             ended[live[take][done]] = True
             live = live[~ended[live]]
+        for w in live:
+            b, n = int(base[w]), int(end[w] - start[w])
+            ids = self._finished(memoryview(longest[start[w] : end[w]]), bytearray(usable[b : b + n + 1]), array("i", stack[b : b + depth[w]].tobytes()), int(token[w]), int(pos[w] - start[w]), n)
+            stack[b : b + len(ids)] = ids
+            depth[w] = len(ids)
         at = np.zeros(words + 1, np.int64)
         np.cumsum(depth, out=at[1:])
         return stack[np.repeat(base - at[:-1], depth) + np.arange(at[-1])], at
@@ -306,22 +442,11 @@ class Vocabulary:
             i = np.searchsorted(k, start, "right") - 1
             start = start[(i < 0) | (start == k[i]) | (start >= e[i])]
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         end = np.append(start[1:], len(data))
-        h = ts.span_hashes(data, start, end)
-        order = np.argsort(h)
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        first = order[new]
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(new) - 1
-        rank = np.argsort(start[first] - end[first], kind="stable")  # longest first
-        s, n = start[first[rank]], (end - start)[first[rank]]
-        at = np.cumsum(n) - n
-        flat = data[np.repeat(s - at, n) + np.arange(int(n.sum()))]
-        ids, where = self.encode_words(flat, at, at + n)
-        back = np.empty(len(rank), np.int64)
-        back[rank] = np.arange(len(rank))
-        word = back[group]
+        first, group = ts.distinct_spans(data, start, end)
+        ids, where = self.encode_words(data, start[first], end[first])
+        word = group
         count = np.diff(where)[word]
         out_at = np.zeros(len(word) + 1, np.int64)
         np.cumsum(count, out=out_at[1:])

@@ -15,12 +15,12 @@ def _toward_least(edges: DataFrame, larger: bool) -> DataFrame:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return staged(out.where("u != v").distinct(), "stars")
+    return staged(out.where("u != v").distinct(), "stars", spent=(least, edges))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (u, v): the component's least node. A star with
-    a third of all edges is one min per task and a join that can be split. The number of steps
+    """(node, component) for every node of edges (u, v): the component's least node, staged. A star
+    with a third of all edges is one min per task and a join that can be split. The number of steps
     grows with the logarithm of the longest chain."""
     now = staged(edges.select("u", "v").where("u != v").distinct(), "edges")
     mark = None
@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == mark:
             break
         mark = tuple(state)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return staged(out, "components", spent=(now,))

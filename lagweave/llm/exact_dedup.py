@@ -1,10 +1,10 @@
 """Exact copies by two passes over a Bloom filter.
 
-Pass one sets a bit for each text's hash and keeps only the bits that were hit at least twice.
-Pass two tests every row against those bits: a row whose bit was hit once has no copy anywhere
-and passes straight through; only the others shuffle, by their full digest, for exact groups.
-The filter has BITS bits whatever the input, at most BITS / 64 words of 16 bytes when it is
-broadcast; more rows raise the share that shuffles and never change a result.
+Pass one reads every text's digest and makes a filter of the bits that were hit at least twice
+(bloom.py: only bitmaps move, no record of a text does). Pass two tests every row: one that fails
+has no copy anywhere and passes straight through; only the others shuffle, by their full digest,
+for exact groups. The filter's size follows the number of rows up to a bound; beyond it more single
+rows shuffle and no result changes.
 
 Texts are equal when they are after each run of [\\x20\\x09-\\x0D] became one space. A null text
 is an empty one. Of equal texts the row with the smallest doc_id stays; null doc_ids come last;
@@ -15,9 +15,8 @@ Other columns are carried along and never looked at.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, staged, table
-
-BITS = 1 << 26
+from . import bloom
+from .shared import SPACE_CLASS, dropped, staged, table
 
 
 def text_digest(text: str = "text") -> Column:
@@ -25,29 +24,13 @@ def text_digest(text: str = "text") -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE_CLASS}]+", " "), 256)
 
 
-def _position(digest: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-
-def repeated_bits(digests: DataFrame, digest: str = "text_sha256", bits: int = BITS, least: int = 2) -> DataFrame:
-    """Pass one: (word, bits) of the filter's 64-bit words with a bit hit at least `least` times."""
-    hit = digests.groupBy(_position(digest, bits).alias("p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return hit.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-
-
-def maybe_repeated(rows: DataFrame, words: DataFrame, digest: str = "text_sha256", bits: int = BITS) -> DataFrame:
-    """Pass two: rows with a boolean column maybe. words is bounded by bits / 64 rows."""
-    p = _position(digest, bits)
-    key, mask = "__word", "__bits"
-    tested = rows.withColumn(key, F.shiftright(p, 6)).join(F.broadcast(words.select(F.col("word").alias(key), F.col("bits").alias(mask))), key, "left")
-    bit = F.coalesce(F.getbit(F.col(mask), F.expr(f"cast(pmod(xxhash64({digest}), {bits}L) & 63 as int)")), F.lit(0).cast("tinyint"))
-    return tested.withColumn("maybe", bit == 1).drop(key, mask)
-
-
-def exact_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs(doc_id, text)."""
-    digests = staged(docs.select("doc_id", text_digest().alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
-    tested = maybe_repeated(digests, repeated_bits(digests, bits=bits), bits=bits)
+    spark = docs.sparkSession
+    digests = docs.select("doc_id", text_digest().alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    digests = staged(digests.withColumn("key", F.xxhash64("text_sha256")), "digests")
+    maybe = bloom.passes(spark, bloom.repeated(digests, "key", most=most_bits), F.col("key"))
+    tested = staged(digests.withColumn("maybe", maybe).drop("key"), "tested", spent=(digests,))
     single = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     left = tested.where("maybe").select("doc_id", "row", "text_sha256")
     groups = left.groupBy("text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
@@ -56,13 +39,15 @@ def exact_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return single.unionByName(many)
 
 
-def drop_copies(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def drop_copies(docs: DataFrame, most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """docs without copies, all columns kept. Rows with no copy don't shuffle; of the others one
     row of each group leaves the map side, whatever the group's size."""
-    cols = docs.columns
+    spark, cols = docs.sparkSession, docs.columns
+    keys = staged(docs.select(F.xxhash64(text_digest()).alias("key")), "digests")
+    bits = bloom.repeated(keys, "key", most=most_bits)
+    dropped(keys)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), text_digest().alias("text_sha256"))
-    words = staged(repeated_bits(staged(docs.select(text_digest().alias("text_sha256")), "digests"), bits=bits), "bits")
-    tested = maybe_repeated(whole, words, bits=bits)
+    tested = whole.withColumn("maybe", bloom.passes(spark, bits, F.xxhash64("text_sha256")))
     order = F.struct(F.col("r.doc_id").isNull(), F.col("r.doc_id"), F.xxhash64("r"))
     many = tested.where("maybe").groupBy("text_sha256").agg(F.min_by("r", order).alias("r"))
     return tested.where("not maybe").select("r.*").unionByName(many.select("r.*"))

@@ -1,17 +1,20 @@
 """Similarity join on word n-gram sets by rare-first prefix filtering.
 
-Texts with equal sets are one node, named by the least 64-bit hash of their texts. N-grams are ordered rare
-first: by the count of their bucket in a table of 2**SKETCH_BITS counts over all documents (a few
-hundred KB at any input size), then by hash. Any such order gives the same links; a good one
-makes prefixes selective. Two sets that are similar enough share an n-gram in their prefixes,
-and the first they share leaves room for the overlap they need (positional filter); their sizes
-must be near (length filter), and so must their counts in BINS hash ranges (suffix filter).
+Texts with equal sets are one node; nodes are numbered, sets are told apart by their size and two
+64-bit sums, texts by two 64-bit hashes. N-grams are ordered rare first: by the count of their
+bucket in a table of counts over all documents (as many buckets as the input asks for, up to
+2**MOST_SKETCH_BITS; a byte a bucket, the count's logarithm, reaches the driver and the tasks),
+then by hash. Any such order gives the same links; a good one makes prefixes selective. Two sets
+that are similar enough share an n-gram in their prefixes, and the first they share leaves room for
+the overlap they need (positional filter); their sizes must be near (length filter), and so must
+their counts in BINS hash ranges (suffix filter).
 
 Candidates come from joins on prefix n-grams, in two rounds, so that a large group of near copies
 isn't compared pair by pair: first every member of an n-gram's group with one hub, the member that
 has the n-gram earliest; then, after components of the links found, only pairs in different
-components, or all other pairs if every link is asked for. Each pair is verified once, on the
-n-gram sets of whole texts; no candidate is dropped.
+components, or all other pairs if every link is asked for. These join on the n-gram and a band of
+set sizes, so an n-gram that many sets have in their prefixes is dealt out by band. Each pair is
+verified once, on the n-gram sets of whole texts; no candidate is dropped.
 
 Words are lower-cased (A-Z) runs of other characters than [\\x20\\x09-\\x0D]. With fewer than k
 words the whole sequence is the one member of the set. A null or wordless text has an empty set
@@ -25,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textscan as ts
 from .components import components
-from .exact_dedup import maybe_repeated, repeated_bits
 from .shared import prepared, staged, table
 
 NGRAM = 5
 SIMILARITY = (80, 100)
-SKETCH_BITS = 16
+#: Buckets of n-gram counts: the text's bytes over this, between these powers of two.
+SKETCH_BYTES, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 128, 16, 24
+SKETCH_CHUNK = 1 << 12
 BINS = 64
-BITS = 1 << 26
 
 
 def ngram_sets(data: np.ndarray, offs: np.ndarray, k: int):
@@ -59,7 +63,8 @@ def ngram_sets(data: np.ndarray, offs: np.ndarray, k: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    """(doc, text, k1, k2): two independent hashes name a text."""
+    return docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("2"), "text"))
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -67,56 +72,76 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (c[at[1:]] - c[at[:-1]]).view(np.int64)
 
 
-def set_profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: of a text (doc, key, n, two hashes of its set, counts by hash range), and
-    of a bucket of n-grams (key is the bucket, n its count in one task, the rest null)."""
+def sketch_bits(docs: DataFrame) -> int:
+    """As many buckets, as a power of two, as the texts' bytes ask for."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_SKETCH_BITS, max(LEAST_SKETCH_BITS, (size // SKETCH_BYTES).bit_length()))
+
+
+def set_profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """Rows of two kinds: of a text (doc, k1, k2, n, two sums over its set, counts by hash range), and
+    of a run of buckets (k1 is its number, counts the packed counts in one task, the rest null)."""
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["bucket", "doc", "key", "n", "c1", "c2", "bins"]
+        total = np.zeros(1 << bits, np.int32)
+        names = ["doc", "k1", "k2", "n", "c1", "c2", "bins", "counts"]
         for batch in batches:
             for first, rows, data, offs in ts.runs(batch):
                 grams, at = ngram_sets(data, offs, k)
-                total += np.bincount((grams >> ts.U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-                of = ts.rows_of(at)
-                bins = np.bincount(of * BINS + (grams & ts.U(BINS - 1)).astype(np.int64), minlength=rows * BINS).astype(np.int32)
+                place, count = np.unique((grams >> ts.U(64 - bits)).astype(np.int64), return_counts=True)
+                total[place] += count.astype(np.int32)
+                bins = np.bincount(ts.rows_of(at) * BINS + (grams & ts.U(BINS - 1)).astype(np.int64), minlength=rows * BINS).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BINS + 1, BINS, dtype=np.int32)), pa.array(bins))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, bool)), *(batch.column(c).slice(first, rows) for c in ("doc", "key")), pa.array(np.diff(at)), pa.array(_sums(ts.mix(grams), at)), pa.array(_sums(ts.mix(grams ^ ts.U(0x5851F42D4C957F2D)), at)), lists], names)
-        some = np.flatnonzero(total)
-        null = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), bool)), null, pa.array(some), pa.array(total[some]), null, null, pa.nulls(len(some), pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, rows) for c in ("doc", "k1", "k2")), pa.array(np.diff(at)), pa.array(_sums(ts.mix(grams), at)), pa.array(_sums(ts.mix(grams ^ ts.U(0x5851F42D4C957F2D)), at)), lists, pa.nulls(rows, pa.binary())], names)
+        for i in range(len(total) // SKETCH_CHUNK):
+            part = total[i * SKETCH_CHUNK : (i + 1) * SKETCH_CHUNK]
+            if part.any():
+                null = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([null, pa.array([i]), null, null, null, null, pa.nulls(1, pa.list_(pa.int32())), pa.array([pa.compress(part.tobytes(), "lz4", asbytes=True)])], names)
+
+    return _keyed(docs).mapInArrow(run, "doc long, k1 long, k2 long, n long, c1 long, c2 long, bins array<int>, counts binary")
 
-    return _keyed(docs).mapInArrow(run, "bucket boolean, doc long, key long, n long, c1 long, c2 long, bins array<int>")
 
+def rarity(profiles: DataFrame, bits: int) -> np.ndarray:
+    """A byte for each bucket: eight times the logarithm of its count. Counts are added up where
+    chunks of buckets meet; the driver gets 2**bits bytes."""
 
-def rare_first(profiles: DataFrame) -> np.ndarray:
-    """The place of each bucket when sorted by count; as many as there are buckets."""
-    counts = profiles.where("bucket").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    total[counts["key"].to_numpy()] = counts["n"].to_numpy()
-    place = np.empty(len(total), np.uint32)
-    place[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint32)
-    return place
+    def added(batches):
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(batch.column("k1").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(pa.decompress(packed, 4 * SKETCH_CHUNK, "lz4"), np.int32)
+                have[i] = have[i] + part if i in have else part.astype(np.int64)
+        for i, n in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.minimum(8 * np.log2(n + 1), 255).astype(np.uint8).tobytes()])], ["chunk", "place"])
+
+    got = profiles.where("counts is not null").select("k1", "counts").repartition("k1").mapInArrow(added, "chunk long, place binary").toArrow()
+    out = np.zeros(1 << bits, np.uint8)
+    for i, part in zip(got["chunk"].to_pylist(), got["place"].to_pylist()):
+        out[i * SKETCH_CHUNK : (i + 1) * SKETCH_CHUNK] = np.frombuffer(part, np.uint8)
+    return out
 
 
 def prefixes(docs: DataFrame, place: np.ndarray, k: int, similarity) -> DataFrame:
-    """(key, n, grams): each text's first n-grams in rare-first order, as many as a partner of the
+    """(k1, k2, n, grams): each text's first n-grams in rare-first order, as many as a partner of the
     smallest size that is near enough could miss, and one."""
     num, den = similarity
-    low = ts.U((1 << (64 - SKETCH_BITS)) - 1)
+    bits = len(place).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(place)  # 2**MOST_SKETCH_BITS bytes at most
 
     def run(batches):
+        rare = shared.value
         for batch in batches:
             for first, rows, data, offs in ts.runs(batch):
                 grams, at = ngram_sets(data, offs, k)
-                key = (place[(grams >> ts.U(64 - SKETCH_BITS)).astype(np.int64)].astype(ts.U) << ts.U(64 - SKETCH_BITS)) | (grams & low)
+                key = (rare[(grams >> ts.U(64 - bits)).astype(np.int64)].astype(ts.U) << ts.U(56)) | (grams >> ts.U(8))
                 n = np.diff(at)
                 size = np.where(n > 0, n + (-num * n) // den + 1, 0)  # n - ceil(num * n / den) + 1
                 heads = [np.sort(key[a:b])[:m] for a, b, m in zip(at[:-1], at[1:], size)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate([*heads, np.zeros(0, ts.U)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, rows), pa.array(n), lists], ["key", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, rows) for c in ("k1", "k2")), pa.array(n), lists], ["k1", "k2", "n", "grams"])
 
-    return _keyed(docs).mapInArrow(run, "key long, n long, grams array<long>")
+    return _keyed(docs).select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, n long, grams array<long>")
 
 
 def _fits(a: str, b: str, similarity):
@@ -129,16 +154,16 @@ def _fits(a: str, b: str, similarity):
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity) -> DataFrame:
     """The pairs (u, v) of nodes that link. After the suffix filter, both texts come by joins on
-    their hash; only texts that may be in a pair shuffle."""
+    their hashes; only texts that may be in a pair shuffle."""
     num, den = similarity
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"b{x}")) for x in "uv")
     shared = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     left = staged(pairs.join(a, "u").join(b, "v").where(shared.cast("long") * (num + den) >= num * (F.col("nu") + F.col("nv"))).select("u", "v"), "pairs")
-    ends = staged(left.select(F.col("u").alias("key")).unionByName(left.select(F.col("v").alias("key"))).distinct(), "ends")
-    bits = staged(repeated_bits(ends, "key", BITS, 1), "bits")
-    some = maybe_repeated(_keyed(docs).select("key", "text"), bits, "key", BITS).where("maybe").join(ends, "key", "left_semi")
-    texts = staged(some.groupBy("key").agg(F.max("text").alias("text")), "texts")
-    both = left.join(texts.select(F.col("key").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("tv")), "v")
+    ends = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
+    ends = staged(ends.join(nodes.select("node", "k1", "k2"), "node"), "ends")
+    some = _keyed(docs).where(bloom.passes(docs.sparkSession, bloom.members(ends, "k1"), F.col("k1")))
+    texts = staged(some.join(ends, ["k1", "k2"]).groupBy("node").agg(F.max("text").alias("text")), "texts", spent=(ends,))
+    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def run(batches):
         for batch in batches:
@@ -150,49 +175,58 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simila
                     ok.append(common > 0 and den * common >= num * (len(x) + len(y) - common))
                 yield part.select(["u", "v"]).filter(pa.array(ok))
 
-    return staged(both.mapInArrow(run, "u long, v long"), "links")
+    return staged(both.mapInArrow(run, "u long, v long"), "links", spent=(left, texts))
 
 
 def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_link: bool = True):
-    """(profiles, links): profiles has doc, key, n and node of every row; links are pairs (u, v) of
+    """(profiles, links): profiles has doc, k1, k2, n and node of every row; links are pairs (u, v) of
     nodes u < v, all of them with every_link, else enough of them for the components."""
-    prepared(docs.sparkSession)
-    rows = staged(set_profiles(docs, k), "profiles")
-    texts = rows.where("not bucket")
-    nodes = staged(texts.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("key").alias("node"), F.first("bins").alias("bins")), "nodes")
-    profiles = staged(texts.select("doc", "key", "n", "c1", "c2").join(nodes.drop("bins"), ["n", "c1", "c2"], "left").select("doc", "key", "n", "node"), "documents")
+    spark = prepared(docs.sparkSession)
+    bits = sketch_bits(docs)
+    rows = staged(set_profiles(docs, k, bits), "profiles")
+    texts = rows.where("counts is null")
+    sets = texts.where("n > 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("k1", "k2")).alias("t"), F.first("bins").alias("bins"))
+    nodes = staged(sets.select(F.monotonically_increasing_id().alias("node"), "n", "c1", "c2", "t.k1", "t.k2", "bins"), "nodes")
+    profiles = staged(texts.select("doc", "k1", "k2", "n", "c1", "c2").join(nodes.select("node", "n", "c1", "c2"), ["n", "c1", "c2"], "left").select("doc", "k1", "k2", "n", "node"), "documents")
 
     # copies of a text collapse before the shuffle, so a hot text is a row a task
-    own = prefixes(docs, rare_first(rows), k, similarity).groupBy("key", "n").agg(F.first("grams").alias("grams"))
-    grams = staged(own.join(nodes.select(F.col("node").alias("key"), "n"), ["key", "n"], "left_semi").select(F.col("key").alias("node"), "n", F.posexplode("grams").alias("pos", "gram")), "prefixes")
-    bits = staged(repeated_bits(grams, "gram", BITS), "bits")
-    grams = maybe_repeated(grams, bits, "gram", BITS).where("maybe").drop("maybe")
-    hubs = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node", "n")).alias("h")).where("k > 1")
+    own = prefixes(docs, rarity(rows, bits), k, similarity).groupBy("k1", "k2", "n").agg(F.first("grams").alias("grams"))
+    grams = staged(own.join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "n", F.posexplode("grams").alias("pos", "gram")), "prefixes", spent=(rows,))
+    again = staged(grams.where(bloom.passes(spark, bloom.repeated(grams, "gram", bloom.COARSE), F.col("gram"))), "repeated_grams", spent=(grams,))
+    hubs = again.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node", "n")).alias("h")).where("k > 1")
     hubs = staged(hubs.select("gram", "h.*"), "hubs")
-    groups = staged(grams.join(hubs.select("gram"), "gram", "left_semi"), "groups")
+    groups = staged(again.join(hubs.select("gram"), "gram", "left_semi"), "groups", spent=(again,))
     star = groups.alias("a").join(hubs.alias("b"), F.col("a.gram") == F.col("b.gram")).where((F.col("a.node") != F.col("b.node")) & _fits("a", "b", similarity))
     pair = (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
-    tried = staged(star.select(*pair).distinct(), "star")
+    tried = staged(star.select(*pair).distinct(), "star", spent=(hubs,))
     first = verified(tried, docs, nodes, k, similarity)
 
     if every_link:
         apart, labeled = F.lit(True), groups.withColumn("component", F.col("node"))
     else:
         apart = F.col("a.component") != F.col("b.component")
-        labeled = groups.join(staged(components(first), "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labeled = staged(labeled, "labeled")
+        found = components(first)
+        labeled = groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labeled = staged(labeled, "labeled", spent=(groups,))
     mixed = labeled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    labeled = staged(labeled.join(staged(mixed, "mixed"), "gram", "left_semi"), "mixed_groups")
-    rest = labeled.alias("a").join(labeled.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & apart & _fits("a", "b", similarity))
-    rest = staged(rest.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "rest")
-    return profiles, staged(first.unionByName(verified(rest, docs, nodes, k, similarity)), "all_links")
+    # sizes that are near enough are in one band or in neighbours
+    num, den = similarity
+    band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(den / num)) * (1 + 1e-9) if num < den else 1e-9))
+    banded = staged(labeled.join(staged(mixed, "mixed"), "gram", "left_semi").withColumn("band", band), "mixed_groups", spent=(labeled,))
+    reach = banded.withColumn("near", F.explode(F.array("band", F.col("band") + 1)))
+    order = (F.col("a.band") < F.col("b.band")) | (F.col("a.node") < F.col("b.node"))
+    rest = reach.alias("a").join(banded.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.near") == F.col("b.band")) & order & apart & _fits("a", "b", similarity))
+    rest = staged(rest.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "rest", spent=(banded,))
+    more = verified(rest, docs, nodes, k, similarity)
+    return profiles, staged(first.unionByName(more), "all_links", spent=(first, more, tried, rest, nodes))
 
 
 def _placed(docs: DataFrame, k: int, similarity) -> DataFrame:
-    """(doc, key, n, component) of each row; component is a node, null without words."""
+    """(doc, k1, k2, n, component) of each row; component is a node, null without words."""
     profiles, links = jaccard_links(docs, k, similarity, every_link=False)
-    placed = profiles.join(staged(components(links), "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return staged(placed.select("doc", "key", "n", "component"), "placed")
+    found = components(links)
+    placed = profiles.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return staged(placed.select("doc", "k1", "k2", "n", "component"), "placed", spent=(profiles, links))
 
 
 def near_duplicates(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY) -> DataFrame:
@@ -207,17 +241,18 @@ def keep_one(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY) -> DataFram
     the text), all columns kept. Rows are told apart by doc_id and text; of rows that repeat both,
     one stays. Rows without words are in no group and stay."""
     placed = _placed(docs, k, similarity).where("component is not null")
-    order = F.struct(F.col("doc").isNull().alias("last"), "doc", "key")
+    order = F.struct(F.col("doc").isNull().alias("last"), "doc", "k1", "k2")
     groups = staged(placed.groupBy("component").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("rows")), "names").where("rows > 1")
     judged = placed.join(groups, "component").withColumn("stays", order == F.col("one"))
-    marks = staged(judged.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.max("stays").alias("__stays"), F.count(F.lit(1)).alias("__n")).where("not __stays or __n > 1").drop("__n"), "marks")
+    marks = staged(judged.groupBy(F.col("doc").alias("__doc"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.max("stays").alias("__stays"), F.count(F.lit(1)).alias("__n")).where("not __stays or __n > 1").drop("__n"), "marks")
     again = staged(marks.where("__stays"), "repeated")  # mostly empty: then nothing shuffles for it
 
     cols = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), F.col("doc_id").alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2"))
+    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2"))
     clear = whole.join(marks, same, "left_anti")
-    repeated = whole.join(again, same, "left_semi").groupBy("doc", "key").agg(F.min_by("r", F.xxhash64("r")).alias("r"))
+    repeated = whole.join(again, same, "left_semi").groupBy("doc", "k1", "k2").agg(F.min_by("r", F.xxhash64("r")).alias("r"))
     return clear.select("r.*").unionByName(repeated.select("r.*"))
 
 

@@ -4,7 +4,8 @@ text lies inside n-grams and lines that it repeats.
 Words are runs of other characters than [\\x20\\x09-\\x0D]; lengths are in code points. A null text
 has no words and fails the base rules; so does an empty one. Windows never cross documents.
 Repeated rows are judged each on its own; extra columns are ignored; an empty table gives an
-empty result. Nothing shuffles: a row's verdict needs that row alone.
+empty result. Nothing shuffles: a row's verdict needs that row alone. Equal lines are compared byte
+by byte, equal n-grams by the 64-bit hashes of all their words.
 """
 
 import numpy as np
@@ -46,9 +47,8 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     full = at_word < np.searchsorted(start, last)
     first, last, at_word = first[full], last[full], at_word[full]
     line_row = np.searchsorted(offs, first, "right") - 1
-    key = ts.mix(ts.span_hashes(data, first, last) ^ ts.mix(line_row.astype(ts.U)))
-    order = np.argsort(key, kind="stable")
-    again = order[1:][key[order][1:] == key[order][:-1]]
+    one, group = ts.distinct_spans(data, first, last, line_row)
+    again = np.flatnonzero(one[group] != np.arange(len(first)))
     rows = len(offs) - 1
     out["n_dup_lines"] = np.bincount(line_row[again], minlength=rows)
     chars = points[last] - points[first]
@@ -59,7 +59,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     for k in sorted({REPEAT_WINDOW, *MAX_NGRAM_SHARE}):
         windows, ok = ts.window_hashes(h, k), ts.in_one_row(row, k)
         where = np.flatnonzero(ok)
-        hit = where[ts.repeated(ts.mix(windows[where] ^ salt[where]))]
+        hit = where[ts.repeated(ts.mix(windows[where] ^ salt[where]), lambda a, b: ts.same_windows(h, where[a], where[b], k) & (row[where[a]] == row[where[b]]))]
         mask = ts.covered(hit, k, n)
         if k == REPEAT_WINDOW:
             out["n_repeat_words"] = ts.sums(mask, at)

@@ -1,45 +1,39 @@
-"""What the operators share: the cluster's shared folder and staged tables."""
+"""What the operators share: words, and tables staged in the cluster's shared folder."""
 
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..workers import prepared, shared_dir
 
 #: A word is a run of other characters than these (regular-expression class body).
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 
 
-def prepared(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when the session began elsewhere."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not (there := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        there = spark.sparkContext.getCheckpointDir()
-    return there.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, spent: tuple = ()) -> DataFrame:
     """df, written once to the shared folder and read back: later jobs, and tasks run again
-    after an executor is lost, all see the same rows."""
+    after an executor is lost, all see the same rows. Staged tables in spent are deleted then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        dropped(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    removed(df.sparkSession, df._staged_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

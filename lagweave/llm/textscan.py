@@ -49,8 +49,10 @@ class _Powers:
         return self
 
 
-_BYTES, _WORDS, _WORDS_2 = _Powers(0x9E3779B97F4A7C55), _Powers(0xD1342543DE82EF95), _Powers(0xAF251AF3B0F025B5)
-_OF_BYTE = mix(np.arange(256, dtype=U))
+_WORDS, _WORDS_2 = _Powers(0xD1342543DE82EF95), _Powers(0xAF251AF3B0F025B5)
+#: By bytes that are left: what of an eight-byte block belongs to its span.
+_PART = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
+_STEP = U(0x9E3779B97F4A7C55)
 
 
 def runs(batch: pa.RecordBatch, column: str = "text", limit: int = RUN_BYTES):
@@ -91,17 +93,68 @@ def rows_of(at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
+def counted(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... count[i] - 1 for every i, in a row."""
+    at = np.cumsum(count) - count
+    return np.arange(int(count.sum())) - np.repeat(at, count)
+
+
+def blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(eight-byte blocks of the spans as 64-bit words, the last of each filled up with zeros;
+    blocks of each span). Spans are not empty."""
+    count = (end - start + 7) >> 3
+    begin = np.repeat(start, count) + 8 * counted(count)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    anywhere = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    return anywhere[begin] & _PART[np.minimum(np.repeat(end, count) - begin, 8)], count
+
+
+def block_hashes(words: np.ndarray, count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of n bytes from its blocks: every block is scrambled together
+    with its place before they are added up, so no pattern of letters cancels out."""
+    value = mix(words ^ (_STEP * (counted(count).astype(U) + U(1))))
+    return mix(np.add.reduceat(value, np.cumsum(count) - count) + n.astype(U) * _STEP)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of the spans, which are sorted, disjoint and not empty."""
-    n = end - start
-    if not len(n):
+    if not len(start):
         return np.zeros(0, U)
-    at = np.cumsum(n) - n
-    within = np.arange(int(n.sum())) - np.repeat(at, n)
-    flat = data[within + np.repeat(start, n)]
-    value = _OF_BYTE[flat]
-    value *= _BYTES.at_least(int(n.max())).up[within]
-    return mix(np.add.reduceat(value, at) + n.astype(U))
+    return block_hashes(*blocks(data, start, end), end - start)
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray | None = None):
+    """(first of each group of equal spans, group of each span). Hashes find the groups and bytes
+    are compared, so the groups are exact. With `of`, spans are equal only within one value of it."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = end - start
+    words, count = blocks(data, start, end)
+    key = block_hashes(words, count, n)
+    if of is not None:
+        key = mix(key ^ mix(of.astype(U)))
+    order = np.argsort(key)
+    sorted_key = key[order]
+    begins = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+    first = np.minimum.reduceat(order, begins)
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+    one = first[group]
+    alike = n == n[one] if of is None else (n == n[one]) & (of == of[one])
+    other = np.flatnonzero(alike & (one != np.arange(len(one))))
+    if len(other):
+        at, c = np.cumsum(count) - count, count[other]
+        k = counted(c)
+        differ = words[np.repeat(at[other], c) + k] != words[np.repeat(at[one[other]], c) + k]
+        alike[other[np.logical_or.reduceat(differ, np.cumsum(c) - c)]] = False
+    lost, known, more = np.flatnonzero(~alike), {}, []
+    for i in lost:  # spans that have another one's hash
+        what = data[start[i] : end[i]].tobytes(), None if of is None else int(of[i])
+        if what not in known:
+            known[what] = len(first) + len(more)
+            more.append(i)
+        group[i] = known[what]
+    return (np.concatenate([first, np.array(more, first.dtype)]) if more else first), group
 
 
 def window_hashes(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
@@ -120,24 +173,37 @@ def in_one_row(row: np.ndarray, k: int) -> np.ndarray:
     return row[k - 1 :] == row[: len(row) - k + 1] if len(row) >= k else np.zeros(0, bool)
 
 
-def repeated(key: np.ndarray) -> np.ndarray:
+def same_windows(h: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Whether the windows of k items at a and at b hold the same items."""
+    out = h[a] == h[b]
+    for i in range(1, k):
+        out &= h[a + i] == h[b + i]
+    return out
+
+
+def repeated(key: np.ndarray, same=None) -> np.ndarray:
     """Which keys occur more than once. Most single ones fall out by a table of counts, and
-    only the rest is sorted."""
+    only the rest is sorted. Each is compared with the group's first by same(numbers, numbers)."""
     out = np.zeros(len(key), bool)
     if len(key) < 2:
         return out
     bits = min(22, max(8, len(key).bit_length() + 2))
     slot = (key >> U(64 - bits)).astype(np.int64)
     left = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] > 1)
-    if len(left):
-        k = key[left]
-        order = np.argsort(k)
-        k = k[order]
-        same = k[1:] == k[:-1]
-        hit = np.zeros(len(k), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        out[left[order[hit]]] = True
+    if not len(left):
+        return out
+    k = key[left]
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(begins, len(k)))
+    many = np.repeat(size > 1, size)
+    mine, first = left[order[many]], left[order[np.repeat(begins, size)[many]]]
+    alike = mine != first
+    if same is not None:
+        alike &= same(mine, first)
+    out[mine[alike]] = True
+    out[first[alike]] = True
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from .exact_dedup import maybe_repeated, repeated_bits
+from . import bloom
 from .shared import prepared, shared_dir, staged, table
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -282,8 +282,8 @@ def page_records(pages: DataFrame, least_bytes: int = REVISIT_BYTES, date: str =
     made = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     digests = staged(made.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest"), "digests")
     groups = staged(digests.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
-    words = staged(repeated_bits(digests, "payload_digest"), "bits")
-    tested = maybe_repeated(made, words, "payload_digest").withColumn("maybe", F.col("maybe") & (F.col("payload_bytes") >= least_bytes))
+    maybe = bloom.passes(pages.sparkSession, bloom.repeated(digests.select(F.xxhash64("payload_digest").alias("key")), "key"), F.xxhash64("payload_digest"))
+    tested = made.withColumn("maybe", maybe & (F.col("payload_bytes") >= least_bytes))
     once = tested.where("not maybe").withColumn("last", F.lit(None).cast("long")).withColumn("found", F.lit(False))
     many = tested.where("maybe").join(groups.withColumn("found", F.lit(True)), "payload_digest", "left")
     rows = once.unionByName(many)
