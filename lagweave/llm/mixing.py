@@ -1,10 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Each source is a queue of its documents in a keyed order, offered `passes` times. A document's
-virtual finish time is its source's words up to and with it, over the source's target; so every
-source reaches time 1 having given its target. The document in which a source crosses its target
-is served up to there. What all sources offer up to time 1 is sorted by virtual finish time and
-cut at the total budget.
+virtual finish time is its source's words up to and with it, over the source's target. All offers
+of all sources are sorted by virtual finish time, and the mix is what comes before the total
+budget; the document that crosses the budget is served up to there. Nothing else decides how much
+a source gives: at time 1 every source has given its target, and the budget is the targets' sum.
 
 Running sums never gather a source or the corpus in one task: the keyed order is cut into slices
 by the key's leading digits, and virtual time into equal steps, which by construction hold about
@@ -45,8 +45,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
 
 def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 0, slices: int = SLICES, steps: int = STEPS, also=()):
     """(queue, served): queue has a row per document (row, doc_id, source, size, source_size,
-    target, and the columns named in also); served has a row per document and pass that the mix takes (row, pass, words,
-    virtual_finish, start), start being the words before it in the mix's global order."""
+    target, and the columns named in also); served has a row per document and pass that the mix
+    takes (row, pass, words, virtual_finish, start), start being the words before it in the mix's
+    global order. Virtual times are rounded to 12 digits, so that sums of targets in another order
+    change nothing."""
     sized = staged(docs.select("doc_id", "source", *also, word_count().alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     goal = staged(targets(sized, weights, share, passes), "targets")
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -61,14 +63,16 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     placed = placed.select("row", "q.source", "size", "source_size", "target", "budget", "key", (F.col("ahead") + F.col("offset")).alias("ahead"))
 
     offered = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("ahead", F.col("ahead") + F.col("pass") * F.col("source_size"))
-    offered = offered.withColumn("words", F.least(F.col("size"), F.floor(F.col("target") + F.lit(1e-6)) - F.col("ahead"))).where("words > 0")
-    offered = offered.withColumn("virtual_finish", (F.col("ahead") + F.col("words")) / F.col("target")).withColumn("step", F.floor(F.col("virtual_finish") * steps))
+    finish = F.round((F.col("ahead") + F.col("size")) / F.col("target"), 12)
+    # a step holds about equal work; what finishes at twice the time or later is one step, mostly never served
+    offered = offered.where("size > 0 and target > 0").withColumn("virtual_finish", finish).withColumn("step", F.floor(F.least("virtual_finish", F.lit(2.0)) * steps))
     offered = staged(offered, "offered")
-    work = offered.groupBy("step").agg(F.sum("words").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    work = offered.groupBy("step").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    budget = F.floor(F.col("budget") + F.lit(1e-6))
+    reached = offered.join(work, "step").where(F.col("offset") < budget)  # steps behind the budget need no order
     inside = W.partitionBy("step").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "key", "row", "pass").rowsBetween(W.unboundedPreceding, -1)
-    mixed = offered.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(work, "step").withColumn("start", F.col("within") + F.col("offset"))
-    left = F.floor(F.col("budget") + F.lit(1e-6)) - F.col("start")
-    served = mixed.where(left > 0).select("row", "pass", F.least(F.col("words"), left).cast("long").alias("words"), "virtual_finish", "start")
+    mixed = reached.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("offset"))
+    served = mixed.where(F.col("start") < budget).select("row", "pass", F.least(F.col("size"), budget - F.col("start")).cast("long").alias("words"), "virtual_finish", "start")
     return queue.drop("key", "slice", "budget"), served
 
 
@@ -95,9 +99,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """Beside the words taken: the virtual finish time of a document's first serving and the words
+    before it in the mix; null for documents that aren't served."""
     queue, served = fair_mix(table(spark, sf_dir, "documents"))
-    took = served.groupBy("row").agg(F.sum("words").alias("taken"))
-    return queue.join(took, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    took = served.groupBy("row").agg(F.sum("words").alias("taken"), F.min("virtual_finish").alias("virtual_finish"), F.min("start").alias("start"))
+    return queue.join(took, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "virtual_finish", "start")
 
 
 SQL = r"""
@@ -105,8 +111,10 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 f AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS fill, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, fill) FROM l WHERE fill >= level), 'inf'::DOUBLE) * w) AS target FROM l),
-q AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
- (greatest(0, least(size, floor(target + 1e-6) - ahead)) + greatest(0, least(size, floor(target + 1e-6) - ahead - source_size)))::BIGINT AS taken FROM q
+t AS (SELECT source, source_size, budget, least(cap, coalesce((SELECT arg_min(level, fill) FROM l WHERE fill >= level), 'inf'::DOUBLE) * w) AS target FROM l),
+q AS (SELECT doc_id, d.source, k, size, source_size, budget, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, round((ahead + pass * source_size + size) / target, 12) AS vf FROM q, (SELECT unnest([0, 1]) AS pass) AS p WHERE size > 0 AND target > 0),
+m AS (SELECT *, coalesce(sum(size) OVER (ORDER BY vf, source NULLS LAST, k, doc_id, pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM o),
+v AS (SELECT doc_id, sum(least(size, floor(budget + 1e-6) - start))::BIGINT AS taken, min(vf) AS virtual_finish, min(start) AS start FROM m WHERE start < floor(budget + 1e-6) GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, virtual_finish, v.start FROM q LEFT JOIN v ON v.doc_id = q.doc_id
 """
