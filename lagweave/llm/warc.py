@@ -1,15 +1,18 @@
 """WARC archives as a Spark data source, and pages written to and read from them.
 
 Writing: a task writes one .warc.gz file, one gzip member a record, under a name of its own that
-the commit moves into place; a failed or repeated task leaves nothing behind. Each member says in
+the commit moves into place; commit and abort clear away what failed or repeated tasks of the job
+left under other names. Each member says in
 its gzip header (subfield "sl") how long it is. Reading: files are planned into partitions of
 about equal bytes; a record's headers are parsed first, predicates on record type and other
 headers are applied there, and a record that fails them, or whose payload isn't asked for, is
 skipped by its length without inflating or decoding the rest. Plain .warc files are skipped
 through by Content-Length.
 
-Columns: record_type, record_id, target_uri, date, refers_to, payload_digest (bare lower-case hex
-SHA-1), payload_bytes, payload (binary; null with option payload=false, and for revisits). With
+Columns: record_type, record_id, target_uri, date, refers_to, payload_digest (SHA-1 as bare
+lower-case hex, whether the header has it in base 32 or hex; others as the header has them),
+payload_bytes, payload (binary; null with option payload=false, and for revisits): what follows the
+HTTP headers in records of type application/http, the whole block in others. With
 option verify=true the digest of a present payload is recomputed and must agree. Headers that are
 missing are null. Control characters in a header value are percent-encoded when written.
 """
@@ -86,24 +89,40 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
 
 
+def _digest(value: str | None) -> str | None:
+    kind, _, code = (value or "").partition(":")
+    if kind.lower() == "sha1":
+        if re.fullmatch("[0-9a-fA-F]{40}", code):
+            return code.lower()
+        if re.fullmatch("[A-Z2-7a-z]{32}", code):
+            return base64.b32decode(code.upper()).hex()
+    return value
+
+
 def _fields(h: dict[str, str]) -> dict:
     out = {c: h.get(name) for c, name in TEXTS.items()}
     for c in ("record_id", "refers_to"):
         out[c] = out[c] and out[c].strip("<>")
-    if (d := out["payload_digest"]) and d.startswith("sha1:"):
-        out["payload_digest"] = base64.b32decode(d[5:]).hex()
+    out["payload_digest"] = _digest(out["payload_digest"])
     return out
 
 
-def _http(block: bytes):
+def payload_of(block: bytes, http: bool):
     """(payload length that the HTTP headers name, payload) of a record's block."""
+    if not http:
+        return len(block), block
     head, _, payload = block.partition(b"\r\n\r\n")
     named = _headers(head).get("content-length")
     return (int(named) if named and named.isdigit() else len(payload)), payload
 
 
+def _is_http(h: dict[str, str]) -> bool:
+    return h.get("content-type", "").lower().startswith("application/http")
+
+
 def records(f, gz: bool, wanted, payload: bool):
-    """Fields and block (None where not asked for) of each record that wanted(fields) takes."""
+    """(fields, block, whether it is HTTP) of each record that wanted(fields) takes; without payload
+    a block may break off behind its HTTP headers."""
     at = 0
     while True:
         f.seek(at)
@@ -118,9 +137,9 @@ def records(f, gz: bool, wanted, payload: bool):
             size = int(h["content-length"])
             fields = _fields(h)
             if wanted(fields):
-                need = size if payload else min(size, 4096)
+                need = size if payload or not _is_http(h) else min(size, 4096)
                 block = start[end : end + need]
-                yield fields, block + (f.read(need - len(block)) if need > len(block) else b"")
+                yield fields, block + (f.read(need - len(block)) if need > len(block) else b""), _is_http(h)
             at += end + size + 4
             continue
         z, raw, text = zlib.decompressobj(31), start, b""
@@ -133,7 +152,8 @@ def records(f, gz: bool, wanted, payload: bool):
         h = _headers(text[: end - 4])
         fields, size, length = _fields(h), int(h["content-length"]), _member_length(start)
         take = wanted(fields)
-        need = end + (size if payload else text[end:].find(b"\r\n\r\n") + 4 if b"\r\n\r\n" in text[end:] else size)
+        short = not payload and _is_http(h) and b"\r\n\r\n" in text[end:]
+        need = end + (text[end:].find(b"\r\n\r\n") + 4 if short else size)
         parts, have = [text], len(text)
         while not z.eof and ((take and have < need) or not length):
             got = z.decompress(raw, 1 << 20)
@@ -141,7 +161,7 @@ def records(f, gz: bool, wanted, payload: bool):
             have += len(got)
             raw = z.unconsumed_tail or (b"" if z.eof else f.read(CHUNK))
         if take:
-            yield fields, b"".join(parts)[end : min(need, end + size)]
+            yield fields, b"".join(parts)[end : min(need, end + size)], _is_http(h)
         at = at + length if length else f.tell() - len(z.unused_data)
 
 
@@ -193,8 +213,8 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in part.paths:
             with store.open_input_file(path) as raw:
-                for fields, block in records(io.BufferedReader(raw, 1 << 20), path.endswith(".gz"), wanted, self.payload or self.verify):
-                    n, payload = _http(block)
+                for fields, block, http in records(io.BufferedReader(raw, 1 << 20), path.endswith(".gz"), wanted, self.payload or self.verify):
+                    n, payload = payload_of(block, http)
                     full = fields["record_type"] != "revisit"
                     if self.verify and full and hashlib.sha1(payload).hexdigest() != fields["payload_digest"]:
                         raise ValueError(f"{path}: {fields['record_id']} has another payload than its digest says")
@@ -217,12 +237,12 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.job = options["path"], uuid.uuid4().hex
 
     def write(self, iterator):
         store, path = _filesystem(self.path)
         store.create_dir(path, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.warc.gz"
+        name = f"part-{self.job}-{uuid.uuid4().hex}.warc.gz"
         with store.open_output_stream(f"{path}/_{name}", compression=None, buffer_size=1 << 20) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -234,12 +254,16 @@ class WarcWriter(DataSourceArrowWriter):
         for m in messages:
             if m:
                 store.move(f"{path}/_{m.name}", f"{path}/{m.name}")
+        self._clear(store, path)
 
     def abort(self, messages):
-        store, path = _filesystem(self.path)
-        for m in messages:
-            if m:
-                store.delete_file(f"{path}/_{m.name}")
+        self._clear(*_filesystem(self.path))
+
+    def _clear(self, store, path):
+        """Deletes what tasks of this job wrote and the commit didn't take."""
+        for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if x.base_name.startswith(f"_part-{self.job}-"):
+                store.delete_file(x.path)
 
 
 class WarcSource(DataSource):
@@ -300,10 +324,14 @@ def page_number(urn: str):
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, which must have the digest in their headers; of
+    revisits, which a second scan asks for by record type, only the headers are."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
-    back = read_warc(spark, path, payload=False, verify=True)
-    return back.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+    columns = (page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+    full = read_warc(spark, path, payload=False, verify=True).where("record_type = 'response'")
+    again = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return full.select(*columns).unionByName(again.select(*columns))
 
 
 SQL = """
