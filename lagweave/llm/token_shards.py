@@ -4,15 +4,14 @@ The corpus is one stream of token ids, each text followed by the end token, cut
 `length` ids; the last is filled up with end tokens. Sequence i goes to slot P(i), where P is a
 keyed permutation of all sequences: a Feistel network over the next even number of bits, applied
 again until it lands below their count (cycle walking). So a slot is computed where a sequence is
-made, and nothing is sorted globally. Pieces of sequences shuffle by shard, a range of slots, and
-a task writes its shards in slot order. Slot s is at byte (s mod rows) * length * width of shard
-s // rows: a reader starts anywhere without an index.
+made, and nothing is sorted globally. Pieces of sequences are dealt out by ranges of shards, which
+are ranges of slots, and a task writes its shards in slot order. Slot s is at byte
+(s mod rows) * length * width of shard s // rows: a reader starts anywhere without an index.
 
-Two passes encode the texts: the first counts each partition's ids, which gives every partition
-its place in the stream; the second makes the pieces. Both must see the same partitions, so docs
-has to come straight from files (or from a staged table); a partition with another count than
-before fails the job. A shard is written under another name and then moved; writing it again
-gives the same bytes, so lost executors and repeated tasks do no harm.
+Texts are encoded once; their ids are staged in the shared folder with the number of the partition
+that made them and their place in it. A count per partition then gives every run of ids its place
+in the stream. A shard is written under another name and then moved; writing it again gives the
+same bytes, so lost executors and repeated tasks do no harm.
 
 A null text is an empty one: its end token alone. Rows are taken as they are: repeated rows repeat
 in the stream. An empty table gives no shards. Extra columns are ignored.
@@ -86,7 +85,7 @@ def _streams(batches, path: str):
     for batch in batches:
         for _, n, data, offs in ts.runs(batch, limit=RUN_BYTES):
             ids, at = v.encode(data, offs)
-            out = np.empty(len(ids) + n, np.uint16 if width(path) == 2 else np.uint32)
+            out = np.empty(len(ids) + n, "<u2" if width(path) == 2 else "<u4")
             last = at[1:] + np.arange(n)
             keep = np.ones(len(out), bool)
             keep[last] = False
@@ -101,36 +100,35 @@ def _store(path: str):
 def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """Writes the shards of docs(text) to folder; returns their manifest (shard, first_slot,
     sequences, bytes, sha256), staged."""
-    spark = prepared(docs.sparkSession)
-    texts, size = docs.select("text"), width(path)
+    spark, size = prepared(docs.sparkSession), width(path)
 
-    def count(batches):
-        n = sum(len(x) for x in _streams(batches, path))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+    def encode(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for ids in _streams(batches, path):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before]), pa.array([len(ids)]), pa.array([ids.tobytes()])], ["part", "before", "n", "ids"])
+            before += len(ids)
 
-    per_part = texts.mapInArrow(count, "part int, n long").toArrow().sort_by("part")  # a row a partition
+    stream = staged(docs.select("text").mapInArrow(encode, "part int, before long, n long, ids binary"), "ids")
+    per_part = stream.groupBy("part").agg(F.sum("n").alias("n")).toArrow().sort_by("part")  # a row a partition
     parts, counts = (per_part[c].to_numpy() for c in ("part", "n"))
-    base = dict(zip(parts.tolist(), zip((np.cumsum(counts) - counts).tolist(), counts.tolist())))
+    base = spark.sparkContext.broadcast(dict(zip(parts.tolist(), (np.cumsum(counts) - counts).tolist())))
     total = int(counts.sum())
     sequences = -(-total // length)
     shards = max(1, -(-sequences // rows))
+    spread = min(shards, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def pieces(batches):
         order = Permutation(max(sequences, 1), seed)
-        begin, expected = base.get(TaskContext.get().partitionId(), (0, 0))
-        at = begin
-        for ids in _streams(batches, path):
-            cut = np.arange(at // length * length, at + len(ids), length)
-            lo = np.maximum(cut, at)
-            hi = np.minimum(cut + length, at + len(ids))
-            slot = order.slots(cut // length)
-            raw, offs = ids.view(np.uint8), np.append((lo - at) * size, len(ids) * size).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offs), pa.py_buffer(raw)])
-            assert (hi[:-1] == lo[1:]).all()
-            yield pa.RecordBatch.from_arrays([pa.array((slot // rows).astype(np.int32)), pa.array(slot), pa.array((lo - cut).astype(np.int32)), data], ["shard", "slot", "at", "ids"])
-            at += len(ids)
-        if at - begin != expected:
-            raise ValueError(f"a partition has {at - begin} ids, and had {expected} when they were counted")
+        for batch in batches:
+            for part, before, n, raw in zip(*(batch.column(c) for c in ("part", "before", "n", "ids"))):
+                at, n = base.value[part.as_py()] + before.as_py(), n.as_py()
+                cut = np.arange(at // length * length, at + n, length)
+                lo = np.maximum(cut, at)
+                slot = order.slots(cut // length)
+                offs = np.append((lo - at) * size, n * size).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offs), raw.as_buffer()])
+                shard = slot // rows
+                yield pa.RecordBatch.from_arrays([pa.array((shard * spread // shards).astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot), pa.array((lo - cut).astype(np.int32)), data], ["range", "shard", "slot", "at", "ids"])
 
     def write(batches):
         store, root = _store(folder)
@@ -150,10 +148,9 @@ def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, r
         if shard is not None:
             yield _written(store, root, shard, body, rows, length, kind)
 
-    placed = texts.mapInArrow(pieces, "shard int, slot long, at int, ids binary")
-    spread = min(shards, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = placed.repartition(spread, "shard").sortWithinPartitions("shard", "slot", "at")
-    return staged(ordered.mapInArrow(write, "shard int, first_slot long, sequences long, bytes long, sha256 string"), "manifest")
+    placed = stream.mapInArrow(pieces, "range int, shard int, slot long, at int, ids binary")
+    ordered = placed.repartitionById(spread, "range").sortWithinPartitions("shard", "slot", "at")
+    return staged(ordered.mapInArrow(write, "shard int, first_slot long, sequences long, bytes long, sha256 string"), "manifest", spent=(stream,))
 
 
 def _written(store, root, shard, body, rows, length, kind):

@@ -1,5 +1,7 @@
 """Every operator against a brute-force version or an exact round trip, on small and odd inputs."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
@@ -132,10 +134,38 @@ def test_plain_warc_is_skipped_by_length(tmp_path):
     p = tmp_path / "x.warc"
     p.write_bytes(b"".join(warc.record_bytes(row | {"record_id": f"r{i}"}) for i in range(3)))
     with p.open("rb") as f:
-        got = [(x["record_id"], warc._http(b)) for x, b in warc.records(f, False, lambda x: x["record_id"] != "r1", True)]
+        got = [(x["record_id"], warc.payload_of(b, http)) for x, b, http in warc.records(f, False, lambda x: x["record_id"] != "r1", True)]
     assert got == [("r0", (15, row["payload"])), ("r2", (15, row["payload"]))]
 
 
+def test_warc_of_other_kinds(spark, tmp_path):
+    """Records that aren't HTTP keep their whole block; digests in base 32, in hex and of other kinds."""
+    text, sha = b"first paragraph\r\n\r\nsecond", hashlib.sha1(b"first paragraph\r\n\r\nsecond").hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody"
+    blocks = [("text/plain", f"sha1:{sha.upper()}", text), ("application/http; msgtype=response", "md5:abcd", http), ("", "sha1:" + base64.b32encode(bytes.fromhex(sha)).decode(), text), ("text/plain", "", b"")]
+    raw = []
+    for i, (kind, digest, block) in enumerate(blocks):
+        head = f"WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Record-ID: <r{i}>\r\n" + (f"Content-Type: {kind}\r\n" if kind else "") + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "")
+        raw.append(f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    (tmp_path / "a.warc").write_bytes(b"".join(raw))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in raw))
+    for payload in (True, False):
+        got = warc.read_warc(spark, str(tmp_path), payload=payload).collect()
+        want = [("r0", len(text), sha, text), ("r1", 4, "md5:abcd", b"body"), ("r2", len(text), sha, text), ("r3", 0, None, b"")] * 2
+        fields = lambda rows: sorted((a, c or "") for a, c in rows)
+        assert fields((r.record_id, r.payload_digest) for r in got) == fields((a, c) for a, _, c, _ in want)
+        assert payload or all(r.payload is None for r in got)
+        if payload:
+            assert sorted((r.record_id, r.payload_bytes, bytes(r.payload)) for r in got) == sorted((a, b, d) for a, b, _, d in want)
+
+
+def test_failed_warc_write_leaves_nothing(spark, tmp_path):
+    rows = spark.range(20).select(F.lit("response").alias("record_type"), F.col("id").cast("string").alias("record_id"), F.lit("u").alias("target_uri"), F.lit("d").alias("date"), F.lit(None).cast("string").alias("refers_to"), F.when(F.col("id") == 17, "not hex").otherwise("00" * 20).alias("payload_digest"), F.lit(1).cast("long").alias("payload_bytes"), F.lit("x").alias("payload"))
+    with pytest.raises(Exception):
+        warc.write_warc(rows.repartition(3), str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("*"))
+
+
 def test_permutation():
     for n in (1, 2, 5, 64, 1000):
         p = token_shards.Permutation(n, 11)
@@ -341,7 +371,25 @@ def test_mixing(docs, odd, empty):
         size[r.source], target[r.source] = size.get(r.source, 0) + r.size, r.target
         got[r.source] = got.get(r.source, 0) + took.get(r.row, 0)
         assert took.get(r.row, 0) <= 2 * r.size and r.size == len(words(text_of(docs)[r.doc_id]))
-    assert all(abs(got[s] - target[s]) < 1 and target[s] <= 2 * size[s] + 1e-9 for s in size)
+    largest = max(r.size for r in q.values())
+    assert all(abs(got[s] - target[s]) <= largest and target[s] <= 2 * size[s] + 1e-9 for s in size)
+    # the order alone decides: what is taken is what comes before the budget by virtual finish time
+    budget = int(1.5 * sum(size.values()) + 1e-6)
+    assert sum(r.words for r in rows) == budget and sum(r.words < q[r.row].size for r in rows) <= 1
+    key = {r.row: hashlib.md5(f"0/{r.doc_id}".encode()).hexdigest() for r in q.values()}
+    offers = []
+    for s in size:
+        at = 0
+        for n in (0, 1):
+            for r in sorted((x for x in q.values() if x.source == s), key=lambda x: key[x.row]):
+                at += r.size
+                if r.size:
+                    offers.append((round(at / target[s], 12), s is None, s or "", key[r.row], r.row, n, r.size))
+    want, left = {}, budget
+    for *_, row, _, n in sorted(offers):
+        want[row] = want.get(row, 0) + min(n, left)
+        left -= min(n, left)
+    assert {k: v for k, v in want.items() if v} == took
     assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
     again = mixing.fair_mix(docs)[1]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
