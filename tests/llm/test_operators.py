@@ -3,10 +3,12 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import uuid
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -356,6 +358,62 @@ def test_url_rules_and_mining(spark):
     assert url_filter.judged(pages.where("false"), labels).count() == 0
 
 
+def test_long_equal_urls_are_mined(spark):
+    """20 pages with the same 30 query keys, and 40 pages with half of another 24 keys each."""
+    r = random.Random(9)
+    rows = [(i, "http://a.org/x?" + "&".join(f"k{j}=1" for j in range(30))) for i in range(20)]
+    rows += [(100 + i, "http://b.org/y?" + "&".join(f"m{j}=1" for j in r.sample(range(24), 12))) for i in range(40)]
+    rows += [(200 + i, f"http://c{i}.org/z?q=1") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 150) for i, _ in rows], "page_id long, unwanted boolean")
+    got = {x.page_id: x for x in url_filter.judged(pages, labels).collect()}
+    assert all(got[i].verdict == ("block" if i < 150 else "allow") for i, _ in rows)
+    assert got[0].mined_rule and got[0].confidence == 1.0
+
+
+def test_mined_rules_against_brute_force(spark):
+    r = random.Random(10)
+    rows = []
+    for i in range(400):
+        tokens = [t for t in "abcdef" if r.random() < 0.5] + (["g", "h"] if r.random() < 0.3 else [])
+        bad = ("a" in tokens and "b" in tokens and "c" not in tokens) or r.random() < 0.2
+        rows.append((i, tokens, bad))
+    labeled = spark.createDataFrame(rows, "row long, tokens array<string>, unwanted boolean")
+    items, rules = url_filter.mined_rules(labeled, support=0.05, confidence=0.4, pages=10)
+    got = {tuple(x["items"]): (round(x.confidence, 9), round(x.support, 9)) for x in rules.collect()}
+    named = {x.token: x.item for x in items.collect()}
+    assert named["h"] == named["g"] == "g"
+    sets = [(frozenset(named[t] for t in tokens), bad) for _, tokens, bad in rows]
+    names, u = sorted(set(named.values())), sum(b for _, b in sets)
+    every = {}
+    for n in range(1, len(names) + 1):
+        for c in itertools.combinations(names, n):
+            hit = [b for s, b in sets if s >= set(c)]
+            if sum(hit) >= 20:
+                every[c] = sum(hit) / len(hit), sum(hit) / 400
+    good = {c: v for c, v in every.items() if v[0] >= 0.4 and v[0] * 400 > u}
+    want = {c: v for c, v in good.items() if not any(good.get(p, (0,))[0] >= v[0] for k in range(1, len(c)) for p in itertools.combinations(c, k))}
+    assert got == {c: (round(a, 9), round(b, 9)) for c, (a, b) in want.items()} and any(len(c) > 1 for c in got)
+
+
+def test_host_path_and_given_rules_against_sql(spark):
+    """The columns of op9 that SQL can express, on odd URLs."""
+    r = random.Random(11)
+    bits = ["http", "://", "example.com", "www.", "EXAMPLE.net", "/en/", "/es/", "/fr/", "?", "#", "a=1", "net", ".", "x.com", "/", " ", "é"]
+    urls = ["".join(r.choice(bits) for _ in range(r.randint(0, 8))) for _ in range(400)] + ["http://" + "".join(r.choice(bits[2:]) for _ in range(4)) for _ in range(400)] + [None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judged(pages, spark.createDataFrame([], "page_id long, unwanted boolean")).select("page_id", "host", "path", "rule", "verdict")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT unnest(?) AS page_id, unnest(?) AS url", [list(range(len(urls))), urls])
+    want = c.execute(r"""
+        WITH s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+        r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT h.page_id, host, path, rule, coalesce(v, 'allow') FROM h LEFT JOIN f ON f.page_id = h.page_id""").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(x[3] is not None for x in want) > 20
+
+
 def test_mixing(docs, odd, empty):
     queue, served = mixing.fair_mix(docs)
     q = {r.row: r for r in queue.collect()}
