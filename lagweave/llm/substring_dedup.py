@@ -181,6 +181,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hash
     least = staged(edges.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").drop("last"), "shared")
     shared = staged(edges.join(least, ["w1", "w2"]), "shared_edges", spent=(edges, least))
     first = shared.where("doc = source").groupBy("w1", "w2").agg(F.min(F.struct(F.col("text_key").alias("source_key"), F.col("at").alias("source_at"))).alias("s"))
+    first = staged(first, "first_edges")  # with a shuffle of its own, the join can split a hot edge
     single = _rows(shared.where("doc > source").join(first, ["w1", "w2"]).select("doc", "text_key", "at", F.lit(1).alias("n"), "source", "s.*"))
 
     spans = staged(compacted(found).unionByName(single), "repeats", spent=(by_piece,))
@@ -191,7 +192,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hash
         named = _opened(docs, again, _digests(window, True), "doc long, text_key long, at int, n int, digest binary", "named")
         least = staged(named.groupBy("digest").agg(F.min("doc").alias("source")), "least")
         good = good.unionByName(named.join(least, "digest").where("doc > source").select(*SPAN))
-    return staged(good, "verified", spent=(spans, some, found, shared))
+    return staged(good, "verified", spent=(spans, some, found, shared, first))
 
 
 def verified(docs: DataFrame, spans: DataFrame, window: int):
