@@ -1,16 +1,16 @@
 """Language identification by language-bitmask n-gram filters.
 
 The filter is a bit-sliced Bloom filter: each slot of a table holds a bit for every language, in
-tables of one 64-bit word a slot, as many as 64 languages each need; an n-gram has HASHES slots, and the bits common to them are all the languages that
-contain it, found in one look. A language contains a byte n-gram (a word's letters and digits
+tables of one 64-bit word a slot, as many as 64 languages each need; an n-gram has HASHES slots,
+and the bits common to them are all the languages that contain it, found in one look. A language contains a byte n-gram (a word's letters and digits
 with a mark on either side, 1 to 4 bytes) if its rate there is at least RATIO of its highest rate
 in any language and it was seen LEAST times. A text's n-grams give each language a count; the
 count is corrected for the share that the filter's fill makes up by chance, and the largest
 corrected share wins, ties going to the language first in code-point order.
 
-Training reads text and lang of about SAMPLE rows at most, those with a small hash of doc_id; their
-whole texts are counted by Spark, and at most MOST n-grams a language enter, the most frequent first, so the
-filter's size is fixed: 4 MB for each 64 languages of the sample. Predictions read the text alone, whole. A null text or one without a
+Training reads text and lang of about `sample` rows at most, those with a small hash of doc_id; their
+whole texts are counted by Spark. `most` is the size of the model: the n-grams a language gives, its
+most frequent ones, as far as the sample has more. So a filter has 4 MB for each 64 languages. Predictions read the text alone, whole. A null text or one without a
 letter is `und` with score 0; a text with letters none of whose n-grams is known gets the first
 language, score 0. Without any training row everything is `und`. Repeated rows are judged
 each on its own; extra columns are ignored. Every language of the sample is learned.
@@ -120,9 +120,9 @@ def _count(batches):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array([size] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(count)], ["lang", "size", "gram", "n"])
 
 
-def trained(labeled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+def trained(labeled: DataFrame, sample: int = SAMPLE, most: int = MOST) -> LanguageModel:
     """A model from about `sample` rows at most of labeled(doc_id, text, lang). What reaches the driver
-    is at most MOST n-grams of each language of the sample."""
+    is at most `most` n-grams of each language of the sample."""
     prepared(labeled.sparkSession)
     rows = labeled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     parts = max(1, -(-rows.count() // sample))
@@ -133,7 +133,7 @@ def trained(labeled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     total = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(total), ["lang", "size"]).withColumn("rate", F.col("n") / F.col("total"))
     best = rate.withColumn("top", F.max("rate").over(W.partitionBy("size", "gram"))).where((F.col("rate") >= RATIO * F.col("top")) & (F.col("n") >= LEAST))
-    model = best.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "size", "gram"))).where(F.col("place") <= MOST).select("lang", "gram").toArrow()
+    model = best.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "size", "gram"))).where(F.col("place") <= most).select("lang", "gram").toArrow()
     out = LanguageModel(languages)
     lang = np.array(model["lang"].to_pylist(), object)
     gram = model["gram"].to_numpy().view(ts.U)

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import uuid
 
 import duckdb
@@ -466,3 +467,90 @@ def test_mixing_serves_rows_that_share_an_id(spark):
     want = {x.n: x.c for x in served.join(queue, "row").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     got = {x.n: x.c for x in mixing.mix_documents(docs).groupBy(F.least("n", F.lit(100)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     assert got == want
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Words that polynomial hashes modulo 2**64 can't tell apart."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Texts of over a megabyte, words that defeat simple hashes, null and repeated doc_ids."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    long, (a, b) = " ".join(r.choice(vocab) for _ in range(180_000)), thue_morse(2048)
+    passage = " ".join(r.choice(vocab) for _ in range(60))
+    texts = [(1, long), (2, long[: len(long) // 2] + " " + passage), (3, f"{a} x\n{b} x\n{a} x\n" + passage), (4, f"{b} x\n{a} x\n" + passage), (5, a), (6, b), (6, a), (None, b), (None, passage), (7, None), (7, "")]
+    rows = [(i, t, "en", "s", "r", "m", "k") for i, t in texts]
+    return staged(spark.createDataFrame(rows, SCHEMA).repartition(2), "hard")
+
+
+def in_order(rows):
+    return sorted(rows, key=repr)
+
+
+def test_hard_texts(spark, hard):
+    rows = [(r.doc_id, r.text) for r in hard.collect()]
+    lines = lambda t: [x for x in (t or "").split("\n") if words(x)]
+    want = [(i, len(words(t)), len(lines(t)) - len(set(lines(t)))) for i, t in rows]
+    assert in_order((r.doc_id, r.n_words, r.n_dup_lines) for r in quality.repetition_rules(hard).collect()) == in_order(want)
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    ids = [(i, hashlib.sha256(np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert in_order((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(hard, bpe.default_vocabulary()).collect()) == in_order(ids)
+
+    no = 1 << 62
+    first = {}
+    for i, t in sorted(rows, key=lambda r: no if r[0] is None else r[0]):
+        w = words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(hash(tuple(w[k : k + 50])), no if i is None else i)
+    want = []
+    for i, t in rows:
+        w, gone = words(t), set()
+        for k in range(len(w) - 49):
+            if first[hash(tuple(w[k : k + 50]))] < (no if i is None else i):
+                gone.update(range(k, k + 50))
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    assert in_order(map(tuple, substring_dedup.remove_repeats(hard, digest=True).collect())) == in_order(want)
+
+    names = {k: v for k, v in enumerate(rows)}
+    sets = {k: shingles(t, 3) for k, (_, t) in names.items()}
+    groups, _ = brute_components(sets, 90, 100)
+    least = {}
+    for k, (i, _) in names.items():
+        if i is not None:
+            least[groups[k]] = min(i, least.get(groups[k], i))
+    want = [(i, len(sets[k]), i if not sets[k] else least.get(groups[k])) for k, (i, _) in names.items()]
+    assert in_order(map(tuple, ngram_join.near_duplicates(hard, 3, (90, 100)).collect())) == in_order(want)
+
+
+def test_a_word_of_ten_megabytes():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib, v, r = tokenizers.Tokenizer.from_file(bpe.default_vocabulary()), bpe.vocabulary(bpe.default_vocabulary()), random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for text in ("".join(r.choices(letters, k=10_000_000)), "".join(r.choices("ab", k=50_000)) + "=" * 3001, "abcab" * 20_000, "é" * 30_000, " " * 40_000 + "x"):
+        data, began = np.frombuffer(text.encode(), np.uint8), time.time()
+        ids, at = v.encode(data, np.array([0, len(data)]))
+        assert time.time() - began < 60
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+        got = v._whole(np.frombuffer(text[:20_000].encode(), np.uint8)) if " " not in text and "=" not in text[:20_000] else None
+        assert got is None or got.tolist() == lib.encode(text[:20_000], add_special_tokens=False).ids
+
+
+def test_rows_that_share_ids(spark, odd):
+    """op1, op2, op4, op8 and op9 judge every row on its own, null and repeated ids too."""
+    n = odd.count()
+    assert quality.repetition_rules(odd).count() == quality.keep_good(odd).count() + quality.repetition_rules(odd).where("not kept").count() == n
+    assert bpe.round_trip(odd, bpe.default_vocabulary()).groupBy("doc_id").count().where("doc_id is null").first()["count"] == 2
+    manifest = token_shards.write_order(odd, f"/tmp/spark-odd-{uuid.uuid4().hex}", bpe.default_vocabulary(), length=32, rows=4)
+    tokens = sum(len(r.ids) + 1 for r in bpe.tokenized(odd, bpe.default_vocabulary()).collect())
+    assert manifest.agg(F.sum("sequences")).first()[0] == -(-tokens // 32)
+    assert language.identified(odd, language.trained(odd)).where("doc_id is null").count() == 2
+    pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://b.net/fr/"), (None, "x"), (None, None)], "page_id long, url string")
+    got = url_filter.judged(pages, spark.createDataFrame([(1, True), (None, True)], "page_id long, unwanted boolean"))
+    assert in_order((r.page_id, r.verdict) for r in got.collect()) == in_order([(1, "allow"), (1, "block"), (None, "allow"), (None, "allow")])
