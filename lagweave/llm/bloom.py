@@ -13,7 +13,6 @@ no filter and set no bit. An empty table makes a filter that nothing passes.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,8 +133,8 @@ def passes(spark, bits: Bits, key: Column) -> Column:
     """Whether a long passes the filter. Only that column goes to Python."""
     shared = prepared(spark).sparkContext.broadcast((bits.words, bits.places))
 
-    @F.pandas_udf("boolean")
-    def test(k: pd.Series) -> pd.Series:
-        return pd.Series(Bits(*shared.value).has(k.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def test(k: pa.Array) -> pa.Array:
+        return pa.array(Bits(*shared.value).has(k.to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return test(F.coalesce(key, F.lit(0))) & key.isNotNull()

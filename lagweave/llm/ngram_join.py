@@ -36,7 +36,7 @@ from .shared import prepared, staged, table
 NGRAM = 5
 SIMILARITY = (80, 100)
 #: Buckets of n-gram counts: the text's bytes over this, between these powers of two.
-SKETCH_BYTES, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 128, 16, 24
+SKETCH_BYTES, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 256, 16, 24
 SKETCH_CHUNK = 1 << 12
 BINS = 64
 

@@ -1,41 +1,16 @@
-"""What the operators share: words, and tables staged in the cluster's shared folder."""
-
-import uuid
+"""What the operators share: words, and what they use of staging and workers."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import prepared, shared_dir
+from ..staging import dropped, removed, staged  # noqa: F401
+from ..workers import prepared, shared_dir  # noqa: F401
 
 #: A word is a run of other characters than these (regular-expression class body).
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 
 
-def staged(df: DataFrame, tag: str, spent: tuple = ()) -> DataFrame:
-    """df, written once to the shared folder and read back: later jobs, and tasks run again
-    after an executor is lost, all see the same rows. Staged tables in spent are deleted then."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for old in spent:
-        dropped(old)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store holds it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing reads any more."""
-    removed(df.sparkSession, df._staged_at)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
