@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 from lagweave.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from lagweave.llm.shared import prepared, shared_dir
+from lagweave.staging import removed
+from lagweave.workers import prepared, shared_dir
 
 
 def _quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written as Parquet to the shared folder and read again by the next."""
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written as Parquet to the shared folder and read again by the next;
+    what a stage has read is deleted then."""
+    docs, before = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
