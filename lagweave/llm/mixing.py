@@ -69,7 +69,8 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     offered = staged(offered, "offered")
     work = offered.groupBy("step").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     budget = F.floor(F.col("budget") + F.lit(1e-6))
-    reached = offered.join(work, "step").where(F.col("offset") < budget)  # steps behind the budget need no order
+    # steps behind the budget need no order, and don't shuffle for one
+    reached = staged(offered.join(work, "step").where(F.col("offset") < budget), "reached", spent=(offered,))
     inside = W.partitionBy("step").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "key", "row", "pass").rowsBetween(W.unboundedPreceding, -1)
     mixed = reached.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("offset"))
     served = mixed.where(F.col("start") < budget).select("row", "pass", F.least(F.col("size"), budget - F.col("start")).cast("long").alias("words"), "virtual_finish", "start")
