@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .workers import shared_dir
 
 
-def staged(df: DataFrame, tag: str, spent: tuple = ()) -> DataFrame:
+#: Rows of a small table that one task writes.
+ROWS_A_FILE = 250_000
+
+
+def staged(df: DataFrame, tag: str, spent: tuple = (), rows: int | None = None) -> DataFrame:
     """df, written once to the shared folder and read back: later jobs, and tasks run again
-    after an executor is lost, all see the same rows. Staged tables in spent are deleted then."""
+    after an executor is lost, all see the same rows. Staged tables in spent are deleted then. Where
+    the most rows that df can have are known, it is written in as many files as they ask for."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
     for old in spent:
         dropped(old)
     out = spark.read.schema(df.schema).parquet(path)
