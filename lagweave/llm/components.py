@@ -6,29 +6,30 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 
-def _toward_least(edges: DataFrame, larger: bool) -> DataFrame:
+def _toward_least(edges: DataFrame, larger: bool, rows: int) -> DataFrame:
     """(u, v): every node's larger (or smaller) neighbours v tied to the least node of its star."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", rows=2 * rows)
     tied = both.join(least, "u")
     if larger:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return staged(out.where("u != v").distinct(), "stars", spent=(least, edges))
+    return staged(out.where("u != v").distinct(), "stars", spent=(least, edges), rows=3 * rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v): the component's least node, staged. A star
     with a third of all edges is one min per task and a join that can be split. The number of steps
     grows with the logarithm of the longest chain."""
-    now = staged(edges.select("u", "v").where("u != v").distinct(), "edges")
+    rows = edges.count()
+    now = staged(edges.select("u", "v").where("u != v").distinct(), "edges", rows=rows)
     mark = None
     while True:
-        now = _toward_least(_toward_least(now, True), False)
+        now = _toward_least(_toward_least(now, True, rows), False, rows)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(state) == mark:
             break
         mark = tuple(state)
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    return staged(out, "components", spent=(now,))
+    return staged(out, "components", spent=(now,), rows=2 * rows)

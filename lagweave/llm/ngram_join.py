@@ -156,11 +156,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simila
     """The pairs (u, v) of nodes that link. After the suffix filter, both texts come by joins on
     their hashes; only texts that may be in a pair shuffle."""
     num, den = similarity
+    most = pairs.count()
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"b{x}")) for x in "uv")
     shared = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = staged(pairs.join(a, "u").join(b, "v").where(shared.cast("long") * (num + den) >= num * (F.col("nu") + F.col("nv"))).select("u", "v"), "pairs")
+    left = staged(pairs.join(a, "u").join(b, "v").where(shared.cast("long") * (num + den) >= num * (F.col("nu") + F.col("nv"))).select("u", "v"), "pairs", rows=most)
     ends = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
-    ends = staged(ends.join(nodes.select("node", "k1", "k2"), "node"), "ends")
+    ends = staged(ends.join(nodes.select("node", "k1", "k2"), "node"), "ends", rows=2 * most)
     some = _keyed(docs).where(bloom.passes(docs.sparkSession, bloom.members(ends, "k1"), F.col("k1")))
     texts = staged(some.join(ends, ["k1", "k2"]).groupBy("node").agg(F.max("text").alias("text")), "texts", spent=(ends,))
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
@@ -175,7 +176,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simila
                     ok.append(common > 0 and den * common >= num * (len(x) + len(y) - common))
                 yield part.select(["u", "v"]).filter(pa.array(ok))
 
-    return staged(both.mapInArrow(run, "u long, v long"), "links", spent=(left, texts))
+    return staged(both.mapInArrow(run, "u long, v long"), "links", spent=(left, texts), rows=most)
 
 
 def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_link: bool = True):
@@ -194,7 +195,7 @@ def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_
     grams = staged(own.join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "n", F.posexplode("grams").alias("pos", "gram")), "prefixes", spent=(rows,))
     again = staged(grams.where(bloom.passes(spark, bloom.repeated(grams, "gram", bloom.COARSE), F.col("gram"))), "repeated_grams", spent=(grams,))
     hubs = again.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node", "n")).alias("h")).where("k > 1")
-    hubs = staged(hubs.select("gram", "h.*"), "hubs")
+    hubs = staged(hubs.select("gram", "h.*"), "hubs", rows=again.count() // 2)
     groups = staged(again.join(hubs.select("gram"), "gram", "left_semi"), "groups", spent=(again,))
     star = groups.alias("a").join(hubs.alias("b"), F.col("a.gram") == F.col("b.gram")).where((F.col("a.node") != F.col("b.node")) & _fits("a", "b", similarity))
     pair = (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
