@@ -10,6 +10,12 @@ def rolling_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     return starts.withColumn("window_end", F.date_sub(F.add_months("window_start", 12), 1)).where(F.col("window_end") <= F.lit(end).cast("date"))
 
 
+def quarters(rows: DataFrame) -> DataFrame:
+    """(window_start, window_end): a year from each quarter on in which rows has dates."""
+    starts = rows.select(F.to_date(F.date_trunc("quarter", "date")).alias("window_start")).distinct()
+    return starts.withColumn("window_end", F.date_sub(F.add_months("window_start", 12), 1))
+
+
 def oos_windows(windows: DataFrame, days: int = 63) -> DataFrame:
     return windows.withColumn("oos_start", F.date_add("window_end", 1)).withColumn("oos_end", F.date_add("window_end", days))
 

@@ -2,10 +2,13 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from .ranks import average_rank_pct
+
 
 def latest_snapshot(edges: DataFrame, date: str = "as_of_date") -> DataFrame:
     """Rows of the newest date: a one-row aggregate that is joined, so partitions can be pruned."""
@@ -103,7 +106,7 @@ def signal_recs(edges: DataFrame, meta: DataFrame, holdings: DataFrame, min_scor
     share = holdings.join(meta, "ticker").groupBy("sector").agg(F.count(F.lit(1)).alias("held"))
     total = holdings.agg(F.count(F.lit(1)).alias("n"))
     ends = per.agg(F.max("links").alias("max_links"), (F.max("centrality") > 0).alias("has_centrality"))
-    x = per.join(F.broadcast(share), "sector", "left").join(F.broadcast(total)).join(F.broadcast(ends))
+    x = per.join(share, "sector", "left").join(F.broadcast(total)).join(F.broadcast(ends))
     w = F.when(F.col("has_centrality"), 0.40).otherwise(0.50)
     score = w * F.coalesce("signal", F.lit(0.0)) + 0.15 * F.least("life", F.lit(252.0)) / 252 * 100 + 0.15 * F.col("links") / F.col("max_links") * 100 + 0.20 * (1 - F.coalesce("held", F.lit(0)) / F.col("n")) * 100 + F.when(F.col("has_centrality"), 0.10 * F.col("centrality") * 100).otherwise(0.0)
     way = F.when(F.col("all_lead"), "leads").when(F.col("any_leads"), "both").otherwise("follows")
@@ -113,7 +116,7 @@ def signal_recs(edges: DataFrame, meta: DataFrame, holdings: DataFrame, min_scor
 def independent_recs(edges: DataFrame, meta: DataFrame, holdings: DataFrame, min_score: float, limit: int = 10) -> DataFrame:
     free = unconnected(edges, meta, holdings, min_score)
     held = holdings.join(meta, "ticker").select("sector").distinct().withColumn("has", F.lit(True))
-    x = free.join(meta.select("ticker", "sector"), "ticker").join(F.broadcast(held), "sector", "left").join(node_centrality(edges).select("ticker", "centrality"), "ticker", "left")
+    x = free.join(meta.select("ticker", "sector"), "ticker").join(held, "sector", "left").join(node_centrality(edges).select("ticker", "centrality"), "ticker", "left")
     return x.select("ticker", (0.7 * F.when(F.col("has"), 0.0).otherwise(1.0) + 0.3 * F.coalesce("centrality", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "ticker").limit(limit)
 
 
@@ -133,20 +136,22 @@ def eigen_centrality(graph: DataFrame, rounds: int = 20) -> DataFrame:
     """Power iteration on A + I of the undirected graph (of two edges between the same nodes the
     heavier stays), L2 norm. Each round's vector is cut from its lineage."""
     u = graph.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("w"))
-    both = u.select("a", "b", "w").unionByName(u.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).persist()
+    both = u.select("a", "b", "w").unionByName(u.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = staged(both, "links")
     x = both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))
     for _ in range(rounds):
         near = both.join(x, F.col("b") == F.col("node")).groupBy("a").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
         y = x.join(near, F.col("node") == F.col("a"), "left").select("node", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y"))
         x = y.join(F.broadcast(y.agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("norm")))).select("node", (F.col("y") / F.col("norm")).alias("x"))
-        x = cut(x)
+        x = staged(x, "eigen")
     return x.withColumnRenamed("x", "centrality")
 
 
 def pagerank(graph: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Weighted; the mass of nodes without out-edges is shared by all."""
     out = graph.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = graph.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")).persist()
+    links = graph.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+    links = staged(links, "links")
     nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
     nodes = nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"))
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
@@ -155,17 +160,10 @@ def pagerank(graph: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
         into = links.join(r.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
         loose = r.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"))
         r = r.join(into, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose)).select("node", "dangling", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("rank"))
-        r = cut(r)
+        r = staged(r, "ranks")
     return r.select("node", "rank")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint where a folder is set, else kept in the plan's cache."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
-
-
 def net_leadership(graph: DataFrame) -> DataFrame:
     both = graph.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(graph.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     s = both.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
@@ -178,14 +176,37 @@ def network_payload(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.unionByName(graph.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("value")))
 
 
+def nearest_price(prices: DataFrame, target: DataFrame, days: int = 7) -> DataFrame:
+    """(ticker, past_date, past_close): the close nearest to target's one date, within so many days on
+    either side; of two equally near the earlier."""
+    gap = F.abs(F.datediff("date", F.col("__target")))
+    near = prices.join(F.broadcast(target.toDF("__target"))).withColumn("gap", gap).where(F.col("gap") <= days)  # one row
+    return near.groupBy("ticker").agg(F.min_by(F.struct("date", "close"), F.struct("gap", "date")).alias("p")).select("ticker", F.col("p.date").alias("past_date"), F.col("p.close").alias("past_close"))
+
+
+def momentum(prices: DataFrame, back: int = 182, days: int = 7) -> DataFrame:
+    """(ticker, momentum_return, momentum): the latest close over that of half a year before, and its
+    average-rank percentile."""
+    target = prices.agg(F.date_sub(F.max("date"), back).alias("d"))
+    latest = prices.groupBy("ticker").agg(F.max_by("close", "date").alias("latest"))
+    both = latest.join(nearest_price(prices, target, days), "ticker", "left").withColumn("momentum_return", F.round(F.try_divide("latest", "past_close") - 1 + 1e-12, 9))
+    return average_rank_pct(both, "momentum_return", "momentum").select("ticker", "momentum_return", F.round(F.col("momentum") * 100 + 1e-9, 2).alias("momentum"))
+
+
+def centrality_score(edges: DataFrame) -> DataFrame:
+    nodes = average_rank_pct(node_centrality(edges).select("ticker", "centrality"), "centrality", "score")
+    return nodes.select("ticker", F.round(F.col("score") * 100 + 1e-9, 2).alias("centrality"))
+
+
 def quality_scores(meta: DataFrame, momentum: DataFrame, fundamental: DataFrame, centrality: DataFrame, vol: DataFrame) -> DataFrame:
+    """metadata with every score that a ticker has."""
     return reduce(lambda a, b: a.join(b, "ticker", "left"), [momentum, fundamental, centrality, vol], meta)
 
 
 def quality_picks(scores: DataFrame, held_sectors: DataFrame, holdings: DataFrame, limit: int = 10) -> DataFrame:
-    """Weighted factors without the holdings; the two strongest factors are named."""
-    x = scores.join(holdings, "ticker", "left_anti").join(F.broadcast(held_sectors.withColumn("has", F.lit(True))), "sector", "left")
-    parts = {"momentum": (0.35, F.coalesce("momentum", F.lit(50.0))), "fundamental": (0.25, F.coalesce("fundamental", F.lit(50.0))), "diversity": (0.20, F.when(F.col("has"), 0.0).otherwise(100.0)), "volatility": (0.10, F.coalesce("vol_fit", F.lit(50.0))), "centrality": (0.10, F.coalesce("centrality", F.lit(0.0)) * 100)}
+    """Weighted factors, of 0 to 100 each, without the holdings; the two strongest factors are named."""
+    x = scores.join(holdings, "ticker", "left_anti").join(held_sectors.withColumn("has", F.lit(True)), "sector", "left")
+    parts = {"momentum": (0.35, F.coalesce("momentum", F.lit(50.0))), "fundamental": (0.25, F.coalesce("fundamental", F.lit(50.0))), "diversity": (0.20, F.when(F.col("has"), 0.0).otherwise(100.0)), "volatility": (0.10, F.coalesce("vol_fit", F.lit(50.0))), "centrality": (0.10, F.coalesce("centrality", F.lit(0.0)))}
     score = sum((w * c for w, c in parts.values()), F.lit(0.0))
     best = F.array_sort(F.array(*[F.struct((-F.round(w * c, 6)).alias("v"), F.lit(k).alias("k")) for k, (w, c) in parts.items()]))
     return x.select("ticker", F.round(score + 1e-9, 4).alias("score"), F.concat_ws(" and ", best[0]["k"], best[1]["k"]).alias("why")).orderBy(F.desc("score"), "ticker").limit(limit)
@@ -193,15 +214,22 @@ def quality_picks(scores: DataFrame, held_sectors: DataFrame, holdings: DataFram
 
 def sector_breakdown(weights: DataFrame) -> DataFrame:
     g = weights.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
-    return g.withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy()))
+    return g.join(F.broadcast(g.agg(F.sum("weight").alias("__w")))).withColumn("share", F.col("weight") / F.col("__w")).drop("__w")  # one row
 
 
 def candidate_pool(edges: DataFrame, holdings: DataFrame, ceiling: float, limit: int = 150) -> DataFrame:
     """Stocks weakly linked to at least half of the holdings, the least linked first."""
-    n = max(1, holdings.count() // 2)
+    least = holdings.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2)).alias("__least"))
     links = both_ends(edges.where(F.col("mean_dcor") <= ceiling)).join(holdings.select(F.col("ticker").alias("other")), "other", "left_semi").join(holdings, "ticker", "left_anti")
-    g = links.groupBy("ticker").agg(F.count_distinct("other").alias("links"), F.avg("mean_dcor").alias("avg_dcor"), F.min("mean_dcor").alias("min_dcor")).where(F.col("links") >= n)
-    return g.orderBy("avg_dcor", "ticker").limit(limit)
+    g = links.groupBy("ticker").agg(F.count_distinct("other").alias("links"), F.avg("mean_dcor").alias("avg_dcor"), F.min("mean_dcor").alias("min_dcor"))
+    return g.join(F.broadcast(least), F.col("links") >= F.col("__least")).drop("__least").orderBy(F.round("avg_dcor", 9), "ticker").limit(limit)  # one row
+
+
+def pick_per_sector(candidates: DataFrame, *order: str) -> DataFrame:
+    """Of each known sector the candidate that comes first by the given columns, then by ticker."""
+    by = F.struct(*[F.round(c, 9) for c in order], F.col("ticker"))
+    rest = [c for c in candidates.columns if c != "sector"]
+    return candidates.where("sector is not null and sector != 'Unknown'").groupBy("sector").agg(F.min_by(F.struct(*rest), by).alias("p")).select("sector", "p.*")
 
 
 def pairwise_distance(points: DataFrame, vector: str, key: str) -> DataFrame:
@@ -211,41 +239,107 @@ def pairwise_distance(points: DataFrame, vector: str, key: str) -> DataFrame:
     return d.join(F.broadcast(d.agg(F.max("dist").alias("__m")))).select("a", "b", (F.col("dist") / F.col("__m")).alias("dist"))
 
 
-def kmedoids(dist: DataFrame, k: int, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """(point, medoid) by alternating assignment and medoid update; the first medoids are the k
-    points with the smallest keyed hash. dist has all ordered pairs a != b."""
-    points = dist.select(F.col("a").alias("p")).distinct()
-    medoids = points.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("p").cast("string"))), "p").limit(k).select(F.col("p").alias("m"))
-    own = lambda m: m.select(F.col("m").alias("a"), F.col("m").alias("b"), F.lit(0.0).alias("dist"))
+def feature_matrix(links: DataFrame, features: list, sectors: list) -> DataFrame:
+    """(ticker, features, a column sector_<name> a sector): the median of each feature over a stock's
+    links, the median of the stocks where it has none; its most frequent sector, one-hot."""
+    per = links.groupBy("ticker").agg(*[F.percentile(c, 0.5).alias(c) for c in features], F.mode("sector", deterministic=True).alias("sector"))
+    middle = per.agg(*[F.percentile(c, 0.5).alias(f"__{c}") for c in features])
+    filled = per.join(F.broadcast(middle)).select("ticker", "sector", *[F.coalesce(c, f"__{c}").alias(c) for c in features])  # one row
+    return filled.select("ticker", *features, *[F.coalesce((F.col("sector") == x).cast("double"), F.lit(0.0)).alias(f"sector_{x}") for x in sectors])
+
+
+def _hash(*parts) -> Column:
+    return F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
+
+
+def kmedoids(dist: DataFrame, ks: list, runs: int = 5, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """(k, point, medoid, inertia): for every k the run with the least inertia (sum of distances to the
+    medoids). dist(a, b, dist) has all ordered pairs a != b of a bounded set of candidates.
+
+    All k and runs go through the same steps side by side. The first medoid of a run has the least
+    keyed hash; each further one is drawn with a chance in proportion to the squared distance to the
+    nearest medoid so far: it has the least -ln(u) / d², u from the keyed hash. Then assignment and
+    the choice of each cluster's middle alternate. Ties go to the smaller point."""
+    spark = dist.sparkSession
+    dist = staged(dist.select("a", "b", "dist").unionByName(dist.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("dist"))), "distances")
+    points = dist.where("a = b").select(F.col("a").alias("p"))
+    tries = spark.createDataFrame([(k, r) for k in ks for r in range(runs)], "k int, run int")
+    u = lambda step: (F.conv(F.substring(_hash(F.lit(seed), F.col("k"), F.col("run"), F.lit(step), F.col("p")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    every = staged(tries.join(points), "tries")  # as many rows as k, runs and candidates
+    medoids = staged(every.groupBy("k", "run").agg(F.min_by("p", F.struct(u(1), "p")).alias("m")), "medoids")
+    for step in range(2, max(ks) + 1):
+        near = dist.join(medoids.where(F.col("k") >= step), F.col("b") == F.col("m")).groupBy("k", "run", F.col("a").alias("p")).agg(F.min("dist").alias("d")).where("d > 0")
+        more = near.groupBy("k", "run").agg(F.min_by("p", F.struct(F.round(-F.log(u(step)) / (F.col("d") * F.col("d")), 9), "p")).alias("m"))
+        medoids = staged(medoids.unionByName(more), "medoids", spent=(medoids,))
+
+    def assigned():
+        near = dist.join(medoids, F.col("b") == F.col("m")).groupBy("k", "run", F.col("a").alias("point"))
+        return near.agg(F.min_by(F.struct("m", "dist"), F.struct(F.round("dist", 9), "m")).alias("n")).select("k", "run", "point", F.col("n.m").alias("medoid"), F.col("n.dist").alias("dist"))
+
     for _ in range(rounds):
-        near = dist.join(F.broadcast(medoids), F.col("b") == F.col("m"), "left_semi").unionByName(own(medoids))
-        assigned = cut(near.groupBy(F.col("a").alias("point")).agg(F.min_by("b", F.struct("dist", "b")).alias("medoid")))
-        x = assigned.select(F.col("point").alias("a"), F.col("medoid").alias("ma"))
-        y = assigned.select(F.col("point").alias("b"), F.col("medoid").alias("mb"))
-        inner = dist.join(x, "a").join(y, "b").where("ma = mb").groupBy("ma", "a").agg(F.sum("dist").alias("s"))
-        alone = x.groupBy("ma").agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("n")).where("n = 1").select("ma", "a", F.lit(0.0).alias("s"))
-        medoids = cut(inner.unionByName(alone).groupBy("ma").agg(F.min_by("a", F.struct("s", "a")).alias("m")).select("m"))
-    near = dist.join(F.broadcast(medoids), F.col("b") == F.col("m"), "left_semi").unionByName(own(medoids))
-    return near.groupBy(F.col("a").alias("point")).agg(F.min_by("b", F.struct("dist", "b")).alias("medoid"))
+        own = staged(assigned(), "assigned")
+        x, y = own.select("k", "run", "medoid", F.col("point").alias("a")), own.select("k", "run", "medoid", F.col("point").alias("b"))
+        inner = x.join(y, ["k", "run", "medoid"]).join(dist, ["a", "b"]).groupBy("k", "run", "medoid", "a").agg(F.sum("dist").alias("s"))
+        middle = inner.groupBy("k", "run", "medoid").agg(F.min_by("a", F.struct(F.round("s", 9), "a")).alias("m")).select("k", "run", "m")
+        medoids = staged(middle, "medoids", spent=(medoids, own))
+    own = staged(assigned(), "assigned")
+    total = own.groupBy("k", "run").agg(F.sum("dist").alias("inertia"))
+    best = total.groupBy("k").agg(F.min_by(F.struct("run", "inertia"), F.struct(F.round("inertia", 9), "run")).alias("r")).select("k", "r.*")
+    return staged(own.join(best, ["k", "run"]).select("k", "point", "medoid", "inertia"), "clusters", spent=(own, medoids, every))
+
+
+def cluster_sweep(dist: DataFrame, clusters: DataFrame, min_size: int = 2, most: float = 0.5) -> DataFrame:
+    """Per k of clusters(k, point, medoid, inertia): sizes, validity, whether a cluster is oversized,
+    balance, and the silhouette of valid ones."""
+    size = clusters.groupBy("k", "medoid").agg(F.count(F.lit(1)).alias("n"), F.max("inertia").alias("inertia"))
+    per = size.groupBy("k").agg(F.max("inertia").alias("inertia"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.try_divide(F.stddev_pop("n"), F.avg("n")).alias("balance_cv"), F.sum("n").alias("points"))
+    score = _silhouettes(dist, clusters.select("k", "point", F.col("medoid").alias("label")), ["k"]).groupBy("k").agg(F.avg("s").alias("silhouette"))
+    per = per.join(score, "k").withColumn("valid", F.col("min_size") >= min_size).withColumn("oversized", F.col("max_size") > F.col("points") * most)
+    return per.withColumn("silhouette", F.when(F.col("valid"), F.col("silhouette"))).drop("points")
+
+
+def _silhouettes(dist: DataFrame, labels: DataFrame, keys: list) -> DataFrame:
+    """(keys, point, s): (b - a) / max(a, b) of every point; 0 where it is alone."""
+    x, y = labels.select(*keys, F.col("point").alias("a"), F.col("label").alias("la")), labels.select(*keys, F.col("point").alias("b"), F.col("label").alias("lb"))
+    mean = dist.join(x, "a").join(y, [*keys, "b"]).groupBy(*keys, "a", "la", "lb").agg(F.avg("dist").alias("d"))
+    per = mean.groupBy(*keys, "a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
+    s = F.when(F.col("own").isNull(), 0.0).otherwise(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")))
+    return per.select(*keys, F.col("a").alias("point"), s.alias("s"))
 
 
 def silhouette(dist: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean (b - a) / max(a, b) over points, with sizes: labels(point, label)."""
-    x, y = labels.select(F.col("point").alias("a"), F.col("label").alias("la")), labels.select(F.col("point").alias("b"), F.col("label").alias("lb"))
-    mean = dist.join(x, "a").join(y, "b").groupBy("a", "la", "lb").agg(F.avg("dist").alias("d"))
-    per = mean.groupBy("a", "la").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
-    s = F.when(F.col("own").isNull(), 0.0).otherwise(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")))
+    """Mean silhouette of one labelling, with sizes: labels(point, label)."""
     size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("min_size"), F.try_divide(F.stddev_pop("n"), F.avg("n")).alias("balance_cv"), F.count(F.lit(1)).alias("k"))
-    return per.agg(F.avg(s).alias("silhouette")).join(size)
+    return _silhouettes(dist, labels, []).agg(F.avg("s").alias("silhouette")).join(size)
 
 
-def elbow_k(inertia: DataFrame) -> DataFrame:
-    """The larger of the k with the largest second difference and the first k whose drop is under
-    0.45 of the drop before: inertia(k, inertia), a few rows."""
+def elbow_k(sweep: DataFrame, sensitivity: float = 0.45) -> DataFrame:
+    """One row k, over the valid rows of sweep(k, inertia, valid), a few: the larger of the k with the
+    largest second difference of drops (never negative) and the first whose drop is under sensitivity
+    of the drop before; with fewer than three, the first."""
     w = W.orderBy("k")
-    d = inertia.withColumn("drop", F.lag("inertia").over(w) - F.col("inertia"))
-    e = d.withColumn("second", F.col("drop") - F.lead("drop").over(w)).withColumn("ratio", F.try_divide("drop", F.lag("drop").over(w)))
-    return e.agg(F.greatest(F.max_by("k", F.when(F.col("second").isNotNull(), F.struct("second", -F.col("k")))), F.min(F.when(F.col("ratio") < 0.45, F.col("k")))).alias("k"))
+    d = sweep.where("valid").select("k", "inertia").withColumn("drop", F.greatest(F.col("inertia") - F.lead("inertia").over(w), F.lit(0.0)))
+    d = d.withColumn("before", F.lag("drop").over(w))
+    accel = F.max_by("k", F.when(F.col("before").isNotNull() & F.col("drop").isNotNull(), F.struct(F.round(F.col("before") - F.col("drop"), 9), -F.col("k"))))
+    sense = F.min(F.when((F.col("before") > 0) & (F.col("drop") / F.col("before") < sensitivity), F.col("k")))
+    return d.agg(F.when(F.count(F.lit(1)) < 3, F.min("k")).otherwise(F.greatest(accel, sense)).alias("k"))
+
+
+def chosen_k(sweep: DataFrame, elbow: DataFrame, picks: DataFrame) -> DataFrame:
+    """One row k: of the valid ones from the elbow on (or all, if none is) that with picks in most
+    sectors, then the best silhouette, then the smallest. picks(k, sector, ...) has the picks of each k."""
+    sectors = picks.groupBy("k").agg(F.count_distinct("sector").alias("sectors"))
+    rows = sweep.where("valid").join(sectors, "k").join(F.broadcast(elbow.toDF("__elbow")))  # one row
+    order = F.struct((F.col("k") >= F.col("__elbow")).alias("past"), "sectors", F.round("silhouette", 9).alias("s"), -F.col("k"))
+    return rows.agg(F.max_by("k", order).alias("k"))
+
+
+def cluster_quality(picks: DataFrame, ceiling: float, min_sectors: int = 6) -> DataFrame:
+    """One row: sectors, picks over the dCor ceiling, and whether every sector has one pick, there are
+    enough sectors and no pick is over the ceiling."""
+    over = F.count_if(F.col("avg_dcor") > ceiling)
+    good = (F.count_distinct("sector") == F.count(F.lit(1))) & (F.count_distinct("sector") >= min_sectors) & (over == 0)
+    return picks.agg(F.count_distinct("sector").alias("n_sectors"), over.alias("n_over"), good.alias("ok"))
 
 
 def compare_picks(a: DataFrame, b: DataFrame) -> DataFrame:

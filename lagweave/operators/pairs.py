@@ -1,4 +1,12 @@
-"""Pairs of series: generation, alignment, lagged dependence."""
+"""Pairs of series: generation, alignment, lagged dependence, permutation tests.
+
+A series is one row: its keys, its days and its values as arrays in order of days. Its length is
+bounded by a window's. Pairs join two such rows, so what shuffles is a row per pair and window and
+not one per date; alignment and lags happen on the arrays inside Arrow batches. Every operator
+takes rows of `paired` and keeps the keys it finds there (window_start, if series had it).
+"""
+
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -6,11 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from ..workers import prepared
+
+ENDS = ["ticker_i", "ticker_j"]
+ARRAYS = ["xd", "xv", "yd", "yv"]
 
-def all_pairs(tickers: DataFrame) -> DataFrame:
-    """Every unordered pair, the smaller ticker first."""
+
+def all_pairs(tickers: DataFrame, direction: str = "canonical") -> DataFrame:
+    """Every unordered pair, the smaller ticker first; with direction 'both', each order."""
     a, b = (tickers.select(F.col("ticker").alias(f"ticker_{x}")) for x in "ij")
-    return a.join(b, F.col("ticker_i") < F.col("ticker_j"))
+    return a.join(b, F.col("ticker_i") < F.col("ticker_j") if direction == "canonical" else F.col("ticker_i") != F.col("ticker_j"))
 
 
 def sector_pairs(meta: DataFrame) -> DataFrame:
@@ -20,28 +34,91 @@ def sector_pairs(meta: DataFrame) -> DataFrame:
     return a.join(b, "sector").where("ticker_i < ticker_j")
 
 
-def aligned(series: DataFrame, pairs: DataFrame, value: str = "log_return", min_obs: int = 20) -> DataFrame:
-    """(ticker_i, ticker_j, date, x, y, pos): both series on their common dates, at least min_obs,
-    numbered by position."""
-    s = series.where(F.col(value).isNotNull())
-    x = s.select(F.col("ticker").alias("ticker_i"), "date", F.col(value).alias("x"))
-    y = s.select(F.col("ticker").alias("ticker_j"), "date", F.col(value).alias("y"))
-    both = pairs.select("ticker_i", "ticker_j").join(x, "ticker_i").join(y, ["ticker_j", "date"])
-    w = W.partitionBy("ticker_i", "ticker_j")
-    return both.withColumn("pos", F.row_number().over(w.orderBy("date"))).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_obs)
+def series_arrays(series: DataFrame, value: str = "log_return", keys=()) -> DataFrame:
+    """(keys, ticker, d, v): a row per series, its days as numbers and its values in order."""
+    some = series.where(F.col(value).isNotNull())
+    point = F.struct(F.unix_date("date").alias("d"), F.col(value).cast("double").alias("v"))
+    s = some.groupBy(*keys, "ticker").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    return s.select(*keys, "ticker", F.col("s.d").alias("d"), F.col("s.v").alias("v"))
+
+
+def paired(arrays: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs with both ends' series. Keys that pairs has as well (window_start) must agree."""
+    keys = [c for c in arrays.columns if c not in ("ticker", "d", "v")]
+    x, y = (arrays.select(*keys, F.col("ticker").alias(f"ticker_{e}"), F.col("d").alias(f"{n}d"), F.col("v").alias(f"{n}v")) for e, n in (("i", "x"), ("j", "y")))
+    return pairs.join(x, ["ticker_i", *(k for k in keys if k in pairs.columns)]).join(y, ["ticker_j", *keys])
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """A list column as one array a row, cut from its flat buffer."""
+    col = batch.column(name)
+    at = np.asarray(col.offsets)
+    return np.split(np.asarray(col.values)[at[0] : at[-1]], at[1:-1] - at[0]) if len(col) else []
+
+
+def _common(batch: pa.RecordBatch, min_obs: int):
+    """(row, days, x, y) of each row's common days, if there are min_obs."""
+    for i, (xd, xv, yd, yv) in enumerate(zip(*(_lists(batch, c) for c in ARRAYS))):
+        days, a, b = np.intersect1d(xd, yd, assume_unique=True, return_indices=True)
+        if len(days) >= min_obs:
+            yield i, days, xv[a], yv[b]
+
+
+def _lagged(batch: pa.RecordBatch, min_obs: int, guard: int, lags=None):
+    """(row, lag, x, y with y `lag` positions later) for every lag, or each row's own, that leaves
+    more than guard rows."""
+    own = batch.column("lag").to_pylist() if lags is None else None
+    for i, _, x, y in _common(batch, min_obs):
+        for lag in lags if own is None else [own[i]]:
+            if len(x) > lag + guard:
+                yield i, lag, x[: len(x) - lag], y[lag:]
+
+
+def _keys(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ARRAYS]
+
+
+def _mapped(rows: DataFrame, run, extra: str, keep: list[str] | None = None) -> DataFrame:
+    """rows through run(batch, take), where take(row numbers, columns) makes a batch with the keys."""
+    prepared(rows.sparkSession)
+    keep = _keys(rows) if keep is None else keep
+    names = [x.split()[0] for x in extra.split(", ")]
+
+    def each(batches):
+        for batch in batches:
+            of, cols = run(batch)
+            if len(of):
+                of = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in keep] + [pa.array(c) if not isinstance(c, pa.Array) else c for c in cols], [*keep, *names])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes)
+    return rows.mapInArrow(each, f"{schema}, {extra}")
+
+
+def _flat(parts: list, kind) -> np.ndarray:
+    return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
 
 
-def lagged(rows: DataFrame, lags, guard: int = 4) -> DataFrame:
-    """Each aligned row's x with y `lag` positions later, for every lag shorter than the series."""
-    w = W.partitionBy("ticker_i", "ticker_j").orderBy("pos")
-    some = rows.select("ticker_i", "ticker_j", "pos", "n", "x", F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("y", k).over(w).alias("y")) for k in lags]).alias("later"))
-    return some.select("ticker_i", "ticker_j", "pos", "n", "x", F.inline("later")).where((F.col("n") > F.col("lag") + guard) & F.col("y").isNotNull())
+def aligned(rows: DataFrame, min_obs: int = 20) -> DataFrame:
+    """(keys, date, x, y, pos, n): both series on their common dates, at least min_obs, numbered."""
 
+    def run(batch):
+        got = list(_common(batch, min_obs))
+        n = [len(d) for _, d, _, _ in got]
+        return np.repeat([i for i, *_ in got], n) if got else [], [pa.array(_flat([d for _, d, _, _ in got], np.int32)).cast(pa.date32()), _flat([x for *_, x, _ in got], float), _flat([y for *_, y in got], float), _flat([np.arange(1, k + 1) for k in n], np.int32), np.repeat(np.array(n, np.int64), n)]
 
-def pearson_lag(rows: DataFrame, lags) -> DataFrame:
-    """Signed correlation at each lag; null where a side hardly varies."""
-    flat = (F.stddev_pop("x") < 1e-10) | (F.stddev_pop("y") < 1e-10)
-    return lagged(rows, lags).groupBy("ticker_i", "ticker_j", "lag").agg(F.count(F.lit(1)).alias("obs"), F.when(flat, None).otherwise(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("pearson"))
+    return _mapped(rows, run, "date date, x double, y double, pos int, n long")
+
+
+def lagged(rows: DataFrame, lags, min_obs: int = 20, guard: int = 4) -> DataFrame:
+    """(keys, lag, pos, x, y): each aligned x with the y `lag` positions later."""
+
+    def run(batch):
+        got = list(_lagged(batch, min_obs, guard, lags))
+        n = [len(x) for _, _, x, _ in got]
+        return np.repeat([g[0] for g in got], n) if got else [], [np.repeat(np.array([g[1] for g in got], np.int32), n), _flat([np.arange(1, k + 1) for k in n], np.int32), _flat([g[2] for g in got], float), _flat([g[3] for g in got], float)]
+
+    return _mapped(rows, run, "lag int, pos int, x double, y double")
 
 
 def _row_means(x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -55,40 +132,58 @@ def _row_means(x: np.ndarray) -> tuple[np.ndarray, float]:
     return out, float(out.mean())
 
 
+class Distances:
+    """What distance covariance needs of two series: dCov² = mean(a·b) - 2 mean(ā·b̄) + mean(a) mean(b).
+    Only the first term needs all distances; the squares' mean is twice the variance."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y, self.n = x, y, len(x)
+        (self.ax, self.mx), (self.ay, self.my) = _row_means(x), _row_means(y)
+        vx, vy = (2 * float(v.var()) - 2 * float((m * m).mean()) + u * u for v, m, u in ((x, self.ax, self.mx), (y, self.ay, self.my)))
+        self.scale = float(np.sqrt(vx * vy)) if vx > 1e-14 and vy > 1e-14 else 0.0
+
+    def ratios(self, order: np.ndarray) -> np.ndarray:
+        """dCov² over its scale for x in each of the orders (a row each): distances are taken
+        between positions d apart, for all orders at once, so nothing has n² elements."""
+        x, total = self.x[order], np.zeros(len(order))
+        room = np.empty((len(order), self.n))
+        for d in range(1, self.n):
+            gap = np.subtract(x[:, d:], x[:, : self.n - d], out=room[:, : self.n - d])
+            np.abs(gap, out=gap)
+            total += gap @ np.abs(self.y[d:] - self.y[: self.n - d])
+        return (2 * total / self.n**2 - 2 * (self.ax[order] @ self.ay) / self.n + self.mx * self.my) / self.scale
+
+    def correlation(self) -> float:
+        return float(np.sqrt(min(1.0, max(0.0, float(self.ratios(np.arange(self.n)[None])[0]))))) if self.scale else 0.0
+
+
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """dCov² = mean(a·b) - 2 mean(ā·b̄) + mean(a) mean(b). Only the mixed term needs all distances,
-    made in blocks of rows; the squares' mean is twice the variance."""
-    n = len(x)
-    if n < 4:
-        return 0.0
-    (ax, mx), (ay, my) = _row_means(x), _row_means(y)
-    ab = 0.0
-    for lo in range(0, n, 256):
-        a, b = np.abs(x[lo : lo + 256, None] - x), np.abs(y[lo : lo + 256, None] - y)
-        ab += float((a * b).sum())
-    cov = ab / n**2 - 2 * float((ax * ay).mean()) + mx * my
-    vx, vy = (2 * float(v.var()) - 2 * float((m * m).mean()) + u * u for v, m, u in ((x, ax, mx), (y, ay, my)))
-    if vx <= 1e-14 or vy <= 1e-14:
-        return 0.0
-    return float(np.sqrt(min(1.0, max(0.0, cov / np.sqrt(vx * vy)))))
-
-
-def pair_arrays(rows: DataFrame, lags) -> DataFrame:
-    """One row per pair and lag with both series as arrays in order; bounded by a window's length."""
-    return lagged(rows, lags).groupBy("ticker_i", "ticker_j", "lag").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("s")).select("ticker_i", "ticker_j", "lag", F.col("s.x").alias("x"), F.col("s.y").alias("y"))
-
-
-def dcor(arrays: DataFrame) -> DataFrame:
-    """Distance correlation of the arrays x and y of every row, in Arrow batches."""
-    keys = [c for c in arrays.columns if c not in ("x", "y")]
-
-    def run(batches):
-        for batch in batches:
-            got = [distance_correlation(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keys] + [pa.array(got, pa.float64())], [*keys, "dcor"])
+    return Distances(x, y).correlation() if len(x) >= 4 else 0.0
+
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in arrays.select(*keys).dtypes)
-    return arrays.mapInArrow(run, schema + ", dcor double")
+def _pearson(x: np.ndarray, y: np.ndarray) -> float | None:
+    sx, sy = float(x.std()), float(y.std())
+    return None if sx < 1e-10 or sy < 1e-10 else float(((x - x.mean()) * (y - y.mean())).mean() / (sx * sy))
+
+
+def pearson_lag(rows: DataFrame, lags, min_obs: int = 20) -> DataFrame:
+    """(keys, lag, obs, pearson): signed correlation at each lag; null where a side hardly varies."""
+
+    def run(batch):
+        got = [(i, lag, len(x), _pearson(x, y)) for i, lag, x, y in _lagged(batch, min_obs, 4, lags)]
+        return [g[0] for g in got], [pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.float64())]
+
+    return _mapped(rows, run, "lag int, obs long, pearson double")
+
+
+def dcor_lag(rows: DataFrame, lags=None, min_obs: int = 20) -> DataFrame:
+    """(keys, lag, obs, dcor) at each lag, or at each row's own lag if lags aren't given."""
+
+    def run(batch):
+        got = [(i, lag, len(x), distance_correlation(x, y)) for i, lag, x, y in _lagged(batch, min_obs, 4, lags)]
+        return [g[0] for g in got], [pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.float64())]
+
+    return _mapped(rows, run, "lag int, obs long, dcor double", [c for c in _keys(rows) if c != "lag"])
 
 
 def sharpness(profile: DataFrame, keys: list, form: str = "entropy") -> DataFrame:
@@ -103,51 +198,84 @@ def sharpness(profile: DataFrame, keys: list, form: str = "entropy") -> DataFram
 
 def best_lag(profile: DataFrame, keys: list, value: str = "dcor") -> DataFrame:
     """The lag with the greatest value, the smallest on ties."""
-    return profile.groupBy(*keys).agg(F.max_by(F.struct("lag", value), F.struct(F.col(value), -F.col("lag"))).alias("b")).select(*keys, F.col("b.lag").alias("best_lag"), F.col(f"b.{value}").alias(value))
-
-
-def block_shuffled(arrays: DataFrame, permutations: int, seed: int, block: int = 5, first: int = 0) -> DataFrame:
-    """Each row's x with its blocks in an order drawn by md5 of (seed, pair, lag, permutation,
-    block): rows (…, perm, x, y). The same draws come out anywhere."""
-    n_blocks = F.ceil(F.size("x") / block).cast("int")
-    with_perm = arrays.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(first + permutations - 1)))).withColumn("blocks", F.sequence(F.lit(0), n_blocks - 1))
-    key = lambda b: F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("ticker_i"), F.col("ticker_j"), F.col("lag").cast("string"), F.col("perm").cast("string"), b.cast("string")))
-    drawn = F.array_sort(F.transform("blocks", lambda b: F.struct(key(b).alias("k"), b.alias("b"))))
-    parts = F.flatten(F.transform(drawn, lambda d: F.slice("x", d["b"] * block + 1, block)))
-    return with_perm.withColumn("x", parts).drop("blocks")
-
-
-def permutation_p(arrays: DataFrame, tiers=((100, 0.20), (500, 0.10), (1000, None)), floor: float = 0.05, seed: int = 7) -> DataFrame:
-    """(ticker_i, ticker_j, lag, dcor, p_value, permutations). Pairs under the floor get p = 1 with
-    no permutation. Each tier tops up to its count the pairs that the tier before let through, as
-    rows of their own: survivors are dealt out again before every tier."""
-    keys = ["ticker_i", "ticker_j", "lag"]
-    arrays = arrays.persist()
-    observed = dcor(arrays).persist()
-    left = arrays.join(observed, keys).where(F.col("dcor") >= floor).withColumn("hits", F.lit(0).cast("long")).persist()
-    out = observed.where(F.col("dcor") < floor).select(*keys, "dcor", F.lit(1.0).alias("p_value"), F.lit(0).alias("permutations"))
-    done = 0
+    best = F.max_by(F.struct("lag", value), F.struct(F.round(value, 9), -F.col("lag")))
+    return profile.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.lag").alias("best_lag"), F.col(f"b.{value}").alias(value))
+
+
+def block_orders(name: str, n: int, first: int, count: int, block: int = 5) -> np.ndarray:
+    """Orders of positions 0..n-1, a row each: blocks of `block` positions (the last may be short) in
+    the order of keyed hashes of (name, permutation, block). The same come out anywhere."""
+    blocks = -(-n // block)
+    seed = np.uint64(int.from_bytes(hashlib.md5(name.encode()).digest()[:8], "little"))
+    place = (np.arange(first, first + count, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(blocks, dtype=np.uint64)
+    key = seed ^ (place * np.uint64(0x9E3779B97F4A7C15))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+    order = np.argsort(key ^ (key >> np.uint64(31)), axis=1, kind="stable")
+    at = (order[:, :, None] * block + np.arange(block)).reshape(count, -1)
+    return at[at < n].reshape(count, n)
+
+
+def _hits(x: np.ndarray, y: np.ndarray, name: str, first: int, count: int) -> int:
+    """How many of `count` permutations from `first` on reach the observed value."""
+    d = Distances(x, y)
+    observed = min(1.0, max(0.0, float(d.ratios(np.arange(d.n)[None])[0])))
+    return sum(int((np.clip(d.ratios(block_orders(name, d.n, k, min(128, first + count - k))), 0, 1) >= observed - 1e-12).sum()) for k in range(first, first + count, 128))
+
+
+def permutation_p(rows: DataFrame, lags, tiers=((100, 0.20), (500, 0.10), (1000, None)), floor: float = 0.05, seed: int = 7, min_obs: int = 20) -> DataFrame:
+    """(keys, lag, dcor, p_value, permutations). Pair-lags under the floor get p = 1 with no
+    permutation. Each tier tops up to its count those that the tier before let through; they are
+    staged, dealt out again before every tier, and permuted inside the kernel, a row a pair-lag."""
+    keys = [*_keys(rows), "lag"]
+
+    def observe(batch):
+        got = [(i, lag, distance_correlation(x, y), x, y) for i, lag, x, y in _lagged(batch, min_obs, 4, lags)]
+        listed = lambda k: pa.array([g[k] for g in got], pa.list_(pa.float64()))
+        return [g[0] for g in got], [pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.float64()), listed(3), listed(4)]
+
+    def permute(first: int, count: int):
+        def run(batch):
+            names = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            more = [_hits(x, y, "/".join(map(str, (seed, *name))), first, count) for name, x, y in zip(names, _lists(batch, "x"), _lists(batch, "y"))]
+            return np.arange(len(more)), [pa.array(np.asarray(batch.column("hits")) + np.array(more, np.int64))]
+
+        return run
+
+    left = staged(_mapped(rows, observe, "lag int, dcor double, x array<double>, y array<double>", [k for k in keys if k != "lag"]), "observed")
+    out = left.where(F.col("dcor") < floor).select(*keys, "dcor", F.lit(1.0).alias("p_value"), F.lit(0).alias("permutations"))
+    left, done = left.where(F.col("dcor") >= floor).withColumn("hits", F.lit(0).cast("long")), 0
     for count, stop in tiers:
-        shuffled = block_shuffled(left.select(*keys, "x", "y").repartition(*keys), count - done, seed, first=done)
-        null = dcor(shuffled.select(*keys, "perm", "x", "y").repartition(*keys, "perm")).withColumnRenamed("dcor", "null_dcor")
-        more = null.join(left.select(*keys, "dcor"), keys).groupBy(*keys).agg(F.sum((F.col("null_dcor") >= F.col("dcor")).cast("long")).alias("more"))
-        left = left.join(more, keys).withColumn("hits", F.col("hits") + F.col("more")).drop("more").persist()
+        carried = [*keys, "dcor", "x", "y"]
+        tried = staged(_mapped(left.repartition(*keys), permute(done, count - done), "hits long", carried), f"tier{count}")
         p = (F.col("hits") + 1) / (F.lit(float(count)) + 1)
         over = F.lit(True) if stop is None else p > stop
-        out = out.unionByName(left.where(over).select(*keys, "dcor", p.alias("p_value"), F.lit(count).alias("permutations")))
-        left, done = left.where(~over), count
+        out = out.unionByName(tried.where(over).select(*keys, "dcor", p.alias("p_value"), F.lit(count).alias("permutations")))
+        left, done = tried.where(~over), count
     return out
 
 
+def pair_panel(rows: DataFrame, lags, **options) -> DataFrame:
+    """(keys, lag, dcor, p_value, permutations, sharpness, pearson) of every pair and lag."""
+    keys = _keys(rows)
+    tested = permutation_p(rows, lags, **options)
+    return tested.join(pearson_lag(rows, lags).drop("obs"), [*keys, "lag"]).join(sharpness(tested.select(*keys, "dcor"), keys), keys)
+
+
 def tier_budget(results: DataFrame, last: int = 1000, alert: float = 0.10) -> DataFrame:
     """Share of pair-lags that reached the last tier, and whether that is too many."""
     share = F.avg((F.col("permutations") >= last).cast("double"))
     return results.agg(share.alias("tier3_fraction"), (share > alert).alias("alert"))
 
 
-def bh_fdr(results: DataFrame, alpha: float = 0.05, partition: str = "window_start") -> DataFrame:
+def bh_fdr(results: DataFrame, alpha: float = 0.05, partition: str = "window_start", choose: str | None = None) -> DataFrame:
     """Benjamini-Hochberg q-values within each window: the running minimum of p * m / rank from
-    the largest p down."""
+    the largest p down. With `choose`, each pair first keeps its lag with the greatest such value
+    over 0, the smallest lag on ties."""
+    keys = [partition, *ENDS]
+    if choose:
+        best = F.max_by(F.struct(*[c for c in results.columns if c not in keys]), F.struct(F.round(choose, 9), -F.col("lag")))
+        results = results.where(F.col(choose) > 0).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
     w = W.partitionBy(partition).orderBy("p_value", "ticker_i", "ticker_j", "lag")
     m = F.count(F.lit(1)).over(W.partitionBy(partition))
     ranked = results.withColumn("__raw", F.col("p_value") * m / F.row_number().over(w))
@@ -159,14 +287,25 @@ def direction_counts(results: DataFrame, value: str = "pearson") -> DataFrame:
     return results.agg(F.count_if(F.col(value) > 0).alias("positive"), F.count_if(F.col(value) < 0).alias("negative"), F.count_if(F.col(value).isNull()).alias("unknown"))
 
 
-def correlation_matrix(series: DataFrame, value: str = "log_return") -> DataFrame:
-    """(ticker_i, ticker_j, corr) over common dates, both orders and the diagonal."""
-    s = series.where(F.col(value).isNotNull())
-    a = s.select(F.col("ticker").alias("ticker_i"), "date", F.col(value).alias("x"))
-    return a.join(s.select(F.col("ticker").alias("ticker_j"), "date", F.col(value).alias("y")), "date").groupBy("ticker_i", "ticker_j").agg(F.corr("x", "y").alias("corr"))
+def correlation_matrix(rows: DataFrame) -> DataFrame:
+    """(ticker_i, ticker_j, corr) over common dates: each pair once from its arrays, then both
+    orders and the diagonal."""
+    half = pearson_lag(rows, (0,), min_obs=2).where("obs > 4").select(*ENDS, F.col("pearson").alias("corr"))
+    swapped = half.select(F.col("ticker_j").alias("ticker_i"), F.col("ticker_i").alias("ticker_j"), "corr")
+    ends = half.select("ticker_i").union(half.select("ticker_j")).distinct()
+    return half.unionByName(swapped).unionByName(ends.select("ticker_i", F.col("ticker_i").alias("ticker_j"), F.lit(1.0).alias("corr")))
 
 
 def lead_lag_beta(rows: DataFrame, lags, min_obs: int = 30) -> DataFrame:
-    """Best lag by absolute correlation, and the slope of the follower on the lagged leader there."""
-    per = lagged(rows, lags).groupBy("ticker_i", "ticker_j", "lag").agg(F.corr("x", "y").alias("corr"), F.regr_slope("y", "x").alias("beta"), F.count(F.lit(1)).alias("obs")).where(F.col("obs") >= min_obs)
-    return per.groupBy("ticker_i", "ticker_j").agg(F.max_by(F.struct("lag", "corr", "beta", "obs"), F.struct(F.round(F.abs("corr"), 9), -F.col("lag"))).alias("b")).select("ticker_i", "ticker_j", "b.*")
+    """(keys, lag, corr, beta, obs): best lag by absolute correlation, and the slope of the follower
+    on the lagged leader there."""
+
+    def run(batch):
+        got = []
+        for i, lag, x, y in _lagged(batch, min_obs, 4, lags):
+            if len(x) >= min_obs and (r := _pearson(x, y)) is not None:
+                got.append((i, lag, r, r * float(y.std()) / float(x.std()), len(x)))
+        return [g[0] for g in got], [pa.array([g[k] for g in got], t) for k, t in ((1, pa.int32()), (2, pa.float64()), (3, pa.float64()), (4, pa.int64()))]
+
+    per, keys = _mapped(rows, run, "lag int, corr double, beta double, obs long"), _keys(rows)
+    return per.groupBy(*keys).agg(F.max_by(F.struct("lag", "corr", "beta", "obs"), F.struct(F.round(F.abs("corr"), 9), -F.col("lag"))).alias("b")).select(*keys, "b.*")

@@ -1,9 +1,12 @@
 """Risk on a scenario table (sim_id, step, ticker, price), and its making by block bootstrap."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import sortino
 from .windows import max_drawdown, time_to_recovery
 
 
@@ -12,18 +15,30 @@ def _draw(seed: int, *parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def block_draws(sims: DataFrame, rows: int, length: int, block: int, seed: int) -> DataFrame:
-    """(sim_id, step, pos): for each simulation, blocks of consecutive positions 1..rows, cut to length."""
-    steps = F.explode(F.sequence(F.lit(1), F.lit(length)))
-    drawn = sims.select("sim_id", steps.alias("step")).withColumn("b", F.floor((F.col("step") - 1) / block))
-    start = F.floor(_draw(seed, F.col("sim_id"), F.col("b")) * max(rows - block, 1))
+def block_draws(sims: DataFrame, positions: DataFrame, length: int, block: int = 21, seed: int = 7) -> DataFrame:
+    """(sim_id, step, pos): for each simulation, blocks of consecutive positions, their starts uniform
+    over 1..n - block (n: the rows of positions, at least one start), cut to length."""
+    total = positions.agg(F.count(F.lit(1)).alias("__n"))
+    drawn = sims.select("sim_id", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("step")).withColumn("b", F.floor((F.col("step") - 1) / block)).join(F.broadcast(total))  # one row
+    start = F.floor(_draw(seed, F.col("sim_id"), F.col("b")) * F.greatest(F.col("__n") - block, F.lit(1)))
     return drawn.select("sim_id", "step", (1 + start + (F.col("step") - 1) % block).cast("int").alias("pos"))
 
 
-def scenario_paths(returns: DataFrame, draws: DataFrame) -> DataFrame:
+def dated_returns(returns: DataFrame) -> DataFrame:
+    """(ticker, pos, log_return): every ticker on every date of the table, numbered; a date that a
+    ticker misses is a return of 0. Dates are as many as a calendar has."""
+    dates = returns.where("log_return is not null").select("date").distinct()
+    dates = dates.withColumn("pos", F.row_number().over(W.orderBy("date")))
+    last = dates.agg(F.max("pos").alias("__last"))
+    grid = returns.select("ticker").distinct().join(F.broadcast(last)).select("ticker", F.explode(F.sequence(F.lit(1), "__last")).alias("pos"))  # one row
+    have = returns.where("log_return is not null").join(dates, "date").select("ticker", "pos", "log_return")
+    return grid.join(have, ["ticker", "pos"], "left").select("ticker", "pos", F.coalesce("log_return", F.lit(0.0)).alias("log_return"))
+
+
+def scenario_paths(dated: DataFrame, draws: DataFrame) -> DataFrame:
     """Cumulative growth from 1 along shared draws, so that tickers keep their cross-correlation."""
     w = W.partitionBy("sim_id", "ticker").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    return draws.join(returns.select("ticker", "pos", "log_return"), "pos").select("sim_id", "step", "ticker", F.exp(F.sum("log_return").over(w)).alias("price"))
+    return draws.join(dated.select("ticker", "pos", "log_return"), "pos").select("sim_id", "step", "ticker", F.exp(F.sum("log_return").over(w)).alias("price"))
 
 
 def bands(paths: DataFrame, keys: list, value: str, percents=(5, 16, 50, 84, 95)) -> DataFrame:
@@ -43,7 +58,7 @@ def resolve_weights(tickers: DataFrame, given: DataFrame | None = None) -> DataF
 
 
 def portfolio_paths(paths: DataFrame, weights: DataFrame) -> DataFrame:
-    return paths.join(F.broadcast(weights), "ticker").groupBy("sim_id", "step").agg((1 + F.sum(F.col("weight") * (F.col("price") - 1))).alias("price"))
+    return paths.join(weights, "ticker").groupBy("sim_id", "step").agg((1 + F.sum(F.col("weight") * (F.col("price") - 1))).alias("price"))
 
 
 def terminal(paths: DataFrame, keys: list) -> DataFrame:
@@ -55,7 +70,7 @@ def tail_measures(ends: DataFrame, keys: list, level: float = 0.95, target: floa
     one = ends if keys else ends.withColumn("__all", F.lit(1))
     by = keys or ["__all"]
     q = one.groupBy(*by).agg(F.percentile("r", 1 - level).alias("var"), F.avg((F.col("r") < 0).cast("double")).alias("prob_loss"), F.avg((F.col("r") >= target).cast("double")).alias("prob_target"), F.skewness("r").alias("skew"), F.avg("r").alias("mean"))
-    tail = one.join(F.broadcast(q.select(*by, "var")), by).where("r <= var").groupBy(*by).agg(F.avg("r").alias("cvar"))
+    tail = one.join(q.select(*by, "var"), by).where("r <= var").groupBy(*by).agg(F.avg("r").alias("cvar"))
     return q.join(tail, by).withColumn("tail_ratio", F.when(F.abs("var") <= 1e-10, 1.0).otherwise(F.col("cvar") / F.col("var"))).drop("__all")
 
 
@@ -68,12 +83,16 @@ def drawdown_summary(paths: DataFrame, keys: list) -> DataFrame:
 def recovery_summary(paths: DataFrame, keys: list, least: float = 0.1) -> DataFrame:
     """Mean recovery, if at least that share of simulations recovers."""
     r = time_to_recovery(paths, "price", ["sim_id", *keys], "step")
-    return r.groupBy(*keys).agg(F.when(F.count("recovery") >= least * F.count(F.lit(1)), F.avg("recovery")).alias("recovery"))
+    one = r if keys else r.withColumn("__all", F.lit(1))
+    return one.groupBy(*(keys or ["__all"])).agg(F.when(F.count("recovery") >= least * F.count(F.lit(1)), F.avg("recovery")).alias("recovery")).drop("__all")
 
 
-def risk_table(paths: DataFrame, keys: list, level: float = 0.95) -> DataFrame:
-    out = tail_measures(terminal(paths, keys), keys, level).join(drawdown_summary(paths, keys), keys) if keys else tail_measures(terminal(paths, keys), keys, level).join(drawdown_summary(paths, keys))
-    return out
+def risk_table(paths: DataFrame, keys: list, returns: DataFrame, level: float = 0.95, target: float = 0.1) -> DataFrame:
+    """Every measure of each group of keys, or of the whole as one row: tail of the terminal returns,
+    drawdown, recovery, and the Sortino ratio of the stored returns(keys, log_return)."""
+    down = (returns.groupBy(*keys) if keys else returns.groupBy()).agg(sortino("log_return").alias("sortino"))
+    parts = [tail_measures(terminal(paths, keys), keys, level, target), drawdown_summary(paths, keys), recovery_summary(paths, keys), down]
+    return reduce(lambda a, b: a.join(b, keys, "left") if keys else a.join(b), parts)
 
 
 def diversification_benefit(paths: DataFrame, weights: DataFrame, level: float = 0.95) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from ..workers import prepared
+from .ranks import average_ranked, numbered
+
 
 def ticker_stats(prices: DataFrame) -> DataFrame:
     return prices.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.percentile(F.col("close") * F.col("volume"), 0.5).alias("median_dollar_volume"))
@@ -13,7 +17,7 @@ def ticker_stats(prices: DataFrame) -> DataFrame:
 
 def universe_filter(prices: DataFrame, meta: DataFrame, days: int, min_years: float, min_coverage: float, min_dollar_volume: float, min_cap: float) -> DataFrame:
     """Per ticker the first rule that it breaks, in order, or OK."""
-    stats = ticker_stats(prices).join(F.broadcast(meta.select("ticker", "market_cap")), "ticker", "left").withColumn("market_cap", F.coalesce("market_cap", F.lit(0)))
+    stats = ticker_stats(prices).join(meta.select("ticker", "market_cap"), "ticker", "left").withColumn("market_cap", F.coalesce("market_cap", F.lit(0)))
     stats = stats.withColumn("coverage", F.col("n_days") / F.lit(float(int(days * 252 / 365))))
     reason = (
         F.when(F.col("n_days") < int(min_years * 252), "insufficient_history")
@@ -25,46 +29,77 @@ def universe_filter(prices: DataFrame, meta: DataFrame, days: int, min_years: fl
     return stats.withColumn("reason", reason).withColumn("is_valid", F.col("reason") == "OK")
 
 
-def _solve(moments: np.ndarray, k: int) -> np.ndarray:
-    """Coefficients from the upper triangle of X'X and from X'y, row by row; pinv when singular."""
+def _solve(moments: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, their matrices X'X, X'y) from rows of the upper triangle of X'X and of X'y, all
+    rows at once; rows whose matrix is singular by pseudo-inverse."""
     tri = np.triu_indices(k)
-    out = np.empty((len(moments), k))
-    for i, m in enumerate(moments):
-        xx = np.zeros((k, k))
-        xx[tri] = m[: len(tri[0])]
-        xx = xx + np.triu(xx, 1).T
-        xy = m[len(tri[0]) :]
-        try:
-            out[i] = np.linalg.solve(xx, xy)
-        except np.linalg.LinAlgError:
-            out[i] = np.linalg.pinv(xx) @ xy
-    return out
+    xx = np.zeros((len(moments), k, k))
+    xx[:, tri[0], tri[1]] = xx[:, tri[1], tri[0]] = moments[:, : len(tri[0])]
+    xy = moments[:, len(tri[0]) : len(tri[0]) + k]
+    # scaled to a diagonal of ones, so that a singular matrix shows
+    d = np.sqrt(np.maximum(np.einsum("nii->ni", xx), 1e-300))
+    z, target = xx / (d[:, :, None] * d[:, None, :]), (xy / d)[:, :, None]
+    singular = ~(np.linalg.cond(z) < 1e10)
+    out = np.empty_like(xy)
+    if not singular.all():
+        out[~singular] = np.linalg.solve(z[~singular], target[~singular])[:, :, 0]
+    if singular.any():
+        out[singular] = (np.linalg.pinv(np.nan_to_num(z[singular]), rcond=1e-10, hermitian=True) @ target[singular])[:, :, 0]
+    return out / d, xx, xy
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of lists of one length as a matrix, from its flat buffer."""
+    col = batch.column(name)
+    at = np.asarray(col.offsets)
+    return np.asarray(col.values)[at[0] : at[-1]].reshape(len(batch), -1)
+
+
+def _moments(y: str, xs: list, weight: Column | None = None) -> Column:
+    """Sums of products of the terms 1 and xs, of terms and y, and of y and y."""
+    terms = [F.lit(1.0), *[F.col(x) for x in xs]]
+    w = F.lit(1.0) if weight is None else weight
+    products = [terms[i] * terms[j] for i in range(len(terms)) for j in range(i, len(terms))] + [t * F.col(y) for t in terms] + [F.col(y) * F.col(y)]
+    return F.array(*[F.sum(w * p) for p in products])
 
 
-def ols(rows: DataFrame, keys: list, y: str, xs: list, min_obs: int) -> DataFrame:
-    """(keys, n, beta array with the intercept first) per group: one aggregation collects the
-    moment sums, so no group is ever gathered; a small solve runs on each group's moment row."""
-    terms = [F.lit(1.0), *[F.col(x) for x in xs]]
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    sums = [F.sum(terms[i] * terms[j]) for i, j in pairs] + [F.sum(t * F.col(y)) for t in terms]
-    keyed = rows.where(F.col(y).isNotNull())
-    one = keyed.withColumn("__all", F.lit(1)) if not keys else keyed
-    agg = one.groupBy(*(keys or ["__all"])).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("m")).where(F.col("n") >= min_obs)
-    names, size, k = [c for c in agg.columns if c != "m"], len(sums), len(terms)
+def fitted(moments: DataFrame, k: int) -> DataFrame:
+    """beta, r2 and f of each row of moments(..., n, m) with k terms; r2 is null if y doesn't vary,
+    f as well if nothing is left over."""
+    names = [c for c in moments.columns if c != "m"]
 
     def run(batches):
         for batch in batches:
-            m = np.array(batch.column("m").to_pylist(), float).reshape(len(batch), size)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(list(_solve(m, k)), pa.list_(pa.float64()))], [*names, "beta"])
+            if not len(batch):
+                continue
+            m = _matrix(batch, "m")
+            beta, _, xy = _solve(m, k)
+            n = np.asarray(batch.column("n")).astype(float)
+            total = m[:, -1] - xy[:, 0] ** 2 / n
+            left = np.maximum(m[:, -1] - (beta * xy).sum(1), 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = np.where(total > 1e-12, 1 - left / total, np.nan)
+                f = (total - left) / max(k - 1, 1) / (left / (n - k))
+            bad = lambda v: pa.array(v, mask=~np.isfinite(v))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(list(beta), pa.list_(pa.float64())), bad(r2), bad(f)], [*names, "beta", "r2", "f"])
+
+    return moments.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in moments.select(*names).dtypes) + ", beta array<double>, r2 double, f double")
+
 
-    out = agg.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in agg.select(*names).dtypes) + ", beta array<double>")
-    return out.drop("__all")
+def ols(rows: DataFrame, keys: list, y: str, xs: list, min_obs: int) -> DataFrame:
+    """(keys, n, beta array with the intercept first, r2, f) per group: one aggregation collects the
+    moment sums, so no group is ever gathered; a small solve runs on the groups' moment rows."""
+    prepared(rows.sparkSession)
+    keyed = rows.where(F.col(y).isNotNull())
+    one = keyed.withColumn("__all", F.lit(1)) if not keys else keyed
+    agg = one.groupBy(*(keys or ["__all"])).agg(F.count(F.lit(1)).alias("n"), _moments(y, xs).alias("m")).where(F.col("n") >= min_obs)
+    return fitted(agg, len(xs) + 1).drop("__all")
 
 
 def ols_residuals(rows: DataFrame, keys: list, y: str, xs: list, min_obs: int = 60) -> DataFrame:
     beta = ols(rows, keys, y, xs, min_obs)
     fit = sum((F.col("beta")[i + 1] * F.col(x) for i, x in enumerate(xs)), F.col("beta")[0])
-    return rows.where(F.col(y).isNotNull()).join(beta, keys).withColumn("residual", F.col(y) - fit).drop("beta", "n")
+    return rows.where(F.col(y).isNotNull()).join(beta, keys).withColumn("residual", F.col(y) - fit).drop("beta", "n", "r2", "f")
 
 
 def loo_sector_factor(rows: DataFrame, y: str) -> DataFrame:
@@ -86,19 +121,42 @@ def sector_residuals(rows: DataFrame, y: str, xs: list, min_obs: int = 60, share
     return with_loo.select(*cols).unionByName(plain.select(*cols))
 
 
-def stability(rows: DataFrame, windows: int) -> DataFrame:
-    """Per pair over its significant windows: rows (ticker_i, ticker_j, window, lag, dcor, sharpness)."""
-    return rows.groupBy("ticker_i", "ticker_j").agg(
-        F.avg("dcor").alias("mean_dcor"), F.var_pop("dcor").alias("variance_dcor"), (F.count_distinct("window") / F.lit(float(windows))).alias("frequency"),
-        F.mode("lag", deterministic=True).alias("best_lag"), F.avg("sharpness").alias("sharpness"), F.count_distinct("window").alias("n_windows_observed"),
+def one_residual(residuals: DataFrame, pick: str = "latest") -> DataFrame:
+    """(ticker, date, residual): of a date's residuals that of the latest window that holds it; with
+    'causal' that of the earliest, whose factors were fitted on the least of what follows."""
+    of = F.max_by if pick == "latest" else F.min_by
+    return residuals.groupBy("ticker", "date").agg(of("residual", "window_start").alias("residual"))
+
+
+def oos_slice(rows: DataFrame, windows: DataFrame, lookback: int = 60) -> DataFrame:
+    """Each window's rows from two lookbacks (in days) before its out-of-sample start to its end;
+    oos_start tells them apart. windows is as long as a calendar."""
+    inside = F.col("date").between(F.date_sub("oos_start", 2 * lookback), F.col("oos_end"))
+    return rows.join(F.broadcast(windows.select("window_start", "win", "oos_start", "oos_end")), inside).drop("oos_end")
+
+
+def stability(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per pair over its significant windows: rows (ticker_i, ticker_j, win, lag, dcor, sharpness),
+    with the half-life of its dCor; frequency is the share of all windows processed."""
+    total = windows.agg(F.count(F.lit(1)).alias("__windows"))
+    per = rows.groupBy("ticker_i", "ticker_j").agg(
+        F.avg("dcor").alias("mean_dcor"), F.var_pop("dcor").alias("variance_dcor"), F.count_distinct("win").alias("n_windows_observed"),
+        F.mode("lag", deterministic=True).alias("best_lag"), F.avg("sharpness").alias("sharpness"),
     )
+    per = per.join(F.broadcast(total)).withColumn("frequency", F.col("n_windows_observed") / F.col("__windows")).drop("__windows")  # one row
+    return per.join(half_life(rows), ["ticker_i", "ticker_j"])
+
+
+def with_sharpness(rows: DataFrame, sharp: DataFrame, keys: list) -> DataFrame:
+    """rows with each window's sharpness; a profile repeats it for every lag, so it is taken once."""
+    return rows.join(sharp.select(*keys, "sharpness").distinct(), keys, "left")
 
 
 def half_life(rows: DataFrame, step_days: int = 63, cap: float = 252.0, steps: int = 41) -> DataFrame:
     """Fit of A * exp(-rate * t) per pair, t the window's number from the pair's first: for a given
     rate A has a closed form, so a grid of rates is joined, and a finer grid around the best."""
     keys = ["ticker_i", "ticker_j"]
-    t = rows.withColumn("t", F.col("window") - F.min("window").over(W.partitionBy(*keys)))
+    t = rows.withColumn("t", F.col("win") - F.min("win").over(W.partitionBy(*keys)))
 
     def best(rates: DataFrame, on: DataFrame) -> DataFrame:
         e = F.exp(-F.col("rate") * F.col("t"))
@@ -135,9 +193,9 @@ def strategy_returns(leader: DataFrame, follower: DataFrame, pairs: DataFrame, l
     keys = ("ticker_i", "ticker_j")
     both = both.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("__n") >= lookback + F.col("lag") + 10)
     z = trailing_zscore(both, "x", lookback, keys)
-    at = W.partitionBy(*keys).orderBy("date")
-    lagged = F.element_at(F.array(*[F.lag("z", k).over(at) for k in range(1, 6)]), F.col("lag"))
-    out = z.withColumn("signal", lagged).where("signal is not null")
+    z = z.withColumn("__pos", F.row_number().over(W.partitionBy(*keys).orderBy("date")))
+    earlier = z.select(*keys, (F.col("__pos") + F.col("lag")).alias("__pos"), F.col("z").alias("signal")).where("signal is not null")
+    out = z.join(earlier, [*keys, "__pos"])
     sign = F.when(F.coalesce("direction", F.lit(1.0)) < 0, -1).otherwise(1)
     out = out.withColumn("position", sign * F.when(F.col("signal") > 1, 1).when(F.col("signal") < -1, -1).otherwise(0))
     out = out.withColumn("gross", F.col("position") * F.col("y")).withColumn("net", F.col("gross") - F.lit(cost_bps / 1e4) * F.abs("position"))
@@ -146,6 +204,14 @@ def strategy_returns(leader: DataFrame, follower: DataFrame, pairs: DataFrame, l
     return out.select(*keys, "date", "lag", "signal", "position", "gross", "net")
 
 
+def annualized_vol(prices: DataFrame, days: int = 365, least: int = 50) -> DataFrame:
+    """(ticker, vol): sample deviation of the log returns of adjusted closes in the last days, a year's."""
+    last = prices.agg(F.date_sub(F.max("date"), days).alias("__from"))
+    some = prices.join(F.broadcast(last)).where(F.col("date") > F.col("__from"))  # one row
+    r = some.withColumn("r", F.log(F.col("adj_close") / F.nullif(F.lag("adj_close").over(W.partitionBy("ticker").orderBy("date")), F.lit(0.0))))
+    return r.groupBy("ticker").agg((F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), F.count("r").alias("n")).where(F.col("n") >= least).drop("n")
+
+
 def sharpe(value: str, periods: int = 252, least: int = 10) -> Column:
     sd = F.stddev_pop(value)
     return F.when((F.count(value) >= least) & (sd > 1e-10), F.avg(value) / sd * F.sqrt(F.lit(float(periods))))
@@ -157,46 +223,50 @@ def sortino(value: str | Column, periods: int = 252) -> Column:
     return F.when(down > 1e-10, F.avg(v) * periods / down)
 
 
-def signal_strength(df: DataFrame, score: str) -> DataFrame:
-    """Winsorised at the exact 5th and 95th percentile, scaled to 0-100; flat gives 50. The
-    percentiles are a one-row aggregate that is joined, not a window over everything."""
-    cut = df.agg(F.percentile(score, F.array(F.lit(0.05), F.lit(0.95))).alias("__p"))
+def signal_strength(df: DataFrame, score: str, keys: list | None = None) -> DataFrame:
+    """Winsorised at the exact 5th and 95th percentile (of each group of keys), scaled to 0-100; flat
+    gives 50. The percentiles are an aggregate that is joined, not a window over everything."""
+    cut = df.groupBy(*(keys or [])).agg(F.percentile(score, F.array(F.lit(0.05), F.lit(0.95))).alias("__p"))
     lo, hi = F.col("__p")[0], F.col("__p")[1]
     x = F.least(F.greatest(F.col(score), lo), hi)
-    return df.join(F.broadcast(cut)).withColumn("signal_strength", F.when(hi > lo, (x - lo) / (hi - lo) * 100).otherwise(50.0)).drop("__p")
+    both = df.join(cut, keys) if keys else df.join(F.broadcast(cut))  # one row
+    return both.withColumn("signal_strength", F.when(hi > lo, (x - lo) / (hi - lo) * 100).otherwise(50.0)).drop("__p")
 
 
 def predicted_score(df: DataFrame, weights: dict, intercept: float) -> DataFrame:
     return df.withColumn("predicted", sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(intercept)))
 
 
-def bootstrap_ci(rows: DataFrame, y: str, xs: list, resamples: int, seed: int = 0) -> DataFrame:
-    """Coefficients of an OLS refitted on resamples with replacement: mean, std and 95 % limits.
-    A row's weight in each resample is Poisson(1) by a hash draw, so a resample is a weighted
-    moment sum, and rows are never copied around."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-    steps, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    terms = [F.lit(1.0), *[F.col(x) for x in xs]]
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    w = F.col("w")
-    sums = [F.sum(w * terms[i] * terms[j]) for i, j in pairs] + [F.sum(w * t * F.col(y)) for t in terms]
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).where("w > 0")
-    agg = drawn.groupBy("b").agg(F.array(*sums).alias("m"))
-    size, k = len(sums), len(terms)
+def bootstrap_ci(rows: DataFrame, y: str, xs: list, resamples: int, order: list, seed: int = 0) -> DataFrame:
+    """(feature, mean, std, ci_lower, ci_upper): coefficients of an OLS refitted on resamples of as
+    many rows, drawn with replacement: draw k of resample b takes the row with the number that the
+    md5 of (seed, b, k) points at, rows being numbered in the given order. Draws, not rows, are
+    multiplied; they join rows by number, and a resample is a sum of moments."""
+    prepared(rows.sparkSession)
+    known = staged(numbered(rows.select(*order, y, *xs), [F.col(c) for c in order], "k"), "numbered")
+    total = known.agg(F.count(F.lit(1)).alias("n"))
+    drawn = known.select("k").join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))  # one row
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = drawn.select("b", (1 + F.floor(u * F.col("n"))).cast("long").alias("k")).groupBy("b", "k").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    agg = times.join(known, "k").groupBy("b").agg(F.sum("w").cast("long").alias("n"), _moments(y, xs, F.col("w")).alias("m"))
+    long = fitted(agg, len(xs) + 1).select("b", F.posexplode("beta").alias("i", "beta")).withColumn("feature", named_term("i", xs))
+    return long.groupBy("feature").agg(F.avg("beta").alias("mean"), F.stddev_samp("beta").alias("std"), F.percentile("beta", 0.025).alias("ci_lower"), F.percentile("beta", 0.975).alias("ci_upper"))
 
-    def run(batches):
-        for batch in batches:
-            m = np.array(batch.column("m").to_pylist(), float).reshape(len(batch), size)
-            yield pa.RecordBatch.from_arrays([batch.column("b"), pa.array(list(_solve(m, k)), pa.list_(pa.float64()))], ["b", "beta"])
 
-    fits = agg.mapInArrow(run, "b int, beta array<double>")
-    long = fits.select("b", F.posexplode("beta").alias("i", "beta")).withColumn("feature", F.element_at(F.array(F.lit("intercept"), *map(F.lit, xs)), F.col("i") + 1))
-    return long.groupBy("feature").agg(F.avg("beta").alias("mean"), F.stddev_samp("beta").alias("std"), F.percentile("beta", 0.025).alias("ci_lower"), F.percentile("beta", 0.975).alias("ci_upper"))
+def named_term(number: str, xs: list) -> Column:
+    return F.element_at(F.array(F.lit("intercept"), *map(F.lit, xs)), F.col(number) + 1)
+
+
+def score_regression(rows: DataFrame, y: str, xs: list, min_pairs: int = 20) -> DataFrame:
+    """(feature, weight, r2, f, n): OLS of y on xs over rows with all of them and half_life over 0."""
+    full = rows.where("half_life > 0").dropna(subset=[y, *xs])
+    return ols(full, [], y, xs, min_pairs).select("n", "r2", "f", F.posexplode("beta").alias("i", "weight")).withColumn("feature", named_term("i", xs)).drop("i")
+
+
+def feature_importance(weights: DataFrame, ci: DataFrame, digits: int = 4) -> DataFrame:
+    """The current weights with their intervals, largest effect first in the reader's order; no intercept."""
+    both = weights.where("feature != 'intercept'").join(ci, "feature", "left")
+    return both.select("feature", *[F.round(F.col(c) + 1e-9, digits).alias(c) for c in ("weight", "ci_lower", "ci_upper")])
 
 
 def deciles(df: DataFrame, score: str, value: str) -> DataFrame:
@@ -224,18 +294,19 @@ def drop_correlated(df: DataFrame, columns: list, limit: float = 0.85) -> list:
     return [b for j, b in enumerate(columns) if not any(abs(row[f"{a}|{b}"] or 0.0) > limit for a in columns[:j])]
 
 
-def average_rank_pct(value: str, partition: list | None = None, descending: bool = False) -> Column:
-    """Average-rank percentile over rows that have a value; null for others."""
+def average_rank_pct(value: str, partition: list, descending: bool = False) -> Column:
+    """Average-rank percentile within a partition over rows that have a value; null for others. For
+    a whole table there is ranks.average_rank_pct."""
     has = F.col(value).isNotNull()
-    part = W.partitionBy(*(partition or []), has)
+    part = W.partitionBy(*partition, has)
     rank = F.rank().over(part.orderBy(F.col(value).desc() if descending else F.col(value).asc()))
-    ties = F.count(F.lit(1)).over(W.partitionBy(*(partition or []), value))
+    ties = F.count(F.lit(1)).over(W.partitionBy(*partition, value))
     return F.when(has, (rank + (ties - 1) / 2) / F.count(F.lit(1)).over(part))
 
 
 def detection_quality(rows: DataFrame, n_true: int) -> DataFrame:
     """rows(truth, significant, dcor): rates over decisions, and true pairs among the n_true best."""
-    ranked = rows.withColumn("__r", F.rank().over(W.orderBy(F.desc("dcor"))) + (F.count(F.lit(1)).over(W.partitionBy("dcor")) - 1) / 2)
+    ranked = average_ranked(rows, "dcor", "__r", descending=True)
     tpr = F.try_divide(F.count_if(F.col("truth") & F.col("significant")), F.count_if(F.col("truth")))
     fpr = F.try_divide(F.count_if(~F.col("truth") & F.col("significant")), F.count_if(~F.col("truth")))
     top = F.try_divide(F.count_if(F.col("truth") & (F.col("__r") <= n_true)), F.count_if(F.col("truth")))

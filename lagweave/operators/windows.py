@@ -4,13 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
 from .stats import average_rank_pct
 
+
 def by_date():
     return W.partitionBy("ticker").orderBy("date")
 
 
-
 def day_over_day(prices: DataFrame) -> DataFrame:
     """Latest close, the one before (default: the latest) and the change, in one pass."""
     k = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date")))
@@ -79,13 +80,14 @@ def topk_persistence(df: DataFrame, snapshot: str, member: str) -> DataFrame:
     return sets.withColumn("b", before).where("b is not null").select(snapshot, F.coalesce(F.try_divide(F.size(F.array_intersect("s", "b")), F.size(F.array_union("s", "b"))), F.lit(0.0)).alias("persistence"))
 
 
-def vol_fit(df: DataFrame, vol: str, target: float) -> DataFrame:
-    """100 for the volatility nearest to the target down to 0; unknown ones 50."""
-    gap = F.abs(F.col(vol) - target)
-    has = F.col(vol).isNotNull()
-    r = F.row_number().over(W.partitionBy(has).orderBy(gap, "ticker"))
-    n = F.count(F.lit(1)).over(W.partitionBy(has))
-    return df.withColumn("vol_fit", F.when(has, (1 - (r - 1) / F.greatest(n - 1, F.lit(1))) * 100).otherwise(50.0))
+def vol_fit(df: DataFrame, vol: str, target: float | DataFrame) -> DataFrame:
+    """100 for the volatility nearest to the target (a number, or a one-row frame) down to 0; unknown ones 50."""
+    goal = df.sparkSession.range(1).select(F.lit(target).alias("__goal")) if not isinstance(target, DataFrame) else target.toDF("__goal")
+    gap = df.where(F.col(vol).isNotNull()).join(F.broadcast(goal)).withColumn("__gap", F.abs(F.col(vol) - F.col("__goal"))).drop("__goal")
+    total = gap.agg(F.count(F.lit(1)).alias("__n"))
+    near = ranks.numbered(gap, [F.col("__gap"), F.col("ticker")], "__r").join(F.broadcast(total))  # one row
+    near = near.withColumn("vol_fit", (1 - (F.col("__r") - 1) / F.greatest(F.col("__n") - 1, F.lit(1))) * 100).drop("__gap", "__r", "__n")
+    return near.unionByName(df.where(F.col(vol).isNull()).withColumn("vol_fit", F.lit(50.0)))
 
 
 def minmax_rank(df: DataFrame, metrics: dict[str, tuple[float, bool]]) -> DataFrame:
@@ -101,7 +103,7 @@ def minmax_rank(df: DataFrame, metrics: dict[str, tuple[float, bool]]) -> DataFr
         total += F.when(F.col(m).isNotNull(), x * w).otherwise(0.0)
         weight += F.when(F.col(m).isNotNull(), w).otherwise(0.0)
     out = out.withColumn("score", F.try_divide(total, F.nullif(weight, F.lit(0.0))))
-    return out.withColumn("place", F.row_number().over(W.orderBy(F.col("score").desc_nulls_last(), "ticker"))).drop(*[c for c in out.columns if c.startswith("__")])
+    return ranks.numbered(out.drop(*[c for c in out.columns if c.startswith("__")]), [F.col("score").desc_nulls_last(), F.col("ticker")])
 
 
 def fundamental_score(meta: DataFrame) -> DataFrame:
@@ -111,9 +113,9 @@ def fundamental_score(meta: DataFrame) -> DataFrame:
     pe = pe.withColumn("s", average_rank_pct("pe", ["sector"], descending=True) * 100)
     mid = pe.where("sector is not null").groupBy("sector").agg(F.percentile("s", 0.5).alias("mid"))
     every = pe.agg(F.percentile("s", 0.5).alias("mid_all"))
-    joined = pe.join(mid, "sector", "left").join(F.broadcast(every))
+    joined = ranks.average_rank_pct(pe.join(mid, "sector", "left").join(F.broadcast(every)), "market_cap", "__cap")
     pe_score = F.coalesce("s", F.when(F.col("sector").isNull(), F.col("mid_all")).otherwise(F.coalesce("mid", F.lit(50.0))))
-    return joined.withColumn("fundamental", F.round(0.5 * pe_score + 0.5 * average_rank_pct("market_cap") * 100 + 1e-9, 2))
+    return joined.withColumn("fundamental", F.round(0.5 * pe_score + 0.5 * F.col("__cap") * 100 + 1e-9, 2))
 
 
 def cross_sectional_ic(df: DataFrame, pred: str, target: str) -> DataFrame:

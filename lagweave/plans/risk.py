@@ -1,4 +1,4 @@
-"""Queries on scenarios and risk."""
+"""Queries on scenarios and risk: all tickers, draws over the whole history."""
 
 from pyspark.sql import functions as F
 
@@ -7,47 +7,116 @@ from ..operators import risk as rk
 from ..operators import stats as st
 from ..operators import windows as wn
 from .book import Book
-from .surrogates import TEXTS
+from .network import HELD, _held, held
+from .surrogates import MADE, TEXTS
 
 book = Book()
 add = book.add
-SIM = "scenarios"
-_u = lambda *p: "(('0x' || substr(md5(concat_ws('/', " + ", ".join(p) + ")), 1, 8))::BIGINT / 4294967296.0)"
-TEXTS["draws"] = f"SELECT sim_id, step, CAST(1 + floor({_u(chr(39) + '7' + chr(39), 'sim_id', 'CAST(floor((step - 1) / 21) AS BIGINT)')} * 59) + (step - 1) % 21 AS INT) AS pos FROM (SELECT DISTINCT pos AS sim_id FROM {{returns}} WHERE pos <= 30) AS s, (SELECT unnest(range(1, 53)) AS step) AS t"
-draws = lambda t: rk.block_draws(t("returns").where("pos <= 30").select(F.col("pos").alias("sim_id")).distinct(), 80, 52, 21, 7)
-few = lambda t: t("returns").where("ticker in ('Brand#1', 'Brand#2', 'Brand#3') and log_return is not null")
-_few = "SELECT * FROM {returns} WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3') AND log_return IS NOT NULL"
+SIMS, STEPS, BLOCK, SEED = 200, 52, 21, 7
+
+
+# Scenarios by joint block bootstrap of the stored returns.
+
+TEXTS["dates"] = "SELECT date, CAST(row_number() OVER (ORDER BY date) AS INT) AS pos FROM (SELECT DISTINCT date FROM {returns} WHERE log_return IS NOT NULL) AS d"
+TEXTS["dated"] = """
+SELECT t.ticker, d.pos, coalesce(log_return, 0) AS log_return FROM (SELECT DISTINCT ticker FROM {returns}) AS t JOIN {dates} AS d ON true LEFT JOIN {returns} AS r ON r.ticker = t.ticker AND r.date = d.date"""
+TEXTS["draws"] = f"""
+SELECT sim_id, step, CAST(1 + floor((('0x' || substr(md5(concat_ws('/', '{SEED}', sim_id, CAST(floor((step - 1) / {BLOCK}) AS BIGINT))), 1, 8))::BIGINT / 4294967296.0) * greatest((SELECT count(*) FROM {{dates}}) - {BLOCK}, 1)) + (step - 1) % {BLOCK} AS INT) AS pos
+FROM (SELECT unnest(range(1, {SIMS + 1})) AS sim_id) AS s JOIN (SELECT unnest(range(1, {STEPS + 1})) AS step) AS t ON true"""
+TEXTS["scenarios"] = "SELECT sim_id, step, ticker, exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS price FROM {draws} AS d JOIN {dated} AS r ON r.pos = d.pos"
+
+
+def draws(t):
+    positions = t("returns").where("log_return is not null").select("date").distinct()
+    return rk.block_draws(t("returns").sparkSession.range(1, SIMS + 1).withColumnRenamed("id", "sim_id"), positions, STEPS, BLOCK, SEED)
+
+
+MADE["scenarios"] = lambda t: rk.scenario_paths(rk.dated_returns(t("returns")), draws(t))
 add("block_bootstrap", "sim_id step pos", draws, "SELECT * FROM {draws}")
-TEXTS["boot"] = f"SELECT sim_id, step, ticker, exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step)) AS price FROM {{draws}} AS d JOIN ({_few}) AS r ON r.pos = d.pos"
-add("scenario_paths", "sim_id step ticker price:d", lambda t: rk.scenario_paths(few(t), draws(t)), "SELECT * FROM {boot}")
+add("scenario_paths", "sim_id step ticker price:d", lambda t: t("scenarios"), "SELECT * FROM {scenarios}")
+
 _q = "quantile_cont(price, [0.05, 0.16, 0.5, 0.84, 0.95])"
-TEXTS["cone"] = f"SELECT ticker, step, avg(price) AS mean, avg(CASE WHEN price > 1 THEN 1.0 ELSE 0 END) AS p_up, {_q}[1] AS p5, {_q}[2] AS p16, {_q}[3] AS p50, {_q}[4] AS p84, {_q}[5] AS p95 FROM {{{SIM}}} GROUP BY ticker, step"
-cone = lambda t: rk.bands(t(SIM), ["ticker", "step"], "price")
+TEXTS["cone"] = f"SELECT ticker, step, avg(price) AS mean, avg(CASE WHEN price > 1 THEN 1.0 ELSE 0 END) AS p_up, {_q}[1] AS p5, {_q}[2] AS p16, {_q}[3] AS p50, {_q}[4] AS p84, {_q}[5] AS p95 FROM {{scenarios}} GROUP BY ticker, step"
+cone = lambda t: rk.bands(t("scenarios"), ["ticker", "step"], "price")
 add("price_bands", "ticker step p5:d p16:d p50:d p84:d p95:d", cone, "SELECT * FROM {cone}")
-_act = "SELECT ticker, pos - 1 AS step, close / first_value(close) OVER (PARTITION BY ticker ORDER BY date) AS actual FROM {returns}"
+TEXTS["actual"] = "SELECT ticker, pos - 1 AS step, close / first_value(close) OVER (PARTITION BY ticker ORDER BY date) AS actual FROM {returns}"
 actual = lambda t: wn.index_to_100(t("returns")).select("ticker", (F.col("pos") - 1).alias("step"), (F.col("indexed") / 100).alias("actual"))
-add("return_cone", "ticker step actual:d mean:d p_up:d p5:d p95:d", lambda t: cone(t).join(actual(t), ["ticker", "step"]), f"SELECT c.*, actual FROM {{cone}} AS c JOIN ({_act}) AS a ON a.ticker = c.ticker AND a.step = c.step")
-add("band_coverage", "coverage:d", lambda t: rk.band_coverage(cone(t), actual(t), ["ticker", "step"]), f"SELECT avg(CASE WHEN actual BETWEEN p16 AND p84 THEN 1.0 ELSE 0 END) AS coverage FROM {{cone}} AS c JOIN ({_act}) AS a ON a.ticker = c.ticker AND a.step = c.step")
-TEXTS["wts"] = "SELECT ticker, market_cap / sum(market_cap) OVER () AS weight FROM {ticker_metadata} WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')"
-wts = lambda t: rk.resolve_weights(t(SIM), t("ticker_metadata").select("ticker", F.col("market_cap").cast("double").alias("weight")))
+add("return_cone", "ticker step actual:d mean:d p_up:d p5:d p95:d", lambda t: cone(t).join(actual(t), ["ticker", "step"]), "SELECT c.*, actual FROM {cone} AS c JOIN {actual} AS a ON a.ticker = c.ticker AND a.step = c.step")
+add("band_coverage", "coverage:d", lambda t: rk.band_coverage(cone(t), actual(t), ["ticker", "step"]),
+    "SELECT avg(CASE WHEN actual BETWEEN p16 AND p84 THEN 1.0 ELSE 0 END) AS coverage FROM {cone} AS c JOIN {actual} AS a ON a.ticker = c.ticker AND a.step = c.step")
+
+
+# Portfolio of all tickers by market value.
+
+TEXTS["wts"] = "SELECT ticker, market_cap / sum(market_cap) OVER () AS weight FROM {ticker_metadata}"
+wts = lambda t: rk.resolve_weights(t("scenarios"), t("ticker_metadata").select("ticker", F.col("market_cap").cast("double").alias("weight")))
 add("resolve_weights", "ticker weight:d", wts, "SELECT * FROM {wts}")
-TEXTS["folio"] = f"SELECT sim_id, step, 1 + sum(weight * (price - 1)) AS price FROM {{{SIM}}} AS s JOIN {{wts}} AS w ON w.ticker = s.ticker GROUP BY sim_id, step"
-add("portfolio_paths", "sim_id step price:d", lambda t: rk.portfolio_paths(t(SIM), wts(t)), "SELECT * FROM {folio}")
-TEXTS["ends_t"] = f"SELECT sim_id, ticker, arg_max(price, step) - 1 AS r FROM {{{SIM}}} GROUP BY sim_id, ticker"
-TEXTS["ends_p"] = "SELECT sim_id, arg_max(price, step) - 1 AS r FROM {folio} GROUP BY sim_id"
-_skew = "(avg(r ** 3) - 3 * avg(r) * avg(r ** 2) + 2 * avg(r) ** 3) / (avg(r ** 2) - avg(r) ** 2) ** 1.5"
-TEXTS["tail_t"] = f"SELECT q.*, cvar, cvar / var AS tail_ratio FROM (SELECT ticker, quantile_cont(r, 0.05) AS var, avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END) AS prob_loss, avg(CASE WHEN r >= 0.1 THEN 1.0 ELSE 0 END) AS prob_target, {_skew} AS skew, avg(r) AS mean FROM {{ends_t}} GROUP BY ticker) AS q JOIN (SELECT e.ticker, avg(r) AS cvar FROM {{ends_t}} AS e JOIN (SELECT ticker, quantile_cont(r, 0.05) AS v FROM {{ends_t}} GROUP BY ticker) AS c ON c.ticker = e.ticker AND r <= v + 1e-12 GROUP BY e.ticker) AS t ON t.ticker = q.ticker"
-tails = lambda t: rk.tail_measures(rk.terminal(t(SIM), ["ticker"]), ["ticker"])
-for _n, _c in (("var", "ticker var:d"), ("cvar", "ticker cvar:d"), ("tail_ratio", "ticker tail_ratio:d"), ("prob_loss", "ticker prob_loss:d"), ("prob_target", "ticker prob_target:d"), ("skewness", "ticker skew:d")):
-    add(_n, _c, tails, "SELECT * FROM {tail_t}")
-TEXTS["draw_t"] = f"SELECT ticker, avg(d) AS mean_drawdown, quantile_cont(d, 0.05) AS worst_p5 FROM (SELECT sim_id, ticker, min(x) AS d FROM (SELECT *, price / max(price) OVER (PARTITION BY sim_id, ticker ORDER BY step) - 1 AS x FROM {{{SIM}}}) AS y GROUP BY sim_id, ticker) AS z GROUP BY ticker"
-add("drawdown_summary", "ticker mean_drawdown:d worst_p5:d", lambda t: rk.drawdown_summary(t(SIM), ["ticker"]), "SELECT * FROM {draw_t}")
-add("recovery_summary", "ticker recovery:d", lambda t: rk.recovery_summary(t(SIM), ["ticker"]))
-add("stock_risk", "ticker var:d cvar:d prob_loss:d skew:d mean_drawdown:d worst_p5:d", lambda t: rk.risk_table(t(SIM), ["ticker"]), "SELECT t.*, mean_drawdown, worst_p5 FROM {tail_t} AS t JOIN {draw_t} AS d ON d.ticker = t.ticker")
-add("portfolio_risk", "var:d prob_loss:d mean:d mean_drawdown:d", lambda t: rk.risk_table(rk.portfolio_paths(t(SIM), wts(t)), []), "SELECT * FROM (SELECT quantile_cont(r, 0.05) AS var, avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END) AS prob_loss, avg(r) AS mean FROM {ends_p}) AS a, (SELECT avg(d) AS mean_drawdown FROM (SELECT sim_id, min(x) AS d FROM (SELECT *, price / max(price) OVER (PARTITION BY sim_id ORDER BY step) - 1 AS x FROM {folio}) AS y GROUP BY sim_id) AS z) AS b")
-add("diversification_benefit", "benefit:d", lambda t: rk.diversification_benefit(t(SIM), wts(t)), "SELECT (SELECT quantile_cont(r, 0.05) FROM {ends_p}) - (SELECT sum(weight * var) FROM {tail_t} AS t JOIN {wts} AS w ON w.ticker = t.ticker) AS benefit")
-_rc = "SELECT e.ticker, any_value(weight) * avg(r) AS contribution FROM {ends_t} AS e JOIN {wts} AS w ON w.ticker = e.ticker WHERE sim_id IN (SELECT sim_id FROM {ends_p} WHERE r <= (SELECT quantile_cont(r, 0.05) + 1e-12 FROM {ends_p})) GROUP BY e.ticker"
-add("risk_contribution", "ticker contribution:d share:d", lambda t: rk.risk_contribution(t(SIM), wts(t)), f"SELECT *, contribution / sum(contribution) OVER () AS share FROM ({_rc}) AS c")
-add("return_histogram", "bin tail n", lambda t: rk.return_histogram(rk.terminal(t(SIM), ["ticker"]), -1.0, 1.0, 20, -0.2), "SELECT CASE WHEN r < -1 THEN 0 WHEN r >= 1 THEN 21 ELSE floor((r + 1) * 10) + 1 END::BIGINT AS bin, r <= -0.2 AS tail, count(*) AS n FROM {ends_t} GROUP BY 1, 2")
-add("risk_pipeline", "ticker score:d place", lambda t: wn.minmax_rank(rk.risk_table(t(SIM), ["ticker"]).join(nw.candidate_pool(t("net"), t("ticker_metadata").where("ticker in ('Brand#9', 'Brand#17')").select("ticker"), 1.0).select("ticker", "avg_dcor"), "ticker", "left"), {"var": (0.4, True), "mean_drawdown": (0.3, True), "skew": (0.2, True), "avg_dcor": (0.1, False)}))
-add("portfolio_sortino", "sortino:d", lambda t: t("returns").join(F.broadcast(wts(t)), "ticker").groupBy("date").agg(F.sum(F.col("weight") * F.col("log_return")).alias("r")).agg(st.sortino("r").alias("sortino")), "SELECT avg(r) * 252 / (stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(252)) AS sortino FROM (SELECT date, sum(weight * log_return) AS r FROM {returns} AS x JOIN {wts} AS w ON w.ticker = x.ticker GROUP BY date) AS y")
+TEXTS["folio"] = "SELECT sim_id, step, 1 + sum(weight * (price - 1)) AS price FROM {scenarios} AS s JOIN {wts} AS w ON w.ticker = s.ticker GROUP BY sim_id, step"
+add("portfolio_paths", "sim_id step price:d", lambda t: rk.portfolio_paths(t("scenarios"), wts(t)), "SELECT * FROM {folio}")
+
+
+# Measures: the same SQL for groups of keys and for the whole.
+
+def risk_texts(tag: str, paths: str, keys: str, returns: str) -> None:
+    """TEXTS ends_, tail_, draw_, back_, down_ and risk_ of a tag; keys is 'ticker' or a constant."""
+    skew = "(avg(r ** 3) - 3 * avg(r) * avg(r ** 2) + 2 * avg(r) ** 3) / (avg(r ** 2) - avg(r) ** 2) ** 1.5"
+    TEXTS[f"ends_{tag}"] = f"SELECT sim_id, {keys} AS k, arg_max(price, step) - 1 AS r FROM {{{paths}}} GROUP BY ALL"
+    TEXTS[f"tail_{tag}"] = f"""
+SELECT q.*, cvar, CASE WHEN abs(var) <= 1e-10 THEN 1 ELSE cvar / var END AS tail_ratio FROM (
+ SELECT k, quantile_cont(r, 0.05) AS var, avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END) AS prob_loss, avg(CASE WHEN r >= 0.1 THEN 1.0 ELSE 0 END) AS prob_target, {skew} AS skew, avg(r) AS mean FROM {{ends_{tag}}} GROUP BY k) AS q
+JOIN (SELECT e.k, avg(r) AS cvar FROM {{ends_{tag}}} AS e JOIN (SELECT k, quantile_cont(r, 0.05) AS v FROM {{ends_{tag}}} GROUP BY k) AS c ON c.k = e.k AND r <= v + 1e-12 GROUP BY e.k) AS t ON t.k = q.k"""
+    TEXTS[f"draw_{tag}"] = f"SELECT k, avg(d) AS mean_drawdown, quantile_cont(d, 0.05) AS worst_p5 FROM (SELECT sim_id, k, min(x) AS d FROM (SELECT sim_id, {keys} AS k, price / max(price) OVER (PARTITION BY sim_id, {keys} ORDER BY step) - 1 AS x FROM {{{paths}}}) AS y GROUP BY sim_id, k) AS z GROUP BY k"
+    TEXTS[f"path_{tag}"] = f"SELECT sim_id, {keys} AS k, step, price, arg_min(step, (price, step)) OVER (PARTITION BY sim_id, {keys}) AS low FROM {{{paths}}}"
+    TEXTS[f"back_{tag}"] = f"""
+SELECT k, CASE WHEN count(recovery) >= 0.1 * count(*) THEN avg(recovery) END AS recovery FROM (SELECT p.sim_id, p.k, min(CASE WHEN step > low AND price >= peak THEN step END) - any_value(low) AS recovery FROM {{path_{tag}}} AS p
+ LEFT JOIN (SELECT sim_id, k, max(price) AS peak FROM {{path_{tag}}} WHERE step < low GROUP BY sim_id, k) AS m ON m.sim_id = p.sim_id AND m.k = p.k GROUP BY p.sim_id, p.k) AS x GROUP BY k"""
+    TEXTS[f"down_{tag}"] = f"SELECT {keys} AS k, CASE WHEN stddev_samp(CASE WHEN log_return < 0 THEN log_return END) * sqrt(252) > 1e-10 THEN avg(log_return) * 252 / (stddev_samp(CASE WHEN log_return < 0 THEN log_return END) * sqrt(252)) END AS sortino FROM {{{returns}}} GROUP BY 1"
+    TEXTS[f"risk_{tag}"] = f"SELECT t.*, mean_drawdown, worst_p5, recovery, sortino FROM {{tail_{tag}}} AS t JOIN {{draw_{tag}}} AS d ON d.k = t.k JOIN {{back_{tag}}} AS b ON b.k = t.k JOIN {{down_{tag}}} AS s ON s.k = t.k"
+
+
+TEXTS["folio_returns"] = "SELECT date, sum(weight * log_return) AS log_return FROM {returns} AS x JOIN {wts} AS w ON w.ticker = x.ticker GROUP BY date"
+folio_returns = lambda t: t("returns").join(wts(t), "ticker").groupBy("date").agg(F.sum(F.col("weight") * F.col("log_return")).alias("log_return"))
+risk_texts("t", "scenarios", "ticker", "returns")
+risk_texts("p", "folio", "'all'", "folio_returns")
+_MEASURES = "var:d cvar:d tail_ratio:d prob_loss:d prob_target:d skew:d mean:d mean_drawdown:d worst_p5:d recovery:d sortino:d"
+
+tails = lambda t: rk.tail_measures(rk.terminal(t("scenarios"), ["ticker"]), ["ticker"])
+for _n, _c in (("var", "var"), ("cvar", "cvar"), ("tail_ratio", "tail_ratio"), ("prob_loss", "prob_loss"), ("prob_target", "prob_target"), ("skewness", "skew")):
+    add(_n, f"ticker {_c}:d", tails, "SELECT k AS ticker, * FROM {tail_t}")
+add("drawdown_summary", "ticker mean_drawdown:d worst_p5:d", lambda t: rk.drawdown_summary(t("scenarios"), ["ticker"]), "SELECT k AS ticker, * FROM {draw_t}")
+add("recovery_summary", "ticker recovery:d", lambda t: rk.recovery_summary(t("scenarios"), ["ticker"]), "SELECT k AS ticker, * FROM {back_t}")
+add("stock_risk", f"ticker {_MEASURES}", lambda t: rk.risk_table(t("scenarios"), ["ticker"], t("returns")), "SELECT k AS ticker, * FROM {risk_t}")
+add("portfolio_risk", _MEASURES, lambda t: rk.risk_table(rk.portfolio_paths(t("scenarios"), wts(t)), [], folio_returns(t)), "SELECT * FROM {risk_p}")
+add("diversification_benefit", "benefit:d", lambda t: rk.diversification_benefit(t("scenarios"), wts(t)), "SELECT (SELECT var FROM {tail_p}) - (SELECT sum(weight * var) FROM {tail_t} AS t JOIN {wts} AS w ON w.ticker = t.k) AS benefit")
+TEXTS["contributions"] = "SELECT e.k AS ticker, any_value(weight) * avg(r) AS contribution FROM {ends_t} AS e JOIN {wts} AS w ON w.ticker = e.k WHERE sim_id IN (SELECT sim_id FROM {ends_p} WHERE r <= (SELECT quantile_cont(r, 0.05) + 1e-12 FROM {ends_p})) GROUP BY e.k"
+add("risk_contribution", "ticker contribution:d share:d", lambda t: rk.risk_contribution(t("scenarios"), wts(t)), "SELECT *, contribution / sum(contribution) OVER () AS share FROM {contributions}")
+add("return_histogram", "bin tail n", lambda t: rk.return_histogram(rk.terminal(t("scenarios"), ["ticker"]), -1.0, 1.0, 20, -0.2), "SELECT CASE WHEN r < -1 THEN 0 WHEN r >= 1 THEN 21 ELSE floor((r + 1) * 10) + 1 END::BIGINT AS bin, r <= -0.2 AS tail, count(*) AS n FROM {ends_t} GROUP BY 1, 2")
+add("portfolio_sortino", "sortino:d", lambda t: folio_returns(t).agg(st.sortino("log_return").alias("sortino")), "SELECT sortino FROM {down_p}")
+
+
+# The risk pipeline: risk of the holdings, candidates, one pick a cluster and sector, their rank.
+
+WEIGHTS = {"var": (0.3, True), "mean_drawdown": (0.2, True), "sortino": (0.2, True), "skew": (0.2, True), "avg_dcor": (0.1, False)}
+
+
+def risk_pipeline(t):
+    """One row for the holdings (place null) and one for each sector's pick, by risk rank."""
+    pool = nw.candidate_pool(t("net"), held(t), 1.0)
+    sectors = t("ticker_metadata").select("ticker", "sector")
+    picks = nw.pick_per_sector(pool.join(sectors, "ticker"), "avg_dcor").select("ticker", "sector", "avg_dcor")
+    risk = rk.risk_table(t("scenarios").join(picks.select("ticker"), "ticker", "left_semi"), ["ticker"], t("returns"))
+    ranked = wn.minmax_rank(picks.join(risk, "ticker"), WEIGHTS).select("ticker", "sector", "score", "place", "var")
+    own = rk.resolve_weights(held(t))
+    mine = t("returns").join(own, "ticker").groupBy("date").agg(F.sum(F.col("weight") * F.col("log_return")).alias("log_return"))
+    total = rk.risk_table(rk.portfolio_paths(t("scenarios"), own), [], mine)
+    return ranked.unionByName(total.select(F.lit("holdings").alias("ticker"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("place"), "var"))
+
+
+TEXTS["pool"] = f"SELECT ticker, avg(mean_dcor) AS avg_dcor FROM {{ends}} WHERE mean_dcor <= 1.0 AND other IN {_held} AND ticker NOT IN {_held} GROUP BY ticker HAVING count(DISTINCT other) >= {len(HELD) // 2}"
+TEXTS["sector_picks"] = "SELECT * FROM (SELECT p.ticker, sector, avg_dcor, row_number() OVER (PARTITION BY sector ORDER BY round(avg_dcor, 9), p.ticker) AS k FROM {pool} AS p JOIN {ticker_metadata} AS m ON m.ticker = p.ticker WHERE sector IS NOT NULL) AS x WHERE k = 1"
+TEXTS["pick_risk"] = "SELECT p.ticker, sector, avg_dcor, var, mean_drawdown, sortino, skew FROM {sector_picks} AS p JOIN {risk_t} AS r ON r.k = p.ticker"
+_scaled = " + ".join(f"{w} * CASE WHEN max({m}) OVER () = min({m}) OVER () THEN 0.5 ELSE " + (f"({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())" if up else f"1 - ({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())") + " END" for m, (w, up) in WEIGHTS.items())
+TEXTS["pick_score"] = f"SELECT *, ({_scaled}) / {sum(w for w, _ in WEIGHTS.values())} AS score FROM {{pick_risk}}"
+add("risk_pipeline", "ticker sector score:d place var:d", risk_pipeline, f"""
+SELECT ticker, sector, score, row_number() OVER (ORDER BY score DESC NULLS LAST, ticker) AS place, var FROM {{pick_score}} UNION ALL
+SELECT 'holdings', NULL, NULL, NULL, quantile_cont(r, 0.05) FROM (SELECT sim_id, arg_max(price, step) - 1 AS r FROM (SELECT sim_id, step, 1 + sum((price - 1) / {len(HELD)}) AS price FROM {{scenarios}} WHERE ticker IN {_held} GROUP BY sim_id, step) AS f GROUP BY sim_id) AS e""")

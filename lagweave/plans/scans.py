@@ -1,5 +1,6 @@
 """Queries on scans, maintenance, scalar functions and calendars."""
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,24 +9,24 @@ from ..functions import calendar as cal
 from ..functions import scalar as fn
 from ..sources import scans as sc
 from ..streaming import jobs
+from . import pairs  # noqa: F401  its tables are scanned here
 from .book import Book
 
 book = Book()
 add = book.add
 DAY = "DATE '2001-06-30'"
+#: All tickers of the given tables, which a wide frame has as columns.
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 add("scan_prices", "ticker date close:d log_return:d", lambda t: sc.scan_prices(t("market_data"), ["Brand#1", "Brand#7", "Brand#20"], "1997-01-01", "1999-12-31"),
     "SELECT ticker, date, close, ln(close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0)) AS log_return FROM {market_data} WHERE ticker IN ('Brand#1', 'Brand#7', 'Brand#20') AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND close > 0")
 add("scan_factors", "date mkt_rf:d smb:d hml:d rf:d", lambda t: sc.between(t("ff_factors"), "date", "1998-01-01", None),
     "SELECT date, mkt_rf, smb, hml, rf FROM {ff_factors} WHERE date >= DATE '1998-01-01'")
-add("scan_residuals", "ticker date log_return:d", lambda t: sc.between(t("returns"), "date", "1999-01-01", "1999-12-31"),
-    "SELECT ticker, date, log_return FROM {returns} WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'")
-add("scan_pair_results", "ticker_i ticker_j lag pearson:d", lambda t: t("panel").where("as_of_date = date '2001-12-31' and abs(pearson) > 0.05"),
-    "SELECT ticker_i, ticker_j, lag, pearson FROM {panel} WHERE as_of_date = DATE '2001-12-31' AND abs(pearson) > 0.05")
-add("scan_oos_returns", "ticker_i ticker_j as_of_date oos_sharpe_net:d", lambda t: sc.matching(t("edges"), ticker_i="Brand#1", ticker_j=None).orderBy("ticker_j", "as_of_date"),
-    "SELECT ticker_i, ticker_j, as_of_date, oos_sharpe_net FROM {edges} WHERE ticker_i = 'Brand#1'")
-add("scan_stability", "ticker_i ticker_j best_lag mean_dcor:d variance_dcor:d frequency:d half_life:d sharpness:d", lambda t: t("net"),
-    "SELECT * FROM {net}")
+add("scan_pair_results", "as_of_date ticker_i ticker_j lag pearson:d", lambda t: sc.matching(t("panel"), as_of_date=datetime.date(2001, 12, 31)),
+    "SELECT as_of_date, ticker_i, ticker_j, lag, pearson FROM {panel} WHERE as_of_date = DATE '2001-12-31'")
+add("scan_significant_pairs", "win ticker_i ticker_j lag dcor:d", lambda t: t("sig").select("win", "ticker_i", "ticker_j", "lag", "dcor"), "SELECT win, ticker_i, ticker_j, lag, dcor FROM {sig}")
+add("scan_oos_returns", "ticker_i ticker_j date net:d", lambda t: sc.matching(t("strategy"), ticker_i="Brand#1", ticker_j=None).orderBy("ticker_j", "date"), "SELECT ticker_i, ticker_j, date, net FROM {strategy} WHERE ticker_i = 'Brand#1'")
+add("scan_stability", "ticker_i ticker_j best_lag mean_dcor:d variance_dcor:d frequency:d half_life:d sharpness:d", lambda t: t("stable"), "SELECT * FROM {stable}")
 _weights = "SELECT concat('v', CAST(o_orderkey % 3 AS VARCHAR(10))) AS model_version, o_orderpriority AS feature, avg(o_totalprice) AS weight, o_orderkey % 3 = 2 AS is_current FROM {orders} GROUP BY o_orderkey % 3, o_orderpriority"
 
 
@@ -67,22 +68,52 @@ add("top_n_universe_fallback", "ticker",
     lambda t: sc.top_n_universe(t("ticker_metadata").select("ticker", F.col("market_cap").alias("weight")), t("ticker_metadata").select("ticker"), t("general_market_data").groupBy("ticker").agg(F.sum("volume").alias("weight")), 100),
     "SELECT ticker FROM {ticker_metadata} UNION SELECT ticker FROM {general_market_data}")
 add("wide_to_long", "date ticker open:d close:d volume",
-    lambda t: sc.wide_to_long(t("market_data").where("ticker in ('Brand#1', 'Brand#2')").groupBy("date").agg(*[F.max(F.when((F.col("ticker") == k) & (F.col("volume") % 5 != 0 if f == "volume" else F.col("volume") % 7 != 0), F.col(f))).alias(f"{f}_{k}") for k in ("Brand#1", "Brand#2") for f in ("open", "close", "volume")]), ["date"], ["open", "close", "volume"]),
-    "SELECT date, ticker, open, close, CAST(CASE WHEN volume % 5 <> 0 THEN volume ELSE 0 END AS BIGINT) AS volume FROM {market_data} WHERE ticker IN ('Brand#1', 'Brand#2') AND volume % 7 <> 0")
+    lambda t: sc.wide_to_long(t("market_data").groupBy("date").agg(*[F.max(F.when((F.col("ticker") == k) & (F.col("volume") % 5 != 0 if f == "volume" else F.col("volume") % 7 != 0), F.col(f))).alias(f"{f}_{k}") for k in BRANDS for f in ("open", "close", "volume")]), ["date"], ["open", "close", "volume"]),
+    "SELECT date, ticker, open, close, CAST(CASE WHEN volume % 5 <> 0 THEN volume ELSE 0 END AS BIGINT) AS volume FROM {market_data} WHERE volume % 7 <> 0")
 add("symbol_remap", "ticker date close:d",
     lambda t: sc.symbol_remap(t("general_market_data"), t("nation").where("n_regionkey = 1").select(F.col("n_name").alias("vendor"), F.concat(F.lit("^"), F.upper(F.substring("n_name", 1, 3)), F.col("n_nationkey").cast("string")).alias("symbol")), "2001-01-01"),
     "SELECT coalesce('^' || upper(substr(n_name, 1, 3)) || CAST(n_nationkey AS VARCHAR), ticker) AS ticker, date, close FROM {general_market_data} LEFT JOIN {nation} ON n_name = ticker AND n_regionkey = 1 WHERE date > DATE '2001-01-01'")
-add("run_log", "run_id run_date", lambda t: sc.latest_run(t("orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.to_date("o_orderdate").alias("run_date"), F.when(F.col("o_orderstatus") == "F", "COMPLETE").otherwise("FAILED").alias("status"))),
-    "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS run_date FROM {orders} WHERE o_orderstatus = 'F' ORDER BY run_date DESC, run_id LIMIT 1")
-add("ingest_factor_text", "date mkt_rf:d smb:d hml:d rmw:d rf:d",
-    lambda t: sc.factor_text(t("ff_factors").select(F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *[F.format_string("%.4f", F.col(c) * 100) for c in ("mkt_rf", "smb", "hml", "rf")]).alias("value")).unionByName(t("region").select(F.concat(F.lit("  Annual "), F.col("r_name"), F.lit(",1,2,3,4")).alias("value")))),
+def run_log(t):
+    """Appends the runs in two parts, then reads the newest complete one."""
+    runs = t("orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.to_date(F.date_trunc("year", "o_orderdate")).alias("run_date"), F.to_date("o_orderdate").alias("ended"), F.when(F.col("o_orderstatus") == "F", "COMPLETE").otherwise("FAILED").alias("status"))
+    path = jobs.scratch(t.spark, "runs")
+    sc.append_run(runs.where("run_id % 2 = 0"), path)
+    sc.append_run(runs.where("run_id % 2 = 1"), path)
+    return sc.latest_run(t.spark.read.parquet(path).withColumn("run_date", F.col("ended")))
+
+
+add("run_log", "run_id run_date", run_log, "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS run_date FROM {orders} WHERE o_orderstatus = 'F' ORDER BY run_date DESC, run_id LIMIT 1")
+
+
+def factor_file(t):
+    """The factors as a text file, with preamble and an annual block, read back."""
+    path = jobs.scratch(t.spark, "factors")
+    daily = t("ff_factors").select(F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *[F.format_string(" %.4f", F.col(c) * 100) for c in ("mkt_rf", "smb", "hml", "rf")]).alias("value"))
+    t("region").select(F.concat(F.lit("  Annual "), F.col("r_name"), F.lit(",1,2,3,4")).alias("value")).unionByName(daily).write.text(path)
+    return sc.read_factors(t.spark, path)
+
+
+add("ingest_factor_text", "date mkt_rf:d smb:d hml:d rmw:d rf:d", factor_file,
     "SELECT date, round(mkt_rf * 100, 4) / 100 AS mkt_rf, round(smb * 100, 4) / 100 AS smb, round(hml * 100, 4) / 100 AS hml, NULL AS rmw, round(rf * 100, 4) / 100 AS rf FROM {ff_factors}")
-add("ingest_holdings_text", "ticker",
-    lambda t: sc.holdings_text(t("supplier").select(F.concat_ws(",", F.concat(F.lit(" "), F.expr("chr(cast(65 + s_suppkey % 26 as int))"), F.lit("."), F.expr("chr(cast(65 + s_nationkey % 26 as int))")), F.col("s_name"), F.lit("Tech"), F.when(F.col("s_acctbal") > 0, "Equity").otherwise("Cash")).alias("value"))),
-    "SELECT DISTINCT concat(chr(CAST(65 + s_suppkey % 26 AS INT)), '-', chr(CAST(65 + s_nationkey % 26 AS INT))) AS ticker FROM {supplier} WHERE s_acctbal > 0")
+
+
+def holdings_files(t):
+    """A file for each region's suppliers: preamble, header, quoted names with commas; read back."""
+    path = jobs.scratch(t.spark, "holdings")
+    letter = lambda c: F.expr(f"chr(cast(65 + {c} % 26 as int))")
+    row = F.concat(F.lit('"'), letter("s_suppkey"), F.lit("."), letter("s_nationkey"), F.lit('","'), F.col("s_name"), F.lit(', Inc.",'), F.when(F.col("s_acctbal") > 0, "Equity").otherwise("Cash"), F.lit(',"'), F.format_number(F.floor("s_acctbal").cast("double"), 2), F.lit('"'))
+    rows = t("supplier").select((F.col("s_nationkey") % 5).alias("fund"), F.struct("s_suppkey", row.alias("row")).alias("r"))
+    text = F.concat_ws("\n", F.lit("Fund Holdings as of,\"Jan 1, 2001\""), F.lit("Ticker,Name,Asset Class,Weight (%)"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "\n"))
+    rows.groupBy("fund").agg(text.alias("value")).write.partitionBy("fund").text(path)
+    read = sc.holdings_text(sc.read_holdings(t.spark, path))
+    return read.select(F.regexp_extract("file", "fund=([0-9]+)", 1).cast("int").alias("fund"), "ticker", "weight_pct")
+
+
+add("ingest_holdings_text", "fund ticker weight_pct:d", holdings_files, """
+SELECT fund, ticker, arg_min(w, s_suppkey) AS weight_pct FROM (SELECT s_nationkey % 5 AS fund, concat(chr(CAST(65 + s_suppkey % 26 AS INT)), '-', chr(CAST(65 + s_nationkey % 26 AS INT))) AS ticker, floor(s_acctbal) AS w, s_suppkey FROM {supplier} WHERE s_acctbal > 0) AS x GROUP BY fund, ticker""")
 
 add("log_return", "ticker date log_return:d", lambda t: sc.log_return(t("market_daily")), "SELECT ticker, date, ln(close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0)) AS log_return FROM {market_daily}")
-add("excess_return", "ticker date excess:d", lambda t: t("returns").where("log_return is not null").join(F.broadcast(t("ff_factors").select("date", "rf")), "date").withColumn("excess", F.col("log_return") - F.col("rf")),
+add("excess_return", "ticker date excess:d", lambda t: t("returns").where("log_return is not null").join(t("ff_factors").select("date", "rf"), "date").withColumn("excess", F.col("log_return") - F.col("rf")),
     "SELECT ticker, r.date, log_return - rf AS excess FROM {returns} AS r JOIN {ff_factors} AS f ON r.date = f.date WHERE log_return IS NOT NULL")
 add("safe_double", "event_id x:d", lambda t: t("events").select("event_id", F.expr("case when event_id % 5 = 0 then 'abc' when event_id % 7 = 0 then 'Infinity' when event_id % 11 = 0 then 'NaN' else cast(value as string) end").alias("s")).select("event_id", fn.safe_double("s").alias("x")),
     "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS x FROM {events}")
@@ -109,7 +140,7 @@ _windows = "SELECT w AS window_start, CAST(w + INTERVAL 1 YEAR - INTERVAL 1 DAY
 
 
 def windows(t):
-    return t("market_data").select(F.to_date(F.date_trunc("quarter", "date")).alias("window_start")).distinct().withColumn("window_end", F.date_sub(F.add_months("window_start", 12), 1))
+    return cal.quarters(t("market_data"))
 
 
 add("latest_window", "window_start window_end", lambda t: cal.latest_window(windows(t)), f"SELECT * FROM ({_windows}) AS v ORDER BY window_start DESC LIMIT 1")
@@ -135,20 +166,28 @@ def _write_table(rows, path):
 
 def _replace(rows, path):
     sc.write_table(rows, path, "overwrite", partition=["as_of_date"])
-    sc.replace_partitions(rows.where("as_of_date > date '2001-06-01' and signal_strength > 50").withColumn("signal_strength", F.col("signal_strength") + 1), path, "as_of_date")
+    sc.replace_window(rows.where("signal_strength > 50").withColumn("signal_strength", F.col("signal_strength") + 1), path, "2001-12-31", "as_of_date")
+    sc.replace_window(rows.where("false"), path, "2000-12-31", "as_of_date")
+
+
+def _upsert(rows, path):
+    sc.write_table(rows.where("signal_strength > 20"), path, "overwrite", partition=["as_of_date"])
+    sc.upsert_snapshot(rows.where("signal_strength > 60").withColumn("signal_strength", F.col("signal_strength") * 2), path)
 
 
 def create_tables(t):
-    name = f"prices_{uuid.uuid4().hex[:12]}"
+    """All declared tables in a database of its own; the scored network stored in one of them."""
+    name = f"leadlag_{uuid.uuid4().hex[:12]}"
+    t.spark.sql(f"CREATE DATABASE {name} LOCATION '{jobs.scratch(t.spark, name)}'")
     for _ in range(2):  # the second time changes nothing
-        sc.create_tables(t.spark, {name: ("ticker STRING, close DOUBLE, date DATE", "date")})
-    t("market_data").where("ticker = 'Brand#1'").select("ticker", "close", "date").sortWithinPartitions("date").write.mode("append").insertInto(name)
-    return t.spark.table(name)
+        sc.create_tables(t.spark, database=name)
+    sc.insert_rows(t("edges"), "final_network", name)
+    made = t.spark.sql(f"SHOW TABLES IN {name}").agg(F.count(F.lit(1)).alias("n_tables"))
+    return t.spark.table(f"{name}.final_network").join(F.broadcast(made))  # one row
 
 
 _E = "as_of_date ticker_i ticker_j signal_strength:d"
-_replaced = "SELECT as_of_date, ticker_i, ticker_j, signal_strength FROM {edges} WHERE as_of_date < DATE '2001-06-01' UNION ALL SELECT as_of_date, ticker_i, ticker_j, signal_strength + 1 FROM {edges} WHERE as_of_date > DATE '2001-06-01' AND signal_strength > 50"
 add("write_table", _E, lambda t: written(t, "write", _write_table), "SELECT * FROM {edges}")
-add("replace_window", _E, lambda t: written(t, "replace", _replace), _replaced)
-add("upsert_snapshot", _E, lambda t: written(t, "upsert", _replace), _replaced)
-add("create_tables", "ticker date close:d", create_tables)
+add("replace_window", _E, lambda t: written(t, "replace", _replace), "SELECT as_of_date, ticker_i, ticker_j, signal_strength + 1 AS signal_strength FROM {edges} WHERE as_of_date = DATE '2001-12-31' AND signal_strength > 50")
+add("upsert_snapshot", _E, lambda t: written(t, "upsert", _upsert), "SELECT as_of_date, ticker_i, ticker_j, signal_strength * 2 AS signal_strength FROM {edges} WHERE signal_strength > 60")
+add("create_tables", _E + " best_lag oos_dcor:d n_tables", create_tables, "SELECT as_of_date, ticker_i, ticker_j, signal_strength, best_lag, NULL AS oos_dcor, 13 AS n_tables FROM {edges}")

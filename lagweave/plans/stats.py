@@ -1,117 +1,35 @@
 """Queries on pairs, factor models, aggregates, strategy, stability and scoring."""
 
+import datetime
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import network as nw
 from ..operators import pairs as pr
 from ..operators import stats as st
-from ..params import DEFAULT
 from ..sources import scans as sc
 from .book import Book
-from .surrogates import TEXTS
+from .pairs import partialled
+from .surrogates import MADE, TEXTS
 
 book = Book()
 add = book.add
-FEW = "('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')"
-
-
-def few(t, name="returns"):
-    return t(name).where(f"ticker in {FEW}")
-
-
-def few_aligned(t):
-    s = few(t).where("date >= date '2000-01-01'")
-    return pr.aligned(s, pr.all_pairs(s.select("ticker").distinct()))
-
-
-TEXTS["few_aligned"] = f"SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, a.date, a.log_return AS x, b.log_return AS y, row_number() OVER (PARTITION BY a.ticker, b.ticker ORDER BY a.date) AS pos, count(*) OVER (PARTITION BY a.ticker, b.ticker) AS n FROM {{returns}} AS a JOIN {{returns}} AS b ON a.date = b.date AND a.ticker < b.ticker WHERE a.ticker IN {FEW} AND b.ticker IN {FEW} AND a.date >= DATE '2000-01-01' AND a.log_return IS NOT NULL AND b.log_return IS NOT NULL"
-_al = "SELECT * FROM {few_aligned}"
-TEXTS["few_lagged"] = f"SELECT p.ticker_i, p.ticker_j, l.lag, p.pos, p.x, q.y FROM ({_al}) AS p JOIN (SELECT unnest([1, 2, 3]) AS lag) AS l ON true JOIN ({_al}) AS q ON p.ticker_i = q.ticker_i AND p.ticker_j = q.ticker_j AND q.pos = p.pos + l.lag WHERE p.n >= 20 AND p.n > l.lag + 4"
-_lag = "SELECT * FROM {few_lagged}"
 TEXTS["excess"] = "SELECT r.ticker, r.date, log_return - rf AS y, mkt_rf, smb, hml, sector FROM {returns} AS r JOIN {ff_factors} AS f ON r.date = f.date JOIN {ticker_metadata} AS m ON m.ticker = r.ticker WHERE log_return IS NOT NULL"
 _ex = "SELECT * FROM {excess}"
 
 
 def excess(t):
-    return t("returns").where("log_return is not null").join(F.broadcast(t("ff_factors")), "date").join(F.broadcast(t("ticker_metadata").select("ticker", "sector")), "ticker").withColumn("y", F.col("log_return") - F.col("rf"))
+    return t("returns").where("log_return is not null").join(t("ff_factors"), "date").join(t("ticker_metadata").select("ticker", "sector"), "ticker").withColumn("y", F.col("log_return") - F.col("rf"))
 
 
 add("prices_x_factors", "ticker date y:d mkt_rf:d", excess, f"SELECT ticker, date, y, mkt_rf FROM ({_ex}) AS e")
-add("stats_x_meta", "ticker n_days market_cap", lambda t: st.ticker_stats(t("market_data")).join(F.broadcast(t("ticker_metadata").where("market_cap % 2 = 0")), "ticker", "left").withColumn("market_cap", F.coalesce("market_cap", F.lit(0))),
+add("stats_x_meta", "ticker n_days market_cap", lambda t: st.ticker_stats(t("market_data")).join(t("ticker_metadata").where("market_cap % 2 = 0"), "ticker", "left").withColumn("market_cap", F.coalesce("market_cap", F.lit(0))),
     "SELECT s.ticker, n_days, coalesce(market_cap, 0) AS market_cap FROM (SELECT ticker, count(*) AS n_days FROM {market_data} GROUP BY ticker) AS s LEFT JOIN (SELECT * FROM {ticker_metadata} WHERE market_cap % 2 = 0) AS m ON s.ticker = m.ticker")
-add("attach_sectors", "ticker_i ticker_j sector_a sector_b", lambda t: pr.all_pairs(t("ticker_metadata")).join(F.broadcast(t("ticker_metadata").select(F.col("ticker").alias("ticker_i"), F.coalesce("sector", F.lit("Unknown")).alias("sector_a"))), "ticker_i", "left").join(F.broadcast(t("ticker_metadata").select(F.col("ticker").alias("ticker_j"), F.coalesce("sector", F.lit("Unknown")).alias("sector_b"))), "ticker_j", "left"),
+add("attach_sectors", "ticker_i ticker_j sector_a sector_b", lambda t: pr.all_pairs(t("ticker_metadata")).join(t("ticker_metadata").select(F.col("ticker").alias("ticker_i"), F.coalesce("sector", F.lit("Unknown")).alias("sector_a")), "ticker_i", "left").join(t("ticker_metadata").select(F.col("ticker").alias("ticker_j"), F.coalesce("sector", F.lit("Unknown")).alias("sector_b")), "ticker_j", "left"),
     "SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, coalesce(a.sector, 'Unknown') AS sector_a, coalesce(b.sector, 'Unknown') AS sector_b FROM {ticker_metadata} AS a JOIN {ticker_metadata} AS b ON a.ticker < b.ticker")
 add("all_pairs", "ticker_i ticker_j", lambda t: pr.all_pairs(t("ticker_metadata")), "SELECT a.ticker AS ticker_i, b.ticker AS ticker_j FROM {ticker_metadata} AS a JOIN {ticker_metadata} AS b ON a.ticker < b.ticker")
 add("sector_pairs", "ticker_i ticker_j sector", lambda t: pr.sector_pairs(t("ticker_metadata")), "SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, a.sector FROM {ticker_metadata} AS a JOIN {ticker_metadata} AS b ON a.ticker < b.ticker AND a.sector = b.sector")
-add("pair_align", "ticker_i ticker_j date x:d y:d pos n", few_aligned, f"SELECT * FROM ({_al}) AS a WHERE n >= 20")
-add("lag_align", "ticker_i ticker_j lag pos x:d y:d", lambda t: pr.lagged(few_aligned(t), (1, 2, 3)), _lag)
-add("pearson_lag", "ticker_i ticker_j lag obs pearson:d", lambda t: pr.pearson_lag(few_aligned(t), (1, 2, 3)), f"SELECT ticker_i, ticker_j, lag, count(*) AS obs, corr(x, y) AS pearson FROM ({_lag}) AS l GROUP BY ticker_i, ticker_j, lag")
-add("best_lag", "ticker_i ticker_j best_lag strength:d", lambda t: pr.best_lag(t("panel").where("as_of_date = date '2001-12-31'").withColumn("strength", F.round(F.abs("pearson") + 1e-9, 6)), ["ticker_i", "ticker_j"], "strength"),
-    "SELECT ticker_i, ticker_j, lag AS best_lag, s AS strength FROM (SELECT *, round(abs(pearson) + 1e-9, 6) AS s, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(abs(pearson) + 1e-9, 6) DESC, lag) AS k FROM {panel} WHERE as_of_date = DATE '2001-12-31') AS p WHERE k = 1")
-TEXTS["few_dcor"] = f"""SELECT ticker_i, ticker_j, lag, CASE WHEN n < 4 OR va <= 1e-14 OR vb <= 1e-14 THEN 0 ELSE sqrt(least(1, greatest(0, vab / sqrt(va * vb)))) END AS dcor FROM (
- SELECT ticker_i, ticker_j, lag, count(*) AS n, sum(sab) / count(*) ** 2 - 2 * avg(ra * rb) + avg(ra) * avg(rb) AS vab, sum(saa) / count(*) ** 2 - 2 * avg(ra * ra) + avg(ra) ** 2 AS va, sum(sbb) / count(*) ** 2 - 2 * avg(rb * rb) + avg(rb) ** 2 AS vb FROM (
-  SELECT p.ticker_i, p.ticker_j, p.lag, p.pos, avg(abs(p.x - q.x)) AS ra, avg(abs(p.y - q.y)) AS rb, sum(abs(p.x - q.x) * abs(p.y - q.y)) AS sab, sum(abs(p.x - q.x) ** 2) AS saa, sum(abs(p.y - q.y) ** 2) AS sbb
-  FROM ({_lag}) AS p JOIN ({_lag}) AS q ON p.ticker_i = q.ticker_i AND p.ticker_j = q.ticker_j AND p.lag = q.lag GROUP BY p.ticker_i, p.ticker_j, p.lag, p.pos) AS r GROUP BY ticker_i, ticker_j, lag) AS v"""
-_dc = "SELECT * FROM {few_dcor}"
-
-
-def profile(t, lags=(1, 2, 3)):
-    return pr.dcor(pr.pair_arrays(few_aligned(t), lags))
-
-
-#: Tables of the oracle alone are entries of TEXTS, so that each is made once.
-add("dcor", "ticker_i ticker_j dcor:d", lambda t: profile(t, (1,)), f"SELECT ticker_i, ticker_j, dcor FROM ({_dc}) AS d WHERE lag = 1")
-add("dcor_lag_profile", "ticker_i ticker_j lag dcor:d", profile, _dc)
-add("sharpness", "ticker_i ticker_j sharpness:d", lambda t: pr.sharpness(profile(t), ["ticker_i", "ticker_j"]), f"SELECT ticker_i, ticker_j, CASE WHEN count(*) = 1 THEN 1 ELSE 1 - (ln(sum(dcor)) - sum(dcor * ln(dcor)) / sum(dcor)) / ln(count(*)) END AS sharpness FROM ({_dc}) AS d WHERE dcor > 0 GROUP BY ticker_i, ticker_j")
-add("sharpness_ratio", "ticker_i ticker_j sharpness:d", lambda t: pr.sharpness(profile(t), ["ticker_i", "ticker_j"], "ratio"), f"SELECT ticker_i, ticker_j, max(dcor) / sum(dcor) AS sharpness FROM ({_dc}) AS d WHERE dcor > 0 GROUP BY ticker_i, ticker_j")
-
-
-def whole_aligned(t):
-    s = t("returns")
-    return pr.aligned(s, pr.all_pairs(s.select("ticker").distinct()))
-
-
-def whole_arrays(t):
-    return pr.pair_arrays(whole_aligned(t), DEFAULT.lags)
-
-
-add("permutation_p", "ticker_i ticker_j lag dcor:d p_value:d permutations", lambda t: pr.permutation_p(whole_arrays(t)))
-add("tier_budget", "tier3_fraction:d alert", lambda t: pr.tier_budget(pr.permutation_p(whole_arrays(t))))
-
-
-def panel_full(t):
-    arrays = whole_arrays(t)
-    keys = ["ticker_i", "ticker_j", "lag"]
-    return pr.permutation_p(arrays).join(pr.pearson_lag(whole_aligned(t), DEFAULT.lags), keys).join(pr.sharpness(pr.dcor(arrays), keys[:2]), keys[:2])
-
-
-add("pair_panel", "ticker_i ticker_j lag dcor:d p_value:d permutations sharpness:d pearson:d", panel_full)
-
-
-def backfilled(t):
-    keys = ["ticker_i", "ticker_j", "lag"]
-    fresh = pr.pearson_lag(few_aligned(t), (1, 2, 3))
-    stored = fresh.withColumn("pearson", F.when(F.col("lag") != 2, F.col("pearson")))
-    missing = stored.where("pearson is null").select(*keys)
-    return sc.keyed_update(stored, fresh.where("obs >= 20").join(missing, keys, "left_semi"), keys, "pearson")
-
-
-add("pearson_backfill", "ticker_i ticker_j lag pearson:d", backfilled, f"SELECT ticker_i, ticker_j, lag, corr(x, y) AS pearson FROM ({_lag}) AS l GROUP BY ticker_i, ticker_j, lag")
-add("direction_counts", "positive negative unknown", lambda t: pr.direction_counts(t("panel")), "SELECT count(*) FILTER (pearson > 0) AS positive, count(*) FILTER (pearson < 0) AS negative, count(*) FILTER (pearson IS NULL) AS unknown FROM {panel}")
-_p = "SELECT as_of_date AS window_start, ticker_i, ticker_j, lag, (('0x' || substr(md5(concat(ticker_i, '/', ticker_j, '/', lag)), 1, 8))::BIGINT % 100000 + 1) / 1e5 * abs(pearson) AS p_value FROM {panel}"
-
-
-def p_values(t):
-    draw = F.conv(F.substring(F.md5(F.concat_ws("/", "ticker_i", "ticker_j", F.col("lag").cast("string"))), 1, 8), 16, 10).cast("long")
-    return t("panel").select(F.col("as_of_date").alias("window_start"), "ticker_i", "ticker_j", "lag", ((draw % 100000 + 1) / F.lit(1e5) * F.abs("pearson")).alias("p_value"))
-
-
-add("bh_fdr", "window_start ticker_i ticker_j lag q_value:d significant", lambda t: pr.bh_fdr(p_values(t), 0.02),
-    f"SELECT *, q_value <= 0.02 AS significant FROM (SELECT *, least(1.0, min(raw) OVER (PARTITION BY window_start ORDER BY p_value, ticker_i, ticker_j, lag ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM (SELECT *, p_value * count(*) OVER (PARTITION BY window_start) / row_number() OVER (PARTITION BY window_start ORDER BY p_value, ticker_i, ticker_j, lag) AS raw FROM ({_p}) AS p) AS r) AS q")
-add("corr_matrix", "ticker_i ticker_j corr:d", lambda t: pr.correlation_matrix(few(t)), f"SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, corr(a.log_return, b.log_return) AS corr FROM {{returns}} AS a JOIN {{returns}} AS b ON a.date = b.date WHERE a.ticker IN {FEW} AND b.ticker IN {FEW} GROUP BY a.ticker, b.ticker")
-add("lead_lag_beta", "ticker_i ticker_j lag corr:d beta:d obs", lambda t: pr.lead_lag_beta(few_aligned(t), (1, 2, 3)),
-    f"SELECT ticker_i, ticker_j, lag, corr, beta, obs FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(abs(corr), 9) DESC, lag) AS k FROM (SELECT ticker_i, ticker_j, lag, corr(x, y) AS corr, regr_slope(y, x) AS beta, count(*) AS obs FROM ({_lag}) AS l GROUP BY ticker_i, ticker_j, lag HAVING count(*) >= 30) AS g) AS r WHERE k = 1")
-
 add("ticker_stats", "ticker n_days first_date last_date median_dollar_volume:d", lambda t: st.ticker_stats(t("market_daily")), "SELECT ticker, count(*) AS n_days, min(date) AS first_date, max(date) AS last_date, quantile_cont(close * volume, 0.5) AS median_dollar_volume FROM {market_daily} GROUP BY ticker")
 TEXTS["universe"] = "SELECT *, CASE WHEN n_days < 252 THEN 'insufficient_history' WHEN coverage < 0.75 THEN 'low_coverage' WHEN mdv < 20000 THEN 'low_volume' WHEN market_cap < 1500000 THEN 'low_market_cap' ELSE 'OK' END AS reason FROM (SELECT s.ticker, n_days, n_days / 1725.0 AS coverage, mdv, coalesce(market_cap, 0) AS market_cap FROM (SELECT ticker, count(*) AS n_days, quantile_cont(close * volume, 0.5) AS mdv FROM {market_daily} GROUP BY ticker) AS s LEFT JOIN {ticker_metadata} AS m ON m.ticker = s.ticker) AS x"
 _uni = "SELECT * FROM {universe}"
@@ -126,97 +44,41 @@ add("valid_tickers", "ticker", lambda t: universe(t).where("is_valid").orderBy("
 add("reason_counts", "reason n", lambda t: universe(t).where("not is_valid").groupBy("reason").agg(F.count(F.lit(1)).alias("n")), f"SELECT reason, count(*) AS n FROM ({_uni}) AS u WHERE reason <> 'OK' GROUP BY reason")
 
 
-def fwl(base: str, y: str, xs: list[str], part: str = "ticker") -> str:
-    """Residuals by partialling one regressor out after another."""
-    sql, todo = base, [*xs]
-    while todo:
-        x = todo.pop(0)
-        cols = [f"{c} - regr_slope({c}, {x}) OVER (PARTITION BY {part}) * {x} - regr_intercept({c}, {x}) OVER (PARTITION BY {part}) AS {c}" for c in (*todo, y)]
-        sql = f"SELECT * REPLACE ({', '.join(cols)}) FROM ({sql}) AS f_{x}"
-    return sql
-
-
-add("ols_residuals", "ticker date residual:d", lambda t: st.ols_residuals(excess(t), ["ticker"], "y", ["mkt_rf", "smb", "hml"]), f"SELECT ticker, date, y AS residual FROM ({fwl(_ex, 'y', ['mkt_rf', 'smb', 'hml'])}) AS r")
+add("ols_residuals", "ticker date residual:d", lambda t: st.ols_residuals(excess(t), ["ticker"], "y", ["mkt_rf", "smb", "hml"]), f"SELECT ticker, date, y AS residual FROM ({partialled(_ex, 'y', ['mkt_rf', 'smb', 'hml'], 'ticker')}) AS r")
 TEXTS["excess_loo"] = f"SELECT *, CASE WHEN count(*) OVER (PARTITION BY date, sector) > 1 THEN (sum(y) OVER (PARTITION BY date, sector) - y) / (count(*) OVER (PARTITION BY date, sector) - 1) END AS loo FROM ({_ex}) AS e"
 _loo = "SELECT * FROM {excess_loo}"
 add("loo_sector_factor", "ticker date loo:d", lambda t: st.loo_sector_factor(excess(t), "y"), f"SELECT ticker, date, loo FROM ({_loo}) AS l")
 _use = f"SELECT ticker AS tk FROM ({_loo}) AS l GROUP BY ticker HAVING avg(CASE WHEN loo IS NOT NULL THEN 1.0 ELSE 0 END) >= 0.9"
-_plain = fwl(f"SELECT ticker, date, y, mkt_rf, smb, hml FROM ({_loo}) AS l WHERE ticker NOT IN ({_use})", "y", ["mkt_rf", "smb", "hml"])
-_sect = fwl(f"SELECT ticker, date, y, mkt_rf, smb, hml, coalesce(loo, 0) AS loo FROM ({_loo}) AS l WHERE ticker IN ({_use})", "y", ["mkt_rf", "smb", "hml", "loo"])
+_plain = partialled(f"SELECT ticker, date, y, mkt_rf, smb, hml FROM ({_loo}) AS l WHERE ticker NOT IN ({_use})", "y", ["mkt_rf", "smb", "hml"], "ticker")
+_sect = partialled(f"SELECT ticker, date, y, mkt_rf, smb, hml, coalesce(loo, 0) AS loo FROM ({_loo}) AS l WHERE ticker IN ({_use})", "y", ["mkt_rf", "smb", "hml", "loo"], "ticker")
 add("sector_residuals", "ticker date residual:d factor_model", lambda t: st.sector_residuals(excess(t), "y", ["mkt_rf", "smb", "hml"]), f"SELECT ticker, date, y AS residual, 'sector' AS factor_model FROM ({_sect}) AS a UNION ALL SELECT ticker, date, y, 'plain' FROM ({_plain}) AS b")
-_wr = "SELECT r.ticker, date, year(date) AS window_start, log_return AS residual FROM {returns} AS r WHERE log_return IS NOT NULL"
-add("latest_residual", "ticker date residual:d", lambda t: t("returns").where("log_return is not null").select("ticker", "date", F.explode(F.array(F.year("date") - 1, F.year("date"))).alias("window_start"), "log_return").withColumn("residual", F.col("log_return") * F.col("window_start")).groupBy("ticker", "date").agg(F.max_by("residual", "window_start").alias("residual")),
-    "SELECT ticker, date, log_return * year(date) AS residual FROM {returns} WHERE log_return IS NOT NULL")
-add("oos_slice", "window_start ticker date log_return:d", lambda t: t("returns").join(F.broadcast(t("market_data").select(F.to_date(F.date_trunc("year", "date")).alias("window_start")).distinct()), F.col("date").between(F.add_months("window_start", 12), F.date_add(F.add_months("window_start", 12), 62))),
-    "SELECT window_start, ticker, r.date, log_return FROM {returns} AS r JOIN (SELECT DISTINCT CAST(date_trunc('year', date) AS DATE) AS window_start FROM {market_data}) AS w ON r.date BETWEEN CAST(window_start + INTERVAL 1 YEAR AS DATE) AND CAST(window_start + INTERVAL 1 YEAR AS DATE) + 62")
-add("nearest_price", "ticker past_date past_close:d", lambda t: t("market_daily").withColumn("gap", F.abs(F.datediff("date", F.lit("2000-06-15").cast("date")))).where("gap <= 7").groupBy("ticker").agg(F.min_by(F.struct("date", "close"), F.struct("gap", "date")).alias("p")).select("ticker", F.col("p.date").alias("past_date"), F.col("p.close").alias("past_close")),
-    "SELECT ticker, date AS past_date, close AS past_close FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(date - DATE '2000-06-15'), date) AS k FROM {market_daily} WHERE abs(date - DATE '2000-06-15') <= 7) AS x WHERE k = 1")
-
-_yr = "SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, year(a.date) AS win, l.lag, abs(corr(a.log_return, b.log_return)) AS dcor FROM {returns} AS a JOIN (SELECT unnest([1, 2]) AS lag) AS l ON true JOIN {returns} AS b ON b.date = a.date + 7 * l.lag AND a.ticker < b.ticker WHERE a.ticker IN " + FEW + " AND b.ticker IN " + FEW + " GROUP BY 1, 2, 3, 4"
-TEXTS["yearly"] = f"SELECT ticker_i, ticker_j, win, lag, dcor, CAST(win % 7 AS DOUBLE) / 7 AS sharpness FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j, win ORDER BY round(dcor, 9) DESC, lag) AS k FROM ({_yr}) AS y) AS z WHERE k = 1"
-_win = "SELECT * FROM {yearly}"
-
-
-def yearly(t):
-    a = few(t).select(F.col("ticker").alias("ticker_i"), "date", F.col("log_return").alias("x"))
-    b = few(t).select(F.col("ticker").alias("ticker_j"), F.col("date").alias("later"), F.col("log_return").alias("y"))
-    both = a.withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("later", F.date_add("date", F.col("lag") * 7)).join(b, "later").where("ticker_i < ticker_j")
-    per = both.groupBy("ticker_i", "ticker_j", F.year("date").alias("window"), "lag").agg(F.abs(F.corr("x", "y")).alias("dcor"))
-    best = per.groupBy("ticker_i", "ticker_j", "window").agg(F.max_by(F.struct("lag", "dcor"), F.struct(F.round("dcor", 9), -F.col("lag"))).alias("b"))
-    return best.select("ticker_i", "ticker_j", "window", "b.*").withColumn("sharpness", (F.col("window") % 7).cast("double") / 7)
-
-
-_stab = f"SELECT ticker_i, ticker_j, avg(dcor) AS mean_dcor, var_pop(dcor) AS variance_dcor, count(DISTINCT win) / 7.0 AS frequency, (SELECT lag FROM (SELECT lag, count(*) AS c FROM ({_win}) AS y WHERE y.ticker_i = w.ticker_i AND y.ticker_j = w.ticker_j GROUP BY lag ORDER BY c DESC, lag LIMIT 1) AS m) AS best_lag, avg(sharpness) AS sharpness, count(DISTINCT win) AS n_windows_observed FROM ({_win}) AS w GROUP BY ticker_i, ticker_j"
-add("stability_metrics", "ticker_i ticker_j mean_dcor:d variance_dcor:d frequency:d best_lag sharpness:d n_windows_observed", lambda t: st.stability(yearly(t), 7), _stab)
-add("stability_x_sharpness", "ticker_i ticker_j sharpness:d", lambda t: yearly(t).groupBy("ticker_i", "ticker_j").agg(F.avg("sharpness").alias("sharpness")), f"SELECT ticker_i, ticker_j, avg(sharpness) AS sharpness FROM ({_win}) AS w GROUP BY 1, 2")
-_t = f"SELECT *, win - min(win) OVER (PARTITION BY ticker_i, ticker_j) AS t FROM ({_win}) AS w"
-_sse = "sum(dcor * dcor) - 2 * greatest(sum(dcor * exp(-rate * t)) / sum(exp(-2 * rate * t)), 0) * sum(dcor * exp(-rate * t)) + greatest(sum(dcor * exp(-rate * t)) / sum(exp(-2 * rate * t)), 0) ** 2 * sum(exp(-2 * rate * t))"
-_hl0 = f"SELECT ticker_i, ticker_j, rate FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(sse, 12), rate) AS k FROM (SELECT ticker_i, ticker_j, rate, {_sse} AS sse FROM ({_t}) AS t JOIN (SELECT 10.0 ** (-6.0 + g * (7.0 / 40)) AS rate FROM range(41) AS r(g)) AS g ON true GROUP BY 1, 2, 3) AS s) AS z WHERE k = 1"
-_hl1 = f"SELECT *, yy - y * y / n AS tot FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(sse, 12), rate) AS k FROM (SELECT t.ticker_i, t.ticker_j, rate, {_sse} AS sse, sum(dcor * dcor) AS yy, sum(dcor) AS y, count(*) AS n FROM ({_t}) AS t JOIN (SELECT DISTINCT ticker_i AS gi, ticker_j AS gj, least(10.0, greatest(1e-6, rate * 10.0 ** (h * (7.0 / 40 / 20)))) AS rate FROM ({_hl0}) AS a JOIN (SELECT h FROM range(-20, 21) AS r(h)) AS b ON true) AS g ON gi = ticker_i AND gj = ticker_j GROUP BY 1, 2, 3) AS s) AS z WHERE k = 1"
-add("half_life", "ticker_i ticker_j half_life:d half_life_stable", lambda t: st.half_life(yearly(t)), f"SELECT ticker_i, ticker_j, least(ln(2.0) / rate * 63, 252) AS half_life, CASE WHEN tot > 1e-12 THEN 1 - sse / tot ELSE 0 END >= 0.30 AS half_life_stable FROM ({_hl1}) AS f")
+TEXTS["window_excess"] = "SELECT w.window_start, w.win, w.ticker, w.date, log_return - rf AS y, mkt_rf, smb, hml FROM {window_returns} AS w JOIN {ff_factors} AS f ON f.date = w.date"
+TEXTS["residuals"] = f"SELECT window_start, win, ticker, date, y AS residual FROM ({partialled('SELECT *, count(*) OVER (PARTITION BY win, ticker) AS n FROM {window_excess}', 'y', ['mkt_rf', 'smb', 'hml'], 'win, ticker')}) AS r WHERE n >= 40"
 
-add("trailing_zscore", "ticker date z:d", lambda t: st.trailing_zscore(t("returns").where("log_return is not null"), "log_return", 52),
-    "SELECT ticker, date, CASE WHEN c = 52 AND s > 1e-10 THEN (log_return - m) / s END AS z FROM (SELECT *, count(log_return) OVER w AS c, avg(log_return) OVER w AS m, stddev_pop(log_return) OVER w AS s FROM {returns} WHERE log_return IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)) AS x")
-_pairs = f"SELECT ticker_i, ticker_j, best_lag AS lag, oos_sharpe_net AS direction FROM {{net}} WHERE ticker_i IN {FEW} AND ticker_j IN {FEW}"
-TEXTS["strategy"] = f"""SELECT ticker_i, ticker_j, date, lag, signal, position, position * y AS gross, position * y - 0.001 * abs(position) AS net FROM (SELECT *, (CASE WHEN direction < 0 THEN -1 ELSE 1 END) * (CASE WHEN signal > 1 THEN 1 WHEN signal < -1 THEN -1 ELSE 0 END) AS position FROM (
- SELECT *, CASE lag WHEN 1 THEN lag(z, 1) OVER v WHEN 2 THEN lag(z, 2) OVER v WHEN 3 THEN lag(z, 3) OVER v END AS signal FROM (SELECT *, CASE WHEN count(x) OVER w = 26 AND stddev_pop(x) OVER w > 1e-10 THEN (x - avg(x) OVER w) / stddev_pop(x) OVER w END AS z FROM (
-  SELECT p.*, a.date, a.log_return AS x, b.log_return AS y FROM ({_pairs}) AS p JOIN {{returns}} AS a ON a.ticker = ticker_i JOIN {{returns}} AS b ON b.ticker = ticker_j AND b.date = a.date WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL) AS j WINDOW w AS (PARTITION BY ticker_i, ticker_j ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)) AS z1 WINDOW v AS (PARTITION BY ticker_i, ticker_j ORDER BY date)) AS s WHERE signal IS NOT NULL) AS g"""
-_str = "SELECT * FROM {strategy}"
-
-
-def strategy(t):
-    pairs = t("net").where(f"ticker_i in {FEW} and ticker_j in {FEW}").select("ticker_i", "ticker_j", F.col("best_lag").alias("lag"), F.col("oos_sharpe_net").alias("direction"))
-    return st.strategy_returns(few(t), few(t), pairs, 26)
-
-
-add("strategy_returns", "ticker_i ticker_j date lag signal:d position gross:d net:d", strategy, _str)
-add("global_sharpe", "ticker_i ticker_j sharpe_gross:d sharpe_net:d n_days best_lag", lambda t: strategy(t).groupBy("ticker_i", "ticker_j").agg(st.sharpe("gross").alias("sharpe_gross"), st.sharpe("net").alias("sharpe_net"), F.count(F.lit(1)).alias("n_days"), F.mode("lag", deterministic=True).alias("best_lag")).where("n_days >= 30"),
-    f"SELECT ticker_i, ticker_j, CASE WHEN stddev_pop(gross) > 1e-10 THEN avg(gross) / stddev_pop(gross) * sqrt(252) END AS sharpe_gross, CASE WHEN stddev_pop(net) > 1e-10 THEN avg(net) / stddev_pop(net) * sqrt(252) END AS sharpe_net, count(*) AS n_days, min(lag) AS best_lag FROM ({_str}) AS s GROUP BY 1, 2 HAVING count(*) >= 30")
-add("oos_dcor", "ticker_i ticker_j oos_dcor:d", lambda t: yearly(t).groupBy("ticker_i", "ticker_j").agg(F.avg(F.when(F.col("window") >= 2000, F.col("dcor"))).alias("oos_dcor")), f"SELECT ticker_i, ticker_j, avg(CASE WHEN win >= 2000 THEN dcor END) AS oos_dcor FROM ({_win}) AS w GROUP BY 1, 2")
 
+def residuals(t):
+    rows = t("window_returns").join(t("ff_factors"), "date").withColumn("y", F.col("log_return") - F.col("rf"))
+    return st.ols_residuals(rows, ["window_start", "win", "ticker"], "y", ["mkt_rf", "smb", "hml"], 40).select("window_start", "win", "ticker", "date", "residual")
 
-def fit_rows(t):
-    return t("net").select("oos_sharpe_net", "mean_dcor", "variance_dcor", "frequency", "sharpness", F.xxhash64("ticker_i", "ticker_j").alias("id"))
 
-
-def regression(t):
-    xs = ["mean_dcor", "variance_dcor", "frequency", "sharpness"]
-    b = st.ols(fit_rows(t), [], "oos_sharpe_net", xs, 20)
-    return b.select("n", F.posexplode("beta").alias("i", "weight")).select("n", F.element_at(F.array(F.lit("intercept"), *map(F.lit, xs)), F.col("i") + 1).alias("feature"), "weight").where("feature = 'sharpness'")
-
-
-_fw = fwl("SELECT 1 AS g, oos_sharpe_net AS y, mean_dcor, variance_dcor, frequency, sharpness FROM {net}", "y", ["mean_dcor", "variance_dcor", "frequency"], "g").replace("* REPLACE (variance_dcor", "* REPLACE (sharpness - regr_slope(sharpness, mean_dcor) OVER (PARTITION BY g) * mean_dcor - regr_intercept(sharpness, mean_dcor) OVER (PARTITION BY g) AS sharpness, variance_dcor").replace("* REPLACE (frequency", "* REPLACE (sharpness - regr_slope(sharpness, variance_dcor) OVER (PARTITION BY g) * variance_dcor - regr_intercept(sharpness, variance_dcor) OVER (PARTITION BY g) AS sharpness, frequency").replace("* REPLACE (y", "* REPLACE (sharpness - regr_slope(sharpness, frequency) OVER (PARTITION BY g) * frequency - regr_intercept(sharpness, frequency) OVER (PARTITION BY g) AS sharpness, y")
-add("score_regression", "n feature weight:d", regression, f"SELECT count(*) AS n, 'sharpness' AS feature, regr_slope(y, sharpness) AS weight FROM ({_fw}) AS f")
-add("bootstrap_ci", "feature mean:d std:d ci_lower:d ci_upper:d", lambda t: st.bootstrap_ci(fit_rows(t), "oos_sharpe_net", ["mean_dcor", "sharpness"], 200))
+MADE["residuals"] = residuals
+add("scan_residuals", "window_start ticker date residual:d", lambda t: sc.matching(t("residuals"), window_start=datetime.date(1999, 1, 1)), "SELECT * FROM {residuals} WHERE window_start = DATE '1999-01-01'")
+add("rolling_residuals", "window_start ticker date residual:d", residuals, "SELECT * FROM {residuals}")
+add("latest_residual", "ticker date residual:d", lambda t: st.one_residual(t("residuals")), "SELECT ticker, date, arg_max(residual, win) AS residual FROM {residuals} GROUP BY ticker, date")
+add("causal_residual", "ticker date residual:d", lambda t: st.one_residual(t("residuals"), "causal"), "SELECT ticker, date, arg_min(residual, win) AS residual FROM {residuals} GROUP BY ticker, date")
+add("nearest_price", "ticker past_date past_close:d", lambda t: nw.nearest_price(t("market_daily"), t("market_daily").agg(F.date_sub(F.max("date"), 182))), """
+SELECT ticker, date AS past_date, close AS past_close FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(date - (SELECT max(date) - 182 FROM {market_daily})), date) AS k FROM {market_daily} WHERE abs(date - (SELECT max(date) - 182 FROM {market_daily})) <= 7) AS x WHERE k = 1""")
+add("trailing_zscore", "ticker date z:d", lambda t: st.trailing_zscore(t("returns").where("log_return is not null"), "log_return", 52),
+    "SELECT ticker, date, CASE WHEN c = 52 AND s > 1e-10 THEN (log_return - m) / s END AS z FROM (SELECT *, count(log_return) OVER w AS c, avg(log_return) OVER w AS m, stddev_pop(log_return) OVER w AS s FROM {returns} WHERE log_return IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)) AS x")
 _W = {"mean_dcor": 2.0, "frequency": 0.5, "sharpness": -0.25}
 add("predicted_score", "ticker_i ticker_j predicted:d", lambda t: st.predicted_score(t("net"), _W, 0.1), "SELECT ticker_i, ticker_j, 0.1 + 2.0 * coalesce(mean_dcor, 0) + 0.5 * coalesce(frequency, 0) - 0.25 * coalesce(sharpness, 0) AS predicted FROM {net}")
 add("signal_strength", "ticker_i ticker_j signal_strength:d", lambda t: st.signal_strength(t("net").drop("signal_strength"), "mean_dcor"), "SELECT ticker_i, ticker_j, CASE WHEN hi > lo THEN (least(greatest(mean_dcor, lo), hi) - lo) / (hi - lo) * 100 ELSE 50 END AS signal_strength FROM {net}, (SELECT quantile_cont(mean_dcor, 0.05) AS lo, quantile_cont(mean_dcor, 0.95) AS hi FROM {net}) AS p")
-add("annualized_vol", "ticker vol:d", lambda t: t("market_daily").where("date > date '2000-06-30'").withColumn("r", F.log(F.col("adj_close") / F.lag("adj_close").over(W.partitionBy("ticker").orderBy("date")))).groupBy("ticker").agg((F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), F.count("r").alias("n")).where("n >= 50"),
-    "SELECT ticker, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT ticker, ln(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date)) AS r FROM {market_daily} WHERE date > DATE '2000-06-30') AS x GROUP BY ticker HAVING count(r) >= 50")
+TEXTS["annual_vols"] = """
+SELECT ticker, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT ticker, ln(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date)) AS r FROM {market_daily} WHERE date > (SELECT max(date) - 365 FROM {market_daily})) AS x GROUP BY ticker HAVING count(r) >= 50"""
+add("annualized_vol", "ticker vol:d", lambda t: st.annualized_vol(t("market_daily")), "SELECT * FROM {annual_vols}")
 add("lag_distribution", "best_lag n mean_score:d mean_sharpe:d", lambda t: t("net").groupBy("best_lag").agg(F.count(F.lit(1)).alias("n"), F.avg("signal_strength").alias("mean_score"), F.avg("oos_sharpe_net").alias("mean_sharpe")), "SELECT best_lag, count(*) AS n, avg(signal_strength) AS mean_score, avg(oos_sharpe_net) AS mean_sharpe FROM {net} GROUP BY best_lag")
 add("decile_performance", "decile mean_value:d median_value:d n mean_score:d", lambda t: st.deciles(t("net"), "signal_strength", "oos_sharpe_net"),
     "SELECT greatest(1, len(list_filter(e, lambda x: x < signal_strength))) AS decile, avg(oos_sharpe_net) AS mean_value, quantile_cont(oos_sharpe_net, 0.5) AS median_value, count(*) AS n, avg(signal_strength) AS mean_score FROM {net}, (SELECT list_distinct(quantile_cont(signal_strength, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM {net}) AS q GROUP BY 1")
-add("feature_importance", "feature weight:d", lambda t: t("orders").groupBy(F.col("o_orderpriority").alias("feature")).agg(F.round(F.avg("o_totalprice"), 2).alias("weight")).where("feature != '5-LOW'"), "SELECT o_orderpriority AS feature, round(avg(o_totalprice), 2) AS weight FROM {orders} WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
 add("robust_scale", "ticker_i ticker_j mean_dcor:d sharpness:d", lambda t: st.robust_scale(t("net"), ["mean_dcor", "sharpness"]), "SELECT ticker_i, ticker_j, (mean_dcor - a[2]) / CASE WHEN a[3] = a[1] THEN 1 ELSE a[3] - a[1] END AS mean_dcor, (sharpness - b[2]) / CASE WHEN b[3] = b[1] THEN 1 ELSE b[3] - b[1] END AS sharpness FROM {net}, (SELECT quantile_cont(mean_dcor, [0.25, 0.5, 0.75]) AS a, quantile_cont(sharpness, [0.25, 0.5, 0.75]) AS b FROM {net}) AS q")
 add("drop_correlated", "ticker n_features", lambda t: t("ticker_metadata").select("ticker").withColumn("n_features", F.lit(len(st.drop_correlated(t("market_data"), ["open", "close", "adj_close", "volume"])))),
     "SELECT ticker, CAST(1 + CASE WHEN abs(oc) > 0.85 THEN 0 ELSE 1 END + CASE WHEN abs(oa) > 0.85 OR abs(ca) > 0.85 THEN 0 ELSE 1 END + CASE WHEN abs(ov) > 0.85 OR abs(cv) > 0.85 OR abs(av) > 0.85 THEN 0 ELSE 1 END AS INT) AS n_features FROM {ticker_metadata}, (SELECT corr(open, close) AS oc, corr(open, adj_close) AS oa, corr(close, adj_close) AS ca, corr(open, volume) AS ov, corr(close, volume) AS cv, corr(adj_close, volume) AS av FROM {market_data}) AS c")

@@ -18,7 +18,8 @@ def prices(t):
     return jobs.stream_prices(spark, source, stored, f"{folder}/table", f"{folder}/state")
 
 
-add("stream_prices", "ticker date close:d", prices, "SELECT ticker, date, close FROM {market_data} WHERE ticker <> 'Brand#5' OR date >= DATE '2000-01-01'")
+add("stream_prices", "ticker date close:d log_return:d", prices, """
+SELECT ticker, date, close, ln(close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0)) AS log_return FROM {market_data} WHERE ticker <> 'Brand#5' OR date >= DATE '2000-01-01'""")
 
 
 def latest(t):
@@ -36,9 +37,8 @@ add("stream_latest_window", "window_start ticker close:d", latest, "SELECT CAST(
 def clicks(t):
     spark, folder = t.spark, jobs.scratch(t.spark, "clicks")
     source = spark.readStream.schema(t("events").schema).parquet(f"{t.sf_dir}/events.parquet*")
-    jobs.run(jobs.click_counts(source.where("event_type = 'click'").withColumn("ts", F.col("ts").cast("timestamp"))), f"{folder}/state", lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), mode="complete")
-    newest = spark.read.parquet(f"{folder}/out")
-    return newest.join(newest.agg(F.max("batch").alias("batch")), "batch", "left_semi").withColumn("window_start", F.to_date("window_start"))
+    clicked = source.where("event_type = 'click'").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.stream_clicks(spark, clicked, f"{folder}/out", f"{folder}/state").withColumn("window_start", F.to_date("window_start"))
 
 
 add("stream_clicks", "window_start user_id event_type n", clicks, "SELECT CAST(ts AS DATE) AS window_start, user_id, event_type, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY 1, 2, 3")

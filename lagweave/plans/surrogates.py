@@ -1,7 +1,9 @@
 """Price-like tables made from the TPC-H-like ones: one SQL text for Spark and for the oracle.
 
 {name} is a table; MEDIAN(x) is written as each engine names it. Dependent tables are common table
-expressions in the oracle and DataFrames in Spark. `edges` stands for the scored network.
+expressions in the oracle and DataFrames in Spark. What stands for results of the analysis (pair
+panels, the scored network, scenarios) is made by this library's operators in Spark, registered in
+MADE, and by SQL of its own in the oracle.
 """
 
 import re
@@ -37,30 +39,30 @@ SELECT date, avg(log_return) - 1e-4 AS mkt_rf, 1e-4 AS rf,
 FROM {returns} AS r JOIN (SELECT ticker, ntile(3) OVER (ORDER BY market_cap, ticker) AS cap_third, ntile(3) OVER (ORDER BY coalesce(pe_ratio, 0), ticker) AS pe_third FROM {ticker_metadata}) AS t ON r.ticker = t.ticker
 WHERE log_return IS NOT NULL GROUP BY date""",
     "panel": """
-SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, lag, as_of_date, corr(a.log_return, b.log_return) AS pearson, CAST(count(*) AS BIGINT) AS n
-FROM {returns} AS a JOIN {returns} AS b ON a.ticker < b.ticker
-JOIN (SELECT 1 AS lag UNION ALL SELECT 2 UNION ALL SELECT 3) AS l ON b.date = a.date + l.lag * 7
-JOIN (SELECT DATE '2000-12-31' AS as_of_date UNION ALL SELECT DATE '2001-12-31') AS s ON b.date <= s.as_of_date
-WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL GROUP BY a.ticker, b.ticker, lag, as_of_date""",
+SELECT p.as_of_date, p.ticker_i, p.ticker_j, lag, corr(p.x, q.y) AS pearson, CAST(count(*) AS BIGINT) AS n FROM {as_of_aligned} AS p JOIN (SELECT unnest([1, 2, 3]) AS lag) AS l ON true
+JOIN {as_of_aligned} AS q ON q.as_of_date = p.as_of_date AND q.ticker_i = p.ticker_i AND q.ticker_j = p.ticker_j AND q.pos = p.pos + lag
+WHERE p.n >= 20 AND p.n > lag + 4 GROUP BY p.as_of_date, p.ticker_i, p.ticker_j, lag""",
+    "as_of_aligned": """
+SELECT as_of_date, a.ticker AS ticker_i, b.ticker AS ticker_j, a.log_return AS x, b.log_return AS y, row_number() OVER (PARTITION BY as_of_date, a.ticker, b.ticker ORDER BY a.date) AS pos, count(*) OVER (PARTITION BY as_of_date, a.ticker, b.ticker) AS n
+FROM {returns} AS a JOIN {returns} AS b ON a.date = b.date AND a.ticker < b.ticker JOIN (SELECT DATE '2000-12-31' AS as_of_date UNION ALL SELECT DATE '2001-12-31') AS s ON a.date <= s.as_of_date
+WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL""",
     "edges": """
-SELECT as_of_date, ticker_i, ticker_j, best_lag, round(mean_dcor + 1e-9, 6) AS mean_dcor, round(variance_dcor + 1e-9, 6) AS variance_dcor, frequency, half_life, sharpness, signal_strength, oos_sharpe_net,
- CAST(rank() OVER (PARTITION BY as_of_date ORDER BY signal_strength DESC, ticker_i, ticker_j) AS BIGINT) AS rank, i.sector AS sector_i, j.sector AS sector_j,
- round(avg(signal_strength) OVER (PARTITION BY as_of_date, ticker_i) / 100 + 1e-9, 6) AS centrality_i, round(avg(signal_strength) OVER (PARTITION BY as_of_date, ticker_j) / 100 + 1e-9, 6) AS centrality_j
-FROM (SELECT *, round(100e0 * percent_rank() OVER (PARTITION BY as_of_date ORDER BY round(mean_dcor + 1e-9, 6)) + 1e-9, 6) AS signal_strength, 21e0 * best_lag AS half_life
- FROM (SELECT as_of_date, ticker_i, ticker_j, max(abs(pearson)) AS mean_dcor, var_pop(abs(pearson)) AS variance_dcor, round(avg(CASE WHEN abs(pearson) > 0.05 THEN 1e0 ELSE 0e0 END) + 1e-9, 6) AS frequency,
-  max(CASE WHEN k = 1 THEN lag END) AS best_lag, round(max(abs(pearson)) / nullif(sum(abs(pearson)), 0) + 1e-9, 6) AS sharpness, round(sum(pearson) + 1e-9, 6) AS oos_sharpe_net
-  FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date, ticker_i, ticker_j ORDER BY round(abs(pearson), 9) DESC, lag) AS k FROM {panel}) AS p GROUP BY as_of_date, ticker_i, ticker_j) AS s) AS e
+SELECT e.as_of_date, ticker_i, ticker_j, best_lag, mean_dcor, variance_dcor, frequency, half_life, sharpness, signal_strength, oos_sharpe_net, i.sector AS sector_i, j.sector AS sector_j,
+ round(avg(signal_strength) OVER (PARTITION BY e.as_of_date, ticker_i) / 100 + 1e-9, 6) AS centrality_i, round(avg(signal_strength) OVER (PARTITION BY e.as_of_date, ticker_j) / 100 + 1e-9, 6) AS centrality_j
+FROM (SELECT s.*, 21e0 * best_lag AS half_life, round(CASE WHEN hi > lo THEN (least(greatest(mean_dcor, lo), hi) - lo) / (hi - lo) * 100 ELSE 50 END + 1e-9, 6) AS signal_strength
+ FROM {scored} AS s JOIN (SELECT as_of_date, quantile_cont(mean_dcor, 0.05) AS lo, quantile_cont(mean_dcor, 0.95) AS hi FROM {scored} GROUP BY as_of_date) AS q ON q.as_of_date = s.as_of_date) AS e
 LEFT JOIN {ticker_metadata} AS i ON i.ticker = ticker_i LEFT JOIN {ticker_metadata} AS j ON j.ticker = ticker_j""",
+    "scored": """
+SELECT as_of_date, ticker_i, ticker_j, round(max(abs(pearson)) + 1e-9, 6) AS mean_dcor, round(var_pop(abs(pearson)) + 1e-9, 6) AS variance_dcor, round(avg(CASE WHEN abs(pearson) > 0.05 THEN 1e0 ELSE 0e0 END) + 1e-9, 6) AS frequency,
+ max(CASE WHEN k = 1 THEN lag END) AS best_lag, round(max(abs(pearson)) / nullif(sum(abs(pearson)), 0) + 1e-9, 6) AS sharpness, round(sum(pearson) + 1e-9, 6) AS oos_sharpe_net
+FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date, ticker_i, ticker_j ORDER BY round(abs(pearson), 9) DESC, lag) AS k FROM {panel}) AS p GROUP BY as_of_date, ticker_i, ticker_j""",
     "net": "SELECT * FROM {edges} WHERE as_of_date = DATE '2001-12-31'",
     "user_clicks": "SELECT user_id, concat('Brand#', CAST(1 + event_id % 25 AS VARCHAR(10))) AS symbol, ts FROM {events} WHERE event_type = 'click'",
 }
-#: A simulation is blocks of 13 weeks in a row, the same for all tickers.
-TEXTS["scenarios"] = """
-SELECT sim_id, step, ticker, exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS price FROM (
- SELECT s.sim_id, t.step, r.ticker, r.log_return FROM (SELECT DISTINCT pos AS sim_id FROM {returns} WHERE pos <= 40) AS s
- JOIN (SELECT DISTINCT pos AS step, CAST(floor((pos - 1) / 13.0) AS INT) AS block FROM {returns} WHERE pos <= 26) AS t ON 1 = 1
- JOIN {returns} AS r ON r.pos = 2 + (s.sim_id * 7 + t.block * 31) % 60 + (t.step - 1) % 13
- WHERE r.ticker IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')) AS x"""
+TEXTS["ends"] = "SELECT ticker_i AS ticker, ticker_j AS other, true AS leads, sector_i AS sector, sector_j AS other_sector, centrality_i AS centrality, signal_strength, frequency, half_life, mean_dcor FROM {net} UNION ALL SELECT ticker_j, ticker_i, false, sector_j, sector_i, centrality_j, signal_strength, frequency, half_life, mean_dcor FROM {net}"
+TEXTS["centrals"] = "SELECT ticker, max(centrality) AS centrality, min(sector) AS sector FROM {ends} GROUP BY ticker"
+#: Tables that Spark makes by operators: name -> function of a function that gives tables by name.
+MADE: dict = {}
 
 _made: dict = {}
 
@@ -75,11 +77,20 @@ def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _made:
-        text = TEXTS[name].replace("MEDIAN(unit)", "percentile(unit, 0.5)").replace("VARCHAR(10)", "STRING").replace("a.date + l.lag * 7", "date_add(a.date, l.lag * 7)")
+        if name in MADE:
+            _made[key] = MADE[name](lambda n: get(spark, sf_dir, n)).persist()
+            return _made[key]
+        text = TEXTS[name].replace("MEDIAN(unit)", "percentile(unit, 0.5)").replace("VARCHAR(10)", "STRING")
         _made[key] = spark.sql(text, **{u: get(spark, sf_dir, u) for u in _uses(text)}).persist()
     return _made[key]
 
 
+def forget() -> None:
+    """Lets go of the tables that operators made, so that the next query makes them again."""
+    for key in [k for k in _made if k[2] in MADE]:
+        _made.pop(key).unpersist()
+
+
 def oracle(sql: str) -> str:
     """sql for DuckDB, where {name} is a table: with the surrogates it needs in front."""
     order: list[str] = []

@@ -3,7 +3,8 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import stats as st
+from ..operators import network as nw
+from ..operators import ranks
 from ..operators import windows as wn
 from .book import Book
 from .surrogates import TEXTS
@@ -14,10 +15,10 @@ W_ = "PARTITION BY ticker ORDER BY date"
 
 add("day_over_day", "ticker price:d before:d change_pct:d", lambda t: wn.day_over_day(t("market_daily")), "SELECT ticker, price, before, (price - before) * 100 / before AS change_pct FROM (SELECT ticker, max(CASE WHEN k = 1 THEN close END) AS price, coalesce(max(CASE WHEN k = 2 THEN close END), max(CASE WHEN k = 1 THEN close END)) AS before FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM {market_daily}) AS x GROUP BY ticker) AS y")
 add("last_n_rows", "ticker date k", lambda t: wn.last_n_rows(t("returns").where("log_return is not null"), 100, 60), "SELECT ticker, date, k FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM {returns} WHERE log_return IS NOT NULL) AS x WHERE k <= 100")
-add("pct_rank_avg", "ticker score:d", lambda t: t("ticker_metadata").withColumn("score", st.average_rank_pct("pe_ratio") * 100), "SELECT ticker, CASE WHEN pe_ratio IS NOT NULL THEN (rank() OVER (PARTITION BY pe_ratio IS NULL ORDER BY pe_ratio) + (count(*) OVER (PARTITION BY pe_ratio) - 1) / 2) / count(*) OVER (PARTITION BY pe_ratio IS NULL) * 100 END AS score FROM {ticker_metadata}")
+add("pct_rank_avg", "ticker score:d", lambda t: ranks.average_rank_pct(t("ticker_metadata"), "pe_ratio", "score").withColumn("score", F.col("score") * 100), "SELECT ticker, CASE WHEN pe_ratio IS NOT NULL THEN (rank() OVER (PARTITION BY pe_ratio IS NULL ORDER BY pe_ratio) + (count(*) OVER (PARTITION BY pe_ratio) - 1) / 2) / count(*) OVER (PARTITION BY pe_ratio IS NULL) * 100 END AS score FROM {ticker_metadata}")
 TEXTS["pe_scores"] = "SELECT *, CASE WHEN pe IS NOT NULL THEN (rank() OVER (PARTITION BY sector, pe IS NULL ORDER BY pe DESC) + (count(*) OVER (PARTITION BY sector, pe) - 1) / 2) / count(*) OVER (PARTITION BY sector, pe IS NULL) * 100 END AS s, (rank() OVER (ORDER BY market_cap) + (count(*) OVER (PARTITION BY market_cap) - 1) / 2) / count(*) OVER () * 100 AS cap FROM (SELECT *, CASE WHEN pe_ratio > 0 THEN least(pe_ratio, 100.0) END AS pe FROM {ticker_metadata}) AS x"
 add("fundamental_score", "ticker fundamental:d", lambda t: wn.fundamental_score(t("ticker_metadata")), "SELECT ticker, round(0.5 * coalesce(s, CASE WHEN p.sector IS NULL THEN mid_all ELSE coalesce(mid, 50) END) + 0.5 * cap + 1e-9, 2) AS fundamental FROM {pe_scores} AS p LEFT JOIN (SELECT sector, quantile_cont(s, 0.5) AS mid FROM {pe_scores} WHERE sector IS NOT NULL GROUP BY sector) AS m ON m.sector = p.sector, (SELECT quantile_cont(s, 0.5) AS mid_all FROM {pe_scores}) AS a")
-add("rank_first", "ticker_i ticker_j place", lambda t: t("net").withColumn("place", F.row_number().over(W.orderBy(F.desc("signal_strength"), "ticker_i", "ticker_j"))), "SELECT ticker_i, ticker_j, row_number() OVER (ORDER BY signal_strength DESC, ticker_i, ticker_j) AS place FROM {net}")
+add("rank_first", "ticker_i ticker_j place", lambda t: ranks.numbered(t("net"), [F.desc("signal_strength"), F.col("ticker_i"), F.col("ticker_j")]), "SELECT ticker_i, ticker_j, row_number() OVER (ORDER BY signal_strength DESC, ticker_i, ticker_j) AS place FROM {net}")
 add("cumulative_return", "ticker date cumulative:d", lambda t: wn.cumulative_return(t("returns").where("log_return is not null").withColumn("r", F.exp("log_return") - 1), "r"), f"SELECT ticker, date, exp(sum(log_return) OVER ({W_})) - 1 AS cumulative FROM {{returns}} WHERE log_return IS NOT NULL")
 add("max_drawdown", "ticker max_drawdown:d", lambda t: wn.max_drawdown(t("market_data"), "close", ["ticker"], "date"), f"SELECT ticker, min(d) AS max_drawdown FROM (SELECT ticker, close / max(close) OVER ({W_}) - 1 AS d FROM {{market_data}}) AS x GROUP BY ticker")
 TEXTS["troughs"] = "SELECT ticker, arg_min(pos, (close, pos)) AS tr FROM {returns} GROUP BY ticker"
@@ -40,9 +41,9 @@ add("minmax_rank", "ticker score:d place", lambda t: wn.minmax_rank(t("vols"), {
 
 add("top_pairs", "ticker_i ticker_j best_lag sector_i sector_j signal_strength:d", lambda t: t("net").where("signal_strength >= 50").orderBy(F.desc("signal_strength"), "ticker_i", "ticker_j").limit(20), "SELECT * FROM {net} WHERE signal_strength >= 50 ORDER BY signal_strength DESC, ticker_i, ticker_j LIMIT 20")
 TEXTS["central"] = "SELECT ticker, max(c) AS centrality, min(sector) AS sector FROM (SELECT ticker_i AS ticker, centrality_i AS c, sector_i AS sector FROM {net} UNION ALL SELECT ticker_j, centrality_j, sector_j FROM {net}) AS x GROUP BY ticker"
-add("top_central", "ticker centrality:d", lambda t: t("central").orderBy(F.desc("centrality"), "ticker").limit(10), "SELECT * FROM {central} ORDER BY centrality DESC, ticker LIMIT 10")
+add("top_central", "ticker centrality:d", lambda t: nw.node_centrality(t("net")).orderBy(F.desc("centrality"), "ticker").limit(10), "SELECT * FROM {central} ORDER BY centrality DESC, ticker LIMIT 10")
 add("top_by_richness", "ticker n", lambda t: t("market_daily").groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ticker").limit(8), "SELECT ticker, count(*) AS n FROM {market_daily} GROUP BY ticker ORDER BY n DESC, ticker LIMIT 8")
-add("pick_per_sector", "sector ticker", lambda t: t("vols").join(t("ticker_metadata").select("ticker", "sector"), "ticker").where("sector is not null").groupBy("sector").agg(F.min_by("ticker", F.struct(F.coalesce("vol", F.lit(9.0)), "cap", "ticker")).alias("ticker")), "SELECT sector, ticker FROM (SELECT m.sector, v.ticker, row_number() OVER (PARTITION BY m.sector ORDER BY coalesce(vol, 9), cap, v.ticker) AS k FROM {vols} AS v JOIN {ticker_metadata} AS m ON m.ticker = v.ticker WHERE m.sector IS NOT NULL) AS x WHERE k = 1")
+add("pick_per_sector", "sector ticker", lambda t: nw.pick_per_sector(t("vols").join(t("ticker_metadata").select("ticker", "sector"), "ticker").withColumn("vol", F.coalesce("vol", F.lit(9.0))), "vol", "cap"), "SELECT sector, ticker FROM (SELECT m.sector, v.ticker, row_number() OVER (PARTITION BY m.sector ORDER BY coalesce(vol, 9), cap, v.ticker) AS k FROM {vols} AS v JOIN {ticker_metadata} AS m ON m.ticker = v.ticker WHERE m.sector IS NOT NULL) AS x WHERE k = 1")
 add("top_followers", "ticker_j signal_strength:d", lambda t: t("net").where("ticker_i = 'Brand#12'").orderBy(F.desc("signal_strength"), "ticker_j").limit(8), "SELECT ticker_j, signal_strength FROM {net} WHERE ticker_i = 'Brand#12' ORDER BY signal_strength DESC, ticker_j LIMIT 8")
 add("top_clicked", "user_id symbol n place", lambda t: wn.cap_per_key(t("user_clicks").groupBy("user_id", "symbol").agg(F.count(F.lit(1)).alias("n")), ["user_id"], [F.desc("n"), "symbol"], 3), "SELECT * FROM (SELECT user_id, symbol, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, symbol) AS place FROM {user_clicks} GROUP BY user_id, symbol) AS x WHERE place <= 3")
 

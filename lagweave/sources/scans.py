@@ -1,9 +1,14 @@
 """Scans with their predicates, and table maintenance as DataFrame rewrites."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..schemas import TABLES, Table
+from ..staging import removed
+
 
 def log_return(prices: DataFrame, price: str = "close") -> DataFrame:
     before = F.lag(price).over(W.partitionBy("ticker").orderBy("date"))
@@ -41,16 +46,36 @@ def write_table(df: DataFrame, path: str, mode: str = "append", schema=None, par
     (w.partitionBy(*partition) if partition else w).parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replaces the partitions that df has values of, and no others."""
+def upsert_snapshot(df: DataFrame, path: str, partition: str = "as_of_date") -> None:
+    """Replaces every partition that df has a value of, and no others."""
     if not df.isEmpty():
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def create_tables(spark: SparkSession, tables: dict[str, tuple[str, str | None]], database: str = "default") -> None:
-    """CREATE TABLE IF NOT EXISTS for name: (columns, partition column)."""
-    for name, (columns, partition) in tables.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet" + (f" PARTITIONED BY ({partition})" if partition else ""))
+def replace_window(df: DataFrame, path: str, value, partition: str = "window_start") -> None:
+    """Replaces the one partition of that value by df's rows of it; without such rows it is emptied."""
+    own = df.where(F.col(partition) == F.lit(value))
+    if own.isEmpty():
+        removed(df.sparkSession, f"{path}/{partition}={value}")
+    else:
+        upsert_snapshot(own, path, partition)
+
+
+def create_tables(spark: SparkSession, tables: dict[str, Table] = TABLES, database: str = "default") -> None:
+    """Creates the tables that aren't there, partitioned as declared."""
+    for name, table in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({table.columns}) USING parquet" + (f" PARTITIONED BY ({table.partition})" if table.partition else ""))
+
+
+def insert_rows(df: DataFrame, name: str, database: str = "default", tables: dict[str, Table] = TABLES) -> None:
+    """Appends df to a declared table: its columns by name, missing ones null, sorted by the table's
+    cluster columns within partitions."""
+    spark, table = df.sparkSession, tables[name]
+    schema = spark.table(f"{database}.{name}").schema
+    cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    sort = [c for c in (table.partition, *table.cluster) if c]
+    rows = df.select(*cols)
+    (rows.sortWithinPartitions(*sort) if sort else rows).write.mode("append").insertInto(f"{database}.{name}")
 
 
 def merge_rows(target: DataFrame, staging: DataFrame, keys: list) -> DataFrame:
@@ -72,11 +97,6 @@ def prune_old(df: DataFrame, years: int, today, date: str = "date") -> DataFrame
     return df.where(F.col(date) >= F.date_sub(F.lit(today).cast("date"), years * 365))
 
 
-def fresh_keys(df: DataFrame, today, days: int = 45, key: str = "ticker", date: str = "date") -> DataFrame:
-    """Keys seen in the last days."""
-    return df.groupBy(key).agg(F.max(date).alias("last")).where(F.col("last") >= F.date_sub(F.lit(today).cast("date"), days)).select(key)
-
-
 def prune_stale_keys(df: DataFrame, seen: DataFrame, today, days: int = 45, key: str = "ticker") -> DataFrame:
     """df without the keys whose newest row in `seen` is older than that."""
     stale = seen.groupBy(key).agg(F.max("date").alias("last")).where(F.col("last") < F.date_sub(F.lit(today).cast("date"), days))
@@ -121,7 +141,21 @@ def wide_to_long(wide: DataFrame, keys: list, fields: list) -> DataFrame:
 def symbol_remap(df: DataFrame, names: DataFrame, cutoff) -> DataFrame:
     """Vendor symbols renamed by names(vendor, symbol), rows newer than the cutoff only."""
     newer = df.where(F.col("date") > F.lit(cutoff).cast("date"))
-    return newer.join(F.broadcast(names), F.col("ticker") == F.col("vendor"), "left").withColumn("ticker", F.coalesce("symbol", "ticker")).drop("vendor", "symbol")
+    return newer.join(names, F.col("ticker") == F.col("vendor"), "left").withColumn("ticker", F.coalesce("symbol", "ticker")).drop("vendor", "symbol")
+
+
+def ohlcv_range(tables: list[DataFrame], reference, days: int) -> DataFrame:
+    """Rows of the last days (4, 7, 30, ...) up to the reference date from several tables, once per
+    ticker and date: the first table that has it wins; source is that table's number."""
+    inside = F.col("date").between(F.date_sub(F.lit(reference).cast("date"), days), F.lit(reference).cast("date"))
+    every = reduce(DataFrame.unionByName, [t.where(inside).withColumn("source", F.lit(i)) for i, t in enumerate(tables)])
+    rest = [c for c in every.columns if c not in ("ticker", "date")]
+    return every.groupBy("ticker", "date").agg(F.min_by(F.struct(*rest), "source").alias("r")).select("ticker", "date", "r.*")
+
+
+def append_run(log: DataFrame, path: str) -> None:
+    """Adds records to the run log."""
+    write_table(log, path, "append", partition=["run_date"])
 
 
 def latest_run(log: DataFrame) -> DataFrame:
@@ -144,9 +178,35 @@ def clean_symbol(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(c)), r"\.", "-")
 
 
-def holdings_text(lines: DataFrame) -> DataFrame:
-    """(ticker) of fund-holdings lines (file, value): rows `ticker,name,sector,asset class,...`
-    of equities after each file's header, with a listed symbol."""
-    p = F.split("value", ",")
-    rows = lines.where(~F.col("value").startswith("Ticker,")).select(clean_symbol(F.regexp_replace(p[0], '"', "")).alias("ticker"), F.trim(F.regexp_replace(F.get(p, F.lit(3)), '"', "")).alias("kind"))
-    return rows.where((F.col("kind") == "Equity") & F.col("ticker").rlike("^[A-Z]{1,5}(-[A-Z])?$")).select("ticker").distinct()
+#: As many columns of a holdings file are read.
+HOLDINGS_COLUMNS = 24
+
+
+def holdings_text(files: DataFrame) -> DataFrame:
+    """(file, ticker, weight_pct) of fund-holdings files (file, text): what stands before the header,
+    the first line with "Ticker" and "Weight" or "Name", is skipped; fields may be quoted and come in
+    any order. Equities only where there is an asset class; listed symbols only, the first row of
+    each; without a weight column all weigh 1, unreadable weights are 0."""
+    schema, column = ", ".join(f"c{i} string" for i in range(HOLDINGS_COLUMNS)), F.col
+    fields = lambda c: F.array(*[F.from_csv(c, schema)[f"c{i}"] for i in range(HOLDINGS_COLUMNS)])
+    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "value"))
+    header = column("value").contains("Ticker") & (column("value").contains("Weight") | column("value").contains("Name"))
+    heads = lines.where(header).groupBy("file").agg(F.min(F.struct("pos", "value")).alias("h"))
+    heads = heads.select("file", column("h.pos").alias("head"), F.transform(fields(column("h.value")), lambda x: F.lower(F.trim(x))).alias("names"))
+    rows = lines.join(heads, "file").where((column("pos") > column("head")) & (F.trim("value") != "")).withColumn("f", fields(column("value")))
+    at = lambda test: F.coalesce(F.array_position(F.transform("names", test), True), F.lit(0))
+    field = lambda test: F.when(at(test) > 0, F.trim(F.get("f", (at(test) - 1).cast("int"))))
+    kind, weight = field(lambda x: x == "asset class"), field(lambda x: x.contains("weight"))
+    number = F.coalesce(F.regexp_replace(weight, ",", "").try_cast("double"), F.lit(0.0))
+    rows = rows.select("file", "pos", clean_symbol(field(lambda x: x == "ticker")).alias("ticker"), F.when(at(lambda x: x == "asset class") > 0, F.coalesce(kind == "Equity", F.lit(False))).otherwise(True).alias("equity"), F.when(at(lambda x: x.contains("weight")) > 0, number).otherwise(1.0).alias("weight"))
+    good = rows.where(column("equity") & column("ticker").rlike("^[A-Z]{1,5}(-[A-Z])?$"))
+    return good.groupBy("file", "ticker").agg(F.min_by("weight", "pos").alias("weight_pct"))
+
+
+def read_holdings(spark: SparkSession, path: str) -> DataFrame:
+    """Every file of a folder as (file, text); a file is as long as a fund has holdings."""
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def read_factors(spark: SparkSession, path: str) -> DataFrame:
+    return factor_text(spark.read.text(path))

@@ -1,19 +1,18 @@
 """Structured Streaming forms of the time-driven work. All run to the end of what is there
 (availableNow) and continue from their checkpoint the next time."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scans import incremental_append
+from ..workers import shared_dir
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder in the one that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def run(stream: DataFrame, checkpoint: str, each_batch=None, path: str | None = None, mode: str = "append") -> None:
@@ -22,20 +21,40 @@ def run(stream: DataFrame, checkpoint: str, each_batch=None, path: str | None =
     q.awaitTermination()
 
 
-def stream_prices(spark: SparkSession, source: DataFrame, stored: DataFrame | None, path: str, checkpoint: str) -> DataFrame:
-    """Price rows (ticker, date, ...) appended beyond each ticker's newest stored date, once each.
-    The table is partitioned by year; a batch run again writes the same rows in the same place."""
-    if stored is not None:
-        stored.withColumn("year", F.year("date")).withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy("year", "batch").parquet(path)
+def high_water(rows: DataFrame) -> DataFrame:
+    """(ticker, last_date, last_close): each ticker's newest row."""
+    return rows.groupBy("ticker").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
+
+
+def with_return(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows newer than their ticker's mark, with log returns: the first one's is against the mark's
+    close, so that no batch begins with a null."""
+    new = rows.join(marks, "ticker", "left").where(F.col("last_date").isNull() | (F.col("date") > F.col("last_date")))
+    before = F.coalesce(F.lag("close").over(W.partitionBy("ticker").orderBy("date")), F.col("last_close"))
+    return new.withColumn("log_return", F.log(F.col("close") / F.nullif(before, F.lit(0.0)))).select(*rows.columns, "log_return")
+
+
+def stream_prices(spark: SparkSession, source: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Price rows (ticker, date, close, ...) appended beyond each ticker's newest stored date, once
+    each, with log returns. Beside the table, which is partitioned by year and batch, each batch leaves
+    a row per ticker with its newest date and close; the next one reads those and not the table. A
+    batch run again reads the same marks and writes the same rows in the same place."""
+    none = stored.select("ticker", F.lit(None).cast("date").alias("last_date"), F.lit(None).cast("double").alias("last_close")).distinct()
+    first = with_return(stored, none)
+    first.withColumn("year", F.year("date")).withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy("year", "batch").parquet(f"{path}/rows")
+    high_water(stored).write.mode("overwrite").parquet(f"{path}/marks/batch=-1")
     once = source.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["ticker", "date"]).drop("ts")
 
     def append(batch: DataFrame, number: int) -> None:
-        have = batch.sparkSession.read.parquet(path).where(F.col("batch") != number) if stored is not None or number else None
-        new = incremental_append(have, batch) if have is not None else batch
-        new.withColumn("year", F.year("date")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "batch").parquet(path)
+        session = batch.sparkSession
+        every = session.read.parquet(f"{path}/marks").where(F.col("batch") < number)
+        marks = every.groupBy("ticker").agg(F.max_by(F.struct("last_date", "last_close"), "batch").alias("m")).select("ticker", "m.*")
+        new = with_return(batch, marks)
+        new.withColumn("year", F.year("date")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "batch").parquet(f"{path}/rows")
+        high_water(new).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
 
     run(once, checkpoint, append)
-    return spark.read.parquet(path).drop("year", "batch")
+    return spark.read.parquet(f"{path}/rows").drop("year", "batch")
 
 
 def stream_latest_window(spark: SparkSession, source: DataFrame, compute, table, path: str, checkpoint: str) -> DataFrame:
@@ -52,5 +71,14 @@ def stream_latest_window(spark: SparkSession, source: DataFrame, compute, table,
 
 
 def click_counts(events: DataFrame, watermark: str = "1 day", window: str = "1 day") -> DataFrame:
-    """Counts by user and type in tumbling windows; rows later than the watermark are dropped."""
+    """Counts by user and type in tumbling windows; rows later than the watermark are dropped, and so
+    is the state of windows that it has passed."""
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "user_id", "event_type", "n")
+
+
+def stream_clicks(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, **options) -> DataFrame:
+    """click_counts in update mode: a batch writes the counts that it changed under its number, and
+    of each key the newest one holds."""
+    changed = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    run(click_counts(events, **options), checkpoint, changed, mode="update")
+    return spark.read.parquet(path).groupBy("window_start", "user_id", "event_type").agg(F.max_by("n", "batch").alias("n"))

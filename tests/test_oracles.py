@@ -10,7 +10,7 @@ import pytest
 from lagweave import catalog
 
 SF = "/root/testdata/sf0.01"
-SOME = ["merge_metadata", "keyed_update", "incremental_append", "wide_to_long", "ols_residuals", "bh_fdr", "dcor", "sharpness", "best_lag", "nearest_price", "trailing_zscore", "half_life", "decile_performance", "time_to_recovery", "topk_persistence", "minmax_rank", "holding_edges", "signal_recs", "degree_centrality", "return_histogram", "cvar", "stream_prices", "stream_clicks"]
+SOME = ["merge_metadata", "keyed_update", "incremental_append", "wide_to_long", "ols_residuals", "bh_fdr", "pearson_lag", "best_lag", "stability_metrics", "oos_dcor", "score_regression", "quality_picks", "cluster_sweep", "risk_pipeline", "ingest_holdings_text", "nearest_price", "trailing_zscore", "half_life", "decile_performance", "time_to_recovery", "topk_persistence", "minmax_rank", "holding_edges", "signal_recs", "degree_centrality", "return_histogram", "cvar", "stream_prices", "stream_clicks"]
 
 
 def plain(x):
