@@ -241,10 +241,10 @@ def pairwise_distance(points: DataFrame, vector: str, key: str) -> DataFrame:
 
 def feature_matrix(links: DataFrame, features: list, sectors: list) -> DataFrame:
     """(ticker, features, a column sector_<name> a sector): the median of each feature over a stock's
-    links, the median of the stocks where it has none; its most frequent sector, one-hot."""
+    links, the median of the stocks where it has none, 0 where none has; its most frequent sector, one-hot."""
     per = links.groupBy("ticker").agg(*[F.percentile(c, 0.5).alias(c) for c in features], F.mode("sector", deterministic=True).alias("sector"))
     middle = per.agg(*[F.percentile(c, 0.5).alias(f"__{c}") for c in features])
-    filled = per.join(F.broadcast(middle)).select("ticker", "sector", *[F.coalesce(c, f"__{c}").alias(c) for c in features])  # one row
+    filled = per.join(F.broadcast(middle)).select("ticker", "sector", *[F.coalesce(c, f"__{c}", F.lit(0.0)).alias(c) for c in features])  # one row
     return filled.select("ticker", *features, *[F.coalesce((F.col("sector") == x).cast("double"), F.lit(0.0)).alias(f"sector_{x}") for x in sectors])
 
 
@@ -260,12 +260,11 @@ def kmedoids(dist: DataFrame, ks: list, runs: int = 5, rounds: int = 5, seed: in
     keyed hash; each further one is drawn with a chance in proportion to the squared distance to the
     nearest medoid so far: it has the least -ln(u) / d², u from the keyed hash. Then assignment and
     the choice of each cluster's middle alternate. Ties go to the smaller point."""
-    spark = dist.sparkSession
     dist = staged(dist.select("a", "b", "dist").unionByName(dist.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("dist"))), "distances")
     points = dist.where("a = b").select(F.col("a").alias("p"))
-    tries = spark.createDataFrame([(k, r) for k in ks for r in range(runs)], "k int, run int")
+    tries = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("run")) for k in ks for r in range(runs)]))
     u = lambda step: (F.conv(F.substring(_hash(F.lit(seed), F.col("k"), F.col("run"), F.lit(step), F.col("p")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-    every = staged(tries.join(points), "tries")  # as many rows as k, runs and candidates
+    every = staged(points.select("p", tries.alias("t")).select("t.*", "p"), "tries")  # as many rows as k, runs and candidates
     medoids = staged(every.groupBy("k", "run").agg(F.min_by("p", F.struct(u(1), "p")).alias("m")), "medoids")
     for step in range(2, max(ks) + 1):
         near = dist.join(medoids.where(F.col("k") >= step), F.col("b") == F.col("m")).groupBy("k", "run", F.col("a").alias("p")).agg(F.min("dist").alias("d")).where("d > 0")

@@ -31,7 +31,7 @@ def dated_returns(returns: DataFrame) -> DataFrame:
     dates = dates.withColumn("pos", F.row_number().over(W.orderBy("date")))
     last = dates.agg(F.max("pos").alias("__last"))
     grid = returns.select("ticker").distinct().join(F.broadcast(last)).select("ticker", F.explode(F.sequence(F.lit(1), "__last")).alias("pos"))  # one row
-    have = returns.where("log_return is not null").join(dates, "date").select("ticker", "pos", "log_return")
+    have = returns.where("log_return is not null").select("ticker", "date", "log_return").join(dates, "date").select("ticker", "pos", "log_return")
     return grid.join(have, ["ticker", "pos"], "left").select("ticker", "pos", F.coalesce("log_return", F.lit(0.0)).alias("log_return"))
 
 

@@ -57,7 +57,7 @@ SELECT e.*, oos_dcor, half_life_r2 FROM (SELECT ticker_i AS ticker, ticker_j AS
  UNION ALL SELECT ticker_j, ticker_i, sector_j, centrality_j, signal_strength, mean_dcor, variance_dcor, frequency, half_life, sharpness, best_lag, oos_sharpe_net, ticker_i, ticker_j FROM {net}) AS e
 LEFT JOIN {oos_dcors} AS o ON o.ticker_i = e.ticker_i AND o.ticker_j = e.ticker_j AND n_windows > 14 LEFT JOIN {stable} AS s ON s.ticker_i = e.ticker_i AND s.ticker_j = e.ticker_j"""
 TEXTS["stock_medians"] = "SELECT ticker, min(sector) AS sector, " + ", ".join(f"quantile_cont({c}::DOUBLE, 0.5) AS {c}" for c in FEATURES) + " FROM {links} GROUP BY ticker"
-TEXTS["features"] = "SELECT ticker, " + ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {{stock_medians}})) AS {c}" for c in FEATURES) + ", " + ", ".join(f"""CASE WHEN sector = '{x}' THEN 1e0 ELSE 0e0 END AS "sector_{x}\"""" for x in SECTORS) + " FROM {stock_medians}"
+TEXTS["features"] = "SELECT ticker, " + ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {{stock_medians}}), 0) AS {c}" for c in FEATURES) + ", " + ", ".join(f"""CASE WHEN sector = '{x}' THEN 1e0 ELSE 0e0 END AS "sector_{x}\"""" for x in SECTORS) + " FROM {stock_medians}"
 
 
 def links(t):

@@ -23,7 +23,7 @@ SELECT t.ticker, d.pos, coalesce(log_return, 0) AS log_return FROM (SELECT DISTI
 TEXTS["draws"] = f"""
 SELECT sim_id, step, CAST(1 + floor((('0x' || substr(md5(concat_ws('/', '{SEED}', sim_id, CAST(floor((step - 1) / {BLOCK}) AS BIGINT))), 1, 8))::BIGINT / 4294967296.0) * greatest((SELECT count(*) FROM {{dates}}) - {BLOCK}, 1)) + (step - 1) % {BLOCK} AS INT) AS pos
 FROM (SELECT unnest(range(1, {SIMS + 1})) AS sim_id) AS s JOIN (SELECT unnest(range(1, {STEPS + 1})) AS step) AS t ON true"""
-TEXTS["scenarios"] = "SELECT sim_id, step, ticker, exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS price FROM {draws} AS d JOIN {dated} AS r ON r.pos = d.pos"
+TEXTS["scenarios"] = "SELECT sim_id, step, ticker, round(exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) + 1e-12, 9) AS price FROM {draws} AS d JOIN {dated} AS r ON r.pos = d.pos"
 
 
 def draws(t):
@@ -31,7 +31,8 @@ def draws(t):
     return rk.block_draws(t("returns").sparkSession.range(1, SIMS + 1).withColumnRenamed("id", "sim_id"), positions, STEPS, BLOCK, SEED)
 
 
-MADE["scenarios"] = lambda t: rk.scenario_paths(rk.dated_returns(t("returns")), draws(t))
+# rounded, so that sums in another order make no other troughs and peaks
+MADE["scenarios"] = lambda t: rk.scenario_paths(rk.dated_returns(t("returns")), draws(t)).withColumn("price", F.round(F.col("price") + 1e-12, 9))
 add("block_bootstrap", "sim_id step pos", draws, "SELECT * FROM {draws}")
 add("scenario_paths", "sim_id step ticker price:d", lambda t: t("scenarios"), "SELECT * FROM {scenarios}")
 

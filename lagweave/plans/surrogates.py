@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import dropped, staged
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _BARS = """
@@ -72,13 +74,14 @@ def _uses(text: str) -> list[str]:
 
 
 def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base or surrogate table; surrogates are kept for the session, as many queries use them."""
+    """A base or surrogate table. Surrogates are kept for the session, as many queries use them: price
+    tables in the cache, results of operators as staged tables, where their long plans end."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _made:
         if name in MADE:
-            _made[key] = MADE[name](lambda n: get(spark, sf_dir, n)).persist()
+            _made[key] = staged(MADE[name](lambda n: get(spark, sf_dir, n)), name)
             return _made[key]
         text = TEXTS[name].replace("MEDIAN(unit)", "percentile(unit, 0.5)").replace("VARCHAR(10)", "STRING")
         _made[key] = spark.sql(text, **{u: get(spark, sf_dir, u) for u in _uses(text)}).persist()
@@ -88,7 +91,7 @@ def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def forget() -> None:
     """Lets go of the tables that operators made, so that the next query makes them again."""
     for key in [k for k in _made if k[2] in MADE]:
-        _made.pop(key).unpersist()
+        dropped(_made.pop(key))
 
 
 def oracle(sql: str) -> str:

@@ -188,12 +188,12 @@ def holdings_text(files: DataFrame) -> DataFrame:
     any order. Equities only where there is an asset class; listed symbols only, the first row of
     each; without a weight column all weigh 1, unreadable weights are 0."""
     schema, column = ", ".join(f"c{i} string" for i in range(HOLDINGS_COLUMNS)), F.col
-    fields = lambda c: F.array(*[F.from_csv(c, schema)[f"c{i}"] for i in range(HOLDINGS_COLUMNS)])
-    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "value"))
+    fields = lambda c: F.array(*[c[f"c{i}"] for i in range(HOLDINGS_COLUMNS)])
+    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "value")).withColumn("csv", F.from_csv("value", schema, {"escape": '"'}))
     header = column("value").contains("Ticker") & (column("value").contains("Weight") | column("value").contains("Name"))
-    heads = lines.where(header).groupBy("file").agg(F.min(F.struct("pos", "value")).alias("h"))
-    heads = heads.select("file", column("h.pos").alias("head"), F.transform(fields(column("h.value")), lambda x: F.lower(F.trim(x))).alias("names"))
-    rows = lines.join(heads, "file").where((column("pos") > column("head")) & (F.trim("value") != "")).withColumn("f", fields(column("value")))
+    heads = lines.where(header).groupBy("file").agg(F.min(F.struct("pos", "csv")).alias("h"))
+    heads = heads.select("file", column("h.pos").alias("head"), F.transform(fields(column("h.csv")), lambda x: F.lower(F.trim(x))).alias("names"))
+    rows = lines.join(heads, "file").where((column("pos") > column("head")) & (F.trim("value") != "")).withColumn("f", fields(column("csv")))
     at = lambda test: F.coalesce(F.array_position(F.transform("names", test), True), F.lit(0))
     field = lambda test: F.when(at(test) > 0, F.trim(F.get("f", (at(test) - 1).cast("int"))))
     kind, weight = field(lambda x: x == "asset class"), field(lambda x: x.contains("weight"))
@@ -205,7 +205,7 @@ def holdings_text(files: DataFrame) -> DataFrame:
 
 def read_holdings(spark: SparkSession, path: str) -> DataFrame:
     """Every file of a folder as (file, text); a file is as long as a fund has holdings."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def read_factors(spark: SparkSession, path: str) -> DataFrame:
