@@ -1,5 +1,7 @@
 """What the operators share: words, and what they use of staging and workers."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,3 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: str = "text"):
     """Words of a text column as a long; null counts as none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """For what runs inside, Arrow batches of so many rows at most: for rows of many kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

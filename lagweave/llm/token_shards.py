@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .bpe import RUN_BYTES, default_vocabulary, vocabulary
-from .shared import prepared, shared_dir, staged, table
+from .shared import prepared, shared_dir, small_batches, staged, table
 
 LENGTH = 2048
 SHARD_ROWS = 1024
@@ -138,19 +138,21 @@ def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, r
         shard, body = None, None
 
         for batch in batches:
-            for s, slot, at, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "at", "ids"))):
+            for s, slot, at, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "at")), batch.column("ids")):
+                ids = np.frombuffer(ids.as_buffer(), kind)
                 if s != shard:
                     if shard is not None:
                         yield _written(store, root, shard, body, rows, length, kind)
                     shard, body = s, np.full(min(rows, sequences - s * rows) * length, end, kind)
                 place = (slot - s * rows) * length + at
-                body[place : place + len(ids) // size] = np.frombuffer(ids, kind)
+                body[place : place + len(ids)] = ids
         if shard is not None:
             yield _written(store, root, shard, body, rows, length, kind)
 
     placed = stream.mapInArrow(pieces, "range int, shard int, slot long, at int, ids binary")
     ordered = placed.repartitionById(spread, "range").sortWithinPartitions("shard", "slot", "at")
-    return staged(ordered.mapInArrow(write, "shard int, first_slot long, sequences long, bytes long, sha256 string"), "manifest", spent=(stream,))
+    with small_batches(spark, 500):
+        return staged(ordered.mapInArrow(write, "shard int, first_slot long, sequences long, bytes long, sha256 string"), "manifest", spent=(stream,))
 
 
 def _written(store, root, shard, body, rows, length, kind):
@@ -162,9 +164,9 @@ def _written(store, root, shard, body, rows, length, kind):
     return pa.RecordBatch.from_pylist([{"shard": shard, "first_slot": shard * rows, "sequences": len(body) // length, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}], pa.schema([("shard", pa.int32()), ("first_slot", pa.int64()), ("sequences", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
 
-def read_order(manifest: DataFrame, folder: str, path: str, length: int = LENGTH, first: int = 0, last: int | None = None) -> DataFrame:
+def read_order(manifest: DataFrame, folder: str, path: str, length: int = LENGTH, first: int = 0, last: int | None = None, digest: bool = False) -> DataFrame:
     """(slot, ids as bytes) of the slots from first to last, each task reading its shards in order
-    from the place where the range begins."""
+    from the place where the range begins; with digest, ids_sha256 in the bytes' place."""
     size = width(path)
     some = manifest.where(F.col("first_slot") + F.col("sequences") > first)
     if last is not None:
@@ -179,11 +181,15 @@ def read_order(manifest: DataFrame, folder: str, path: str, length: int = LENGTH
                     f.seek((lo - begin) * length * size)
                     for at in range(lo, hi, 256):
                         data = f.read((min(at + 256, hi) - at) * length * size)
-                        offs = pa.py_buffer(np.arange(0, len(data) + 1, length * size, dtype=np.int32))
-                        k = len(data) // (length * size)
+                        stride = length * size
+                        k = len(data) // stride
+                        if digest:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + k)), pa.array([hashlib.sha256(data[i * stride : (i + 1) * stride]).hexdigest() for i in range(k)], pa.string())], ["slot", "ids_sha256"])
+                            continue
+                        offs = pa.py_buffer(np.arange(0, len(data) + 1, stride, dtype=np.int32))
                         yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + k)), pa.Array.from_buffers(pa.binary(), k, [None, offs, pa.py_buffer(data)])], ["slot", "ids"])
 
-    return some.select("shard", "first_slot", "sequences").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "shard").mapInArrow(run, "slot long, ids binary")
+    return some.select("shard", "first_slot", "sequences").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "shard").mapInArrow(run, "slot long, ids_sha256 string" if digest else "slot long, ids binary")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -195,7 +201,7 @@ def op4(spark, sf_dir: str) -> DataFrame:
     def name(batches):
         order = Permutation(max(n, 1))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(order.sequences(batch.column("slot").to_numpy())), pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("ids").to_pylist()], pa.string())], ["slot", "sequence", "ids_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(order.sequences(batch.column("slot").to_numpy())), batch.column("ids_sha256")], ["slot", "sequence", "ids_sha256"])
 
-    back = read_order(manifest, folder, path).mapInArrow(name, "slot long, sequence long, ids_sha256 string")
+    back = read_order(manifest, folder, path, digest=True).mapInArrow(name, "slot long, sequence long, ids_sha256 string")
     return back.select("slot", "sequence", F.floor(F.col("slot") / SHARD_ROWS).alias("shard"), "ids_sha256")
