@@ -108,7 +108,7 @@ def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, r
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before]), pa.array([len(ids)]), pa.array([ids.tobytes()])], ["part", "before", "n", "ids"])
             before += len(ids)
 
-    stream = staged(docs.select("text").mapInArrow(encode, "part int, before long, n long, ids binary"), "ids")
+    stream = staged(docs.select("text").mapInArrow(encode, "part int, before long, n long, ids binary"), "ids", compression="zstd")
     per_part = stream.groupBy("part").agg(F.sum("n").alias("n")).toArrow().sort_by("part")  # a row a partition
     parts, counts = (per_part[c].to_numpy() for c in ("part", "n"))
     base = spark.sparkContext.broadcast(dict(zip(parts.tolist(), (np.cumsum(counts) - counts).tolist())))
