@@ -160,6 +160,13 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simila
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"b{x}")) for x in "uv")
     shared = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     left = staged(pairs.join(a, "u").join(b, "v").where(shared.cast("long") * (num + den) >= num * (F.col("nu") + F.col("nv"))).select("u", "v"), "pairs", rows=most)
+    return confirmed(left, docs, nodes, k, similarity, most)
+
+
+def confirmed(left: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity, most: int) -> DataFrame:
+    """Of the staged pairs (u, v), at most so many, those that link by the sets of whole texts. Staged;
+    pairs are dropped."""
+    num, den = similarity
     ends = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
     ends = staged(ends.join(nodes.select("node", "k1", "k2"), "node"), "ends", rows=2 * most)
     some = _keyed(docs).where(bloom.passes(docs.sparkSession, bloom.members(ends, "k1"), F.col("k1")))
