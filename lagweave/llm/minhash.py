@@ -7,9 +7,9 @@ an even prior, m equal ones of n leave the posterior chance P(Bin(n + 1, s) <= m
 s or more, and a pair whose chance falls below MISS is dropped. What survives all batches is verified
 on the n-gram sets of whole texts (ngram_join.confirmed), so links are never guessed.
 
-A bucket is first compared with one hub, its least node. Of the survivors each node's most alike is
-verified, and components of these links are found. Then only pairs of different components are left:
-survivors of the first round, and the buckets that hold more than one component. Such a bucket is cut
+A bucket's members are candidates of one hub, its least node. Each node is first compared with the hub
+that it shares most buckets with, one pair a node, and components of the links found are made. Then
+only pairs of different components are left: the other pairs with hubs, and the buckets that hold more than one component. Such a bucket is cut
 into tiles of bounded size and each two of its tiles meet in one task, which compares signatures and
 lets only survivors out, each from the first band that its nodes share. No bucket is gathered, none
 is capped.
@@ -97,18 +97,18 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2] or b"", np.uint16)[offs[0] // 2 : offs[-1] // 2].reshape(len(column), HASHES)
 
 
-def _likely(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, needs):
-    """(which pairs (i, j) of rows of a and b stay likely to the end, their equal minima)."""
+def _likely(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, needs) -> np.ndarray:
+    """Which pairs (i, j) of rows of a and b stay likely to the end."""
     left, have, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
     for n, least in needs:
         have = have + (a[i[left], done:n] == b[j[left], done:n]).sum(axis=1)
         ok = have >= least
         left, have, done = left[ok], have[ok], n
-    return left, have
+    return left
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame, needs, similarity, tag: str) -> DataFrame:
-    """(u, v, equal minima) of the pairs (u, v) that are near in size and stay likely. Staged."""
+    """The pairs (u, v) that are near in size and stay likely. Staged."""
     num, den = similarity
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv")
     near = F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num
@@ -117,11 +117,11 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, needs, similarity, tag: str
         for batch in batches:
             u, v = _unpacked(batch.column("su")), _unpacked(batch.column("sv"))
             every = np.arange(len(u))
-            left, have = _likely(u, v, every, every, needs)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(left)) for c in ("u", "v")] + [pa.array(have)], ["u", "v", "m"])
+            left = pa.array(_likely(u, v, every, every, needs))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(left) for c in ("u", "v")], ["u", "v"])
 
     both = pairs.join(a, "u").join(b, "v").where(near).select("u", "v", "su", "sv")
-    return staged(both.mapInArrow(run, "u long, v long, m long"), tag)
+    return staged(both.mapInArrow(run, "u long, v long"), tag)
 
 
 def tiles_met(members: DataFrame, nodes: DataFrame, needs, similarity, tile: int = TILE) -> DataFrame:
@@ -150,7 +150,7 @@ def tiles_met(members: DataFrame, nodes: DataFrame, needs, similarity, tile: int
                     i += k
                     if same:
                         i, j = i[i < j], j[i < j]
-                    left, _ = _likely(a, b, i, j, needs)
+                    left = _likely(a, b, i, j, needs)
                     i, j = i[left], j[left]
                     seen = (a[i, : band * ROWS] == b[j, : band * ROWS]).reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
                     u, v = node[i[~seen]], node_2[j[~seen]]
@@ -178,18 +178,18 @@ def near_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, miss: flo
     banded = staged(nodes.select("node", "signature").mapInArrow(keys, "node long, band int, key long"), "bands")
     hubs = staged(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "hubs")
     shared = staged(banded.join(hubs, "key"), "buckets", spent=(banded, hubs))
-    tried = staged(shared.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "star")
-    likely = likely_pairs(tried, nodes, needs, similarity, "likely")
-    best = staged(likely.groupBy("v").agg(F.max_by("u", F.struct("m", -F.col("u"))).alias("u")).select("u", "v"), "best")
-    first = confirmed(best, docs, nodes, k, similarity, best.count())
+    tried = staged(shared.where("node != hub").groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("m")), "star")
+    best = staged(tried.groupBy("v").agg(F.max_by("u", F.struct("m", -F.col("u"))).alias("u")).select("u", "v"), "best")
+    first = confirmed(likely_pairs(best, nodes, needs, similarity, "likely"), docs, nodes, k, similarity, best.count())
 
     found = components(first)
     named = lambda df, x: df.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    later = named(named(likely.select("u", "v"), "u"), "v").where("cu != cv").select("u", "v")
+    others = tried.select("u", "v").join(best, ["u", "v"], "left_anti")
+    later = likely_pairs(named(named(others, "u"), "v").where("cu != cv").select("u", "v"), nodes, needs, similarity, "later")
     labeled = staged(shared.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "labeled", spent=(shared,))
     mixed = staged(labeled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
     met = tiles_met(labeled.join(mixed, "key", "left_semi"), nodes, needs, similarity, tile)
-    rest = staged(later.unionByName(met.join(tried, ["u", "v"], "left_anti")).distinct(), "rest", spent=(labeled, mixed, met, tried, likely))
+    rest = staged(later.unionByName(met.join(tried, ["u", "v"], "left_anti")).distinct(), "rest", spent=(labeled, mixed, met, tried, best, later))
     more = confirmed(rest, docs, nodes, k, similarity, rest.count())
     return placed, staged(first.unionByName(more), "all_links", spent=(first, more, nodes, found))
 
