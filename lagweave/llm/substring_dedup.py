@@ -19,7 +19,8 @@ for every 17 words. Pieces are what moves through Spark:
 
 A word goes when some edge over it also starts in a document with a smaller doc_id. Words are
 runs of other characters than [\\x20\\x09-\\x0D], as they are. A null text has no words; a null
-doc_id counts as larger than all others; rows that share a doc_id don't count against each other.
+doc_id counts as larger than all others; rows that share a doc_id don't count against each other, and
+of rows alike in doc_id and text (all those without one, say) only one moves and is searched.
 Texts shorter than WINDOW words lose nothing. An empty table gives an empty result; extra columns
 are ignored. Texts that have no repeated passage never shuffle as long as the filter is not
 saturated.
@@ -143,19 +144,23 @@ def _digests(window: int, single: bool):
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame):
-    """(texts with spans, joined with them; other texts of docs, with none; what to drop at the
-    end). spans has a row per span. Texts that can't have one don't shuffle."""
+    """(rows of docs with spans, joined with them; other rows, with none; what to drop at the end).
+    spans has a row per span, repeated ones count once. Texts that can't have one don't shuffle."""
     place = F.xxhash64("doc", "text_key")
-    lists = staged(spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumn("place", place), "spans")
+    lists = staged(spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("spans")).withColumn("place", place), "spans")
     maybe = bloom.passes(docs.sparkSession, bloom.members(lists, "place"), place)
     tested = _keyed(docs).withColumn("maybe", maybe)
     return tested.where("maybe").join(lists.drop("place"), ["doc", "text_key"], "left"), tested.where("not maybe"), lists
 
 
 def _opened(docs: DataFrame, spans: DataFrame, run, schema: str, tag: str) -> DataFrame:
-    """What run makes of the texts that have spans, staged."""
-    near, _, lists = _with_spans(docs, spans)
-    return staged(near.where("spans is not null").select("doc", "text_key", "text", "spans").mapInArrow(run, schema), tag, spent=(lists,))
+    """What run makes of the texts that have spans, each once, staged. Rows alike in doc and text leave
+    the map side as one, so those of a hot text don't meet."""
+    place = F.xxhash64("doc", "text_key")
+    lists = staged(spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("spans")).withColumn("place", place), "spans")
+    some = _keyed(docs).where(bloom.passes(docs.sparkSession, bloom.members(lists, "place"), place))
+    once = some.groupBy("doc", "text_key").agg(F.first("text").alias("text"))
+    return staged(once.join(lists.drop("place"), ["doc", "text_key"]).select("doc", "text_key", "text", "spans").mapInArrow(run, schema), tag, spent=(lists,))
 
 
 SPAN = ["doc", "text_key", "at", "n"]
@@ -174,7 +179,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hash
     mixed = by_piece.groupBy("seed").agg(F.count(F.lit(1)).alias("k"), F.min("source").alias("lo"), F.max("source").alias("hi")).where("k > 1 and lo < hi").select("seed")
     opened = by_piece.join(staged(mixed, "seeds"), "seed").select("c1", "c2", "source")
     common = staged(by_piece.where("source < last").select("c1", "c2", "source"), "repeated")
-    found = staged(some.join(common, ["c1", "c2"]).select("doc", "text_key", "at", "n", "c1", "source"), "found", spent=(common,))
+    # rows alike in doc and text have the same pieces, which count once from here on
+    found = some.join(common, ["c1", "c2"]).groupBy("doc", "text_key", "at").agg(F.first("n").alias("n"), F.first("c1").alias("c1"), F.first("source").alias("source"))
+    found = staged(found, "found", spent=(common,))
     sources = some.join(staged(opened, "opened"), ["c1", "c2"]).where("doc = source").select(*SPAN)
 
     edges = _opened(docs, sources, _edges(window, hash_bits), "w1 long, w2 long, doc long, text_key long, at int", "edges")
