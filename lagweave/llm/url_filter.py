@@ -9,10 +9,11 @@ fewer of their items, are kept. An inverted index holds each rule at its rarest
 joined by its items, and a rule fits if the page has all of its items. A page that some rule fits
 is blocked, others are allowed.
 
-FP-growth finds every subset of what pages share, so its time would double with each further item
-on a URL: WIDTH is the number of items of a URL that it looks at, those whose own share of unwanted
-pages is highest. It bounds how long a rule can be; counts, confidence and matching always use all
-items of all pages.
+FP-growth finds every subset of what pages share, so its time would double with each further item on
+a URL. Where a labelled URL has more than WIDTH items, sets are grown item by item instead, by joins,
+and only from those that can still lead to a rule: a set on as many pages as one of its subsets, or
+one that only unwanted pages have, is not grown, as no larger set of it has more confidence than a
+smaller rule. Both ways end with the same rules; nothing is left out.
 
 Given rules fit their host and its subdomains, where the path starts with theirs; the longest
 rule wins. They are a parameter and become one expression. A null URL, or one without "://", has
@@ -31,6 +32,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.0005, 0.5
 #: A rule rests on this many unwanted pages at least.
 MIN_PAGES = 20
+#: Items of a URL up to which FP-growth mines.
 WIDTH = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +70,7 @@ def items_of(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def matched(own: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows (row, id, ...) of each rule that fits, by the rule's key."""
-    keyed = own.select("row", "own", F.explode("own").alias("key")).join(rules, "key")
+    keyed = own.withColumn("key", F.explode("own")).join(rules, "key")
     return keyed.where(F.size(F.array_intersect("own", "items")) == F.size("items")).drop("own", "key")
 
 
@@ -81,20 +83,55 @@ def frequent_items(labeled: DataFrame, least: float) -> DataFrame:
     return each.where(F.col("unwanted") >= least).select("token", F.min("token").over(same).alias("item"), (F.col("unwanted") / F.col("n")).alias("share"), "unwanted")
 
 
+def grown_sets(own: DataFrame, least: float) -> DataFrame:
+    """(items): every set of items on least unwanted pages or more that is on fewer pages than each of
+    its subsets and has none that only unwanted pages have. own has row, own, unwanted. Pairs come from
+    the unwanted pages themselves, larger sets from two that differ in their last item; each is
+    counted on all pages that have its rarest item. Staged."""
+    size, bad = F.count(F.lit(1)).alias("n"), F.count_if("unwanted").alias("unwanted")
+    single = own.select("unwanted", F.explode("own").alias("item")).groupBy("item").agg(size, bad).where(F.col("unwanted") >= least)
+    single = staged(single, "single")
+    level = single.select(F.array("item").alias("items"), "n", "unwanted")
+    found = level.select("items")
+    spread = single.where("unwanted < n").select("item")
+    # only items that other pages have as well can be in larger sets
+    kept = own.where("unwanted").select("row", F.explode("own").alias("item")).join(spread, "item").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("own"))
+    pairs = kept.select(F.posexplode("own").alias("at", "a"), "own").select("a", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("b"))
+    candidates = pairs.groupBy("a", "b").agg(size).where(F.col("n") >= least).select(F.array("a", "b").alias("items"))
+    while True:
+        candidates = staged(candidates.withColumn("id", F.monotonically_increasing_id()), "candidates")
+        rarest = candidates.select("id", F.explode("items").alias("item")).join(single.select("item", F.col("n").alias("freq")), "item").groupBy("id").agg(F.min_by("item", F.struct("freq", "item")).alias("key"))
+        hits = matched(own, candidates.join(rarest, "id"))
+        counted = candidates.join(hits.groupBy("id").agg(size, bad).where(F.col("unwanted") >= least), "id")
+        # each part must have been grown from, and be on more pages
+        parts = counted.select("id", "n", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+        above = parts.join(level.where("unwanted < n").select(F.col("items").alias("part"), F.col("n").alias("more")), "part").where("more > n").groupBy("id").agg(size.alias("parts"))
+        new = counted.join(above, "id").where(F.col("parts") == F.size("items")).select("items", "n", "unwanted")
+        level = staged(new, "level")
+        if level.isEmpty():
+            return staged(found, "sets")
+        found = found.unionByName(level.select("items"))
+        a, b = (level.where("unwanted < n").select(F.slice("items", 1, F.size("items") - 1).alias("head"), F.element_at("items", -1).alias(x)) for x in "ab")
+        candidates = a.join(b, "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"))
+
+
 def mined_rules(labeled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, pages: int = MIN_PAGES, width: int = WIDTH):
     """(items, rules): items(token, item, ...) and rules(id, items, key, confidence, support) for
-    unwanted pages; labeled has row, tokens and a boolean unwanted."""
+    unwanted pages; labeled has row, tokens and a boolean unwanted. width changes the way, not the rules."""
     spark = labeled.sparkSession
     labeled = staged(labeled.select("row", "tokens", "unwanted"), "labeled")
     total = labeled.agg(F.count(F.lit(1)).alias("n"), F.count_if("unwanted").alias("u")).first()
     least = max(support * total.n, pages)
     items = staged(frequent_items(labeled, least), "items")
     own = staged(items_of(labeled, items).join(labeled.select("row", "unwanted"), "row"), "baskets", spent=(labeled,))
-    baskets = own.where("unwanted").select(F.slice("own", 1, width).alias("items"))
-    n = baskets.count()
-    if n < least:
+    baskets = own.where("unwanted").select(F.col("own").alias("items"))
+    found = baskets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("items")).alias("widest")).first()
+    if found.n < least:
         return items, spark.createDataFrame([], "id long, items array<string>, key string, confidence double, support double")
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n)).fit(baskets).freqItemsets.select(F.array_sort("items").alias("items"))
+    if found.widest > width:
+        sets = grown_sets(own, least)
+    else:
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / found.n)).fit(baskets).freqItemsets.select(F.array_sort("items").alias("items"))
     sets = staged(sets.withColumn("id", F.xxhash64("items")), "sets")
 
     counts = own.select(F.explode("own").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
@@ -105,8 +142,8 @@ def mined_rules(labeled: DataFrame, support: float = MIN_SUPPORT, confidence: fl
     found = keyed.join(held, "id").withColumn("confidence", F.col("unwanted") / F.col("n")).withColumn("support", F.col("unwanted") / float(total.n))
     found = staged(found.where((F.col("unwanted") >= least) & (F.col("confidence") >= confidence) & (F.col("confidence") * total.n > total.u)), "rules", spent=(keyed, own))
     # a rule goes if leaving out one or more of its items gives at least its confidence
-    smaller = found.select("id", "confidence", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")).where("size(part) > 0")
-    worse = smaller.join(found.select(F.col("items").alias("part"), F.col("confidence").alias("other")), "part").where("other >= confidence").select("id").distinct()
+    inside = matched(found.select(F.col("id").alias("row"), F.col("items").alias("own"), F.col("confidence").alias("whole")), found.select("id", "items", "key", "confidence"))
+    worse = inside.where("row != id and confidence >= whole").select(F.col("row").alias("id")).distinct()
     return items, staged(found.join(worse, "id", "left_anti").select("id", "items", "key", "confidence", "support"), "index", spent=(found,))
 
 
