@@ -1,19 +1,20 @@
 """Language identification by language-bitmask n-gram filters.
 
 The filter is a bit-sliced Bloom filter: each slot of a table holds a bit for every language, in
-tables of one 64-bit word a slot, as many as 64 languages each need; an n-gram has HASHES slots,
-and the bits common to them are all the languages that contain it, found in one look. A language contains a byte n-gram (a word's letters and digits
-with a mark on either side, 1 to 4 bytes) if its rate there is at least RATIO of its highest rate
-in any language and it was seen LEAST times. A text's n-grams give each language a count; the
-count is corrected for the share that the filter's fill makes up by chance, and the largest
-corrected share wins, ties going to the language first in code-point order.
+tables of one 64-bit word a slot, as many as 64 languages each need; an n-gram has HASHES slots, and
+the bits common to them are all the languages that contain it, found in one look. A language contains
+a byte n-gram (a word's letters and digits with a mark on either side, 1 to 4 bytes) if its rate there
+is at least RATIO of its highest rate in any language and it was seen LEAST times. A text's n-grams
+give each language a count; the count is corrected for the share that the filter's fill makes up by
+chance, and the largest corrected share wins, ties going to the language first in code-point order.
 
 Training reads text and lang of about `sample` rows at most, those with a small hash of doc_id; their
-whole texts are counted by Spark. `most` is the size of the model: the n-grams a language gives, its
-most frequent ones, as far as the sample has more. So a filter has 4 MB for each 64 languages. Predictions read the text alone, whole. A null text or one without a
-letter is `und` with score 0; a text with letters none of whose n-grams is known gets the first
-language, score 0. Without any training row everything is `und`. Repeated rows are judged
-each on its own; extra columns are ignored. Every language of the sample is learned.
+whole texts are counted by Spark. Every n-gram of a language that passes RATIO and LEAST is kept, and
+the table's size follows their number, from 4 MB to 128 MB for each 64 languages. Every language of the
+sample is learned. Predictions read the text alone, whole. A null text or one without a letter is `und`
+with score 0; a text with letters none of whose n-grams is known gets the first language, score 0.
+Without any training row everything is `und`. Repeated rows are judged each on its own; extra columns
+are ignored. In the query held_out is null for a null doc_id, which is not learned from.
 """
 
 import re
@@ -26,12 +27,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import prepared, staged, table
+from .shared import dropped, prepared, staged, table
 
 SAMPLE = 20_000
-MOST, LEAST, RATIO = 20_000, 5, 0.5
+LEAST, RATIO = 5, 0.5
 WORD_BITS = 64
-SLOT_BITS, HASHES = 19, 2
+#: Slots of a filter, as a power of two: SLOTS_A_GRAM for each n-gram of its largest language, between
+#: these two. A fuller filter answers wrongly more often, which predictions are corrected for.
+SLOT_BITS, MOST_SLOT_BITS, SLOTS_A_GRAM, HASHES = 19, 24, 24, 2
 SIZES = (1, 2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -60,7 +63,7 @@ def gram_hashes(data: np.ndarray, offs: np.ndarray, size: int):
 @dataclass
 class LanguageFilter:
     languages: list
-    slots: np.ndarray  # of bits, one word a slot
+    slots: np.ndarray  # of bits, one word a slot, 2**n slots
 
     def fill(self) -> np.ndarray:
         """The chance of each language that HASHES slots have its bit."""
@@ -68,7 +71,7 @@ class LanguageFilter:
 
     def places(self, h: np.ndarray):
         for i in range(HASHES):
-            yield ((h >> ts.U(i * 32)) & ts.U((1 << SLOT_BITS) - 1)).astype(np.int64)
+            yield ((h >> ts.U(i * 32)) & ts.U(len(self.slots) - 1)).astype(np.int64)
 
     def add(self, h: np.ndarray, language: int) -> None:
         for p in self.places(h):
@@ -85,9 +88,11 @@ class LanguageFilter:
 class LanguageModel:
     """Filters of WORD_BITS languages each, in order of the languages."""
 
-    def __init__(self, languages: list):
+    def __init__(self, languages: list, grams: int = 0):
+        """grams: n-grams of the language that has most of them."""
         self.languages = languages
-        self.filters = [LanguageFilter(languages[i : i + WORD_BITS], np.zeros(1 << SLOT_BITS, ts.U)) for i in range(0, len(languages), WORD_BITS)]
+        bits = min(MOST_SLOT_BITS, max(SLOT_BITS, (grams * SLOTS_A_GRAM).bit_length()))
+        self.filters = [LanguageFilter(languages[i : i + WORD_BITS], np.zeros(1 << bits, ts.U)) for i in range(0, len(languages), WORD_BITS)]
 
     def add(self, h: np.ndarray, language: int) -> None:
         self.filters[language // WORD_BITS].add(h, language % WORD_BITS)
@@ -120,9 +125,18 @@ def _count(batches):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array([size] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(count)], ["lang", "size", "gram", "n"])
 
 
-def trained(labeled: DataFrame, sample: int = SAMPLE, most: int = MOST) -> LanguageModel:
-    """A model from about `sample` rows at most of labeled(doc_id, text, lang). What reaches the driver
-    is at most `most` n-grams of each language of the sample."""
+def distinctive(counts: DataFrame) -> DataFrame:
+    """(lang, gram) of counts(lang, size, gram, n): n-grams that a language has LEAST times or more, at
+    a rate that no other language has over 1 / RATIO times of. All of them are kept."""
+    total = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    rate = counts.join(F.broadcast(total), ["lang", "size"]).withColumn("rate", F.col("n") / F.col("total"))  # a row a language and size
+    top = rate.withColumn("top", F.max("rate").over(W.partitionBy("size", "gram")))
+    return top.where((F.col("rate") >= RATIO * F.col("top")) & (F.col("n") >= LEAST)).select("lang", "gram")
+
+
+def trained(labeled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """A model from about `sample` rows at most of labeled(doc_id, text, lang), which bounds the n-grams
+    that reach the driver: those that occur LEAST times in the sample's texts and tell languages apart."""
     prepared(labeled.sparkSession)
     rows = labeled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     parts = max(1, -(-rows.count() // sample))
@@ -130,22 +144,21 @@ def trained(labeled: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Langu
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     counts = staged(counts, "counts")
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    total = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(total), ["lang", "size"]).withColumn("rate", F.col("n") / F.col("total"))
-    best = rate.withColumn("top", F.max("rate").over(W.partitionBy("size", "gram"))).where((F.col("rate") >= RATIO * F.col("top")) & (F.col("n") >= LEAST))
-    model = best.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "size", "gram"))).where(F.col("place") <= most).select("lang", "gram").toArrow()
-    out = LanguageModel(languages)
-    lang = np.array(model["lang"].to_pylist(), object)
-    gram = model["gram"].to_numpy().view(ts.U)
-    for i, name in enumerate(languages):
-        out.add(gram[lang == name], i)
+    numbers = labeled.sparkSession.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, number int")
+    model = distinctive(counts).join(F.broadcast(numbers), "lang").select("number", "gram").toArrow()
+    dropped(rows)
+    dropped(counts)
+    number, gram = model["number"].to_numpy(), model["gram"].to_numpy().view(ts.U)
+    out = LanguageModel(languages, int(np.bincount(number, minlength=1).max()))
+    for i in range(len(languages)):
+        out.add(gram[number == i], i)
     return out
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) of each row of docs(doc_id, text)."""
     spark = prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # 2**SLOT_BITS words for each 64 languages: 4 MB
+    shared = spark.sparkContext.broadcast(model)  # 2**MOST_SLOT_BITS words at most for each 64 languages
 
     def run(batches):
         m = shared.value
