@@ -13,8 +13,8 @@ Candidates come from joins on prefix n-grams, in two rounds, so that a large gro
 isn't compared pair by pair: first every member of an n-gram's group with one hub, the member that
 has the n-gram earliest; then, after components of the links found, only pairs in different
 components, or all other pairs if every link is asked for. These join on the n-gram and a band of
-set sizes, so an n-gram that many sets have in their prefixes is dealt out by band. Each pair is
-verified once, on the n-gram sets of whole texts; no candidate is dropped.
+set sizes, so an n-gram that many sets have in their prefixes is dealt out by band, and a large band
+by blocks of its members. Each pair is verified once, on the n-gram sets of whole texts; no candidate is dropped.
 
 Words are lower-cased (A-Z) runs of other characters than [\\x20\\x09-\\x0D]. With fewer than k
 words the whole sequence is the one member of the set. A null or wordless text has an empty set
@@ -39,6 +39,8 @@ SIMILARITY = (80, 100)
 SKETCH_BYTES, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 256, 16, 24
 SKETCH_CHUNK = 1 << 12
 BINS = 64
+#: Members of a block, about, of a large group that shares an n-gram and a band of sizes.
+BLOCK = 1000
 
 
 def ngram_sets(data: np.ndarray, offs: np.ndarray, k: int):
@@ -186,7 +188,7 @@ def confirmed(left: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simila
     return staged(both.mapInArrow(run, "u long, v long"), "links", spent=(left, texts))
 
 
-def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_link: bool = True):
+def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_link: bool = True, block: int = BLOCK):
     """(profiles, links): profiles has doc, k1, k2, n and node of every row; links are pairs (u, v) of
     nodes u < v, all of them with every_link, else enough of them for the components."""
     spark = prepared(docs.sparkSession)
@@ -220,11 +222,16 @@ def jaccard_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, every_
     # sizes that are near enough are in one band or in neighbours
     num, den = similarity
     band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(den / num)) * (1 + 1e-9) if num < den else 1e-9))
-    banded = staged(labeled.join(staged(mixed, "mixed"), "gram", "left_semi").withColumn("band", band), "mixed_groups", spent=(labeled,))
-    reach = banded.withColumn("near", F.explode(F.array("band", F.col("band") + 1)))
+    mixed = staged(mixed, "mixed")
+    banded = staged(labeled.join(mixed, "gram", "left_semi").withColumn("band", band), "mixed_groups", spent=(labeled, mixed))
+    # a large band is cut into blocks, so that no task pairs all of its members
+    sizes = staged(banded.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "blocks")
+    reach = banded.withColumn("near", F.explode(F.array("band", F.col("band") + 1))).join(sizes.withColumnRenamed("band", "near"), ["gram", "near"])
+    reach = reach.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = banded.join(sizes, ["gram", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     order = (F.col("a.band") < F.col("b.band")) | (F.col("a.node") < F.col("b.node"))
-    rest = reach.alias("a").join(banded.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.near") == F.col("b.band")) & order & apart & _fits("a", "b", similarity))
-    rest = staged(rest.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "rest", spent=(banded,))
+    rest = reach.alias("a").join(dealt.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.near") == F.col("b.band")) & (F.col("a.to") == F.col("b.block")) & order & apart & _fits("a", "b", similarity))
+    rest = staged(rest.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "rest", spent=(banded, sizes))
     more = verified(rest, docs, nodes, k, similarity)
     return profiles, staged(first.unionByName(more), "all_links", spent=(first, more, tried, rest, nodes))
 
