@@ -2,11 +2,13 @@
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import dropped, staged
+from .quantiles import exact_quantiles
 from .ranks import average_rank_pct
 
 
@@ -132,36 +134,93 @@ def degree_centrality(graph: DataFrame) -> DataFrame:
     return d.join(F.broadcast(n)).select("node", share("i").alias("in_degree"), share("o").alias("out_degree"))
 
 
-def eigen_centrality(graph: DataFrame, rounds: int = 20) -> DataFrame:
+def _fixed(links: DataFrame, key: str) -> DataFrame:
+    """links dealt out by one end and kept so: a round's vector goes to them, they don't move again."""
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return links.repartition(n, key).persist()
+
+
+#: Rounds between two extrapolations.
+CYCLE = 5
+
+
+def _until(x: DataFrame, step, tolerance: float, most: int) -> DataFrame:
+    """x(node, x, ...) after steps until the sum of absolute changes of a round is under tolerance, or
+    most rounds. step(x, keep) keeps the columns and those of keep, and adds was, the value before.
+
+    After CYCLE rounds the next one starts from the combination of their vectors, with weights that
+    add up to one, whose change would be least (reduced-rank extrapolation), which saves most rounds of
+    a slow convergence; weights come from a CYCLE x CYCLE table of products. Nothing else but a number
+    a round reaches the driver. Each round's vector is staged, so a lost executor costs no more than
+    a round."""
+    columns, nodes, past = x.columns, x.count(), []
+    for _ in range(most):
+        new = staged(step(x, past).withColumnRenamed("was", f"h{len(past)}"), "round", spent=(x,), rows=nodes)
+        past = [*past, f"h{len(past)}"]
+        values = [F.col(c) for c in (*past, "x")]
+        changes = [b - a for a, b in zip(values, values[1:])]
+        full = len(past) == CYCLE
+        products = [F.sum(a * b) for a in changes for b in changes] if full else []
+        residual, *gram = new.agg(F.sum(F.abs(changes[-1])), *products).first()
+        out = new
+        if full:
+            g = np.array(gram, float).reshape(CYCLE, CYCLE) if residual else np.zeros((CYCLE, CYCLE))
+            weights = np.linalg.pinv(g, rcond=1e-13, hermitian=True).sum(axis=1)
+            good = residual is not None and residual >= tolerance and abs(weights.sum()) > 0
+            mixed = sum((float(w) * v for w, v in zip(weights / weights.sum(), values[1:])), F.lit(0.0)) if good else F.col("x")
+            out, past = new.withColumn("x", mixed).select(*columns), []
+        out._staged_at = new._staged_at
+        x = out
+        if residual is None or residual < tolerance:
+            break
+    return x
+
+
+def eigen_centrality(graph: DataFrame, tolerance: float = 1e-10, most: int = 500) -> DataFrame:
     """Power iteration on A + I of the undirected graph (of two edges between the same nodes the
-    heavier stays), L2 norm. Each round's vector is cut from its lineage."""
+    heavier stays), L2 norm, until a round changes the vector by less than tolerance in sum. A + I
+    has no eigenvalue as large as its largest with the other sign, so it converges on bipartite
+    graphs too. An empty graph gives no rows."""
     u = graph.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("w"))
     both = u.select("a", "b", "w").unionByName(u.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     both = staged(both, "links")
-    x = both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    for _ in range(rounds):
-        near = both.join(x, F.col("b") == F.col("node")).groupBy("a").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        y = x.join(near, F.col("node") == F.col("a"), "left").select("node", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y"))
-        x = y.join(F.broadcast(y.agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("norm")))).select("node", (F.col("y") / F.col("norm")).alias("x"))
-        x = staged(x, "eigen")
-    return x.withColumnRenamed("x", "centrality")
+    fixed = _fixed(both, "b")
+    start = staged(both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0)), "round")
+
+    def step(x: DataFrame, keep: list) -> DataFrame:
+        near = fixed.join(x, F.col("b") == F.col("node")).groupBy("a").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
+        y = x.join(near, F.col("node") == F.col("a"), "left").select("node", *keep, F.col("x").alias("was"), (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y"))
+        norm = y.agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("norm"))
+        return y.join(F.broadcast(norm)).select("node", (F.col("y") / F.col("norm")).alias("x"), "was", *keep)  # one row
+
+    out = _until(start, step, tolerance, most)
+    fixed.unpersist()
+    dropped(both)
+    return out.select("node", F.col("x").alias("centrality"))
 
 
-def pagerank(graph: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """Weighted; the mass of nodes without out-edges is shared by all."""
+def pagerank(graph: DataFrame, tolerance: float = 1e-10, most: int = 500, damping: float = 0.85) -> DataFrame:
+    """Weighted; the mass of nodes without out-edges is shared by all. Rounds go on until one changes
+    the ranks by less than tolerance in sum. An empty graph gives no rows."""
     out = graph.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = graph.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
-    links = staged(links, "links")
-    nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
-    nodes = nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"))
+    links = staged(graph.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "links")
+    fixed = _fixed(links, "src")
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    loose = links.select(F.col("src").alias("node"), F.lit(False).alias("dangling")).distinct()
+    nodes = nodes.join(loose, "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"))
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
-    r = nodes.join(F.broadcast(n)).withColumn("rank", 1.0 / F.col("n"))
-    for _ in range(rounds):
-        into = links.join(r.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
-        loose = r.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"))
-        r = r.join(into, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose)).select("node", "dangling", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("rank"))
-        r = staged(r, "ranks")
-    return r.select("node", "rank")
+    start = staged(nodes.join(F.broadcast(n)).withColumn("x", 1.0 / F.col("n")), "round")  # one row
+
+    def step(x: DataFrame, keep: list) -> DataFrame:
+        into = fixed.join(x.select(F.col("node").alias("src"), "x"), "src").groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("s"))
+        loose = x.agg(F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("loose"))
+        new = (1 - damping) / F.col("n") + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        return x.join(into, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose)).select("node", "dangling", "n", *keep, new.alias("new"), F.col("x").alias("was")).withColumnRenamed("new", "x")  # one row
+
+    ranks = _until(start, step, tolerance, most)
+    fixed.unpersist()
+    dropped(links)
+    return ranks.select("node", F.col("x").alias("rank"))
 
 
 def net_leadership(graph: DataFrame) -> DataFrame:
@@ -243,8 +302,9 @@ def feature_matrix(links: DataFrame, features: list, sectors: list) -> DataFrame
     """(ticker, features, a column sector_<name> a sector): the median of each feature over a stock's
     links, the median of the stocks where it has none, 0 where none has; its most frequent sector, one-hot."""
     per = links.groupBy("ticker").agg(*[F.percentile(c, 0.5).alias(c) for c in features], F.mode("sector", deterministic=True).alias("sector"))
-    middle = per.agg(*[F.percentile(c, 0.5).alias(f"__{c}") for c in features])
-    filled = per.join(F.broadcast(middle)).select("ticker", "sector", *[F.coalesce(c, f"__{c}", F.lit(0.0)).alias(c) for c in features])  # one row
+    per = staged(per, "medians")
+    middle = exact_quantiles(per, {c: F.col(c) for c in features}, (0.5,))
+    filled = per.select("ticker", "sector", *[F.coalesce(c, F.lit(middle[c][0]).cast("double"), F.lit(0.0)).alias(c) for c in features])
     return filled.select("ticker", *features, *[F.coalesce((F.col("sector") == x).cast("double"), F.lit(0.0)).alias(f"sector_{x}") for x in sectors])
 
 

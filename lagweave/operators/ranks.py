@@ -10,20 +10,27 @@ from ..staging import staged
 PART = "__part"
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with its range's number and the rows in ranges before. Equal keys are in one range. Staged,
-    as ranges are found by sampling and must not change between the count and the ranking."""
+def ranged(df: DataFrame, order: list[Column], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """df with its range's number, the rows in ranges before (__before) and all rows (__total), both of
+    its own group of `by`, which order then begins with. Equal keys are in one range. Staged, as
+    ranges are found by sampling and must not change between the count and the ranking."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = staged(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()), "ranges")
-    before = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)  # a row a range
-    offsets = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return rows.join(offsets, PART)
+    own = W.partitionBy(*by)  # of a row a range and group
+    before = own.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = offsets.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__total", F.sum("__n").over(own))
+    named = offsets.select(F.col(PART).alias("__at"), "__before", "__total", *[F.col(c).alias(f"__by_{c}") for c in by])
+    same = F.col(PART) == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return rows.join(named, same).drop("__at", *[f"__by_{c}" for c in by])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """df with its row number, from 1, in a total order."""
     at = F.row_number().over(W.partitionBy(PART).orderBy(*order)) + F.col("__before")
-    return _ranged(df, order).withColumn(name, at.cast("long")).drop(PART, "__before")
+    return ranged(df, order).withColumn(name, at.cast("long")).drop(PART, "__before", "__total")
 
 
 def average_ranked(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
@@ -31,7 +38,7 @@ def average_ranked(df: DataFrame, value: str, name: str, descending: bool = Fals
     order = F.col(value).desc() if descending else F.col(value).asc()
     part = W.partitionBy(PART)
     rank = F.rank().over(part.orderBy(order)) + F.col("__before") + (F.count(F.lit(1)).over(W.partitionBy(PART, value)) - 1) / 2
-    some = _ranged(df.where(F.col(value).isNotNull()), [order]).withColumn(name, rank.cast("double")).drop(PART, "__before")
+    some = ranged(df.where(F.col(value).isNotNull()), [order]).withColumn(name, rank.cast("double")).drop(PART, "__before", "__total")
     return some.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 

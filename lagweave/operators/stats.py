@@ -1,5 +1,7 @@
 """Aggregates, factor models, strategy returns, stability, scoring."""
 
+import datetime
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 from ..workers import prepared
+from .pairs import ENDS, common_days, mapped, series_arrays
+from .quantiles import exact_quantiles
 from .ranks import average_ranked, numbered
 
 
@@ -102,6 +106,25 @@ def ols_residuals(rows: DataFrame, keys: list, y: str, xs: list, min_obs: int =
     return rows.where(F.col(y).isNotNull()).join(beta, keys).withColumn("residual", F.col(y) - fit).drop("beta", "n", "r2", "f")
 
 
+def rolling_residuals(rows: DataFrame, windows: DataFrame, y: str, xs: list, min_obs: int = 60) -> DataFrame:
+    """(window_start, win, ticker, date, residual) of an OLS of each ticker in each of windows(
+    window_start, window_end, win), which begin and end with quarters. Rows are summed up once, by
+    quarter: a window's moments are the sums of its quarters', and a quarter's rows get the few
+    coefficients of the windows that hold it in one list, so rows shuffle once and are not copied
+    before they are results."""
+    prepared(rows.sparkSession)
+    known = rows.where(F.col(y).isNotNull()).withColumn("pane", F.to_date(F.date_trunc("quarter", "date")))
+    panes = staged(known.groupBy("ticker", "pane").agg(F.count(F.lit(1)).alias("n"), _moments(y, xs).alias("m")), "panes")
+    size = (len(xs) + 1) * (len(xs) + 2) // 2 + len(xs) + 2
+    held = panes.join(F.broadcast(windows), F.col("pane").between(F.col("window_start"), F.col("window_end")))  # a calendar
+    sums = held.groupBy("window_start", "win", "ticker").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("m")[i]) for i in range(size)]).alias("m"))
+    fits = fitted(sums.where(F.col("n") >= min_obs), len(xs) + 1).select("window_start", "win", "ticker", "beta")
+    of_pane = held.select("ticker", "pane", "window_start").join(fits, ["ticker", "window_start"]).groupBy("ticker", "pane").agg(F.collect_list(F.struct("window_start", "win", "beta")).alias("fits"))
+    each = known.join(of_pane, ["ticker", "pane"]).withColumn("__fit", F.explode("fits"))
+    fit = sum((F.col("__fit.beta")[i + 1] * F.col(x) for i, x in enumerate(xs)), F.col("__fit.beta")[0])
+    return each.select("__fit.window_start", "__fit.win", "ticker", "date", (F.col(y) - fit).alias("residual"))
+
+
 def loo_sector_factor(rows: DataFrame, y: str) -> DataFrame:
     """Mean of the sector's other tickers on the day; null if there are none."""
     w = W.partitionBy("date", "sector")
@@ -152,29 +175,64 @@ def with_sharpness(rows: DataFrame, sharp: DataFrame, keys: list) -> DataFrame:
     return rows.join(sharp.select(*keys, "sharpness").distinct(), keys, "left")
 
 
-def half_life(rows: DataFrame, step_days: int = 63, cap: float = 252.0, steps: int = 41) -> DataFrame:
-    """Fit of A * exp(-rate * t) per pair, t the window's number from the pair's first: for a given
-    rate A has a closed form, so a grid of rates is joined, and a finer grid around the best."""
+#: Rates that bracket the best one: powers of ten in even steps.
+RATES = 10.0 ** (-6.0 + np.arange(41) * (7.0 / 40))
+
+
+def decay_rates(t: np.ndarray, y: np.ndarray, of: np.ndarray, rows: int, halvings: int = 60) -> np.ndarray:
+    """The rate r of the least-squares fit of A * exp(-r * t), A >= 0, to each row's points; of is a
+    point's row. For a given rate A has a closed form, so one number is searched: the best of RATES
+    gives a bracket, in which the slope of the fit's quality is brought to zero by halving, for all
+    rows at once. Where the slope doesn't change its sign there, the best of RATES stays."""
+    sums = lambda v: np.bincount(of, weights=v, minlength=rows)
+
+    def quality(r: np.ndarray) -> np.ndarray:
+        e = np.exp(-r[of] * t)
+        return np.maximum(sums(y * e), 0) ** 2 / sums(e * e)
+
+    def slope(r: np.ndarray) -> np.ndarray:
+        e = np.exp(-r[of] * t)
+        return sums(y * e) * sums(t * e * e) - sums(t * y * e) * sums(e * e)
+
+    left = sums(y * y)[:, None] - np.stack([quality(np.full(rows, r)) for r in RATES], 1)
+    best = np.round(left, 12).argmin(axis=1)  # the smallest rate on ties
+    lo, hi = RATES[np.maximum(best - 1, 0)], RATES[np.minimum(best + 1, len(RATES) - 1)]
+    inside = (slope(lo) > 0) & (slope(hi) < 0)
+    for _ in range(halvings):
+        middle = np.sqrt(lo * hi)
+        up = slope(middle) > 0
+        lo, hi = np.where(up, middle, lo), np.where(up, hi, middle)
+    return np.where(inside, np.sqrt(lo * hi), RATES[best])
+
+
+def half_life(rows: DataFrame, step_days: int = 63, cap: float = 252.0) -> DataFrame:
+    """(ticker_i, ticker_j, half_life, half_life_r2, half_life_stable): the decay of each pair's dCor, t
+    being a window's number from the pair's first. A pair's windows are one row of arrays; all pairs
+    of a batch are fitted together. Fewer than three windows have none (-1)."""
+    prepared(rows.sparkSession)
     keys = ["ticker_i", "ticker_j"]
-    t = rows.withColumn("t", F.col("win") - F.min("win").over(W.partitionBy(*keys)))
-
-    def best(rates: DataFrame, on: DataFrame) -> DataFrame:
-        e = F.exp(-F.col("rate") * F.col("t"))
-        fit = on.join(rates, keys) if set(keys) <= set(rates.columns) else on.join(F.broadcast(rates))
-        per = fit.groupBy(*keys, "rate").agg(F.sum(F.col("dcor") * e).alias("ye"), F.sum(e * e).alias("ee"), F.sum(F.col("dcor") ** 2).alias("yy"), F.sum("dcor").alias("y"), F.count(F.lit(1)).alias("n"))
-        a = F.greatest(F.col("ye") / F.col("ee"), F.lit(0.0))
-        per = per.withColumn("sse", F.col("yy") - 2 * a * F.col("ye") + a * a * F.col("ee"))
-        return per.groupBy(*keys).agg(F.min_by(F.struct("rate", "sse", "yy", "y", "n"), F.struct(F.round("sse", 12), "rate")).alias("b")).select(*keys, "b.*")
-
-    spark = rows.sparkSession
-    coarse = spark.range(steps).select(F.pow(F.lit(10.0), F.lit(-6.0) + F.col("id") * (7.0 / (steps - 1))).alias("rate"))
-    first = best(coarse, t)
-    near = first.select(*keys, F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("k"), F.col("rate").alias("r")).select(*keys, F.least(F.lit(10.0), F.greatest(F.lit(1e-6), F.col("r") * F.pow(F.lit(10.0), F.col("k") * (7.0 / (steps - 1) / 20)))).alias("rate")).distinct()
-    out = best(near, t)
-    total = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
-    r2 = F.when(total > 1e-12, 1 - F.col("sse") / total).otherwise(0.0)
-    few = F.col("n") < 3
-    return out.select(*keys, F.when(few, -1.0).otherwise(F.least(F.log(F.lit(2.0)) / F.col("rate") * step_days, F.lit(cap))).alias("half_life"), F.when(few, 0.0).otherwise(r2).alias("half_life_r2"), F.when(few, False).otherwise(r2 >= 0.30).alias("half_life_stable"))
+    lists = rows.where("win is not null and dcor is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("win", F.col("dcor").cast("double").alias("dcor")))).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            s = batch.column("s")
+            n = np.diff(np.asarray(s.offsets))
+            of, points = np.repeat(np.arange(len(batch)), n), s.flatten()
+            win, y = np.asarray(points.field("win")).astype(float), np.asarray(points.field("dcor"))
+            t = win - np.repeat(win[np.cumsum(n) - n], n)
+            rate = decay_rates(t, y, of, len(batch))
+            sums = lambda v: np.bincount(of, weights=v, minlength=len(batch))  # noqa: E731, B023
+            e = np.exp(-rate[of] * t)
+            ye, ee, total = sums(y * e), sums(e * e), sums(y * y) - sums(y) ** 2 / n
+            a = np.maximum(ye / ee, 0)
+            sse = sums(y * y) - 2 * a * ye + a * a * ee
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = np.where(n < 3, 0.0, np.where(total > 1e-12, 1 - sse / total, 0.0))
+            life = np.where(n < 3, -1.0, np.minimum(np.log(2.0) / rate * step_days, cap))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [pa.array(life), pa.array(r2), pa.array((n >= 3) & (r2 >= 0.30))], [*keys, "half_life", "half_life_r2", "half_life_stable"])
+
+    kind = dict(rows.dtypes)
+    return lists.mapInArrow(run, f"ticker_i {kind['ticker_i']}, ticker_j {kind['ticker_j']}, half_life double, half_life_r2 double, half_life_stable boolean")
 
 
 def trailing_zscore(rows: DataFrame, value: str, lookback: int = 60, keys=("ticker",), order: str = "date") -> DataFrame:
@@ -184,24 +242,69 @@ def trailing_zscore(rows: DataFrame, value: str, lookback: int = 60, keys=("tick
     return rows.withColumn("z", F.when((F.count(value).over(w) == lookback) & (sd > 1e-10), (F.col(value) - F.avg(value).over(w)) / sd))
 
 
+def trailing_scores(x: np.ndarray, lookback: int) -> np.ndarray:
+    """Each value against the lookback values before it, population deviation; NaN without them or
+    where they hardly vary."""
+    out = np.full(len(x), np.nan)
+    if len(x) > lookback:
+        before = np.lib.stride_tricks.sliding_window_view(x, lookback)[:-1]
+        sd = before.std(axis=1)
+        out[lookback:] = np.where(sd > 1e-10, (x[lookback:] - before.mean(axis=1)) / np.maximum(sd, 1e-10), np.nan)
+    return out
+
+
+def _traded(leader: DataFrame, follower: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(ticker_i, ticker_j, lag, direction) with both series as arrays: a row a pair shuffles."""
+    x, y = (series_arrays(df).select(F.col("ticker").alias(f"ticker_{e}"), F.col("d").alias(f"{n}d"), F.col("v").alias(f"{n}v")) for df, e, n in ((leader, "i", "x"), (follower, "j", "y")))
+    sign = F.when(F.coalesce("direction", F.lit(1.0)) < 0, -1).otherwise(1).alias("sign")
+    return pairs.select(*ENDS, F.col("lag").cast("int").alias("lag"), sign).join(x, "ticker_i").join(y, "ticker_j")
+
+
+def _days_of(batch: pa.RecordBatch, lookback: int, cost: float, start=None, end=None):
+    """(row, days, signal, position, gross, net) of the days of each pair that have a signal."""
+    lags, signs = batch.column("lag").to_pylist(), batch.column("sign").to_pylist()
+    for i, days, x, y in common_days(batch, 1):
+        lag = lags[i]
+        if lag is None or len(x) < lookback + lag + 10:
+            continue
+        signal = np.full(len(x), np.nan)
+        signal[lag:] = trailing_scores(x, lookback)[: len(x) - lag]
+        on = np.flatnonzero(~np.isnan(signal) & ((days >= start) & (days <= end) if start is not None else True))
+        position = signs[i] * ((signal[on] > 1).astype(np.int32) - (signal[on] < -1).astype(np.int32))
+        gross = position * y[on]
+        yield i, days[on], signal[on], position, gross, gross - cost * np.abs(position)
+
+
 def strategy_returns(leader: DataFrame, follower: DataFrame, pairs: DataFrame, lookback: int, cost_bps: float = 10.0, start=None, end=None) -> DataFrame:
-    """pairs(ticker_i, ticker_j, lag, direction): the leader's z-score, `lag` common rows earlier,
-    sets the position in the follower."""
-    x = leader.select(F.col("ticker").alias("ticker_i"), "date", F.col("log_return").alias("x"))
-    y = follower.select(F.col("ticker").alias("ticker_j"), "date", F.col("log_return").alias("y"))
-    both = pairs.join(x.where("x is not null"), "ticker_i").join(y.where("y is not null"), ["ticker_j", "date"])
-    keys = ("ticker_i", "ticker_j")
-    both = both.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("__n") >= lookback + F.col("lag") + 10)
-    z = trailing_zscore(both, "x", lookback, keys)
-    z = z.withColumn("__pos", F.row_number().over(W.partitionBy(*keys).orderBy("date")))
-    earlier = z.select(*keys, (F.col("__pos") + F.col("lag")).alias("__pos"), F.col("z").alias("signal")).where("signal is not null")
-    out = z.join(earlier, [*keys, "__pos"])
-    sign = F.when(F.coalesce("direction", F.lit(1.0)) < 0, -1).otherwise(1)
-    out = out.withColumn("position", sign * F.when(F.col("signal") > 1, 1).when(F.col("signal") < -1, -1).otherwise(0))
-    out = out.withColumn("gross", F.col("position") * F.col("y")).withColumn("net", F.col("gross") - F.lit(cost_bps / 1e4) * F.abs("position"))
-    if start is not None:
-        out = out.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return out.select(*keys, "date", "lag", "signal", "position", "gross", "net")
+    """(ticker_i, ticker_j, date, lag, signal, position, gross, net) for pairs(ticker_i, ticker_j, lag,
+    direction): the leader's z-score, `lag` common rows earlier, sets the position in the follower.
+    Alignment, scores and positions are made inside the kernel, from a row of arrays a pair."""
+    between = [(datetime.date.fromisoformat(str(d)) - datetime.date(1970, 1, 1)).days for d in (start, end)] if start is not None else (None, None)
+
+    def run(batch):
+        got = list(_days_of(batch, lookback, cost_bps / 1e4, *between))
+        of = np.repeat([g[0] for g in got], [len(g[1]) for g in got]) if got else np.zeros(0, np.int64)
+        column = lambda k, kind: np.concatenate([g[k] for g in got]).astype(kind) if got else np.zeros(0, kind)
+        return of, [pa.array(column(1, np.int32)).cast(pa.date32()), *(column(k, t) for k, t in ((2, float), (3, np.int32), (4, float), (5, float)))]
+
+    out = mapped(_traded(leader, follower, pairs), run, "date date, signal double, position int, gross double, net double", [*ENDS, "lag"])
+    return out.select(*ENDS, "date", "lag", "signal", "position", "gross", "net")
+
+
+def strategy_sharpes(leader: DataFrame, follower: DataFrame, pairs: DataFrame, lookback: int, cost_bps: float = 10.0, periods: int = 252, least: int = 30) -> DataFrame:
+    """(ticker_i, ticker_j, sharpe_gross, sharpe_net, n_days, best_lag) of the pairs' strategies with
+    `least` days or more, straight from the kernel: no row a day leaves it."""
+
+    def ratio(r: np.ndarray) -> float | None:
+        sd = float(r.std())
+        return float(r.mean()) / sd * periods**0.5 if sd > 1e-10 else None
+
+    def run(batch):
+        got = [(g[0], ratio(g[4]), ratio(g[5]), len(g[1])) for g in _days_of(batch, lookback, cost_bps / 1e4) if len(g[1]) >= least]
+        return [g[0] for g in got], [pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.int64())]
+
+    out = mapped(_traded(leader, follower, pairs), run, "sharpe_gross double, sharpe_net double, n_days long", [*ENDS, "lag"])
+    return out.withColumnRenamed("lag", "best_lag")
 
 
 def annualized_vol(prices: DataFrame, days: int = 365, least: int = 50) -> DataFrame:
@@ -225,12 +328,15 @@ def sortino(value: str | Column, periods: int = 252) -> Column:
 
 def signal_strength(df: DataFrame, score: str, keys: list | None = None) -> DataFrame:
     """Winsorised at the exact 5th and 95th percentile (of each group of keys), scaled to 0-100; flat
-    gives 50. The percentiles are an aggregate that is joined, not a window over everything."""
-    cut = df.groupBy(*(keys or [])).agg(F.percentile(score, F.array(F.lit(0.05), F.lit(0.95))).alias("__p"))
-    lo, hi = F.col("__p")[0], F.col("__p")[1]
+    gives 50. Percentiles of the whole table are selected by rank; those of groups are an aggregate
+    that is joined."""
+    if keys:
+        cut = df.groupBy(*keys).agg(F.percentile(score, F.array(F.lit(0.05), F.lit(0.95))).alias("__p"))
+        df, lo, hi = df.join(cut, keys), F.col("__p")[0], F.col("__p")[1]
+    else:
+        lo, hi = (F.lit(x).cast("double") for x in exact_quantiles(df, {score: F.col(score)}, (0.05, 0.95))[score])
     x = F.least(F.greatest(F.col(score), lo), hi)
-    both = df.join(cut, keys) if keys else df.join(F.broadcast(cut))  # one row
-    return both.withColumn("signal_strength", F.when(hi > lo, (x - lo) / (hi - lo) * 100).otherwise(50.0)).drop("__p")
+    return df.withColumn("signal_strength", F.when(hi > lo, (x - lo) / (hi - lo) * 100).otherwise(50.0)).drop("__p")
 
 
 def predicted_score(df: DataFrame, weights: dict, intercept: float) -> DataFrame:
@@ -270,20 +376,26 @@ def feature_importance(weights: DataFrame, ci: DataFrame, digits: int = 4) -> Da
 
 
 def deciles(df: DataFrame, score: str, value: str) -> DataFrame:
-    """By quantile edges, right-closed with the lowest included and equal edges merged."""
-    edges = df.agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(k / 10) for k in range(11)]))).alias("__e"))
-    inner = df.join(F.broadcast(edges)).withColumn("decile", F.greatest(F.lit(1), F.size(F.filter("__e", lambda e: e < F.col(score)))))
-    return inner.groupBy("decile").agg(F.avg(value).alias("mean_value"), F.percentile(value, 0.5).alias("median_value"), F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"))
+    """By quantile edges, right-closed with the lowest included and equal edges merged. Edges, and the
+    median of each decile, are selected by rank; rows without a score are in the first."""
+    edges = sorted({e for e in exact_quantiles(df, {score: F.col(score)}, [k / 10 for k in range(11)])[score] if e is not None})
+    below = F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e < F.col(score)))
+    inner = df.withColumn("decile", F.greatest(F.lit(1), below))
+    parts = {str(k): F.when(F.col("decile") == k, F.col(value)) for k in range(1, 11)}
+    medians = exact_quantiles(inner, parts, (0.5,))
+    middle = F.element_at(F.array(*[F.lit(medians[str(k)][0]).cast("double") for k in range(1, 11)]), F.col("decile"))
+    per = inner.groupBy("decile").agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"))
+    return per.select("decile", "mean_value", middle.alias("median_value"), "n", "mean_score")
 
 
 def robust_scale(df: DataFrame, columns: list) -> DataFrame:
-    """(x - median) / IQR with quartiles from one aggregate; an IQR of 0 counts as 1."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{c}") for c in columns])
-    out = df.join(F.broadcast(q))
-    for c in columns:
-        iqr = F.col(f"__{c}")[2] - F.col(f"__{c}")[0]
-        out = out.withColumn(c, (F.col(c) - F.col(f"__{c}")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr))
-    return out.drop(*[f"__{c}" for c in columns])
+    """(x - median) / IQR with quartiles selected by rank; an IQR of 0 counts as 1."""
+    quartiles, out = exact_quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75)), df
+    for c, (low, middle, high) in quartiles.items():
+        low, middle, high = (F.lit(x).cast("double") for x in (low, middle, high))
+        iqr = high - low
+        out = out.withColumn(c, (F.col(c) - middle) / F.when(iqr == 0, 1.0).otherwise(iqr))
+    return out
 
 
 def drop_correlated(df: DataFrame, columns: list, limit: float = 0.85) -> list:

@@ -1,12 +1,18 @@
 """Window-function operators on price-like series, rankings and top-k."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workers import prepared
 from . import ranks
 from .stats import average_rank_pct
 
+#: Stands for a missing target in arrays of doubles.
+NO_TARGET = -1.7976931348623157e308
+
 
 def by_date():
     return W.partitionBy("ticker").orderBy("date")
@@ -134,19 +140,57 @@ def long_short(df: DataFrame, pred: str, target: str, share: float, periods: int
     return day.agg((F.avg("r") * periods).alias("annual_return"), F.try_divide(F.avg("r"), F.stddev_samp("r")).alias("daily_sharpe"))
 
 
+def concordant_pairs(p: np.ndarray, t: np.ndarray) -> int:
+    """Pairs with p and t both larger in one row than in the other, in O(n log n) for n rows: rows in
+    the order of p (within ties of p by falling t, which counts none of them) are merged by t. A
+    merge is a pass over the bits of t's rank from the highest: among rows that share the bits so
+    far, in order, each with the bit set has all earlier ones without it below it."""
+    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    rank, total = rank[np.lexsort((-rank, p))], 0
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        rank = rank[np.argsort(rank >> (bit + 1), kind="stable")]
+        high, up = rank >> (bit + 1), (rank >> bit) & 1
+        zeros = np.cumsum(1 - up)
+        head = np.ones(len(rank), bool)
+        head[1:] = high[1:] != high[:-1]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(rank)), 0))
+        before = zeros[first] - (1 - up[first])  # zeros ahead of the row's group
+        total += int(((zeros - before) * up).sum())
+    return total
+
+
+def _ordered_pairs(p: np.ndarray) -> int:
+    n, ties = len(p), np.unique(p, return_counts=True)[1].astype(object)
+    return n * (n - 1) // 2 - int((ties * (ties - 1) // 2).sum()) if n else 0
+
+
 def ordered_pair_accuracy(df: DataFrame, pred: str, target: str, tail: int | None = None) -> DataFrame:
     """Share of a date's pairs that are ordered by pred as by target; with tail, pairs of the best
-    with the worst `tail` by pred only."""
-    rows = df.select("date", "ticker", F.col(pred).alias("p"), F.col(target).alias("t"))
+    with the worst `tail` by pred only. Pairs that tie by pred don't count, and those without a target
+    only as pairs. A date's rows are two arrays in one task, where pairs are counted by merging."""
+    rows = df.select("date", "ticker", F.col(pred).cast("double").alias("p"), F.col(target).cast("double").alias("t"))
     if tail:
         up = F.row_number().over(W.partitionBy("date").orderBy(F.desc("p"), "ticker"))
         down = F.row_number().over(W.partitionBy("date").orderBy("p", F.desc("ticker")))
         rows = rows.withColumn("u", up).withColumn("d", down)
         a, b = rows.where(F.col("u") <= tail), rows.where(F.col("d") <= tail)
-    else:
-        a = b = rows
-    pairs = a.alias("a").join(b.alias("b"), (F.col("a.date") == F.col("b.date")) & ((F.col("a.p") > F.col("b.p"))))
-    return pairs.agg(F.avg((F.col("a.t") > F.col("b.t")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("pairs"))
+        pairs = a.alias("a").join(b.alias("b"), (F.col("a.date") == F.col("b.date")) & ((F.col("a.p") > F.col("b.p"))))
+        return pairs.agg(F.avg((F.col("a.t") > F.col("b.t")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("pairs"))
+
+    def count(batches):
+        for batch in batches:
+            got = []
+            for p, t in zip(batch.column("p"), batch.column("t")):
+                p, t = np.asarray(p.values), np.asarray(t.values)
+                known = t != NO_TARGET
+                got.append((_ordered_pairs(p), _ordered_pairs(p[known]), concordant_pairs(p[known], t[known])))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(3)], ["pairs", "judged", "right"])
+
+    prepared(df.sparkSession)
+    point = F.struct("p", F.coalesce("t", F.lit(NO_TARGET)).alias("t"))
+    dates = rows.where("date is not null and p is not null").groupBy("date").agg(F.collect_list(point).alias("s"))
+    counts = dates.select(F.col("s.p").alias("p"), F.col("s.t").alias("t")).mapInArrow(count, "pairs long, judged long, right long")
+    return counts.agg(F.try_divide(F.sum("right"), F.sum("judged")).alias("accuracy"), F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"))
 
 
 def lag_entropy(df: DataFrame, lag: str) -> DataFrame:

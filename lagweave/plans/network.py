@@ -77,15 +77,16 @@ add("degree_centrality", "node in_degree:d out_degree:d", lambda t: nw.degree_ce
 add("net_leadership", "node leadership:d", lambda t: nw.net_leadership(graph(t)), "SELECT node, (o - i) / (o + i) AS leadership FROM (SELECT node, (SELECT count(*) FROM {graph} WHERE src = node) AS o, (SELECT count(*) FROM {graph} WHERE dst = node) AS i FROM {nodes}) AS x")
 TEXTS["graph2"] = "SELECT src AS a, dst AS b, weight AS w FROM {graph} UNION ALL SELECT dst, src, weight FROM {graph}"
 TEXTS["eig0"] = "SELECT node, 1.0::DOUBLE AS x FROM {nodes}"
-ROUNDS = 6
+#: Rounds in SQL, enough for six digits; Spark goes on until nothing changes.
+ROUNDS = 40
 for _k in range(1, ROUNDS + 1):
     TEXTS[f"eig{_k}"] = f"SELECT node, y / sqrt(sum(y * y) OVER ()) AS x FROM (SELECT e.node, e.x + coalesce(s, 0) AS y FROM {{eig{_k - 1}}} AS e LEFT JOIN (SELECT a, sum(w * x) AS s FROM {{graph2}} JOIN {{eig{_k - 1}}} AS p ON p.node = b GROUP BY a) AS n ON n.a = e.node) AS y"
-add("eigen_centrality", "node centrality:d", lambda t: nw.eigen_centrality(graph(t), ROUNDS), f"SELECT node, x AS centrality FROM {{eig{ROUNDS}}}")
+add("eigen_centrality", "node centrality:d", lambda t: nw.eigen_centrality(graph(t)), f"SELECT node, x AS centrality FROM {{eig{ROUNDS}}}")
 TEXTS["pr0"] = "SELECT node, 1.0::DOUBLE / count(*) OVER () AS r, count(*) OVER () AS n, node NOT IN (SELECT src FROM {graph}) AS d FROM {nodes}"
 TEXTS["pr_links"] = "SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM {graph}"
 for _k in range(1, ROUNDS + 1):
     TEXTS[f"pr{_k}"] = f"SELECT q.node, 0.15 / n + 0.85 * (coalesce(s, 0) + sum(CASE WHEN d THEN r ELSE 0 END) OVER () / n) AS r, n, d FROM {{pr{_k - 1}}} AS q LEFT JOIN (SELECT dst, sum(z.r * p) AS s FROM {{pr_links}} JOIN {{pr{_k - 1}}} AS z ON z.node = src GROUP BY dst) AS i ON i.dst = q.node"
-add("pagerank", "node rank:d", lambda t: nw.pagerank(graph(t), ROUNDS), f"SELECT node, r AS rank FROM {{pr{ROUNDS}}}")
+add("pagerank", "node rank:d", lambda t: nw.pagerank(graph(t)), f"SELECT node, r AS rank FROM {{pr{ROUNDS}}}")
 add("network_payload", "kind a b value:d", lambda t: nw.network_payload(graph(t), t("centrals")), "SELECT 'node' AS kind, ticker AS a, coalesce(sector, 'Unknown') AS b, round(centrality, 4) AS value FROM {centrals} UNION ALL SELECT 'edge', src, dst, weight FROM {graph}")
 
 _sig = f"""SELECT ticker, round(0.40 * coalesce(signal, 0) + 0.15 * least(life, 252) / 252 * 100 + 0.15 * links / max(links) OVER () * 100 + 0.20 * (1 - coalesce(h, 0) / 4.0) * 100 + 0.10 * centrality * 100 + 1e-9, 4) AS score, CASE WHEN al THEN 'leads' WHEN an THEN 'both' ELSE 'follows' END AS direction, links, related FROM (

@@ -119,6 +119,33 @@ add("tier_budget", "tier3_fraction:d alert", lambda t: pr.tier_budget(pr.permuta
 add("pair_panel", _W + " lag dcor:d p_value:d permutations sharpness:d pearson:d", lambda t: pr.pair_panel(by_window(t), LAGS))
 
 
+# The chain: permutations that stop where FDR control can't be passed any more, q-values, stability
+# of what is significant. It has no SQL either; tests hold it against plain loops.
+
+ALPHA = 0.05
+
+
+def significant_permuted(t):
+    found = pr.bh_fdr(t("tested"), ALPHA, choose="dcor").where("significant")
+    return st.with_sharpness(found.select("window_start", "win", *PAIR, "lag", "dcor"), t("w_dcor").join(pr.sharpness(t("w_dcor"), W_), W_), W_)
+
+
+MADE["tested"] = lambda t: pr.permutation_p(by_window(t), LAGS, alpha=ALPHA)
+add("bh_fdr_permuted", _W + " lag dcor:d p_value:d permutations q_value:d significant", lambda t: pr.bh_fdr(t("tested"), ALPHA, choose="dcor"))
+add("stability_permuted", "ticker_i ticker_j mean_dcor:d variance_dcor:d frequency:d best_lag sharpness:d n_windows_observed half_life:d half_life_r2:d", lambda t: st.stability(significant_permuted(t), t("windows")))
+
+
+def daily_tested(t):
+    """The same on daily returns: about 250 rows a window."""
+    inside = F.col("date").between(F.col("window_start"), F.col("window_end"))
+    rows = t("daily_returns").join(F.broadcast(t("windows")), inside).select("window_start", "win", "ticker", "date", "log_return")  # a calendar
+    both = pr.paired(pr.series_arrays(rows, keys=["window_start", "win"]), pr.all_pairs(rows.select("ticker").distinct()))
+    return pr.bh_fdr(pr.permutation_p(both, LAGS, alpha=ALPHA), ALPHA, choose="dcor")
+
+
+add("bh_fdr_daily", _W + " lag dcor:d p_value:d permutations q_value:d significant", daily_tested)
+
+
 def backfilled(t):
     keys = ["window_start", *PAIR, "lag"]
     fresh = pr.pearson_lag(by_window(t), LAGS)
@@ -201,13 +228,27 @@ MADE["sig"] = significant
 _SSE = "sum(dcor * dcor) - 2 * greatest(sum(dcor * exp(-rate * t)) / sum(exp(-2 * rate * t)), 0) * sum(dcor * exp(-rate * t)) + greatest(sum(dcor * exp(-rate * t)) / sum(exp(-2 * rate * t)), 0) ** 2 * sum(exp(-2 * rate * t))"
 TEXTS["decay"] = "SELECT *, win - min(win) OVER (PARTITION BY ticker_i, ticker_j) AS t FROM {sig}"
 TEXTS["coarse_rate"] = f"""
-SELECT ticker_i, ticker_j, rate FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(sse, 12), rate) AS k FROM (
- SELECT ticker_i, ticker_j, rate, {_SSE} AS sse FROM {{decay}} JOIN (SELECT 10.0 ** (-6.0 + g * (7.0 / 40)) AS rate FROM range(41) AS r(g)) AS g ON true GROUP BY 1, 2, 3) AS s) AS z WHERE k = 1"""
+SELECT ticker_i, ticker_j, g, rate, 10.0 ** (-6.0 + greatest(g - 1, 0) * (7.0 / 40)) AS lo, 10.0 ** (-6.0 + least(g + 1, 40) * (7.0 / 40)) AS hi
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(sse, 12), rate) AS k FROM (
+ SELECT ticker_i, ticker_j, g, rate, {_SSE} AS sse FROM {{decay}} JOIN (SELECT g, 10.0 ** (-6.0 + g * (7.0 / 40)) AS rate FROM range(41) AS r(g)) AS g ON true GROUP BY 1, 2, 3, 4) AS s) AS z WHERE k = 1"""
+
+
+def slope_sql(r: str) -> str:
+    """The slope of the fit's quality in the rate r over a pair's list p of points (t, y)."""
+    total = lambda x: f"list_sum(list_transform(p, lambda v: {x}))"
+    e, e2 = f"exp(-({r}) * v.t)", f"exp(-2 * ({r}) * v.t)"
+    return f"({total(f'v.y * {e}')} * {total(f'v.t * {e2}')} - {total(f'v.t * v.y * {e}')} * {total(e2)})"
+
+
+TEXTS["decay_points"] = "SELECT ticker_i, ticker_j, list({'t': t::DOUBLE, 'y': dcor} ORDER BY t) AS p FROM {decay} GROUP BY 1, 2"
+_halved = f"""list_reduce(list_prepend({{'lo': lo::DOUBLE, 'hi': hi::DOUBLE}}, list_transform(range(60), lambda i: {{'lo': 0e0, 'hi': 0e0}})),
+ lambda s, x: CASE WHEN {slope_sql('sqrt(s.lo * s.hi)')} > 0 THEN {{'lo': sqrt(s.lo * s.hi), 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': sqrt(s.lo * s.hi)}} END)"""
+TEXTS["best_rate"] = f"""
+SELECT ticker_i, ticker_j, CASE WHEN {slope_sql('lo')} > 0 AND {slope_sql('hi')} < 0 THEN sqrt(b.lo * b.hi) ELSE rate END AS rate
+FROM (SELECT c.ticker_i, c.ticker_j, rate, lo, hi, p, {_halved} AS b FROM {{coarse_rate}} AS c JOIN {{decay_points}} AS d ON d.ticker_i = c.ticker_i AND d.ticker_j = c.ticker_j) AS h"""
 TEXTS["fine_rate"] = f"""
-SELECT *, yy - y * y / n AS total FROM (SELECT *, row_number() OVER (PARTITION BY ticker_i, ticker_j ORDER BY round(sse, 12), rate) AS k FROM (
- SELECT t.ticker_i, t.ticker_j, rate, {_SSE} AS sse, sum(dcor * dcor) AS yy, sum(dcor) AS y, count(*) AS n FROM {{decay}} AS t JOIN (
-  SELECT DISTINCT ticker_i AS gi, ticker_j AS gj, least(10.0, greatest(1e-6, rate * 10.0 ** (h * (7.0 / 40 / 20)))) AS rate FROM {{coarse_rate}} JOIN (SELECT h FROM range(-20, 21) AS r(h)) AS b ON true) AS g
- ON gi = ticker_i AND gj = ticker_j GROUP BY 1, 2, 3) AS s) AS z WHERE k = 1"""
+SELECT t.ticker_i, t.ticker_j, rate, {_SSE} AS sse, sum(dcor * dcor) - sum(dcor) * sum(dcor) / count(*) AS total, count(*) AS n
+FROM {{decay}} AS t JOIN {{best_rate}} AS b ON b.ticker_i = t.ticker_i AND b.ticker_j = t.ticker_j GROUP BY 1, 2, 3"""
 TEXTS["half_lives"] = """
 SELECT ticker_i, ticker_j, CASE WHEN n < 3 THEN -1 ELSE least(ln(2.0) / rate * 63, 252) END AS half_life, CASE WHEN n < 3 THEN 0 WHEN total > 1e-12 THEN 1 - sse / total ELSE 0 END AS half_life_r2 FROM {fine_rate}"""
 TEXTS["stable"] = """
@@ -233,16 +274,20 @@ SELECT ticker_i, ticker_j, date, lag, signal, position, position * y AS gross, p
    WINDOW w AS (PARTITION BY ticker_i, ticker_j ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)) AS z1 WINDOW v AS (PARTITION BY ticker_i, ticker_j ORDER BY date)) AS s WHERE signal IS NOT NULL) AS g"""
 
 
-def strategy(t):
+def traded(t):
     pairs = t("net").select(*PAIR, F.col("best_lag").alias("lag"), F.col("oos_sharpe_net").alias("direction"))
-    return st.strategy_returns(t("returns"), t("returns"), pairs, 26)
+    return t("returns"), t("returns"), pairs, 26
+
+
+def strategy(t):
+    return st.strategy_returns(*traded(t))
 
 
 MADE["strategy"] = strategy
 TEXTS["sharpes"] = """
 SELECT ticker_i, ticker_j, CASE WHEN stddev_pop(gross) > 1e-10 THEN avg(gross) / stddev_pop(gross) * sqrt(252) END AS sharpe_gross,
  CASE WHEN stddev_pop(net) > 1e-10 THEN avg(net) / stddev_pop(net) * sqrt(252) END AS sharpe_net, count(*) AS n_days, min(lag) AS best_lag FROM {strategy} GROUP BY 1, 2 HAVING count(*) >= 30"""
-MADE["sharpes"] = lambda t: t("strategy").groupBy(*PAIR).agg(st.sharpe("gross").alias("sharpe_gross"), st.sharpe("net").alias("sharpe_net"), F.count(F.lit(1)).alias("n_days"), F.mode("lag", deterministic=True).alias("best_lag")).where("n_days >= 30")
+MADE["sharpes"] = lambda t: st.strategy_sharpes(*traded(t))
 add("strategy_returns", "ticker_i ticker_j date lag signal:d position gross:d net:d", strategy, "SELECT * FROM {strategy}")
 add("global_sharpe", "ticker_i ticker_j sharpe_gross:d sharpe_net:d n_days best_lag", lambda t: t("sharpes"), "SELECT * FROM {sharpes}")
 

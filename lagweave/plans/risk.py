@@ -7,7 +7,7 @@ from ..operators import risk as rk
 from ..operators import stats as st
 from ..operators import windows as wn
 from .book import Book
-from .network import HELD, _held, held
+from .network import HELD, _held, held, picks_of
 from .surrogates import MADE, TEXTS
 
 book = Book()
@@ -23,7 +23,7 @@ SELECT t.ticker, d.pos, coalesce(log_return, 0) AS log_return FROM (SELECT DISTI
 TEXTS["draws"] = f"""
 SELECT sim_id, step, CAST(1 + floor((('0x' || substr(md5(concat_ws('/', '{SEED}', sim_id, CAST(floor((step - 1) / {BLOCK}) AS BIGINT))), 1, 8))::BIGINT / 4294967296.0) * greatest((SELECT count(*) FROM {{dates}}) - {BLOCK}, 1)) + (step - 1) % {BLOCK} AS INT) AS pos
 FROM (SELECT unnest(range(1, {SIMS + 1})) AS sim_id) AS s JOIN (SELECT unnest(range(1, {STEPS + 1})) AS step) AS t ON true"""
-TEXTS["scenarios"] = "SELECT sim_id, step, ticker, round(exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) + 1e-12, 9) AS price FROM {draws} AS d JOIN {dated} AS r ON r.pos = d.pos"
+TEXTS["scenarios"] = "SELECT sim_id, step, ticker, round(exp(sum(log_return) OVER (PARTITION BY sim_id, ticker ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS price FROM {draws} AS d JOIN {dated} AS r ON r.pos = d.pos"
 
 
 def draws(t):
@@ -31,8 +31,8 @@ def draws(t):
     return rk.block_draws(t("returns").sparkSession.range(1, SIMS + 1).withColumnRenamed("id", "sim_id"), positions, STEPS, BLOCK, SEED)
 
 
-# rounded, so that sums in another order make no other troughs and peaks
-MADE["scenarios"] = lambda t: rk.scenario_paths(rk.dated_returns(t("returns")), draws(t)).withColumn("price", F.round(F.col("price") + 1e-12, 9))
+# rounded once, to the digits of the result, so that sums in another order make no other troughs and peaks
+MADE["scenarios"] = lambda t: rk.scenario_paths(rk.dated_returns(t("returns")), draws(t)).withColumn("price", F.round("price", 6))
 add("block_bootstrap", "sim_id step pos", draws, "SELECT * FROM {draws}")
 add("scenario_paths", "sim_id step ticker price:d", lambda t: t("scenarios"), "SELECT * FROM {scenarios}")
 
@@ -101,23 +101,31 @@ WEIGHTS = {"var": (0.3, True), "mean_drawdown": (0.2, True), "sortino": (0.2, Tr
 
 
 def risk_pipeline(t):
-    """One row for the holdings (place null) and one for each sector's pick, by risk rank."""
+    """One row for the holdings (place null) and one for each sector's pick, by risk rank, with its
+    cluster among the candidates: the cluster's medoid and size at the chosen number of clusters."""
     pool = nw.candidate_pool(t("net"), held(t), 1.0)
     sectors = t("ticker_metadata").select("ticker", "sector")
-    picks = nw.pick_per_sector(pool.join(sectors, "ticker"), "avg_dcor").select("ticker", "sector", "avg_dcor")
+    k = nw.chosen_k(t("sweep"), nw.elbow_k(t("sweep")), picks_of(t))
+    clusters = t("clusters").join(F.broadcast(k), "k").select(F.col("point").alias("ticker"), F.col("medoid").alias("cluster"))  # one row
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
+    grouped = pool.join(sectors, "ticker").join(clusters.join(sizes, "cluster"), "ticker")
+    picks = nw.pick_per_sector(grouped, "avg_dcor").select("ticker", "sector", "cluster", "cluster_size", "avg_dcor")
     risk = rk.risk_table(t("scenarios").join(picks.select("ticker"), "ticker", "left_semi"), ["ticker"], t("returns"))
-    ranked = wn.minmax_rank(picks.join(risk, "ticker"), WEIGHTS).select("ticker", "sector", "score", "place", "var")
+    ranked = wn.minmax_rank(picks.join(risk, "ticker"), WEIGHTS).select("ticker", "sector", "cluster", "cluster_size", (F.col("cluster") == F.col("ticker")).alias("is_medoid"), "score", "place", "var")
     own = rk.resolve_weights(held(t))
     mine = t("returns").join(own, "ticker").groupBy("date").agg(F.sum(F.col("weight") * F.col("log_return")).alias("log_return"))
     total = rk.risk_table(rk.portfolio_paths(t("scenarios"), own), [], mine)
-    return ranked.unionByName(total.select(F.lit("holdings").alias("ticker"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("place"), "var"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    whole = total.select(F.lit("holdings").alias("ticker"), none("sector", "string"), none("cluster", "string"), none("cluster_size", "long"), none("is_medoid", "boolean"), none("score", "double"), none("place", "long"), "var")
+    return ranked.unionByName(whole)
 
 
 TEXTS["pool"] = f"SELECT ticker, avg(mean_dcor) AS avg_dcor FROM {{ends}} WHERE mean_dcor <= 1.0 AND other IN {_held} AND ticker NOT IN {_held} GROUP BY ticker HAVING count(DISTINCT other) >= {len(HELD) // 2}"
-TEXTS["sector_picks"] = "SELECT * FROM (SELECT p.ticker, sector, avg_dcor, row_number() OVER (PARTITION BY sector ORDER BY round(avg_dcor, 9), p.ticker) AS k FROM {pool} AS p JOIN {ticker_metadata} AS m ON m.ticker = p.ticker WHERE sector IS NOT NULL) AS x WHERE k = 1"
-TEXTS["pick_risk"] = "SELECT p.ticker, sector, avg_dcor, var, mean_drawdown, sortino, skew FROM {sector_picks} AS p JOIN {risk_t} AS r ON r.k = p.ticker"
+TEXTS["in_clusters"] = "SELECT point AS member, medoid AS cluster, count(*) OVER (PARTITION BY medoid) AS cluster_size FROM {clusters} WHERE k = (SELECT k FROM {chosen})"
+TEXTS["sector_picks"] = "SELECT * FROM (SELECT p.ticker, sector, cluster, cluster_size, avg_dcor, row_number() OVER (PARTITION BY sector ORDER BY round(avg_dcor, 9), p.ticker) AS k FROM {pool} AS p JOIN {ticker_metadata} AS m ON m.ticker = p.ticker JOIN {in_clusters} AS c ON c.member = p.ticker WHERE sector IS NOT NULL) AS x WHERE k = 1"
+TEXTS["pick_risk"] = "SELECT p.ticker, sector, cluster, cluster_size, avg_dcor, var, mean_drawdown, sortino, skew FROM {sector_picks} AS p JOIN {risk_t} AS r ON r.k = p.ticker"
 _scaled = " + ".join(f"{w} * CASE WHEN max({m}) OVER () = min({m}) OVER () THEN 0.5 ELSE " + (f"({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())" if up else f"1 - ({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())") + " END" for m, (w, up) in WEIGHTS.items())
 TEXTS["pick_score"] = f"SELECT *, ({_scaled}) / {sum(w for w, _ in WEIGHTS.values())} AS score FROM {{pick_risk}}"
-add("risk_pipeline", "ticker sector score:d place var:d", risk_pipeline, f"""
-SELECT ticker, sector, score, row_number() OVER (ORDER BY score DESC NULLS LAST, ticker) AS place, var FROM {{pick_score}} UNION ALL
-SELECT 'holdings', NULL, NULL, NULL, quantile_cont(r, 0.05) FROM (SELECT sim_id, arg_max(price, step) - 1 AS r FROM (SELECT sim_id, step, 1 + sum((price - 1) / {len(HELD)}) AS price FROM {{scenarios}} WHERE ticker IN {_held} GROUP BY sim_id, step) AS f GROUP BY sim_id) AS e""")
+add("risk_pipeline", "ticker sector cluster cluster_size is_medoid score:d place var:d", risk_pipeline, f"""
+SELECT ticker, sector, cluster, cluster_size, cluster = ticker AS is_medoid, score, row_number() OVER (ORDER BY score DESC NULLS LAST, ticker) AS place, var FROM {{pick_score}} UNION ALL
+SELECT 'holdings', NULL, NULL, NULL, NULL, NULL, NULL, quantile_cont(r, 0.05) FROM (SELECT sim_id, arg_max(price, step) - 1 AS r FROM (SELECT sim_id, step, 1 + sum((price - 1) / {len(HELD)}) AS price FROM {{scenarios}} WHERE ticker IN {_held} GROUP BY sim_id, step) AS f GROUP BY sim_id) AS e""")

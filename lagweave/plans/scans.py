@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import scalar as fn
 from ..sources import scans as sc
+from ..sources.snapshots import SnapshotTable
 from ..streaming import jobs
 from . import pairs  # noqa: F401  its tables are scanned here
 from .book import Book
@@ -36,7 +37,19 @@ def weights(t):
 
 
 add("current_weights", "model_version feature weight:d", lambda t: weights(t).where("is_current"), f"SELECT * FROM ({_weights}) AS w WHERE is_current")
-add("flip_current", "model_version feature weight:d is_current", lambda t: sc.flip_current(weights(t), "v1"), f"SELECT model_version, feature, weight, model_version = 'v1' AS is_current FROM ({_weights}) AS w")
+
+
+def stored(t, rows, by: str, key=None, date=None) -> SnapshotTable:
+    """rows as a new table in the shared folder; what follows are commits to it."""
+    return SnapshotTable.create(rows, jobs.scratch(t.spark, "stored"), by, key, date)
+
+
+def changed(table: SnapshotTable, change):
+    change(table)
+    return table.read()
+
+
+add("flip_current", "model_version feature weight:d is_current", lambda t: changed(stored(t, weights(t), "model_version"), lambda s: s.rewrite(lambda rows: sc.flip_current(rows, "v1"))), f"SELECT model_version, feature, weight, model_version = 'v1' AS is_current FROM ({_weights}) AS w")
 
 
 def _staging(t):
@@ -44,18 +57,18 @@ def _staging(t):
 
 
 _staging_sql = "SELECT ticker, sector, company_name, market_cap + 1 AS market_cap, pe_ratio FROM {ticker_metadata} WHERE market_cap % 2 = 0 UNION ALL SELECT concat('New ', ticker), sector, company_name, market_cap, pe_ratio FROM {ticker_metadata} WHERE pe_ratio IS NULL"
-add("merge_metadata", "ticker sector company_name market_cap pe_ratio:d", lambda t: sc.merge_rows(t("ticker_metadata").where("market_cap % 3 != 0"), _staging(t), ["ticker"]),
+add("merge_metadata", "ticker sector company_name market_cap pe_ratio:d", lambda t: changed(stored(t, t("ticker_metadata").where("market_cap % 3 != 0"), "pmod(xxhash64(ticker), 8)"), lambda s: s.merge(_staging(t), ["ticker"])),
     f"SELECT ticker, sector, company_name, market_cap, pe_ratio FROM {{ticker_metadata}} WHERE market_cap % 3 <> 0 AND ticker NOT IN (SELECT ticker FROM ({_staging_sql}) AS s) UNION ALL SELECT * FROM ({_staging_sql}) AS s2")
 add("keyed_update", "as_of_date ticker_i ticker_j lag pearson:d",
-    lambda t: sc.keyed_update(t("panel"), t("panel").where("lag = 2").withColumn("pearson", F.when(F.col("n") % 2 == 0, F.col("pearson") * 2)), ["as_of_date", "ticker_i", "ticker_j", "lag"], "pearson"),
+    lambda t: changed(stored(t, t("panel"), "concat(as_of_date, '-', pmod(xxhash64(ticker_i), 4))"), lambda s: s.update(t("panel").where("lag = 2").withColumn("pearson", F.when(F.col("n") % 2 == 0, F.col("pearson") * 2)), ["as_of_date", "ticker_i", "ticker_j", "lag"], "pearson")),
     "SELECT as_of_date, ticker_i, ticker_j, lag, CASE WHEN lag = 2 THEN CASE WHEN n % 2 = 0 THEN pearson * 2 END ELSE pearson END AS pearson FROM {panel}")
-add("prune_old", "ticker date close:d", lambda t: sc.prune_old(t("market_data"), 2, "2001-06-30"), f"SELECT ticker, date, close FROM {{market_data}} WHERE date >= {DAY} - 730")
+add("prune_old", "ticker date close:d", lambda t: changed(stored(t, t("market_data"), "year(date)"), lambda s: s.delete(sc.older_than(2, "2001-06-30"))), f"SELECT ticker, date, close FROM {{market_data}} WHERE date >= {DAY} - 730")
 add("prune_stale_keys", "l_suppkey_k last_row",
     lambda t: sc.prune_stale_keys(t("lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date")), t("lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date")), "2001-11-30").groupBy(F.col("ticker").alias("l_suppkey_k")).agg(F.max("date").alias("last_row")),
     "SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey_k, max(CAST(l_shipdate AS DATE)) AS last_row FROM {lineitem} GROUP BY 1 HAVING max(CAST(l_shipdate AS DATE)) >= DATE '2001-11-30' - 45")
-add("latest_date_per_key", "ticker last_date", lambda t: sc.latest_date_per_key(t("market_daily")), "SELECT ticker, max(date) AS last_date FROM {market_daily} GROUP BY ticker")
+add("latest_date_per_key", "ticker last_date", lambda t: stored(t, t("market_daily"), "year(date)", "ticker", "date").latest_dates(), "SELECT ticker, max(date) AS last_date FROM {market_daily} GROUP BY ticker")
 add("incremental_append", "ticker date close:d",
-    lambda t: sc.incremental_append(t("market_data").where("date < date '2001-01-01' or ticker = 'Brand#3'").where("ticker != 'Brand#5'"), t("market_data")),
+    lambda t: sc.newer_rows(t("market_data"), stored(t, t("market_data").where("date < date '2001-01-01' or ticker = 'Brand#3'").where("ticker != 'Brand#5'"), "year(date)", "ticker", "date").latest_dates()),
     "SELECT ticker, date, close FROM {market_data} AS m LEFT JOIN (SELECT ticker AS k, max(date) AS h FROM {market_data} WHERE (date < DATE '2001-01-01' OR ticker = 'Brand#3') AND ticker <> 'Brand#5' GROUP BY ticker) AS s ON ticker = k WHERE h IS NULL OR date > h")
 add("universe_gap", "ticker side", lambda t: sc.key_gap(t("ticker_metadata").where("market_cap % 3 = 0"), t("market_data").where("ticker > 'Brand#15'")),
     "SELECT ticker, 'missing' AS side FROM (SELECT ticker FROM {ticker_metadata} WHERE market_cap % 3 = 0 EXCEPT SELECT ticker FROM {market_data} WHERE ticker > 'Brand#15') AS a UNION ALL SELECT ticker, 'extra' FROM (SELECT ticker FROM {market_data} WHERE ticker > 'Brand#15' EXCEPT SELECT ticker FROM {ticker_metadata} WHERE market_cap % 3 = 0) AS b")
@@ -164,10 +177,11 @@ def _write_table(rows, path):
     sc.write_table(rows.where("false"), path, "overwrite")
 
 
-def _replace(rows, path):
-    sc.write_table(rows, path, "overwrite", partition=["as_of_date"])
-    sc.replace_window(rows.where("signal_strength > 50").withColumn("signal_strength", F.col("signal_strength") + 1), path, "2001-12-31", "as_of_date")
-    sc.replace_window(rows.where("false"), path, "2000-12-31", "as_of_date")
+def replaced(t):
+    """One snapshot's rows put in the place of its old ones, and another snapshot emptied, in one commit."""
+    rows = t("edges").select("as_of_date", "ticker_i", "ticker_j", "signal_strength")
+    new = rows.where("as_of_date = date '2001-12-31' and signal_strength > 50").withColumn("signal_strength", F.col("signal_strength") + 1)
+    return changed(stored(t, rows, "as_of_date"), lambda s: s.replace(new, ["2000-12-31"]))
 
 
 def _upsert(rows, path):
@@ -188,6 +202,6 @@ def create_tables(t):
 
 _E = "as_of_date ticker_i ticker_j signal_strength:d"
 add("write_table", _E, lambda t: written(t, "write", _write_table), "SELECT * FROM {edges}")
-add("replace_window", _E, lambda t: written(t, "replace", _replace), "SELECT as_of_date, ticker_i, ticker_j, signal_strength + 1 AS signal_strength FROM {edges} WHERE as_of_date = DATE '2001-12-31' AND signal_strength > 50")
+add("replace_window", _E, replaced, "SELECT as_of_date, ticker_i, ticker_j, signal_strength + 1 AS signal_strength FROM {edges} WHERE as_of_date = DATE '2001-12-31' AND signal_strength > 50")
 add("upsert_snapshot", _E, lambda t: written(t, "upsert", _upsert), "SELECT as_of_date, ticker_i, ticker_j, signal_strength * 2 AS signal_strength FROM {edges} WHERE signal_strength > 60")
 add("create_tables", _E + " best_lag oos_dcor:d n_tables", create_tables, "SELECT as_of_date, ticker_i, ticker_j, signal_strength, best_lag, NULL AS oos_dcor, 13 AS n_tables FROM {edges}")

@@ -57,8 +57,8 @@ TEXTS["residuals"] = f"SELECT window_start, win, ticker, date, y AS residual FRO
 
 
 def residuals(t):
-    rows = t("window_returns").join(t("ff_factors"), "date").withColumn("y", F.col("log_return") - F.col("rf"))
-    return st.ols_residuals(rows, ["window_start", "win", "ticker"], "y", ["mkt_rf", "smb", "hml"], 40).select("window_start", "win", "ticker", "date", "residual")
+    rows = t("returns").join(t("ff_factors"), "date").withColumn("y", F.col("log_return") - F.col("rf"))
+    return st.rolling_residuals(rows, t("windows"), "y", ["mkt_rf", "smb", "hml"], 40)
 
 
 MADE["residuals"] = residuals

@@ -28,7 +28,7 @@ def latest(t):
     bars.where("date >= date '2001-07-01'").write.parquet(f"{folder}/in")
     source = spark.readStream.schema(bars.schema).parquet(f"{folder}/in")
     mean = lambda rows: rows.groupBy("window_start", "ticker").agg(F.avg("close").alias("close"))
-    return jobs.stream_latest_window(spark, source, mean, lambda: bars, f"{folder}/table", f"{folder}/state")
+    return jobs.stream_latest_window(spark, source, mean, bars.where("date < date '2001-07-01'"), f"{folder}/table", f"{folder}/state")
 
 
 add("stream_latest_window", "window_start ticker close:d", latest, "SELECT CAST(date_trunc('quarter', date) AS DATE) AS window_start, ticker, avg(close) AS close FROM {market_data} WHERE date >= DATE '2001-07-01' GROUP BY 1, 2")

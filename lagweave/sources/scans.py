@@ -93,6 +93,11 @@ def flip_current(weights: DataFrame, version=None) -> DataFrame:
     return weights.withColumn("is_current", F.lit(False) if version is None else F.col("model_version") == version)
 
 
+def older_than(years: int, today, date: str = "date") -> str:
+    """The condition of rows that pruning takes out."""
+    return f"{date} < date_sub(cast('{today}' AS date), {years * 365})"
+
+
 def prune_old(df: DataFrame, years: int, today, date: str = "date") -> DataFrame:
     return df.where(F.col(date) >= F.date_sub(F.lit(today).cast("date"), years * 365))
 
@@ -107,10 +112,15 @@ def latest_date_per_key(df: DataFrame, key: str = "ticker", date: str = "date")
     return df.groupBy(key).agg(F.max(date).alias("last_date"))
 
 
+def newer_rows(incoming: DataFrame, marks: DataFrame, key: str = "ticker", date: str = "date") -> DataFrame:
+    """Incoming rows newer than their key's last_date in marks; all rows of unknown keys."""
+    return incoming.join(marks, key, "left").where(F.col("last_date").isNull() | (F.col(date) > F.col("last_date"))).select(*incoming.columns)
+
+
 def incremental_append(stored: DataFrame, incoming: DataFrame, key: str = "ticker", date: str = "date") -> DataFrame:
-    """Incoming rows newer than each key's newest stored row; all rows of unknown keys."""
-    high = latest_date_per_key(stored, key, date)
-    return incoming.join(high, key, "left").where(F.col("last_date").isNull() | (F.col(date) > F.col("last_date"))).select(*incoming.columns)
+    """Incoming rows newer than each key's newest stored row; all rows of unknown keys. A stored table of
+    snapshots.py has marks that save reading it."""
+    return newer_rows(incoming, latest_date_per_key(stored, key, date), key, date)
 
 
 def key_gap(target: DataFrame, existing: DataFrame, key: str = "ticker") -> DataFrame:
