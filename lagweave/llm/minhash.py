@@ -9,10 +9,10 @@ on the n-gram sets of whole texts (ngram_join.confirmed), so links are never gue
 
 A bucket's members are candidates of one hub, its least node. Each node is first compared with the hub
 that it shares most buckets with, one pair a node, and components of the links found are made. Then
-only pairs of different components are left: the other pairs with hubs, and the buckets that hold more than one component. Such a bucket is cut
-into tiles of bounded size and each two of its tiles meet in one task, which compares signatures and
-lets only survivors out, each from the first band that its nodes share. No bucket is gathered, none
-is capped.
+only pairs of different components are left: the other pairs with hubs, and the buckets that hold more
+than one component. Such a bucket is cut into tiles of bounded size and each two of its tiles meet in
+one task, which compares signatures and lets only survivors out, each from the first band that its
+nodes share. No bucket is gathered, none is capped.
 
 Words are lower-cased (A-Z) runs of other characters than [\\x20\\x09-\\x0D]; with fewer than k words the
 whole sequence is the one member of a text's set. A null or wordless text has an empty set, links with
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .components import components
-from .ngram_join import _keyed, _sums, confirmed, ngram_sets
+from .ngram_join import _keyed, _sums, components_sql, confirmed, ngram_sets
 from .shared import prepared, small_batches, staged, table
 
 NGRAM = 5
@@ -208,12 +208,4 @@ def op12(spark, sf_dir: str) -> DataFrame:
     return minhash_duplicates(table(spark, sf_dir, "documents"), 4, SIMILARITY)
 
 
-SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-e AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))) END AS s FROM d),
-g AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM e),
-p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, p.v FROM r JOIN p ON p.u = r.other),
-c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
-SELECT e.doc_id, len(s)::BIGINT AS n_shingles, component_id, e.doc_id = component_id AS kept FROM e JOIN c ON c.doc_id = e.doc_id
-"""
+SQL = f"{components_sql(4, SIMILARITY)} SELECT e.doc_id, len(s)::BIGINT AS n_shingles, component_id, e.doc_id = component_id AS kept FROM e JOIN c ON c.doc_id = e.doc_id"

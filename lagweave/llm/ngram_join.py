@@ -273,3 +273,20 @@ def keep_one(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY) -> DataFram
 
 def op7(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, (90, 100))
+
+
+def components_sql(k: int, similarity) -> str:
+    """Common table expressions e(doc_id, s), with the set s of each document, and c(doc_id,
+    component_id), from all pairs that share an n-gram."""
+    gram = ", ".join(f"w[i + {x}]" for x in range(k))
+    num, den = similarity
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: concat_ws(' ', {gram}))) END AS s FROM d),
+g AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM e),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, p.v FROM r JOIN p ON p.u = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)"""
+
+
+SQL = f"{components_sql(3, (90, 100))} SELECT e.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM e JOIN c ON c.doc_id = e.doc_id"

@@ -21,6 +21,7 @@ QUERIES = {
 SQL = {
     "op3_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_ngram_join": ngram_join.SQL,
     "op10_source_mixing": mixing.SQL,
     "op11_spelling_variants": spelling.SQL,
     "op12_minhash_dedup": minhash.SQL,

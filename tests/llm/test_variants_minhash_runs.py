@@ -279,7 +279,7 @@ def test_runs_of_random_words(least, times):
 # --- the registered queries --------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_minhash_dedup"])
+@pytest.mark.parametrize("name", ["op7_ngram_join", "op11_spelling_variants", "op12_minhash_dedup"])
 def test_queries_equal_sql(spark, name):
     from lagweave.llm import registry
 
