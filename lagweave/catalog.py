@@ -2,7 +2,7 @@
 
 import importlib
 
-BOOKS = ["scans", "pairs", "stats", "windows", "network", "risk", "streams"]
+BOOKS = ["scans", "pairs", "stats", "windows", "network", "served", "risk", "streams"]
 
 QUERIES: dict = {}
 SQL: dict = {}

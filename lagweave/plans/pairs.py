@@ -135,15 +135,15 @@ add("bh_fdr_permuted", _W + " lag dcor:d p_value:d permutations q_value:d signif
 add("stability_permuted", "ticker_i ticker_j mean_dcor:d variance_dcor:d frequency:d best_lag sharpness:d n_windows_observed half_life:d half_life_r2:d", lambda t: st.stability(significant_permuted(t), t("windows")))
 
 
-def daily_tested(t):
-    """The same on daily returns: about 250 rows a window."""
+def daily_pairs(t):
+    """Both series of every pair and window of daily returns: about 250 rows."""
     inside = F.col("date").between(F.col("window_start"), F.col("window_end"))
     rows = t("daily_returns").join(F.broadcast(t("windows")), inside).select("window_start", "win", "ticker", "date", "log_return")  # a calendar
-    both = pr.paired(pr.series_arrays(rows, keys=["window_start", "win"]), pr.all_pairs(rows.select("ticker").distinct()))
-    return pr.bh_fdr(pr.permutation_p(both, LAGS, alpha=ALPHA), ALPHA, choose="dcor")
+    return pr.paired(pr.series_arrays(rows, keys=["window_start", "win"]), pr.all_pairs(rows.select("ticker").distinct()))
 
 
-add("bh_fdr_daily", _W + " lag dcor:d p_value:d permutations q_value:d significant", daily_tested)
+add("permutation_daily", _W + " lag dcor:d p_value:d permutations", lambda t: pr.permutation_p(daily_pairs(t), LAGS))
+add("bh_fdr_daily", _W + " lag dcor:d p_value:d permutations q_value:d significant", lambda t: pr.bh_fdr(pr.permutation_p(daily_pairs(t), LAGS, alpha=ALPHA), ALPHA, choose="dcor"))
 
 
 def backfilled(t):
@@ -154,7 +154,7 @@ def backfilled(t):
     return sc.keyed_update(stored, fresh.where("obs >= 20").join(missing, keys, "left_semi"), keys, "pearson")
 
 
-add("pearson_backfill", _W + " lag pearson:d", backfilled, "SELECT * FROM {w_pearson}")
+add("pearson_backfill", _W + " lag pearson:d", backfilled, "SELECT * REPLACE (CASE WHEN lag <> 2 OR obs >= 20 THEN pearson END AS pearson) FROM {w_pearson}")
 add("direction_counts", "positive negative unknown", lambda t: pr.direction_counts(t("panel")), """
 SELECT count(*) FILTER (pearson > 0) AS positive, count(*) FILTER (pearson < 0) AS negative, count(*) FILTER (pearson IS NULL) AS unknown FROM {panel}""")
 

@@ -98,7 +98,6 @@ def test_chain_from_permutations_to_stability(spark, monkeypatch):
     assert all(found[w, f"t{k}", f"t{k + 1}"].lag == 1 + k % 3 for w in (0, 1) for k in (0, 2, 4))
 
     # the registered queries run the same chain
-    monkeypatch.setattr(surrogates, "get", surrogates.get)
     tables = {"window_returns": s, "windows": s.select("window_start", "win").distinct()}
     tables["w_dcor"] = pr.dcor_lag(rows, (1, 2, 3))
     tables["tested"] = surrogates.MADE["tested"](tables.__getitem__)
