@@ -7,12 +7,14 @@ an even prior, m equal ones of n leave the posterior chance P(Bin(n + 1, s) <= m
 s or more, and a pair whose chance falls below MISS is dropped. What survives all batches is verified
 on the n-gram sets of whole texts (ngram_join.confirmed), so links are never guessed.
 
-A bucket's members are candidates of one hub, its least node. Each node is first compared with the hub
-that it shares most buckets with, one pair a node, and components of the links found are made. Then
-only pairs of different components are left: the other pairs with hubs, and the buckets that hold more
-than one component. Such a bucket is cut into tiles of bounded size and each two of its tiles meet in
-one task, which compares signatures and lets only survivors out, each from the first band that its
-nodes share. No bucket is gathered, none is capped.
+A bucket's members are candidates of one hub, its least node. Each node is compared with the hub that it
+shares most buckets with, one pair a node, and components of the links found are made; then with its
+other hubs, where they are in other components. After that only buckets that hold more than one
+component can have more links that matter. Such a bucket is cut into tiles of bounded size, and each
+two of its tiles meet in one task: signatures are compared there as above, and likely pairs are
+verified on the n-gram sets, which the tiles carry. A link joins two components for the pairs after it,
+so a task verifies no pair that is joined already and lets out fewer links than its tiles have
+components. No bucket is gathered, none is capped.
 
 Words are lower-cased (A-Z) runs of other characters than [\\x20\\x09-\\x0D]; with fewer than k words the
 whole sequence is the one member of a text's set. A null or wordless text has an empty set, links with
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textscan as ts
 from .components import components
 from .ngram_join import _keyed, _sums, components_sql, confirmed, ngram_sets
@@ -42,6 +45,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Nodes of a tile, about; pairs that are compared at once.
 TILE, CHUNK = 512, 1 << 16
+#: N-grams of a tile, about.
+TILE_GRAMS = 1 << 18
 
 _KEYS = ts.mix(np.arange(1, 2 * HASHES + 1, dtype=ts.U))
 _TIMES, _PLUS = _KEYS[:HASHES] | ts.U(1), _KEYS[HASHES:]
@@ -124,39 +129,83 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, needs, similarity, tag: str
     return staged(both.mapInArrow(run, "u long, v long"), tag)
 
 
-def tiles_met(members: DataFrame, nodes: DataFrame, needs, similarity, tile: int = TILE) -> DataFrame:
-    """(u, v) of the likely pairs of different components in each bucket of members(key, band, node,
-    component), each from its first band. Staged."""
+def gram_lists(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, grams) of the nodes of wanted(node, k1, k2): the sorted n-gram hashes of their texts. Staged."""
+    some = _keyed(docs).where(bloom.passes(docs.sparkSession, bloom.members(wanted, "k1"), F.col("k1")))
+    texts = some.join(wanted, ["k1", "k2"]).groupBy("node").agg(F.max("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for first, rows, data, offs in ts.runs(batch):
+                grams, at = ngram_sets(data, offs, k)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, rows), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))], ["node", "grams"])
+
+    return staged(texts.mapInArrow(run, "node long, grams array<long>"), "grams")
+
+
+class Joined:
+    """Components, of which some become one."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def top(self, c: int) -> int:
+        while (up := self.above.get(c, c)) != c:
+            self.above[c] = self.above.get(up, up)
+            c = up
+        return c
+
+
+def tiles_met(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, needs, similarity, tile: int = TILE) -> DataFrame:
+    """(u, v): links between different components of each bucket of members(key, band, node, component),
+    of every two components that can be joined enough to join them. Staged."""
     num, den = similarity
-    sizes = staged(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles")), "sizes")
+    members = staged(members.join(nodes.select("node", "n"), "node"), "members")
+    wanted = staged(members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"), "wanted")
+    grams = gram_lists(docs, wanted, k)
+    most = F.greatest(F.count(F.lit(1)) / F.lit(tile), F.sum("n") / F.lit(TILE_GRAMS))
+    sizes = staged(members.groupBy("key").agg(F.ceil(most).cast("int").alias("tiles")), "sizes")
     dealt = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    whole = dealt.join(nodes.select("node", "n", "signature"), "node")
-    lists = staged(whole.groupBy("key", "tile").agg(F.first("tiles").alias("tiles"), F.first("band").alias("band"), F.collect_list(F.struct("node", "component", "n", "signature")).alias("own")), "tiles")
+    whole = dealt.join(nodes.select("node", "signature"), "node").join(grams, "node")
+    lists = staged(whole.groupBy("key", "tile").agg(F.first("tiles").alias("tiles"), F.first("band").alias("band"), F.collect_list(F.struct("node", "component", "n", "signature", "grams")).alias("own")), "tiles", spent=(members, wanted, grams))
     ahead = lists.withColumn("to", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)))
     other = lists.select("key", F.col("tile").alias("to"), F.col("own").alias("other"))
     met = ahead.join(other, ["key", "to"]).select("band", (F.col("tile") == F.col("to")).alias("same"), "own", "other")
 
+    def side(s):
+        sets = s.field("grams")
+        at = np.asarray(sets.offsets)
+        return *(np.asarray(s.field(f)) for f in ("node", "component", "n")), _unpacked(s.field("signature")), np.asarray(sets.values), at
+
     def run(batches):
         for batch in batches:
             for r in range(len(batch)):
                 band, same = batch.column("band")[r].as_py(), batch.column("same")[r].as_py()
-                sides = [batch.column(c)[r].values for c in ("own", "other")]
-                (node, comp, n), (node_2, comp_2, n_2) = ([np.asarray(s.field(f)) for f in ("node", "component", "n")] for s in sides)
-                a, b = (_unpacked(s.field("signature")) for s in sides)
+                (node, comp, n, a, x, at), (node_2, comp_2, n_2, b, y, at_2) = (side(batch.column(c)[r].values) for c in ("own", "other"))
+                joined, found = Joined(), []
                 step = max(1, CHUNK // max(1, len(b)))
-                for k in range(0, len(a), step):
-                    fits = (comp[k : k + step, None] != comp_2) & (np.minimum(n[k : k + step, None], n_2) * den >= np.maximum(n[k : k + step, None], n_2) * num)
+                for start in range(0, len(a), step):
+                    own = slice(start, start + step)
+                    fits = (comp[own, None] != comp_2) & (np.minimum(n[own, None], n_2) * den >= np.maximum(n[own, None], n_2) * num)
                     i, j = np.nonzero(fits)
-                    i += k
+                    i += start
                     if same:
                         i, j = i[i < j], j[i < j]
                     left = _likely(a, b, i, j, needs)
                     i, j = i[left], j[left]
+                    # a pair belongs to the first bucket that it shares
                     seen = (a[i, : band * ROWS] == b[j, : band * ROWS]).reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
-                    u, v = node[i[~seen]], node_2[j[~seen]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    with small_batches(members.sparkSession, 16):
+                    for p, q in zip(i[~seen].tolist(), j[~seen].tolist()):
+                        one, two = joined.top(int(comp[p])), joined.top(int(comp_2[q]))
+                        if one != two:
+                            both = len(np.intersect1d(x[at[p] : at[p + 1]], y[at_2[q] : at_2[q + 1]], assume_unique=True))
+                            if den * both >= num * (n[p] + n_2[q] - both):
+                                joined.above[max(one, two)] = min(one, two)
+                                found.append((p, q))
+                u, v = (np.array([ids[f[e]] for f in found], np.int64) for e, ids in enumerate((node, node_2)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    with small_batches(members.sparkSession, 4):
         return staged(met.mapInArrow(run, "u long, v long"), "met", spent=(lists, sizes))
 
 
@@ -179,19 +228,20 @@ def near_links(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, miss: flo
     hubs = staged(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "hubs")
     shared = staged(banded.join(hubs, "key"), "buckets", spent=(banded, hubs))
     tried = staged(shared.where("node != hub").groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("m")), "star")
+    most = nodes.count()
     best = staged(tried.groupBy("v").agg(F.max_by("u", F.struct("m", -F.col("u"))).alias("u")).select("u", "v"), "best")
-    first = confirmed(likely_pairs(best, nodes, needs, similarity, "likely"), docs, nodes, k, similarity, best.count())
-
+    first = confirmed(likely_pairs(best, nodes, needs, similarity, "likely"), docs, nodes, k, similarity, most)
     found = components(first)
     named = lambda df, x: df.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
     others = tried.select("u", "v").join(best, ["u", "v"], "left_anti")
-    later = likely_pairs(named(named(others, "u"), "v").where("cu != cv").select("u", "v"), nodes, needs, similarity, "later")
-    labeled = staged(shared.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "labeled", spent=(shared,))
+    apart = staged(named(named(others, "u"), "v").where("cu != cv").select("u", "v"), "apart", spent=(tried, best))
+    second = confirmed(likely_pairs(apart, nodes, needs, similarity, "likely"), docs, nodes, k, similarity, apart.count())
+    links = staged(first.unionByName(second), "links", spent=(first, second, apart, found))
+    joined = components(links)
+    labeled = staged(shared.join(joined, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "labeled", spent=(shared, joined))
     mixed = staged(labeled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
-    met = tiles_met(labeled.join(mixed, "key", "left_semi"), nodes, needs, similarity, tile)
-    rest = staged(later.unionByName(met.join(tried, ["u", "v"], "left_anti")).distinct(), "rest", spent=(labeled, mixed, met, tried, best, later))
-    more = confirmed(rest, docs, nodes, k, similarity, rest.count())
-    return placed, staged(first.unionByName(more), "all_links", spent=(first, more, nodes, found))
+    more = tiles_met(labeled.join(mixed, "key", "left_semi"), docs, nodes, k, needs, similarity, tile)
+    return placed, staged(links.unionByName(more), "all_links", spent=(links, more, labeled, mixed, nodes))
 
 
 def minhash_duplicates(docs: DataFrame, k: int = NGRAM, similarity=SIMILARITY, miss: float = MISS, tile: int = TILE) -> DataFrame:
