@@ -33,3 +33,11 @@ def test_parts_are_not_broadcast(spark, monkeypatch):
     surrogates.get(spark, "/root/testdata/sf0.001", "market_data")
     surrogates._made.clear()
     assert plans and not any("BroadcastHashJoin" in p and "p_partkey" in p for p in plans)
+
+
+def test_only_the_middle_of_a_group_is_sorted(spark):
+    """The plan sorts items of the steps that hold the middle ranks, and adds the others up."""
+    df = spark.range(1000).selectExpr("'a' AS ticker", "date'2001-01-01' AS date", "cast(pow(2, id % 10) AS double) AS price", "1D AS quantity", "0D AS discount")
+    plan = windows.bars(df, ["ticker", "date"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number") > 0 and "step" in plan[plan.index("row_number") :]
+    assert windows.bars(df, ["ticker", "date"]).first().open == (16 + 32) / 2
