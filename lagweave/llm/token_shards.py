@@ -5,7 +5,9 @@ The corpus is one stream of token ids, each text followed by the end token, cut
 keyed permutation of all sequences: a Feistel network over the next even number of bits, applied
 again until it lands below their count (cycle walking). So a slot is computed where a sequence is
 made, and nothing is sorted globally. Pieces of sequences are dealt out by ranges of shards, which
-are ranges of slots, and a task writes its shards in slot order. Slot s is at byte
+are ranges of slots, and a task writes its shards in slot order. That is done in WAVES, each for its
+share of the shards: a wave's shuffle files are deleted when its shards are there, so that staged
+ids, shuffle and shards are never on disk all at once and whole. Slot s is at byte
 (s mod rows) * length * width of shard s // rows: a reader starts anywhere without an index.
 
 Texts are encoded once; their ids are staged in the shared folder with the number of the partition
@@ -19,6 +21,7 @@ in the stream. An empty table gives no shards. Extra columns are ignored.
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,14 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .bpe import RUN_BYTES, default_vocabulary, vocabulary
-from .shared import prepared, shared_dir, small_batches, staged, table
+from .shared import prepared, shared_dir, shuffles_deleted, small_batches, staged, table
 
 LENGTH = 2048
 SHARD_ROWS = 1024
 ROUNDS = 6
 SEED = 0
+#: Shares of the shards that are dealt out and written one after the other.
+WAVES = 3
 
 
 class Permutation:
@@ -97,7 +102,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if path.startswith("file:") or "://" in path else (fs.LocalFileSystem(), path)
 
 
-def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
+def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, rows: int = SHARD_ROWS, seed: int = SEED, waves: int = WAVES) -> DataFrame:
     """Writes the shards of docs(text) to folder; returns their manifest (shard, first_slot,
     sequences, bytes, sha256), staged."""
     spark, size = prepared(docs.sparkSession), width(path)
@@ -110,15 +115,16 @@ def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, r
             before += len(ids)
 
     stream = staged(docs.select("text").mapInArrow(encode, "part int, before long, n long, ids binary"), "ids", compression="zstd")
-    per_part = stream.groupBy("part").agg(F.sum("n").alias("n")).toArrow().sort_by("part")  # a row a partition
+    with shuffles_deleted(spark):
+        per_part = stream.groupBy("part").agg(F.sum("n").alias("n")).toArrow().sort_by("part")  # a row a partition
     parts, counts = (per_part[c].to_numpy() for c in ("part", "n"))
     base = spark.sparkContext.broadcast(dict(zip(parts.tolist(), (np.cumsum(counts) - counts).tolist())))
     total = int(counts.sum())
     sequences = -(-total // length)
     shards = max(1, -(-sequences // rows))
-    spread = min(shards, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def pieces(batches):
+    def pieces(batches, begin, end, spread):
         order = Permutation(max(sequences, 1), seed)
         for batch in batches:
             for part, before, n, raw in zip(*(batch.column(c) for c in ("part", "before", "n", "ids"))):
@@ -130,7 +136,9 @@ def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, r
                 ids = np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(size, n).T)
                 data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offs), pa.py_buffer(ids)])
                 shard = slot // rows
-                yield pa.RecordBatch.from_arrays([pa.array((shard * spread // shards).astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot), pa.array((lo - cut).astype(np.int32)), data], ["range", "shard", "slot", "at", "ids"])
+                mine = np.flatnonzero((shard >= begin) & (shard < end))
+                shard, data = shard[mine], data.take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([pa.array(((shard - begin) * spread // (end - begin)).astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot[mine]), pa.array((lo - cut)[mine].astype(np.int32)), data], ["range", "shard", "slot", "at", "ids"])
 
     def write(batches):
         store, root = _store(folder)
@@ -151,10 +159,16 @@ def write_order(docs: DataFrame, folder: str, path: str, length: int = LENGTH, r
         if shard is not None:
             yield _written(store, root, shard, body, rows, length, kind)
 
-    placed = stream.mapInArrow(pieces, "range int, shard int, slot long, at int, ids binary")
-    ordered = placed.repartitionById(spread, "range").sortWithinPartitions("shard", "slot", "at")
-    with small_batches(spark, 500):
-        return staged(ordered.mapInArrow(write, "shard int, first_slot long, sequences long, bytes long, sha256 string"), "manifest", spent=(stream,))
+    def wave(begin, end):
+        spread = min(end - begin, most)
+        placed = stream.mapInArrow(lambda batches: pieces(batches, begin, end, spread), "range int, shard int, slot long, at int, ids binary")
+        ordered = placed.repartitionById(spread, "range").sortWithinPartitions("shard", "slot", "at")
+        return staged(ordered.mapInArrow(write, "shard int, first_slot long, sequences long, bytes long, sha256 string"), "manifest")
+
+    waves = min(waves, shards)
+    with small_batches(spark, 500), shuffles_deleted(spark):
+        done = [wave(shards * i // waves, shards * (i + 1) // waves) for i in range(waves)]
+    return staged(reduce(DataFrame.unionByName, done), "manifest", spent=(stream, *done))
 
 
 def _written(store, root, shard, body, rows, length, kind):
