@@ -41,7 +41,7 @@ SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
-RUN_BYTES = ts.RUN_BYTES
+RUN_BYTES = 1 << 20
 #: Bytes of a long pretoken that are encoded at once, and how many pretokens go on in step.
 PIECE, FEW = 256, 32
 #: Tokens on either side of a border that are tried anew.

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 U = np.uint64
 
 SPACE = np.zeros(256, bool)
